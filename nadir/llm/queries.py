@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, pieces, quality, simhash, tokenfile
+from . import chat, mixing, pieces, quality, simhash, tokenfile, vptree
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,8 +45,20 @@ def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op2_vptree_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vptree.nearest(_table(spark, sf_dir, "embeddings"))
+
+
+def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, and one (-7) whose texts are made of control strings."""
+    own = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    control = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame([(-7, 0, "user", control), (-7, 1, "assistant", control)], "conv_id long, turn long, role string, text string")
+    return chat.format_and_read_back(own.unionByName(extra))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mix_sources, op6_sampled_pieces, op7_quality_rules, op8_token_files, op9_simhash_near_dedup)}
+    return {f.__name__: f for f in (op1_mix_sources, op2_vptree_neighbours, op6_sampled_pieces, op7_quality_rules, op8_token_files, op9_simhash_near_dedup, op10_chat_format)}
 
 
 def oracle_sql() -> dict[str, str]:
