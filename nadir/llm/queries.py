@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, mixing, pieces, quality, simhash, tokenfile, vptree
+from . import chat, katz, mixing, pieces, quality, simhash, tokenfile, vptree
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,6 +29,10 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op3_katz_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz.score_with_holdout(_table(spark, sf_dir, "documents"))
+
+
 def op6_sampled_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode(_table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"), id_lists=False)
 
@@ -58,7 +62,7 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mix_sources, op2_vptree_neighbours, op6_sampled_pieces, op7_quality_rules, op8_token_files, op9_simhash_near_dedup, op10_chat_format)}
+    return {f.__name__: f for f in (op1_mix_sources, op2_vptree_neighbours, op3_katz_score, op6_sampled_pieces, op7_quality_rules, op8_token_files, op9_simhash_near_dedup, op10_chat_format)}
 
 
 def oracle_sql() -> dict[str, str]:
