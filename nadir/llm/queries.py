@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import chat, katz, mixing, pieces, quality, simhash, tokenfile, vptree
+from . import chat, katz, licenses, linededup, mixing, pieces, quality, simhash, tokenfile, vptree
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,6 +34,16 @@ def op3_katz_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return katz.score_with_holdout(_table(spark, sf_dir, "documents"))
 
 
+def op4_licence_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(_table(spark, sf_dir, "documents"))
+
+
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines and lines taken out of every document, and the crc32 of what stays."""
+    out, lines, taken = linededup.dedup_lines(_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", F.col(lines).alias("n_lines"), F.col(taken).alias("n_removed"), F.crc32(F.col("text").cast("binary")).alias("kept_crc32"))
+
+
 def op6_sampled_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode(_table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"), id_lists=False)
 
@@ -62,8 +73,8 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mix_sources, op2_vptree_neighbours, op3_katz_score, op6_sampled_pieces, op7_quality_rules, op8_token_files, op9_simhash_near_dedup, op10_chat_format)}
+    return {f.__name__: f for f in (op1_mix_sources, op2_vptree_neighbours, op3_katz_score, op4_licence_sentences, op5_line_dedup, op6_sampled_pieces, op7_quality_rules, op8_token_files, op9_simhash_near_dedup, op10_chat_format)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_licence_sentences": licenses.scan_sql()}
