@@ -31,15 +31,14 @@ SENTENCES = (
     "Released under the MIT License.",
     "Licensed under the MIT License.",
     "This work is licensed under the GNU General Public License, version 3.",
-    "This program is free software:",
-    "you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
     "This program is free software;",
     "you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation;",
     "either version 2 of the License, or (at your option) any later version.",
     "Licensed under CC BY-NC 4.0.",
     "Licensed under CC BY 4.0.",
     "This work is licensed under a Creative Commons Attribution 4.0 International License.",
-    "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
+    "This Source Code Form is subject to the terms of the Mozilla Public License, v.",
     "SPDX-License-Identifier: MIT",
     "SPDX-License-Identifier: Apache-2.0",
     "All rights reserved.",
@@ -55,22 +54,26 @@ RULES = (
     ("BSD-2-Clause", (5, 6, 7)),
     ("Apache-2.0", (9, 10, 11, 12)),
     ("Apache-2.0", (9, 10)),
-    ("GPL-3.0-or-later", (17, 18)),
-    ("GPL-2.0-or-later", (19, 20, 21)),
+    ("GPL-3.0-or-later", (17,)),
+    ("GPL-2.0-or-later", (18, 19, 20)),
     ("Apache-2.0", (13,)),
     ("MIT", (14,)),
     ("MIT", (15,)),
     ("GPL-3.0-only", (16,)),
-    ("CC-BY-NC-4.0", (22,)),
+    ("CC-BY-NC-4.0", (21,)),
+    ("CC-BY-4.0", (22,)),
     ("CC-BY-4.0", (23,)),
-    ("CC-BY-4.0", (24,)),
-    ("MPL-2.0", (25,)),
-    ("MIT", (26,)),
-    ("Apache-2.0", (27,)),
+    ("MPL-2.0", (24,)),
+    ("MIT", (25,)),
+    ("Apache-2.0", (26,)),
 )
 
-#: A sentence ends at a line's end, and at white space after one of these signs.
-BREAK = r"\n|(?<=[.;:!?])[ \t\r\f\x0B]+"
+# A sentence ends at a blank line, and at white space after one of these signs.
+_SPACE = r"[ \t\n\r\f\x0B]"
+SIGN = rf"([.;!?]){_SPACE}+"
+BLANK = r"\n[ \t\r\f\x0B]*\n"
+#: Marks the end of a sentence.
+MARK = "\x1e"
 #: Every known sentence has one of these; other sentences need no normalising.
 ANCHOR = r"(?i)licen[sc]e|permission|software|redistribut|copyright|rights reserved|CC BY|GNU"
 
@@ -97,8 +100,10 @@ def scan(docs: DataFrame) -> DataFrame:
     """
     numbers = F.create_map(*(F.lit(x) for i, s in enumerate(SENTENCES, 1) for x in (normal_form(s), i)))
     text = F.coalesce("text", F.lit(""))
-    sentences = F.filter(F.split(text, BREAK), lambda s: s.rlike(ANCHOR))
-    known = F.filter(F.transform(sentences, lambda s: F.try_element_at(numbers, _normal(s))), lambda n: n.isNotNull())
+    sentences = F.filter(F.split(F.regexp_replace(F.regexp_replace(text, SIGN, f"$1{MARK}"), BLANK, MARK), MARK), lambda s: s.rlike(ANCHOR))
+    number = lambda s: F.try_element_at(numbers, _normal(s))
+    # a sentence may run over lines; of one that isn't known, each line may be
+    known = F.filter(F.flatten(F.transform(sentences, lambda s: F.when(number(s).isNotNull(), F.array(number(s))).otherwise(F.transform(F.split(s, "\n"), number)))), lambda n: n.isNotNull())
     # most texts have no anchor at all and aren't cut up
     found = docs.select("doc_id", F.when(text.rlike(ANCHOR), known).otherwise(F.array().cast("array<int>")).alias("known"))
     ids = F.array_join(F.transform("known", lambda n: n.cast("string")), ",")
@@ -119,17 +124,19 @@ def scan_sql() -> str:
     """The same for DuckDB, over a view ``documents``."""
     numbers = " ".join(f"WHEN '{normal_form(s)}' THEN {i}" for i, s in enumerate(SENTENCES, 1))
     anchor = ANCHOR.removeprefix("(?i)")
-    steps = [f"s0 AS (SELECT doc_id, known, coalesce(array_to_string(list_transform(known, n -> '<' || n || '>'), ''), '') AS rest, '' AS names FROM k)"]
+    steps = ["s0 AS (SELECT doc_id, known, coalesce(array_to_string(list_transform(known, lambda n: '<' || n || '>'), ''), '') AS rest, '' AS names FROM k)"]
     for i, (name, run) in enumerate(RULES):
         text = "".join(f"<{n}>" for n in run)
         add = f"CASE WHEN contains(rest, '{text}') AND NOT contains(names || ',', ',{name},') THEN names || ',{name}' ELSE names END"
         steps.append(f"s{i + 1} AS (SELECT doc_id, known, replace(rest, '{text}', '|') AS rest, {add} AS names FROM s{i})")
-    # the cut keeps the signs before a break, which the lookbehind does in Spark
-    cut = r"string_split(regexp_replace(coalesce(text, ''), '([.;:!?])[ \t\r\f\x0B]+', '\1' || chr(10), 'g'), chr(10))"
+    cut = rf"string_split(regexp_replace(regexp_replace(coalesce(text, ''), '{SIGN}', '\1' || chr(30), 'g'), '{BLANK}', chr(30), 'g'), chr(30))"
+    number = lambda s: f"CASE trim(regexp_replace(lower({s}), '[^a-z0-9]+', ' ', 'g')) {numbers} END"
     return (
         f"WITH p AS (SELECT doc_id, unnest({cut}) AS s, generate_subscripts({cut}, 1) AS i FROM documents), "
-        f"n AS (SELECT doc_id, i, CASE trim(regexp_replace(lower(s), '[^a-z0-9]+', ' ', 'g')) {numbers} END AS n FROM p WHERE regexp_matches(s, '{anchor}', 'i')), "
-        "g AS (SELECT doc_id, list(n ORDER BY i) AS known FROM n WHERE n IS NOT NULL GROUP BY doc_id), "
+        f"w AS (SELECT doc_id, i, s, {number('s')} AS n FROM p WHERE regexp_matches(s, '{anchor}', 'i')), "
+        "l AS (SELECT doc_id, i, unnest(string_split(s, chr(10))) AS s, generate_subscripts(string_split(s, chr(10)), 1) AS j FROM w WHERE n IS NULL), "
+        f"n AS (SELECT doc_id, i, CAST(0 AS BIGINT) AS j, n FROM w UNION ALL SELECT doc_id, i, CAST(j AS BIGINT), {number('s')} FROM l), "
+        "g AS (SELECT doc_id, list(n ORDER BY i, j) AS known FROM n WHERE n IS NOT NULL GROUP BY doc_id), "
         "k AS (SELECT d.doc_id, coalesce(g.known, []) AS known FROM documents d LEFT JOIN g ON d.doc_id = g.doc_id), "
         + ", ".join(steps)
         + f" SELECT doc_id, CAST(len(known) AS BIGINT) AS n_known, coalesce(array_to_string(known, ','), '') AS sentence_ids, ltrim(names, ',') AS licences, rtrim(replace(regexp_replace(rest, '[|<]', '', 'g'), '>', ','), ',') AS unmatched FROM s{len(RULES)}"
