@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nadir.functions import columns as C
@@ -47,11 +47,25 @@ def oracle_sql() -> dict[str, str]:
 
 # --- shared pieces -----------------------------------------------------------
 
-TIER = F.when(F.col("l_returnflag") == "A", "gold").when(F.col("l_returnflag") == "N", "silver").when(F.col("l_returnflag") == "R", "bronze")
+
+
+def tier_column() -> Column:
+    flag = F.col("l_returnflag")
+    return F.when(flag == "A", "gold").when(flag == "N", "silver").when(flag == "R", "bronze")
+
+
 TIER_SQL = "CASE l_returnflag WHEN 'A' THEN 'gold' WHEN 'N' THEN 'silver' WHEN 'R' THEN 'bronze' END"
 BEST_SQL = f"CASE min(CASE {TIER_SQL} WHEN 'gold' THEN 1 WHEN 'silver' THEN 2 WHEN 'bronze' THEN 3 END) WHEN 1 THEN 'gold' WHEN 2 THEN 'silver' WHEN 3 THEN 'bronze' END"
-STUDY = F.nullif("l_linenumber", F.lit(7))
-ZIP = F.round((F.col("l_discount") - 0.05) * 400, 6)
+
+
+def study_column() -> Column:
+    return F.nullif("l_linenumber", F.lit(7))
+
+
+def zip_column() -> Column:
+    return F.round((F.col("l_discount") - 0.05) * 400, 6)
+
+
 ZIP_SQL = "round((l_discount - 0.05) * 400, 6)"
 SYN_SQL = "CASE WHEN {z} > 10 THEN 'strongly_synergistic' WHEN {z} > 5 THEN 'synergistic' WHEN {z} >= -5 THEN 'additive' WHEN {z} >= -10 THEN 'antagonistic' WHEN {z} IS NOT NULL THEN 'strongly_antagonistic' END"
 
@@ -88,7 +102,7 @@ EVIDENCE_PAIR = ("l_orderkey", "l_linenumber")
 def pair_rollup_basic(spark, d):
     n = F.col("l_linenumber")
     return P.rollup(lines(spark, d), P.PairSpec("l_partkey", "l_suppkey", {
-        "num_studies": C.study_count(STUDY), "num_sources": F.countDistinct("l_linestatus"), "best_tier": C.best_of(TIER),
+        "num_studies": C.study_count(study_column()), "num_sources": F.countDistinct("l_linestatus"), "best_tier": C.best_of(tier_column()),
         "best_result": C.any_precedence([(n == 1, "hard"), (n == 2, "conditional"), (n == 3, "methodological")], "hypothesis"),
         "earliest_year": F.min(F.year("l_shipdate")), "avg_value": F.round(F.avg("l_quantity"), 6), "min_value": F.min("l_extendedprice"), "max_value": F.max("l_extendedprice"),
     }))
@@ -101,7 +115,7 @@ def pair_rollup_basic(spark, d):
  SELECT p.l_partkey, p.l_suppkey, num_trials, highest_phase, cat AS primary_category FROM p JOIN m ON p.l_partkey = m.l_partkey AND p.l_suppkey = m.l_suppkey AND r = 1""")
 def pair_rollup_mode_phase(spark, d):
     rows = lines(spark, d).join(T(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
-    spec = P.PairSpec("l_partkey", "l_suppkey", {"num_trials": C.study_count(STUDY, null_is_study=False), "highest_phase": C.highest_of(F.col("o_orderpriority"), ("3-MEDIUM", "2-HIGH", "1-URGENT"))})
+    spec = P.PairSpec("l_partkey", "l_suppkey", {"num_trials": C.study_count(study_column(), null_is_study=False), "highest_phase": C.highest_of(F.col("o_orderpriority"), ("3-MEDIUM", "2-HIGH", "1-URGENT"))})
     mode = P.mode_per_group(lines(spark, d).withColumn("cat", F.concat("l_linestatus", "l_returnflag")), ["l_partkey", "l_suppkey"], "cat", "primary_category")
     return P.rollup(rows, spec).drop("a_degree", "b_degree").join(mode, ["l_partkey", "l_suppkey"])
 
@@ -124,7 +138,7 @@ def pair_rollup_symmetric(spark, d):
 
 @query(f"""SELECT l_partkey, l_suppkey, count(DISTINCT l_orderkey) AS num_screens, {BEST_SQL} AS best_tier, min(l_discount) AS min_effect, max(l_discount) AS max_effect, round(avg(l_discount), 6) AS avg_effect FROM lineitem GROUP BY 1, 2""")
 def pair_rollup_effect(spark, d):
-    spec = P.PairSpec("l_partkey", "l_suppkey", {"num_screens": F.countDistinct("l_orderkey"), "best_tier": C.best_of(TIER, C.TIERS[:3]), "min_effect": F.min("l_discount"), "max_effect": F.max("l_discount"), "avg_effect": F.round(F.avg("l_discount"), 6)})
+    spec = P.PairSpec("l_partkey", "l_suppkey", {"num_screens": F.countDistinct("l_orderkey"), "best_tier": C.best_of(tier_column(), C.TIERS[:3]), "min_effect": F.min("l_discount"), "max_effect": F.max("l_discount"), "avg_effect": F.round(F.avg("l_discount"), 6)})
     return P.rollup(lines(spark, d), spec).drop("a_degree", "b_degree")
 
 
@@ -145,7 +159,7 @@ CONSENSUS_SQL = f"CASE WHEN {_share(_ANT)} > 0.5 THEN 'antagonistic' WHEN {_shar
 @query(f"""WITH e AS (SELECT *, {SYN_SQL.format(z=ZIP_SQL)} AS k FROM lineitem)
  SELECT l_partkey, l_suppkey, count(*) AS num_measurements, round(avg({ZIP_SQL}), 6) AS avg_zip, round({_share(_ANT)}, 6) AS antagonism_fraction, round({_share(_SYN)}, 6) AS synergy_fraction, {CONSENSUS_SQL} AS consensus_class FROM e GROUP BY 1, 2""")
 def pair_rollup_synergy(spark, d):
-    rows = lines(spark, d).withColumn("z", ZIP).withColumn("k", C.synergy_class(F.col("z")))
+    rows = lines(spark, d).withColumn("z", zip_column()).withColumn("k", C.synergy_class(F.col("z")))
     k = F.col("k")
     spec = P.PairSpec("l_partkey", "l_suppkey", {"num_measurements": F.count("*"), "avg_zip": F.round(F.avg("z"), 6), "antagonism_fraction": F.round(C.fraction(k.isin("antagonistic", "strongly_antagonistic")), 6), "synergy_fraction": F.round(C.fraction(k.isin("synergistic", "strongly_synergistic")), 6), "consensus_class": C.consensus_class(k)})
     return P.rollup(rows, spec).drop("a_degree", "b_degree")
@@ -155,7 +169,7 @@ def pair_rollup_synergy(spark, d):
  SELECT *, {SYN_SQL.format(z='avg_zip')} AS synergy_class FROM t""")
 def triple_rollup(spark, d):
     rows = lines(spark, d).join(T(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(T(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
-    out = rows.groupBy("l_partkey", "l_suppkey", "c_nationkey").agg(F.round(F.avg(ZIP), 6).alias("avg_zip"), F.count("*").alias("n"))
+    out = rows.groupBy("l_partkey", "l_suppkey", "c_nationkey").agg(F.round(F.avg(zip_column()), 6).alias("avg_zip"), F.count("*").alias("n"))
     return out.withColumn("synergy_class", C.synergy_class(F.col("avg_zip")))
 
 
@@ -177,7 +191,7 @@ def degree_two_sided(spark, d):
 
 @query(f"SELECT l_orderkey, l_linenumber, {TIER_SQL} AS tier FROM lineitem WHERE l_returnflag IN ('A', 'N')")
 def tier_floor_filter(spark, d):
-    tier = TIER
+    tier = tier_column()
     return lines(spark, d).where(C.rank_of(tier, C.TIERS) <= 2).select("l_orderkey", "l_linenumber", tier.alias("tier"))
 
 
@@ -226,7 +240,7 @@ def double_dim_join(spark, d):
 
 @query(f"""SELECT l_orderkey, l_linenumber, CASE WHEN c THEN 'silver' ELSE tier END AS tier, CASE WHEN c THEN 1 ELSE 0 END AS upgraded FROM (SELECT e.*, {TIER_SQL} AS tier, l_returnflag = 'R' AND EXISTS (SELECT 1 FROM lineitem x WHERE x.l_partkey = e.l_partkey AND x.l_suppkey = e.l_suppkey AND x.l_linestatus <> e.l_linestatus AND x.l_quantity > 20) AS c FROM lineitem e)""")
 def self_concordance_upgrade(spark, d):
-    rows = lines(spark, d).withColumn("tier", TIER)
+    rows = lines(spark, d).withColumn("tier", tier_column())
     return E.concordance_upgrade(rows, ["l_partkey", "l_suppkey"], "l_linestatus", "tier", F.col("l_returnflag") == "R", F.col("l_quantity") > 20).select("l_orderkey", "l_linenumber", "tier", "upgraded")
 
 
@@ -363,7 +377,7 @@ def topk_entities(spark, d):
 
 @query(f"SELECT {TIER_SQL} AS tier, count(*) AS n FROM lineitem GROUP BY 1 ORDER BY CASE {TIER_SQL} WHEN 'gold' THEN 1 WHEN 'silver' THEN 2 WHEN 'bronze' THEN 3 END")
 def order_by_rank_case(spark, d):
-    return lines(spark, d).groupBy(TIER.alias("tier")).agg(F.count("*").alias("n")).orderBy(C.rank_of(F.col("tier"), C.TIERS))
+    return lines(spark, d).groupBy(tier_column().alias("tier")).agg(F.count("*").alias("n")).orderBy(C.rank_of(F.col("tier"), C.TIERS))
 
 
 @query(f"SELECT l_orderkey, l_linenumber, l_suppkey FROM (SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY {md5_sql(42, 'l_orderkey', 'l_linenumber')}, l_orderkey, l_linenumber) AS r FROM lineitem) WHERE r <= 5")
