@@ -266,7 +266,7 @@ def links(prints: DataFrame, scratch: Scratch, radius: int = 4, hot: int = 1 <<
         marked = entries.join(many, "key", "left")
         block = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
         others = F.sequence(F.lit(0), F.col("blocks") - 1)
-        pair = F.transform(others, lambda j: F.xxhash64("key", F.least(block, j), F.greatest(block, j)) | F.lit(-(1 << 63)))
+        pair = F.transform(others, lambda j: F.xxhash64("key", F.least(block, j), F.greatest(block, j)).bitwiseOR(F.lit(-(1 << 63))))
         rows = marked.select(F.explode(F.when(F.col("blocks").isNull(), F.array("key")).otherwise(pair)).alias("key"), "fp")
     dealt = rows.repartition(partitions_for(spark, int(n * per), 2_000_000), "key").sortWithinPartitions("key", "fp")
     return dealt.mapInArrow(_links(radius), "a long, b long").distinct()
