@@ -31,6 +31,32 @@ UNPLAYED = r"(?i)\bplacebo\b|\bsaline\b|\bsham\b|\bstandard\s+(?:of\s+)?care\b|\
 UNTESTED = ("untested", "not tested", "not been tested", "never been tested", "never tested", "hasn't been tested", "has not been tested", "no testing", "no evidence of testing")
 
 
+# Keywords of therapeutic areas and compartments, first hit wins.
+AREAS = (
+    ("oncology", ("cancer", "tumor", "tumour", "carcinoma", "lymphoma", "leukemia", "melanoma", "sarcoma", "myeloma", "glioma", "neoplasm")),
+    ("cardiology", ("heart", "cardiac", "coronary", "atrial", "hypertension", "myocardial", "arrhythmia", "angina")),
+    ("neurology", ("alzheimer", "parkinson", "epilepsy", "seizure", "multiple sclerosis", "neuropathy", "stroke", "migraine", "dementia")),
+    ("psychiatry", ("depression", "anxiety", "schizophrenia", "bipolar", "ptsd")),
+    ("infectious", ("hiv", "hepatitis", "tuberculosis", "malaria", "covid", "influenza")),
+    ("metabolic", ("diabetes", "obesity", "metabolic syndrome", "hyperlipidemia")),
+    ("respiratory", ("asthma", "copd", "pulmonary", "lung fibrosis")),
+    ("autoimmune", ("rheumatoid", "lupus", "crohn", "colitis", "psoriasis")),
+)
+COMPARTMENTS = (
+    ("nucleus", ("nucleus", "nuclear")), ("extracellular", ("extracellular", "secreted")), ("mitochondria", ("mitochondri",)), ("er", ("endoplasmic",)), ("golgi", ("golgi",)),
+    ("plasma_membrane", ("plasma membrane", "cell membrane")), ("cytoplasm", ("cytoplasm", "cytosol")), ("membrane", ("membrane",)),
+)
+
+
+def substring_class(text: Column, table: Sequence[tuple[str, Sequence[str]]], otherwise: str = "other", missing: str | None = None) -> Column:
+    """The first name one of whose words the lower-cased text contains; null and empty text are ``missing``."""
+    t = F.lower(text)
+    out = F.when(F.coalesce(text, F.lit("")) == "", missing or otherwise)
+    for name, parts in table:
+        out = out.when(reduce(lambda a, b: a | b, (F.contains(t, F.lit(p)) for p in parts)), name)
+    return out.otherwise(otherwise)
+
+
 def rank_of(value: Column, order: Sequence[str]) -> Column:
     """1-based place of a value in an ordered enum; unknown or null gives null."""
     return reduce(lambda w, x: w.when(value == x[1], x[0]), enumerate(order[1:], 2), F.when(value == order[0], 1))

@@ -15,6 +15,7 @@ from nadir.functions import columns as C
 from nadir.operators import evidence as E
 from nadir.operators import metrics as M
 from nadir.operators import pairs as P
+from nadir.operators import posttrain as R
 from nadir.operators import quality as Q
 from nadir.operators import sampling as S
 from nadir.operators import splits as X
@@ -839,4 +840,73 @@ def event_windows(spark, d):
     return T(spark, d, "events").groupBy("event_type", w.alias("w")).agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total")).select("event_type", F.col("w.start").alias("window_start"), "n", "total")
 
 
+def _contains(table, column):
+    return "CASE WHEN coalesce(text, '') = '' THEN 'other' " + " ".join(f"WHEN {' OR '.join(f"contains(lower({column}), '{w}')" for w in words)} THEN '{n}'" for n, words in table) + " ELSE 'other' END"
 
+
+@query(f"SELECT doc_id, {_contains(C.AREAS, 'text')} AS area, {_contains(C.COMPARTMENTS, 'text')} AS compartment FROM documents")
+def area_and_compartment(spark, d):
+    t = F.col("text")
+    return T(spark, d, "documents").select("doc_id", C.substring_class(t, C.AREAS).alias("area"), C.substring_class(t, C.COMPARTMENTS).alias("compartment"))
+
+
+# --- post-training -----------------------------------------------------------
+
+
+@query("""SELECT o_custkey, CAST(max(o_orderkey) FILTER (WHERE o_totalprice = hi) AS VARCHAR) AS chosen, CAST(min(o_orderkey) FILTER (WHERE o_totalprice = lo) AS VARCHAR) AS rejected, round(max(hi) - min(lo), 2) AS score_gap
+ FROM (SELECT *, max(o_totalprice) OVER (PARTITION BY o_custkey) AS hi, min(o_totalprice) OVER (PARTITION BY o_custkey) AS lo, count(*) OVER (PARTITION BY o_custkey) AS n FROM orders) WHERE n >= 2 GROUP BY 1 HAVING max(hi) - min(lo) >= 1000""")
+def preference_pairs(spark, d):
+    out = R.preference_pairs(T(spark, d, "orders"), "o_custkey", "o_orderkey", "o_totalprice", 1000)
+    return out.select("o_custkey", F.col("chosen").cast("string").alias("chosen"), F.col("rejected").cast("string").alias("rejected"), F.round("score_gap", 2).alias("score_gap"))
+
+
+@query(f"""SELECT conv_id, turn, 'be brief' AS system, text AS prompt, role AS answer FROM (SELECT *, row_number() OVER (PARTITION BY role ORDER BY {md5_sql(42, 'conv_id', 'turn')}, conv_id, turn) AS r FROM conversations) WHERE r <= 50""")
+def sft_records(spark, d):
+    out = R.sft_records(T(spark, d, "conversations"), ["conv_id", "turn"], F.lit("be brief"), F.col("text"), F.col("role"), ["role"], 50)
+    m = F.col("messages")
+    return out.select("conv_id", "turn", m[0]["content"].alias("system"), m[1]["content"].alias("prompt"), m[2]["content"].alias("answer"))
+
+
+@query("""SELECT event_id, CASE WHEN event_id % 2 = 0 THEN CASE WHEN event_id % 3 = 0 THEN 1.0 ELSE 0.0 END END AS choice, CASE WHEN event_id % 2 = 1 THEN CASE WHEN event_id % 3 = 0 THEN 0.0 ELSE 1.0 END END AS tested, CASE WHEN event_id % 2 = 1 THEN CASE WHEN event_id % 3 = 0 THEN 0.0 ELSE 2 / 3.0 END END AS evidence, CASE WHEN event_id % 2 = 0 OR event_id % 3 <> 0 THEN 0.5 ELSE 0.0 END AS format FROM events""")
+def reward_functions(spark, d):
+    i = F.col("event_id")
+    task = F.when(i % 2 == 0, "l1").otherwise("l4")
+    text = F.when(i % 3 == 0, "Answer: B, of course").otherwise("It is untested: D. The assay has no IC50.")
+    text = F.when((i % 2 == 1) & (i % 3 == 0), "no idea at all").otherwise(text)
+    return T(spark, d, "events").select(
+        "event_id", R.choice_reward(text, F.lit("b"), task).alias("choice"), R.tested_reward(text, F.lit("Untested"), task).alias("tested"),
+        R.evidence_reward(text, task, ["assay", "IC50", "trial"]).alias("evidence"), R.format_reward(text, task).alias("format"),
+    )
+
+
+@query("""WITH g AS (SELECT l_orderkey, list(DISTINCT l_suppkey % 5) FILTER (WHERE l_linenumber <= 4) AS g, list(DISTINCT l_suppkey % 5) FILTER (WHERE l_linenumber >= 3) AS p FROM lineitem GROUP BY 1)
+ SELECT round(avg(CASE WHEN p IS NOT NULL THEN 1.0 ELSE 0.0 END), 6) AS schema_compliance, round(avg(CASE WHEN p IS NOT NULL AND len(g) > 0 THEN 2 * len(list_intersect(g, p)) / (len(g) + len(p)) END), 6) AS entity_f1, count(p) AS n_valid, count(*) AS n_total FROM g""")
+def extraction_scores(spark, d):
+    v, n = (F.col("l_suppkey") % 5).cast("string"), F.col("l_linenumber")
+    sets = lines(spark, d).groupBy("l_orderkey").agg(F.collect_set(F.when(n <= 4, v)).alias("g"), F.collect_set(F.when(n >= 3, v)).alias("p")).withColumn("p", F.when(F.size("p") > 0, F.col("p")))
+    out = R.extraction_scores(sets, "g", "p")
+    return out.select(F.round("schema_compliance", 6).alias("schema_compliance"), F.round("entity_f1", 6).alias("entity_f1"), "n_valid", "n_total")
+
+
+@query("SELECT l_returnflag, round(avg(l_tax), 6) AS l_tax_mean, round(stddev_pop(l_tax), 6) AS l_tax_std, round(avg(l_discount), 6) AS l_discount_mean, round(stddev_pop(l_discount), 6) AS l_discount_std, round(avg((l_tax + l_discount) / 2), 6) AS overall_mean, round(stddev_pop((l_tax + l_discount) / 2), 6) AS overall_std, count(*) AS n FROM lineitem GROUP BY 1")
+def judge_summary(spark, d):
+    out = R.judge_summary(lines(spark, d), ["l_tax", "l_discount"], ["l_returnflag"])
+    return out.select("l_returnflag", *(F.round(c, 6).alias(c) for c in out.columns if c.endswith(("_mean", "_std"))), "n")
+
+
+@query(f"WITH {ANSWERS_SQL}, m AS (SELECT median(value) AS m FROM an) SELECT CASE WHEN value > m THEN 'high' ELSE 'low' END AS popularity, CASE WHEN item < 100 THEN 'early' ELSE 'late' END AS period, round(avg(CASE WHEN gold = pred THEN 1.0 ELSE 0.0 END), 6) AS accuracy, count(*) AS n FROM an, m GROUP BY 1, 2")
+def contamination_grid(spark, d):
+    rows = answers(spark, d).withColumn("period", F.when(F.col("item") < 100, "early").otherwise("late"))
+    return R.contamination_grid(rows, F.coalesce(F.col("gold") == F.col("pred"), F.lit(False)).cast("int"), "value", "period").withColumn("accuracy", F.round("accuracy", 6))
+
+
+@query("""WITH s AS (SELECT l_returnflag, l_linenumber, avg(CASE WHEN l_linestatus = 'F' THEN l_quantity END) AS r, avg(CASE WHEN l_linestatus = 'O' THEN l_quantity END) AS o FROM lineitem GROUP BY 1, 2) SELECT l_returnflag, count(*) AS n_seeds, round(100 * (avg(o) - avg(r)) / abs(avg(r)), 6) AS inflation_percent FROM s WHERE r IS NOT NULL AND o IS NOT NULL GROUP BY 1""")
+def matched_inflation(spark, d):
+    return R.matched_inflation(lines(spark, d), ["l_returnflag"], "l_linenumber", "l_linestatus", "l_quantity", "F", "O").withColumn("inflation_percent", F.round("inflation_percent", 6))
+
+
+@query("""WITH x AS (SELECT l_returnflag, avg(CASE WHEN l_linestatus = 'F' THEN l_tax END) AS b, avg(CASE WHEN l_linestatus = 'O' THEN l_tax END) AS a FROM lineitem GROUP BY 1) SELECT l_returnflag, round(b, 6) AS tax_before, round(a, 6) AS tax_after, round(a - b, 6) AS tax_delta FROM x""")
+def before_after(spark, d):
+    mean = lambda s: lines(spark, d).where(F.col("l_linestatus") == s).groupBy("l_returnflag").agg(F.avg("l_tax").alias("tax"))
+    out = R.before_after(mean("F"), mean("O"), ["l_returnflag"], ["tax"])
+    return out.select("l_returnflag", *(F.round(c, 6).alias(c) for c in ("tax_before", "tax_after", "tax_delta")))

@@ -31,7 +31,7 @@ def delimited(spark: SparkSession, path: str, sep: str = "\t", schema: T.StructT
     if schema is not None:
         reader = reader.schema(schema)
     df = reader.csv(path)
-    df = df.toDF(*(c.lstrip("﻿") for c in df.columns))
+    df = df.toDF(*(c.lstrip("\ufeff") for c in df.columns))
     return df.select(*columns) if columns else df
 
 
