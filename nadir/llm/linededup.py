@@ -33,8 +33,6 @@ from .scratch import Scratch, partitions_for, session_of
 BUCKET_BITS = 22
 SLICES = 64
 BLOOM_BITS = 26
-#: Runs up to this length are compared pair by pair in one sweep.
-SHORT_RUN = 32
 
 
 class LineSets:
@@ -48,11 +46,13 @@ class LineSets:
         starts, ends, _ = W.scan(part, own)
         line = np.searchsorted(begin, starts, side="right") - 1
         h = W.hash_spans(part, starts, ends)
-        order = np.lexsort((h, line))
-        line, h = line[order], h[order]
-        if len(h):
-            new = np.concatenate([[True], (line[1:] != line[:-1]) | (h[1:] != h[:-1])])
-            line, h = line[new], h[new]
+        if len(h):  # the first place of each word in its line; places keep the order of lines
+            key = W.mix(h ^ W.mix(line.astype(np.uint64) + W._K1))
+            order = np.argsort(key)
+            key = key[order]
+            first = np.minimum.reduceat(order, np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])))
+            first.sort()
+            line, h = line[first], h[first]
         used, self.size = np.unique(line, return_counts=True)
         self.doc, self.number = doc[used], number[used]
         self.first = np.cumsum(self.size) - self.size
@@ -60,9 +60,14 @@ class LineSets:
         if len(h):
             self.h1 = np.add.reduceat(W.mix(h + W._K1), self.first).view(np.int64)
             self.h2 = np.add.reduceat(W.mix(h ^ W._K2), self.first).view(np.int64)
-            self.parity = np.bitwise_xor.reduceat(np.uint64(1) << (h & np.uint64(63)), self.first).view(np.int64)
         else:
-            self.h1 = self.h2 = self.parity = np.zeros(0, np.int64)
+            self.h1 = self.h2 = np.zeros(0, np.int64)
+
+    def parities(self, lines: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Two 64-bit signatures of some lines: each word flips one of 128 bits."""
+        bit = np.uint64(1) << (self.word & np.uint64(63))
+        low = (self.word & np.uint64(64)) == 0
+        return tuple(np.bitwise_xor.reduceat(np.where(pick, bit, np.uint64(0)), self.first)[lines].view(np.int64) for pick in (low, ~low))
 
 
 def _bucket(h: np.ndarray) -> np.ndarray:
@@ -102,14 +107,14 @@ def _combined(rows: DataFrame, dtype: str, bitwise: bool) -> np.ndarray:
 
 
 def _count_words(batches):
-    """How many lines have a word of each bucket."""
+    """How often words of each bucket come: at least the number of their lines."""
     table, some = np.zeros(1 << BUCKET_BITS, np.uint32), False
     for batch in batches:
         data, offsets = W.flat(batch.column(0))
         for a, b in W.chunks(offsets):
-            sets = LineSets(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-            at, n = np.unique(_bucket(sets.word), return_counts=True)
-            table[at] += n.astype(np.uint32)
+            part, own = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
+            starts, ends, _ = W.scan(part, own)
+            np.add.at(table, _bucket(W.hash_spans(part, starts, ends)), np.uint32(1))
             some = True
     if some:
         yield _slices(table)
@@ -117,10 +122,26 @@ def _count_words(batches):
 
 # --- candidates --------------------------------------------------------------
 
-ENTRY = "token long, h1 long, parity long, doc_id long, meta long"
+ENTRY = "token long, h1 long, parity1 long, parity2 long, doc_id long, meta long"
 PAIR = "later long, earlier long, more boolean"
 
 
+def _by_rarity(line: np.ndarray, often: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """Order by line, then by a coarse logarithm of the count, then by the word's hash."""
+    rarity = np.minimum(np.log2(often.astype(np.float64) + 1) * 64, 2047).astype(np.uint64)
+    if len(line) and line.max() >= 1 << 22:
+        return np.lexsort((word, rarity, line))
+    key = (line.astype(np.uint64) << np.uint64(42)) | (rarity << np.uint64(31)) | (word >> np.uint64(33))
+    order = np.argsort(key)
+    while True:  # words that agree in all of that are put in the order of their whole hashes
+        k, w = key[order], word[order]
+        wrong = np.flatnonzero((k[1:] == k[:-1]) & (w[1:] < w[:-1]))
+        if not len(wrong):
+            return order
+        wrong = wrong[np.concatenate([[True], np.diff(wrong) > 1])]
+        order[wrong], order[wrong + 1] = order[wrong + 1], order[wrong]
+
+
 def _entries(counts):
     """The line under each word of its prefix that other lines have; meta is line number, size, position."""
 
@@ -133,6 +154,8 @@ def _entries(counts):
             ids = batch.column(0).fill_null(-(1 << 63)).to_numpy(zero_copy_only=False)
             for a, b in W.chunks(offsets):
                 s = LineSets(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+                if not len(s.size):
+                    continue
                 _, one = np.unique(s.h1, return_index=True)  # the first line of each set here
                 keep = np.zeros(len(s.size), bool)
                 keep[one] = True
@@ -140,81 +163,110 @@ def _entries(counts):
                 kept = keep[line]
                 line, word = line[kept], s.word[kept]
                 often = table[_bucket(word)]
-                order = np.lexsort((word, often, line))
+                order = _by_rarity(line, often, word)
                 line, word, often = line[order], word[order], often[order]
-                place = np.arange(len(line)) - np.searchsorted(line, line, side="left")
+                start = np.flatnonzero(np.concatenate([[True], line[1:] != line[:-1]]))
+                place = np.arange(len(line)) - np.repeat(start, np.diff(np.append(start, len(line))))
                 size = s.size[line]
                 pick = (place < size - (4 * size + 4) // 5 + 1) & (often > 1)
                 line, word, place, size = line[pick], word[pick], place[pick], size[pick]
                 meta = (np.minimum(s.number[line], (1 << 23) - 1) << 40) | (np.minimum(size, (1 << 24) - 1) << 16) | np.minimum(place, (1 << 16) - 1)
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (word.view(np.int64), s.h1[line], s.parity[line], ids[a:b][s.doc[line]], meta)], names=[c.split()[0] for c in ENTRY.split(", ")])
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (word.view(np.int64), s.h1[line], *s.parities(line), ids[a:b][s.doc[line]], meta)], names=[c.split()[0] for c in ENTRY.split(", ")])
 
     return run
 
 
-def _similar_bound(a: tuple, b: tuple) -> np.ndarray:
-    """Which pairs of entries pass the length, positional and parity filters."""
-    (sa, pa_, xa), (sb, pb, xb) = a, b
-    least = (4 * (sa + sb) + 8) // 9  # words that they must share
-    ok = (5 * np.minimum(sa, sb) >= 4 * np.maximum(sa, sb)) & (1 + np.minimum(sa - pa_, sb - pb) - 1 >= least)
-    return ok & (np.bitwise_count(xa ^ xb) <= sa + sb - 2 * least)
+def _runs_of(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each run of equal values begins, and its length."""
+    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    return first, np.diff(np.append(first, len(key)))
 
 
 def _candidates(witnesses: int, wanted=None):
     """(later, earlier, more) of each run of equal tokens; ``wanted``: all candidates, of these later lines only."""
 
-    def pairs_of(token, h1, parity, doc, meta):
-        order = np.lexsort((meta >> 40, doc, parity, h1, token))
-        token, h1, parity, doc, meta = (x[order] for x in (token, h1, parity, doc, meta))
-        new = np.concatenate([[True], (token[1:] != token[:-1]) | (h1[1:] != h1[:-1]) | (parity[1:] != parity[:-1])])
-        token, h1, parity, doc, meta = (x[new] for x in (token, h1, parity, doc, meta))
-        order = np.lexsort((h1, meta >> 40, doc, token))
-        token, h1, parity, doc, meta = (x[order] for x in (token, h1, parity, doc, meta))
-        size, place, parity = (meta >> 16) & ((1 << 24) - 1), meta & ((1 << 16) - 1), parity.view(np.uint64)
-        first = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
-        length = np.diff(np.append(first, len(token)))
-        row = np.arange(len(token)) - np.repeat(first, length)  # earlier lines in the run
-        long = np.repeat(length > SHORT_RUN, length)
-        ask = np.ones(len(token), bool) if wanted is None else _in_bloom(wanted.value, h1)
-        got = []
-        at, step = np.flatnonzero((row > 0) & ~long & ask), 1
+    def pairs_of(token, h1, p1, p2, doc, meta):
+        _, length = _runs_of(token)
+        many = np.repeat(length > 1, length)
+        token, h1, p1, p2, doc, meta = (x[many] for x in (token, h1, p1, p2, doc, meta))
+        run = np.repeat(np.arange(int((length > 1).sum())), length[length > 1])
+        # the first line of each set in a run
+        order = np.lexsort((meta >> 40, doc, h1, run))
+        new = np.concatenate([[True], (run[order][1:] != run[order][:-1]) | (h1[order][1:] != h1[order][:-1])]) if len(order) else np.zeros(0, bool)
+        pick = order[new]
+        size = (meta[pick] >> 16) & ((1 << 24) - 1)
+        pick = pick[np.lexsort((size, run[pick]))]
+        run, h1, doc, meta = (x[pick] for x in (run, h1, doc, meta))
+        p1, p2 = (x[pick].view(np.uint64) for x in (p1, p2))
+        n = len(run)
+        none = np.zeros(0, np.int64)
+        if n < 2:
+            return none, none, np.zeros(0, bool)
+        size, place, line = (meta >> 16) & ((1 << 24) - 1), meta & ((1 << 16) - 1), meta >> 40
+        first, length = _runs_of(run)
+        # sizes grow in a run, so partners of up to 5/4 the size follow at once
+        reach = np.searchsorted(run * (1 << 25) + size, run * (1 << 25) + (5 * size) // 4, side="right")
+        # the shared word must be early enough in the smaller line for enough to follow
+        at = np.flatnonzero((reach > np.arange(n) + 1) & (place <= size - (8 * size + 8) // 9))
+        asked = None if wanted is None else _in_bloom(wanted.value, h1)
+        earlier, later = [], []
+        step = 1
         while len(at):
-            e = at - step
-            ok = _similar_bound((size[at], place[at], parity[at]), (size[e], place[e], parity[e]))
-            got.append((h1[at[ok]], h1[e[ok]], np.zeros(int(ok.sum()), bool)))
+            # a chunk of lines with all their partners at once, or all lines with one partner each
+            if len(at) * 8 < n and step == 1:
+                break
+            e = at + step
+            keep(at, e, size, place, p1, p2, doc, line, h1, asked, earlier, later)
             step += 1
-            at = at[row[at] >= step]
-        for f, n in zip(first[length > SHORT_RUN], length[length > SHORT_RUN], strict=True):
-            r = slice(f, f + n)
-            s, p, x, h = size[r], place[r], parity[r], h1[r]
-            by_size = np.argsort(s, kind="stable")
-            sorted_size = s[by_size]
-            low, high = np.searchsorted(sorted_size, (4 * s + 4) // 5, side="left"), np.searchsorted(sorted_size, (5 * s) // 4, side="right")
-            for j in np.flatnonzero(ask[r]).tolist():
-                e = by_size[low[j] : high[j]]
-                e = e[e < j]
-                e = np.sort(e[_similar_bound((s[j], p[j], x[j]), (s[e], p[e], x[e]))])
-                if len(e):
-                    more = wanted is None and len(e) > witnesses
-                    e = e[:witnesses] if more else e
-                    got.append((np.full(len(e), h[j]), h[e], np.full(len(e), more)))
-        return [np.concatenate([g[i] for g in got]) if got else np.zeros(0, bool if i == 2 else np.int64) for i in range(3)]
+            at = at[reach[at] > at + step]
+            if len(at) * 8 < n:
+                break
+        for lo in range(0, len(at), 1 << 12):
+            some = at[lo : lo + (1 << 12)]
+            count = reach[some] - some - step
+            for cut in np.array_split(np.arange(len(some)), max(1, int(count.sum()) >> 20)):
+                c = count[cut]
+                x = np.repeat(some[cut], c)
+                e = x + step + np.arange(int(c.sum())) - np.repeat(np.cumsum(c) - c, c)
+                keep(x, e, size, place, p1, p2, doc, line, h1, asked, earlier, later)
+        if not later:
+            return none, none, np.zeros(0, bool)
+        x, y = np.concatenate(earlier), np.concatenate(later)
+        order = np.lexsort((h1[x], line[x], doc[x], h1[y]))
+        x, y = x[order], y[order]
+        new = np.concatenate([[True], (h1[y][1:] != h1[y][:-1]) | (h1[x][1:] != h1[x][:-1])])
+        x, y = x[new], y[new]
+        first, length = _runs_of(h1[y])
+        if wanted is not None:
+            return h1[y], h1[x], np.zeros(len(x), bool)
+        nth = np.arange(len(y)) - np.repeat(first, length)
+        few = nth < witnesses
+        return h1[y][few], h1[x][few], np.repeat(length > witnesses, length)[few]
+
+    def keep(a, b, size, place, p1, p2, doc, line, h1, asked, earlier, later):
+        """Those of the pairs (a, b) that pass the filters, the earlier line first."""
+        sa, sb = size[a], size[b]
+        least = (4 * (sa + sb) + 8) // 9  # words that they must share
+        apart = np.bitwise_count(p1[a] ^ p1[b]).astype(np.int64) + np.bitwise_count(p2[a] ^ p2[b])
+        ok = (apart <= sa + sb - 2 * least) & (np.minimum(sa - place[a], sb - place[b]) >= least)
+        a, b = a[ok], b[ok]
+        swap = (doc[b] < doc[a]) | ((doc[b] == doc[a]) & ((line[b] < line[a]) | ((line[b] == line[a]) & (h1[b] < h1[a]))))
+        x, y = np.where(swap, b, a), np.where(swap, a, b)
+        if asked is not None:
+            x, y = x[asked[y]], y[asked[y]]
+        if len(x):
+            earlier.append(x)
+            later.append(y)
 
     def run(batches):
         import pyarrow as pa
 
         def out(arrays):
-            later, earlier, more = pairs_of(*arrays)
-            if len(later):
-                order = np.lexsort((~more, earlier, later))
-                later, earlier, more = later[order], earlier[order], more[order]
-                new = np.concatenate([[True], (later[1:] != later[:-1]) | (earlier[1:] != earlier[:-1])])
-                later, earlier, more = later[new], earlier[new], more[new]
-            return pa.RecordBatch.from_arrays([pa.array(later), pa.array(earlier), pa.array(more)], names=["later", "earlier", "more"])
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in pairs_of(*arrays)], names=["later", "earlier", "more"])
 
         held: list[list[np.ndarray]] = []
         for batch in batches:
-            held.append([batch.column(i).to_numpy(zero_copy_only=False) for i in range(5)])
+            held.append([batch.column(i).to_numpy(zero_copy_only=False) for i in range(6)])
             token = held[-1][0]
             if len(token) and held[0][0][0] != token[-1]:
                 arrays = [np.concatenate(x) for x in zip(*held, strict=True)]
@@ -290,7 +342,7 @@ def _verify(batches):
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(held, pa.bool_()), batch.column(1)], names=["later", "held", "more"])
 
 
-def removed_lines(docs: DataFrame, scratch: Scratch, witnesses: int = 3) -> DataFrame:
+def removed_lines(docs: DataFrame, scratch: Scratch, witnesses: int = 6) -> DataFrame:
     """(doc_id, text_hash, lines array<int>) of the rows of ``docs`` that lose lines, numbered from 0."""
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
@@ -311,7 +363,9 @@ def removed_lines(docs: DataFrame, scratch: Scratch, witnesses: int = 3) -> Data
     pairs = candidates("pairs", _candidates(witnesses))
     ends = pairs.select("later").union(pairs.select("earlier"))
     lines = scratch.table("lines", rows.mapInArrow(_occurrences(_bitmap(spark, ends)), OCCURRENCE))
+    scratch.release()
     tried = scratch.table("tried", verified(pairs, lines))
+    scratch.release()
     similar = tried.where("held").select("later")
     open_ = tried.where("more and not held").select("later")
     if not open_.isEmpty():
@@ -355,7 +409,7 @@ def _without(text_at: int, chars_at: int | None):
     return run
 
 
-def dedup_lines(docs: DataFrame, scratch_group: str = "lines", witnesses: int = 3) -> tuple[DataFrame, str, str]:
+def dedup_lines(docs: DataFrame, scratch_group: str = "lines", witnesses: int = 6) -> tuple[DataFrame, str, str]:
     """``docs`` (doc_id integer, text, more columns) without the lines that match an earlier one.
 
     Returns the frame with two more columns at its end and their names: lines

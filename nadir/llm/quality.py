@@ -155,9 +155,7 @@ def kept_documents(docs: DataFrame, **options) -> DataFrame:
     session_of(docs)
     columns = docs.columns
     rows = docs.select(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(columns)))
-    text = f"c{columns.index('text')}"
     judge = _keep(columns.index("text"), options)
-    del text
     schema = T.StructType([T.StructField(f"c{i}", f.dataType, f.nullable) for i, f in enumerate(docs.schema.fields)])
     return rows.mapInArrow(judge, schema).toDF(*columns)
 

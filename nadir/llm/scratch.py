@@ -9,6 +9,7 @@ unset (local tests) a temporary folder of the driver is used.
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 
@@ -50,11 +51,17 @@ class Scratch:
         self.path = f"{base_dir(spark)}/nadir-{group}-{uuid.uuid4().hex[:12]}"
         _dirs.setdefault(group, []).append((spark, self.path))
 
-    def table(self, name: str, df: DataFrame) -> DataFrame:
-        """Write ``df`` and return a frame that reads it back."""
+    def table(self, name: str, df: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+        """Write ``df`` (in a folder for each value of ``by``) and return a frame that reads it back."""
         path = f"{self.path}/{name}"
-        df.write.mode("overwrite").parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
+        writer = df.write.mode("overwrite")
+        (writer.partitionBy(*by) if by else writer).parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path).select(*df.columns)
+
+    def release(self) -> None:
+        """Have the shuffle files of finished steps deleted now, not when the driver next collects garbage."""
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
 
     def drop(self, name: str) -> None:
         _delete(self.spark, f"{self.path}/{name}")
