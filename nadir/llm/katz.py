@@ -35,7 +35,7 @@ START, END = np.uint64(0x243F6A8885A308D3), np.uint64(0x13198A2E03707344)
 K = 5
 #: Bytes of text to a part of the model.
 PART_BYTES = 24 << 20
-CHUNK_BYTES = 10 << 20
+CHUNK_BYTES = 8 << 20
 _BLOCK = "part int, kind int, chunk long, payload binary"
 
 
@@ -134,9 +134,9 @@ def _bigrams(arrays: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarr
     return np.repeat(arrays[0], arrays[1].astype(np.int64)), arrays[2][arrays[3].astype(np.int64)], arrays[4].astype(np.int64)
 
 
-def _runs(part_batches, kinds: int):
+def _runs(part_batches):
     """Blocks of a sorted partition, one at a time: (part, kind, chunk, payload)."""
-    for batch in part_batches:
+    for batch in W.trimmed(part_batches):
         yield from zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True)
 
 
@@ -147,7 +147,7 @@ MODEL, CONTEXTS, SCALARS, TOTALS, TOKENS, ALPHA, UNSEEN, ROWS, SUMS = range(9)
 
 def _count(parts: int):
     def run(batches):
-        for batch in batches:
+        for batch in W.trimmed(batches):
             data, offsets = W.flat(batch.column(0))
             data = W._LOWER[data]
             for a, b in W.chunks(offsets, CHUNK_BYTES):
@@ -163,8 +163,10 @@ def _merge(parts: int):
 
     def emit(part: int, got: list):
         w, v, n = (np.concatenate(x) for x in zip(*got, strict=True))
+        got.clear()
         order = np.lexsort((v, w))
         w, v, n = w[order], v[order], n[order]
+        del order
         head = np.flatnonzero(np.concatenate([[True], (w[1:] != w[:-1]) | (v[1:] != v[:-1])]))
         n = np.add.reduceat(n, head)
         w, v = w[head], v[head]
@@ -189,7 +191,7 @@ def _merge(parts: int):
 
     def run(batches):
         now, got = None, []
-        for part, _, _, payload in _runs(batches, 1):
+        for part, _, _, payload in _runs(batches):
             if part != now and got:
                 yield from emit(now, got)
                 got = []
@@ -255,7 +257,7 @@ def _weigh(u: Unigrams):
 
     def run(batches):
         now, got = None, []
-        for part, _, source, payload in _runs(batches, 1):
+        for part, _, source, payload in _runs(batches):
             if part != now and got:
                 yield from emit(now, got)
                 got = []
@@ -282,37 +284,45 @@ def train(docs: DataFrame, scratch: Scratch) -> Model:
     """Count the whole texts of ``docs``; null text is the empty one. No rows give the model that knows nothing."""
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(4, -(-size // PART_BYTES))
-    counted = docs.select("text").mapInArrow(_count(parts), _BLOCK)
-    merged = scratch.table("counts", _deal(counted, parts, "part").mapInArrow(_merge(parts), _BLOCK))
+    merged = scratch.table("counts", _deal(docs.select("text").mapInArrow(_count(parts), _BLOCK), parts, "part").mapInArrow(_merge(parts), _BLOCK), by=("kind",))
+    scratch.release()
     scalars = np.zeros(2 + 2 * (K + 1), np.int64)
     for r in merged.where(F.col("kind") == SCALARS).select("payload").toLocalIterator():  # some numbers from each part
         scalars += unpack(r[0])[0]
     u = Unigrams(int(scalars[0]), int(scalars[1]), scalars[2 : K + 3].tolist(), scalars[K + 3 :].tolist())
     weights = scratch.table("weights", _deal(merged.where(F.col("kind") == CONTEXTS), parts, "part", "chunk").mapInArrow(_weigh(u), _BLOCK))
+    scratch.drop(f"counts/kind={CONTEXTS}")
+    scratch.release()
     return Model(parts, u, merged, weights)
 
 
 # --- scoring -----------------------------------------------------------------
 
 
-def _ask(parts: int):
-    """Blocks of all bigrams of the texts, and the rows of each chunk."""
+def _ask(parts: int, waves: int, wave: int):
+    """Blocks of the bigrams of the texts that are in a wave's parts and, in the first, the rows of each chunk."""
 
     def run(batches):
         from pyspark import TaskContext
 
         chunk = TaskContext.get().partitionId() << 32
-        for batch in batches:
+        for batch in W.trimmed(batches):
             data, offsets = W.flat(batch.column(1))
             data = W._LOWER[data]
             ids, held = batch.column(0), batch.column(2)
             for a, b in W.chunks(offsets, CHUNK_BYTES):
                 row, before, word = _tokens(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-                for p, payload in _blocks(parts, row, before, word):
-                    yield _record([(p, TOKENS, chunk, payload)])
+                count = np.bincount(row, minlength=b - a).astype(np.int64)
+                mine = word % np.uint64(parts) % np.uint64(waves) == wave
+                if mine.any():
+                    for p, payload in _blocks(parts, row[mine], before[mine], word[mine]):
+                        yield _record([(p, TOKENS, chunk, payload)])
+                if wave:
+                    chunk += 1
+                    continue
                 own = ids.slice(a, b - a)
                 null = np.array(own.is_null().to_numpy(zero_copy_only=False), np.uint8)
-                yield _record([(-1, ROWS, chunk, pack(own.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64), null, held.slice(a, b - a).to_numpy(zero_copy_only=False).astype(np.uint8), np.bincount(row, minlength=b - a).astype(np.int64)))])
+                yield _record([(-1 - chunk % parts, ROWS, chunk, pack(own.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64), null, held.slice(a, b - a).to_numpy(zero_copy_only=False).astype(np.uint8), count))])
                 chunk += 1
 
     return run
@@ -370,9 +380,12 @@ class _Part:
 def _score(u: Unigrams, parts: int):
     def run(batches):
         now, model, totals, part_model = None, None, [], None
-        for part, kind, chunk, payload in _runs(batches, 3):
+        for part, kind, chunk, payload in _runs(batches):
             if part != now:
                 now, model, totals, part_model = part, None, [], None
+            if kind == ROWS:
+                yield _record([(part, ROWS, chunk, payload)])
+                continue
             arrays = unpack(payload)
             if kind == MODEL:
                 model = arrays
@@ -397,7 +410,7 @@ def _score(u: Unigrams, parts: int):
 
 def _back_off(batches):
     now, names, log = None, np.zeros(0, np.uint64), np.zeros(0)
-    for part, kind, chunk, payload in _runs(batches, 2):
+    for part, kind, chunk, payload in _runs(batches):
         if part != now:
             now, names, log = part, np.zeros(0, np.uint64), np.zeros(0)
         arrays = unpack(payload)
@@ -421,9 +434,9 @@ def _gather(batches):
         return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64(), mask=null.astype(bool)), pa.array(held.astype(bool)), pa.array(n), pa.array(np.rint(sums[2]).astype(np.int64)), pa.array(sums[1]), pa.array(sums[0])], names=names)
 
     now, rows, sums = None, None, None
-    for _, kind, chunk, payload in _runs(batches, 2):
+    for _, kind, chunk, payload in _runs(batches):
         arrays = unpack(payload)
-        if kind == ROWS:  # sorts first: its part is -1
+        if kind == ROWS:  # sorts first: its part is negative
             if now is not None:
                 yield out(rows, sums)
             now, rows, sums = chunk, arrays, np.zeros((3, len(arrays[0])))
@@ -435,16 +448,27 @@ def _gather(batches):
         yield out(rows, sums)
 
 
-def score(docs: DataFrame, model: Model, scratch: Scratch) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, base_score, score of rows with doc_id, text, held_out."""
-    asked = scratch.table("asked", docs.select(F.col("doc_id").cast("long"), "text", "held_out").mapInArrow(_ask(model.parts), _BLOCK))
-    to_words = asked.where(F.col("kind") == TOKENS).unionAll(model.counts.where(F.col("kind") == MODEL)).unionAll(model.weights.where(F.col("kind") == TOTALS))
-    scored = scratch.table("scored", _deal(to_words, model.parts, "part", "kind", "chunk").mapInArrow(_score(model.unigrams, model.parts), _BLOCK))
+def score(docs: DataFrame, model: Model, scratch: Scratch, waves: int = 2) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, base_score, score of rows with doc_id, text, held_out.
+
+    The parts are scored in ``waves``, each with its own pass over the texts,
+    so that shuffle files hold only a wave's bigrams at a time. ``docs`` must
+    give the same rows in the same partitions each time, as a scan of a table does.
+    """
+    parts, kind, wave = model.parts, F.col("kind"), F.pmod("part", F.lit(waves))
+    rows = docs.select(F.col("doc_id").cast("long"), "text", "held_out")
+    scored = None
+    for k in range(waves):
+        to_words = rows.mapInArrow(_ask(parts, waves, k), _BLOCK).unionAll(model.counts.where((kind == MODEL) & (wave == k))).unionAll(model.weights.where((kind == TOTALS) & (wave == k)))
+        got = scratch.table(f"scored-{k}", _deal(to_words, parts, "part", "kind", "chunk").mapInArrow(_score(model.unigrams, parts), _BLOCK))
+        scored = got if scored is None else scored.unionAll(got)
+        del to_words
+        scratch.release()
     # unseen bigrams have the greater kind: a part's alphas come before them
-    to_contexts = scored.where(F.col("kind") == UNSEEN).unionAll(model.weights.where(F.col("kind") == ALPHA))
-    backed = scratch.table("backed", _deal(to_contexts, model.parts, "part", "kind", "chunk").mapInArrow(_back_off, _BLOCK))
-    sums = asked.where(F.col("kind") == ROWS).unionAll(scored.where(F.col("kind") == SUMS)).unionAll(backed.withColumn("part", F.col("part") + F.lit(1 << 30)))
-    return _deal(sums, model.parts, "chunk", "part").mapInArrow(_gather, T._parse_datatype_string("doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"))
+    to_contexts = scored.where(kind == UNSEEN).unionAll(model.weights.where(kind == ALPHA))
+    backed = scratch.table("backed", _deal(to_contexts, parts, "part", "kind", "chunk").mapInArrow(_back_off, _BLOCK))
+    sums = scored.where(kind.isin(ROWS, SUMS)).unionAll(backed.withColumn("part", F.col("part") + F.lit(1 << 30)))
+    return _deal(sums, parts, "chunk", "part").mapInArrow(_gather, T._parse_datatype_string("doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"))
 
 
 def score_with_holdout(docs: DataFrame, folds: int = 5, held_fold: int = 1, scratch_group: str = "katz") -> DataFrame:

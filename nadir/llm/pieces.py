@@ -285,7 +285,7 @@ def encode(docs: DataFrame, model: str, alpha: float = 1.0, seed: int = 0, id_li
         import pyarrow as pa
 
         m = PieceModel.of(model, alpha)
-        for batch in batches:
+        for batch in W.trimmed(batches):
             keys = row_keys(batch.column(0), seed)
             text = batch.column(1)
             at = 0
@@ -313,7 +313,7 @@ def decode(encoded: DataFrame, model: str) -> DataFrame:
         import pyarrow as pa
 
         m = PieceModel.of(model, 1.0)
-        for batch in batches:
+        for batch in W.trimmed(batches):
             lists = batch.column(1).to_pylist()
             ids = np.array([i for x in lists for i in x or ()], np.int64)
             back = m.decode(ids, np.array([len(x or ()) for x in lists], np.int64))

@@ -92,7 +92,7 @@ def _measure(window: int, min_repeat: int):
     def run(batches):
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in W.trimmed(batches):
             data, offsets = W.flat(batch.column(1))
             out = [[] for _ in COLUMNS]
             for a, b in W.chunks(offsets):
@@ -167,7 +167,7 @@ def _keep(text_at: int, options: dict):
     def run(batches):
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in W.trimmed(batches):
             ask = pa.RecordBatch.from_arrays([pa.array(np.arange(batch.num_rows)), batch.column(text_at)], names=["doc_id", "text"])
             for got in measure_batch([ask]):
                 n, _, _, _, window, cover, longest = (got.column(i).to_numpy() for i in range(1, 8))

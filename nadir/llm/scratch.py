@@ -16,7 +16,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of one Arrow batch that goes to a Python worker.
-ARROW_BATCH_BYTES = 24 << 20
+ARROW_BATCH_BYTES = 8 << 20
 
 _dirs: dict[str, list[tuple[SparkSession, str]]] = {}
 _local: str | None = None

@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import words as W
 from .components import components
 from .scratch import Scratch, partitions_for, session_of
 
@@ -59,7 +60,7 @@ def _fingerprints(width: int):
                 ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int32)
             return int(np.packbits(2 * ones > len(values), bitorder="little").view("<i8")[0])
 
-        for batch in batches:
+        for batch in W.trimmed(batches):
             prints = []
             for text in batch.column(1).to_pylist():
                 words = text.encode().lower().split() if text else []
@@ -90,7 +91,7 @@ def bit_counts(prints: DataFrame) -> tuple[int, np.ndarray]:
 
         total = np.zeros((BITS, BITS))
         n = 0
-        for batch in batches:
+        for batch in W.trimmed(batches):
             for at in range(0, batch.num_rows, 1 << 14):
                 part = batch.column(0).slice(at, 1 << 14).to_numpy(zero_copy_only=False).astype("<i8")
                 bits = np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").astype(np.float32)
@@ -170,7 +171,7 @@ def _entries(plan: list[tuple[list[int], int]]):
     def run(batches):
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in W.trimmed(batches):
             for at in range(0, batch.num_rows, 1 << 12):
                 fps = batch.column(0).slice(at, 1 << 12).to_numpy(zero_copy_only=False).astype("<i8")
                 u = fps.view("<u8")
@@ -233,7 +234,7 @@ def _links(radius: int):
             return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
 
         keys, fps = [], []
-        for batch in batches:
+        for batch in W.trimmed(batches):
             key, fp = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
             keys.append(key)
             fps.append(fp.view("<u8") if fp.dtype == np.int64 else fp.astype("<u8"))

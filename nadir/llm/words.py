@@ -6,6 +6,7 @@ A word is a maximal run of bytes other than the six ASCII white-space bytes
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,7 +15,11 @@ import pyarrow.compute as pc
 import xxhash
 
 #: Bytes that are scanned at once; bounds the numpy temporaries of a task.
-CHUNK_BYTES = 3 << 20
+CHUNK_BYTES = 2 << 20
+
+_LIBC = ctypes.CDLL(None)
+if not hasattr(_LIBC, "malloc_trim"):  # not glibc
+    _LIBC = None
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
@@ -25,6 +30,21 @@ _K1, _K2, _K3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np
 _LONG_WORD = 64
 
 
+def trim() -> None:
+    """Give freed memory back to the system: workers live on and share an executor's memory with its JVM."""
+    pa.default_memory_pool().release_unused()
+    if _LIBC is not None:
+        _LIBC.malloc_trim(0)
+
+
+def trimmed(batches: Iterator) -> Iterator:
+    """The batches, with freed memory given back after each."""
+    for batch in batches:
+        yield batch
+        del batch
+        trim()
+
+
 def flat(column: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of a text column, end to end, and the n+1 offsets; null is empty."""
     if isinstance(column, pa.ChunkedArray):
