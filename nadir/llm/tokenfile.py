@@ -14,7 +14,9 @@ Spark writes to, and both directions stream: a task holds one block.
 
 from __future__ import annotations
 
+import re
 import zlib
+from array import array
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -121,6 +123,18 @@ class Block:
 # --- encoding ----------------------------------------------------------------
 
 _encoders: dict[str, WordEncoder] = {}
+#: Words of lower-case letters up to U+00FF, and one sign after them at most. The tokenizer takes both apart
+#: and changes neither, so the letters can go to its model straight away.
+_PLAIN = re.compile(rb"((?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+)([.,;:!?]?)")
+#: Bytes of text that are encoded together: the more, the fewer distinct words to look up.
+_ENCODE_BYTES = 8 << 20
+
+
+def _byte_letters() -> dict[int, str]:
+    """The byte-level alphabet: printable Latin-1 stands for itself, other bytes follow from U+0100."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
 class WordEncoder:
@@ -132,11 +146,38 @@ class WordEncoder:
     seen are kept, up to ``most`` of them, over the tasks of a worker.
     """
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 700_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.most, self.known = most, {}
+        self.most, self.known, self.letters = most, {}, {}
+        self.alphabet = {b: c for b, c in _byte_letters().items()}
+        # only if the model alone gives what the whole tokenizer gives
+        probe = ["the", "straße", "éèñó", "x", "abcdefghijklmnop"]
+        self.direct = all(self._model(w.encode()) == array("i", self.tokenizer.encode(w, add_special_tokens=False).ids).tobytes() for w in probe)
+        self.signs = {c.encode(): array("i", self.tokenizer.encode(c, add_special_tokens=False).ids).tobytes() for c in ".,;:!?"} | {b"": b""}
+
+    def _model(self, word: bytes) -> bytes:
+        return array("i", [t.id for t in self.tokenizer.model.tokenize("".join(map(self.alphabet.__getitem__, word)))]).tobytes()
+
+    def _learn(self, new: list[bytes]) -> None:
+        if len(self.known) + len(new) > self.most:
+            self.known.clear()
+            self.letters.clear()
+        rest, letters = [], self.letters
+        for w in new:
+            m = _PLAIN.fullmatch(w.lower()) if self.direct else None
+            if m is None:
+                rest.append(w)
+                continue
+            ids = letters.get(m[1])
+            if ids is None:
+                ids = letters[m[1]] = self._model(m[1])
+            self.known[w] = ids + self.signs[m[2]]
+        for at in range(0, len(rest), 20_000):
+            some = rest[at : at + 20_000]
+            for w, e in zip(some, self.tokenizer.encode_batch_fast([w.decode() for w in some], add_special_tokens=False), strict=True):
+                self.known[w] = array("i", e.ids).tobytes()
 
     @classmethod
     def of(cls, path: str) -> WordEncoder:
@@ -147,22 +188,22 @@ class WordEncoder:
     def batch(self, column, end_id: int | None):
         """(ids, number of ids of each row) for some rows at a time."""
         data, offsets = W.flat(column)
-        for a, b in W.chunks(offsets):
+        for a, b in W.chunks(offsets, _ENCODE_BYTES):
             part, own = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
             starts, ends, rows = W.scan(part, own)
             h = W.hash_spans(part, starts, ends)
             _, where, back = np.unique(h, return_index=True, return_inverse=True)
             raw = part.tobytes()
             distinct = [raw[i:j] for i, j in zip(starts[where].tolist(), ends[where].tolist(), strict=True)]
-            if len(self.known) > self.most:
-                self.known.clear()
-            known = self.known
-            new = [w for w in distinct if w not in known]
-            for at in range(0, len(new), 20_000):
-                some = new[at : at + 20_000]
-                for w, e in zip(some, self.tokenizer.encode_batch_fast([w.decode() for w in some], add_special_tokens=False), strict=True):
-                    known[w] = np.array(e.ids, "<i4").tobytes()
-            coded = [known[w] for w in distinct]
+            coded = list(map(self.known.get, distinct))
+            missing = [i for i, x in enumerate(coded) if x is None]
+            if missing:
+                kept = {w: x for w, x in zip(distinct, coded, strict=True) if x is not None} if len(self.known) + len(missing) > self.most else None
+                self._learn([distinct[i] for i in missing])
+                if kept is not None:
+                    self.known.update(kept)
+                for i in missing:
+                    coded[i] = self.known[distinct[i]]
             size = np.fromiter(map(len, coded), np.int64, len(coded)) >> 2
             flat = np.frombuffer(b"".join(coded), "<i4")
             first = np.cumsum(size) - size
@@ -199,7 +240,7 @@ def _write_blocks(path: str, end_id: int, block_ids: int):
             held.clear()
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, types, strict=True)], names=[c.split()[0] for c in BLOCK_SCHEMA.split(", ")])
 
-        for batch in batches:
+        for batch in W.trimmed(batches):
             keys, at = batch.column(0).to_pylist(), 0
             for ids, count in encoder.batch(batch.column(1), end_id):
                 held.append((keys[at : at + len(count)], ids, count))
@@ -243,7 +284,7 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
 def _documents(batches):
     import pyarrow as pa
 
-    for batch in batches:
+    for batch in W.trimmed(batches):
         for row in batch.to_pylist():
             block = Block(row["first_rule"], row["rules"], row["lengths"], row["sequence"], row["width"])
             ids = block.ids(0, row["n_ids"]).astype("<u4")
