@@ -93,7 +93,7 @@ def _combined(rows: DataFrame, dtype: str, bitwise: bool) -> np.ndarray:
 
         total: dict[int, np.ndarray] = {}
         z = zstandard.ZstdDecompressor()
-        for batch in batches:
+        for batch in W.trimmed(batches):
             for k, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 part = np.frombuffer(z.decompress(raw), dtype)
                 total[k] = part.copy() if k not in total else (total[k] | part if bitwise else total[k] + part)
@@ -109,7 +109,7 @@ def _combined(rows: DataFrame, dtype: str, bitwise: bool) -> np.ndarray:
 def _count_words(batches):
     """How often words of each bucket come: at least the number of their lines."""
     table, some = np.zeros(1 << BUCKET_BITS, np.uint32), False
-    for batch in batches:
+    for batch in W.trimmed(batches):
         data, offsets = W.flat(batch.column(0))
         for a, b in W.chunks(offsets):
             part, own = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
@@ -142,14 +142,17 @@ def _by_rarity(line: np.ndarray, often: np.ndarray, word: np.ndarray) -> np.ndar
         order[wrong], order[wrong + 1] = order[wrong + 1], order[wrong]
 
 
-def _entries(counts):
-    """The line under each word of its prefix that other lines have; meta is line number, size, position."""
+def _entries(counts, tokens=None):
+    """The line under each word of its prefix that other lines have; meta is line number, size, position.
+
+    ``tokens``: a bitmap of the words to file under, none if all.
+    """
 
     def run(batches):
         import pyarrow as pa
 
         table = counts.value
-        for batch in batches:
+        for batch in W.trimmed(batches):
             data, offsets = W.flat(batch.column(1))
             ids = batch.column(0).fill_null(-(1 << 63)).to_numpy(zero_copy_only=False)
             for a, b in W.chunks(offsets):
@@ -169,6 +172,8 @@ def _entries(counts):
                 place = np.arange(len(line)) - np.repeat(start, np.diff(np.append(start, len(line))))
                 size = s.size[line]
                 pick = (place < size - (4 * size + 4) // 5 + 1) & (often > 1)
+                if tokens is not None:
+                    pick &= _in_bloom(tokens.value, word.view(np.int64))
                 line, word, place, size = line[pick], word[pick], place[pick], size[pick]
                 meta = (np.minimum(s.number[line], (1 << 23) - 1) << 40) | (np.minimum(size, (1 << 24) - 1) << 16) | np.minimum(place, (1 << 16) - 1)
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in (word.view(np.int64), s.h1[line], *s.parities(line), ids[a:b][s.doc[line]], meta)], names=[c.split()[0] for c in ENTRY.split(", ")])
@@ -176,6 +181,24 @@ def _entries(counts):
     return run
 
 
+def _prefix_words(counts):
+    """The words of stored sets under which their lines are filed."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in W.trimmed(batches):
+            found = [np.zeros(0, np.uint64)]
+            for raw in batch.column(0).to_pylist():
+                word = np.frombuffer(raw, np.uint64)
+                often = counts.value[_bucket(word)]
+                order = _by_rarity(np.zeros(len(word), np.int64), often, word)[: len(word) - (4 * len(word) + 4) // 5 + 1]
+                found.append(word[order][often[order] > 1])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64))], names=["token"])
+
+    return run
+
+
 def _runs_of(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Where each run of equal values begins, and its length."""
     first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
@@ -209,14 +232,14 @@ def _candidates(witnesses: int, wanted=None):
         # the shared word must be early enough in the smaller line for enough to follow
         at = np.flatnonzero((reach > np.arange(n) + 1) & (place <= size - (8 * size + 8) // 9))
         asked = None if wanted is None else _in_bloom(wanted.value, h1)
-        earlier, later = [], []
+        earlier, later, slack = [], [], []
         step = 1
         while len(at):
             # a chunk of lines with all their partners at once, or all lines with one partner each
             if len(at) * 8 < n and step == 1:
                 break
             e = at + step
-            keep(at, e, size, place, p1, p2, doc, line, h1, asked, earlier, later)
+            keep(at, e, size, place, p1, p2, doc, line, h1, asked, earlier, later, slack)
             step += 1
             at = at[reach[at] > at + step]
             if len(at) * 8 < n:
@@ -228,11 +251,12 @@ def _candidates(witnesses: int, wanted=None):
                 c = count[cut]
                 x = np.repeat(some[cut], c)
                 e = x + step + np.arange(int(c.sum())) - np.repeat(np.cumsum(c) - c, c)
-                keep(x, e, size, place, p1, p2, doc, line, h1, asked, earlier, later)
+                keep(x, e, size, place, p1, p2, doc, line, h1, asked, earlier, later, slack)
         if not later:
             return none, none, np.zeros(0, bool)
-        x, y = np.concatenate(earlier), np.concatenate(later)
-        order = np.lexsort((h1[x], line[x], doc[x], h1[y]))
+        x, y, room = np.concatenate(earlier), np.concatenate(later), np.concatenate(slack)
+        # of a line's candidates, those come first whose signatures leave most room: they most likely hold
+        order = np.lexsort((h1[x], line[x], doc[x], room, h1[y]))
         x, y = x[order], y[order]
         new = np.concatenate([[True], (h1[y][1:] != h1[y][:-1]) | (h1[x][1:] != h1[x][:-1])])
         x, y = x[new], y[new]
@@ -243,20 +267,22 @@ def _candidates(witnesses: int, wanted=None):
         few = nth < witnesses
         return h1[y][few], h1[x][few], np.repeat(length > witnesses, length)[few]
 
-    def keep(a, b, size, place, p1, p2, doc, line, h1, asked, earlier, later):
+    def keep(a, b, size, place, p1, p2, doc, line, h1, asked, earlier, later, slack):
         """Those of the pairs (a, b) that pass the filters, the earlier line first."""
         sa, sb = size[a], size[b]
         least = (4 * (sa + sb) + 8) // 9  # words that they must share
         apart = np.bitwise_count(p1[a] ^ p1[b]).astype(np.int64) + np.bitwise_count(p2[a] ^ p2[b])
         ok = (apart <= sa + sb - 2 * least) & (np.minimum(sa - place[a], sb - place[b]) >= least)
-        a, b = a[ok], b[ok]
+        a, b, room = a[ok], b[ok], (apart - (sa + sb - 2 * least))[ok]
         swap = (doc[b] < doc[a]) | ((doc[b] == doc[a]) & ((line[b] < line[a]) | ((line[b] == line[a]) & (h1[b] < h1[a]))))
         x, y = np.where(swap, b, a), np.where(swap, a, b)
         if asked is not None:
+            room = room[asked[y]]
             x, y = x[asked[y]], y[asked[y]]
         if len(x):
             earlier.append(x)
             later.append(y)
+            slack.append(room)
 
     def run(batches):
         import pyarrow as pa
@@ -265,7 +291,7 @@ def _candidates(witnesses: int, wanted=None):
             return pa.RecordBatch.from_arrays([pa.array(x) for x in pairs_of(*arrays)], names=["later", "earlier", "more"])
 
         held: list[list[np.ndarray]] = []
-        for batch in batches:
+        for batch in W.trimmed(batches):
             held.append([batch.column(i).to_numpy(zero_copy_only=False) for i in range(6)])
             token = held[-1][0]
             if len(token) and held[0][0][0] != token[-1]:
@@ -294,7 +320,7 @@ def _in_bloom(bits: np.ndarray, h1: np.ndarray) -> np.ndarray:
 
 def _bloom(batches):
     bits, some = np.zeros(1 << (BLOOM_BITS - 3), np.uint8), False
-    for batch in batches:
+    for batch in W.trimmed(batches):
         for place in _bloom_places(batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)):
             np.bitwise_or.at(bits, place >> 3, (1 << (place & 7)).astype(np.uint8))
             some = True
@@ -315,7 +341,7 @@ def _occurrences(bits):
     def run(batches):
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in W.trimmed(batches):
             data, offsets = W.flat(batch.column(1))
             ids, null, text_hash = batch.column(0).fill_null(0).to_numpy(zero_copy_only=False), batch.column(0).is_null().to_numpy(zero_copy_only=False), batch.column(2).to_numpy(zero_copy_only=False)
             for a, b in W.chunks(offsets):
@@ -333,7 +359,7 @@ def _verify(batches):
     """later, whether Jaccard is 4/5 or more, more."""
     import pyarrow as pa
 
-    for batch in batches:
+    for batch in W.trimmed(batches):
         held = []
         for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
             a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
@@ -347,10 +373,10 @@ def removed_lines(docs: DataFrame, scratch: Scratch, witnesses: int = 6) -> Data
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
     counts = spark.sparkContext.broadcast(_combined(rows.select("text").mapInArrow(_count_words, "slice int, payload binary"), "u4", False))
-    entries = rows.select("doc_id", "text").mapInArrow(_entries(counts), ENTRY)
     parts = partitions_for(spark, 0, 1)
 
-    def candidates(name: str, job) -> DataFrame:
+    def candidates(name: str, job, tokens=None) -> DataFrame:
+        entries = rows.select("doc_id", "text").mapInArrow(_entries(counts, tokens), ENTRY)
         found = entries.repartition(parts, "token").sortWithinPartitions("token").mapInArrow(job, PAIR)
         return scratch.table(name, found.groupBy("later", "earlier").agg(F.max("more").alias("more")))
 
@@ -369,10 +395,14 @@ def removed_lines(docs: DataFrame, scratch: Scratch, witnesses: int = 6) -> Data
     similar = tried.where("held").select("later")
     open_ = tried.where("more and not held").select("later")
     if not open_.isEmpty():
-        rest = candidates("rest", _candidates(witnesses, _bitmap(spark, open_))).join(open_, "later", "left_semi")
-        rest = scratch.table("rest-pairs", rest)
-        again = rows.mapInArrow(_occurrences(_bitmap(spark, rest.select("later").union(rest.select("earlier")))), OCCURRENCE)
-        similar = similar.union(scratch.table("retried", verified(rest, again)).where("held").select("later"))
+        asked = lines.where("words is not null").join(open_, F.col("h1") == F.col("later"), "left_semi").select("words")
+        tokens = _bitmap(spark, asked.mapInArrow(_prefix_words(counts), "token long"))
+        rest = candidates("rest", _candidates(witnesses, _bitmap(spark, open_)), tokens).join(open_, "later", "left_semi")
+        # what the first round has tried needs no second try
+        rest = scratch.table("rest-pairs", rest.join(pairs, ["later", "earlier"], "left_anti"))
+        if not rest.isEmpty():
+            again = rows.mapInArrow(_occurrences(_bitmap(spark, rest.select("later").union(rest.select("earlier")))), OCCURRENCE)
+            similar = similar.union(scratch.table("retried", verified(rest, again)).where("held").select("later"))
 
     # a set's first line stays unless the set itself is similar to an earlier one
     place = F.struct(F.col("doc_id").isNotNull().alias("some"), "doc_id", "line", "text_hash")
@@ -388,7 +418,7 @@ def _without(text_at: int, chars_at: int | None):
     def run(batches):
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in W.trimmed(batches):
             cols = batch.columns
             out, n_lines, n_gone = [], [], []
             for text, lines, nth in zip(cols[text_at].to_pylist(), cols[-2].to_pylist(), cols[-1].to_pylist(), strict=True):
@@ -422,10 +452,13 @@ def dedup_lines(docs: DataFrame, scratch_group: str = "lines", witnesses: int =
     """
     spark = session_of(docs)
     scratch = Scratch(spark, scratch_group)
-    gone = scratch.table("gone", removed_lines(docs, scratch, witnesses)).select(F.col("doc_id").alias("g_id"), F.col("text_hash").alias("g_hash"), "lines")
+    # one key without nulls on both sides: the join and the window then share one shuffle of the texts
+    key = lambda: F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit("\0"))
+    gone = scratch.table("gone", removed_lines(docs, scratch, witnesses)).select(key().alias("k_id"), F.col("text_hash").alias("k_hash"), "lines")
+    scratch.release()
     columns = docs.columns
-    left = docs.select(F.col("doc_id").cast("long").alias("k_id"), F.xxhash64("text").alias("k_hash"), F.struct(*(F.col(f"`{c}`") for c in columns)).alias("row"))
-    joined = left.join(gone, F.col("k_id").eqNullSafe(F.col("g_id")) & (F.col("k_hash") == F.col("g_hash")), "left")
+    left = docs.select(key().alias("k_id"), F.xxhash64("text").alias("k_hash"), F.struct(*(F.col(f"`{c}`") for c in columns)).alias("row"))
+    joined = left.join(gone, ["k_id", "k_hash"], "left")
     nth = F.row_number().over(Window.partitionBy("k_id", "k_hash").orderBy(F.lit(0)))
     wide = joined.withColumn("nth", nth).select(*(F.col("row").getField(c).alias(f"c{i}") for i, c in enumerate(columns)), "lines", "nth")
     n = len(columns)
