@@ -466,3 +466,47 @@ def test_pipeline_stages(spark, tmp_path):
     assert ids[1] == [*range(60), 100, 101] and 100 not in ids[2] and 101 not in ids[3] and ids[3] == [*range(60)]
     assert seen[5].where("not lossless").count() == 0 and seen[5].count() == seen[4].count()
     assert sorted(map(str, c.run(spark, str(tmp_path)).collect())) == sorted(map(str, seen[5].collect()))
+
+
+def near_frame(spark):
+    """Chains of copies at Jaccard 0.75 to 1, short texts, and unrelated ones with null or repeated doc_ids."""
+    rng = np.random.default_rng(10)
+    word = lambda: "".join(rng.choice(list("abcdefgh"), size=6))
+    rows = []
+    for g in range(40):
+        base = [word() for _ in range(int(rng.integers(40, 160)))]
+        rows.append(base)
+        for _ in range(int(rng.integers(1, 5))):
+            base = list(base)
+            for at in rng.choice(len(base), size=int(rng.integers(1, 5)), replace=False):
+                base[at] = word()
+            rows.append(base)
+    hub = [word() for _ in range(120)]
+    rows += [[*hub[:k], word(), *hub[k:]] for k in range(20, 100, 20)] + [hub, ["one"], ["One"], ["two"], []]
+    out = [(1000 - i, " ".join(w)) for i, w in enumerate(rows)]
+    out += [(None, " ".join(word() for _ in range(30))) for _ in range(3)] + [(5000, " ".join(word() for _ in range(30))) for _ in range(2)]
+    out += [(None, out[0][1].upper() + " tail"), (None, None)]
+    return frame(spark, out, extra=True)
+
+
+def test_pipeline_near_duplicates_at_four_fifths(spark):
+    import corpus_pipeline as c
+
+    docs = near_frame(spark)
+    rows = docs.select("doc_id", "text").collect()
+    sets = [{" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if (w := words(r["text"], True)) else set() for r in rows]
+    label, changed = list(range(len(rows))), True
+    linked = [(i, j) for i in range(len(rows)) for j in range(i) if sets[i] == sets[j] or 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])]
+    while changed:
+        changed = False
+        for i, j in linked:
+            if label[i] != label[j]:
+                label[i] = label[j] = min(label[i], label[j])
+                changed = True
+    group = defaultdict(list)
+    for r, x in zip(rows, label, strict=True):
+        group[x].append((r["doc_id"] is None, r["doc_id"] or 0, r["text"] or "", r["doc_id"], r["text"]))
+    got = c.drop_near_duplicates(spark, docs, "")
+    assert got.columns == docs.columns
+    assert sorted(str((r["doc_id"], r["text"])) for r in got.collect()) == sorted(str(min(g)[3:]) for g in group.values())
+    assert c.drop_near_duplicates(spark, docs.where("false"), "").count() == 0
