@@ -510,3 +510,12 @@ def test_pipeline_near_duplicates_at_four_fifths(spark):
     assert got.columns == docs.columns
     assert sorted(str((r["doc_id"], r["text"])) for r in got.collect()) == sorted(str(min(g)[3:]) for g in group.values())
     assert c.drop_near_duplicates(spark, docs.where("false"), "").count() == 0
+
+
+def test_pipeline_near_dedup_keeps_unrelated_rows_that_share_an_id(spark):
+    import corpus_pipeline as c
+
+    texts = [" ".join(f"{g}{i}" for i in range(20)) for g in "abcdef"]
+    docs = frame(spark, [(None, texts[0]), (None, texts[1]), (None, texts[2]), (7, texts[3]), (7, texts[4]), (8, texts[5]), (None, texts[5])])
+    got = sorted(str((r["doc_id"], r["text"])) for r in c.drop_near_duplicates(spark, docs, "").collect())
+    assert got == sorted(str(x) for x in [*((None, t) for t in texts[:3]), (7, texts[3]), (7, texts[4]), (8, texts[5])])
