@@ -8,8 +8,12 @@ lies in its span is found by rendering the turn with two probe texts that
 differ in their only character: they agree up to where the text begins and
 after where it ends.
 
-A conversation of over ``window`` turns is rendered over its last ``window``
-turns at each step, so time is linear in its turns and a task holds that many.
+Every prefix is rendered whole, so a template is called on all turns so far and
+time grows with the square of a conversation's turns. Only a template that is
+declared to concatenate what it makes of each turn alone (its attribute
+``concatenates`` is true, as for the standard one) is rendered over the last
+``window`` turns of a longer conversation, which gives the same spans in time
+linear in its turns.
 The formatted text is stored a span per row; a conversation is never gathered,
 both ways stream over rows sorted by conversation and turn.
 """
@@ -64,6 +68,8 @@ def parse_span(span: str) -> tuple[str, str]:
     return _unrole(m[1]), unescape(m[2])
 
 
+render_turns.concatenates = True
+
 PROBES = ("\ue000", "\ue001")
 
 
@@ -71,7 +77,8 @@ class Renderer:
     """Spans of the turns of one conversation after another."""
 
     def __init__(self, render: Callable[[list[Turn]], str], window: int = 64, loss_role: str = "assistant"):
-        self.render, self.window, self.loss_role = render, window, loss_role
+        self.render, self.loss_role = render, loss_role
+        self.window = window if getattr(render, "concatenates", False) else None
         self.start()
 
     def start(self) -> None:
@@ -84,7 +91,7 @@ class Renderer:
         The first span holds whatever the template puts before all turns.
         """
         fresh = not self.turns
-        if len(self.turns) >= self.window:
+        if self.window is not None and len(self.turns) >= self.window:
             self.turns = self.turns[1 - self.window :] if self.window > 1 else []
             self.before = self.render(self.turns)
         after = self.render([*self.turns, {"role": role, "text": text}])

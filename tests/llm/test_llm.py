@@ -445,6 +445,17 @@ def test_history_rewriting_is_seen():
     assert span[a:b] == "answer" and not bad
 
 
+def test_a_rewrite_far_back_is_seen():
+    late = lambda turns: "".join("[gone]" if i == 1 and len(turns) > 70 else f"[{t['role']}]{t['text']}|" for i, t in enumerate(turns))
+    r = chat.Renderer(late)
+    assert [r.add("user", f"turn {i}")[3] for i in range(75)] == [i == 70 for i in range(75)]
+    numbered = lambda turns: "".join(f"{i}:{turns[0]['text']}:{t['text']}\n" for i, t in enumerate(turns))
+    r = chat.Renderer(numbered)
+    assert [r.add("assistant", f"t{i}") for i in range(70)][69] == ("69:t0:t69\n", 6, 9, False)
+    own, whole = chat.Renderer(chat.render_turns), chat.Renderer(lambda turns: chat.render_turns(turns))
+    assert all(own.add(role, f"<s> {i}") == whole.add(role, f"<s> {i}") for i, role in enumerate(["user", "assistant"] * 70))
+
+
 # --- pipeline ----------------------------------------------------------------
 
 
