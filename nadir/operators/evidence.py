@@ -97,11 +97,12 @@ def jaro_winkler(a: str, b: str) -> float:
     return jaro + prefix * 0.1 * (1 - jaro)
 
 
-def fuzzy_match(queries: DataFrame, query: str, names: DataFrame, name: str, least: float = 0.9, length_gap: int = 5, block_prefix: int = 1) -> DataFrame:
+def fuzzy_match(queries: DataFrame, query: str, names: DataFrame, name: str, least: float = 0.9, length_gap: int = 5, block_prefix: int = 0) -> DataFrame:
     """query, match, similarity: the best name of Jaro-Winkler ``least`` or more whose length is within the gap.
 
-    Candidates share their first ``block_prefix`` characters (0: all names) and
-    a length; ties go to the least name.
+    Candidates are all names of such a length; ties go to the least name. A
+    ``block_prefix`` over 0 also asks for that many equal first characters,
+    which loses matches that differ there.
     """
     @F.pandas_udf("double")
     def similarity(a: pd.Series, b: pd.Series) -> pd.Series:

@@ -148,3 +148,13 @@ def test_evidence_upserts_and_violations(spark):
 def test_bliss_excess(spark):
     rows = [(1, i, j, v) for i, j, v in ((0, 1, 0.5), (1, 0, 0.2), (1, 1, 0.7))]
     assert abs(E.bliss_excess(spark.createDataFrame(rows, "d long, i long, j long, v double"), ["d"], "i", "j", "v").first()["bliss_excess"] - 0.1) < 1e-12
+
+
+def test_fuzzy_match_takes_the_best_name_whatever_its_first_letter(spark):
+    q = spark.createDataFrame([("cetirizine",), ("cetirizina",), (None,), ("",)], "q string")
+    n = spark.createDataFrame([("setirizine",), ("cetirazin",), ("loratadine",), (None,)], "n string")
+    got = {r["query"]: (r["match"], round(r["similarity"], 3)) for r in E.fuzzy_match(q, "q", n.where("n <> 'cetirazin'"), "n").collect()}
+    assert got["cetirizine"] == ("setirizine", 0.933) and "" not in got
+    names = [r["n"] for r in n.collect() if r["n"]]
+    for r in E.fuzzy_match(q, "q", n, "n").collect():
+        assert (-r["similarity"], r["match"]) == min((-E.jaro_winkler(r["query"], x), x) for x in names)
