@@ -1,16 +1,24 @@
 """Approximate nearest neighbours by cosine with vantage-point trees.
 
 Vectors are scaled to length one: the nearest by cosine are then the nearest
-by Euclidean distance, which is a metric. Every vector is dealt to a shard by
-a hash of its id, so no shard depends on the vectors' values, and each shard
-builds a tree: a vantage point and the median distance to it divide the rest.
-A query skips a side if the triangle inequality, relaxed by ``factor``, says
-that it holds nothing nearer than the k-th found: the side is searched only
-where gap <= factor * distance. Factor one is exact; less is faster.
-
-Equal vectors of a shard are one point of its tree with all their ids. A
-batch of queries goes down a tree together. Each shard answers each block of
-queries with its k best; the k best of all shards are taken by an aggregate.
+by Euclidean distance, which is a metric. A tree's node has a vantage point and
+the median distance to it, which divide the rest. A query skips a side if the
+triangle inequality, relaxed by ``factor``, says that it holds nothing nearer
+than the k-th found: a side is searched only where gap <= factor * distance.
+Factor one is exact; less is faster.
+
+There are two levels. A top tree over a bounded sample (``sample_rows`` vectors
+of least hash, on the driver) divides space into cells; every vector is
+indexed, in the cell it falls in, and a cell of more than ``shard_rows`` vectors
+is cut into shards by a hash. Each shard builds a tree of its own. A query first
+goes to its own cell only; the k-th distance found there says by the same
+relaxed inequality which other cells it has to visit. So cells grow in number
+with the input, and a query visits those near it.
+
+Vectors of one direction that differ by a power of two only (equal ones above
+all) are one point with its k+1 least ids, which is all that can matter; queries
+of one direction are searched once. So a vector that a third of all rows share
+is a point like any other.
 """
 
 from __future__ import annotations
@@ -20,14 +28,17 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .scratch import Scratch, session_of
+from .scratch import Scratch, partitions_for, session_of
+
+#: Distances of points whose cosines with a query may round to the same value differ by less.
+TIE = 1e-7
 
 
 class Tree:
-    """A vantage-point tree over rows of ``points`` (all of length one)."""
+    """A vantage-point tree over rows of ``points`` (all of length one); ``compared`` counts distances of searches."""
 
     def __init__(self, points: np.ndarray, leaf: int = 64, seed: int = 0):
-        self.points, self.leaf = points, leaf
+        self.points, self.leaf, self.compared = points, leaf, 0
         self.rng = np.random.default_rng(seed)
         self.order = np.arange(len(points))
         self.nodes: list[tuple] = []  # (begin, end, -1, ...) of leaves, or (vantage, median, inner, outer)
@@ -58,12 +69,17 @@ class Tree:
         some = self.rng.choice(len(rows), size=min(sample, len(rows)), replace=False)
         return int(pick[np.argmax(distances(self.points[rows[some]], self.points[rows[pick]]).std(axis=0))])
 
-    def search(self, queries: np.ndarray, k: int, factor: float) -> np.ndarray:
-        """Rows of the k nearest points found (fewer: -1) for each query."""
+    def search(self, queries: np.ndarray, k: int, factor: float, bound: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Distances and rows of the k nearest points found (fewer: inf, -1) for each query.
+
+        ``bound``: nothing farther than this matters to a query.
+        """
         n = len(queries)
+        bound = np.full(n, np.inf) if bound is None else bound
         best, rows = np.full((n, k), np.inf), np.full((n, k), -1)
 
         def offer(q: np.ndarray, d: np.ndarray, points: np.ndarray) -> None:
+            self.compared += d.size
             together = np.concatenate([best[q], d], axis=1)
             names = np.concatenate([rows[q], np.broadcast_to(points, d.shape)], axis=1)
             top = np.argpartition(together, k - 1, axis=1)[:, :k]
@@ -84,21 +100,60 @@ class Tree:
             for child, here in ((inner, near), (outer, ~near)):
                 if here.any():
                     visit(child, q[here])
-            reach = factor * best[q].max(axis=1)
-            cross = np.abs(d - what) <= reach + 1e-9
+            reach = factor * np.minimum(best[q].max(axis=1), bound[q])
+            cross = np.abs(d - what) <= reach + TIE
             for child, here in ((outer, near & cross), (inner, ~near & cross)):
                 if here.any():
                     visit(child, q[here])
 
         if n:
             visit(0, np.arange(n))
-        return rows
+        return best, rows
+
+    def cells(self) -> dict[int, int]:
+        """Numbers of the leaves, which are the cells that the tree divides space into."""
+        return {node: i for i, node in enumerate(at for at, x in enumerate(self.nodes) if x[0] is None)}
+
+    def route(self, queries: np.ndarray, reach: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(query, cell): a query's own cell and those within ``reach`` of it by the triangle inequality; own ones come first."""
+        number, own, others = self.cells(), [], []
+        stack = [(0, np.arange(len(queries)), np.ones(len(queries), bool))]
+        while stack:
+            node, q, home = stack.pop()
+            vantage, what, inner, outer = self.nodes[node]
+            if vantage is None:
+                for to, pick in ((own, q[home]), (others, q[~home])):
+                    to.append((pick, np.full(len(pick), number[node])))
+                continue
+            d = distances(queries[q], self.points[[vantage]])[:, 0]
+            near, cross = d < what, np.abs(d - what) <= reach[q] + TIE
+            for child, side in ((inner, near), (outer, ~near)):
+                here = side | cross
+                if here.any():
+                    stack.append((child, q[here], home[here] & side[here]))
+        return tuple(np.concatenate(x) if x else np.zeros(0, np.int64) for x in zip(*own, *others, strict=True)) if own or others else (np.zeros(0, np.int64),) * 2
 
 
 def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(2.0 - 2.0 * (a @ b.T), 0.0))
 
 
+def directions(m: np.ndarray) -> np.ndarray:
+    """Rows scaled by powers of two, exactly, so that the largest component is in [1/2, 1)."""
+    return np.ldexp(m, -np.frexp(np.abs(m).max(axis=1))[1][:, None]) + 0.0 if len(m) else m
+
+
+def units(m: np.ndarray) -> np.ndarray:
+    m = directions(m)
+    return m / np.sqrt((m * m).sum(axis=1, keepdims=True)) if len(m) else m
+
+
+def cosine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Cosine of rows in double precision; vectors are only rescaled by powers of two."""
+    a, b = directions(a), directions(b)
+    return np.einsum("ij,ij->i", a, b) / (np.sqrt(np.einsum("ij,ij->i", a, a)) * np.sqrt(np.einsum("ij,ij->i", b, b)))
+
+
 def usable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     """vec_id, vector (array<double>) of the rows that take part: no null, zero or non-finite vectors."""
     v = F.col("vector")
@@ -107,85 +162,141 @@ def usable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     return rows.where(v.isNotNull() & (F.size(v) > 0) & F.coalesce(finite, F.lit(False))).where(F.exists(v, lambda x: x != 0))
 
 
-def _answer(k: int, factor: float):
+def _matrix(column) -> np.ndarray:
+    """Vectors of one length."""
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+
+
+def _lists(m: np.ndarray):
+    import pyarrow as pa
+
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(m) + 1) * m.shape[1], pa.int32()), pa.array(m.reshape(-1)))
+
+
+def _by_length(batch, at: int):
+    """The batch in parts with vectors of one length in column ``at``."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    length = pc.list_value_length(batch.column(at)).to_numpy(zero_copy_only=False)
+    for dim in np.unique(length):
+        yield int(dim), batch.take(pa.array(np.flatnonzero(length == dim)))
+
+
+def _directed(batches):
+    import pyarrow as pa
+
+    for batch in batches:
+        for dim, part in _by_length(batch, 1):
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.full(part.num_rows, dim, np.int32)), _lists(directions(_matrix(part.column(1))))], names=["vec_id", "dim", "vector"])
+
+
+def _routed(trees):
+    """A point's cell."""
+
     def run(batches):
         import pyarrow as pa
 
-        names = ["query_id", "vec_id", "score"]
-
-        def search(c_ids, c, q_ids, q):
-            """The k best of each query among one shard's vectors."""
-            by = np.lexsort((c_ids, row_hash(c)))
-            c, c_ids = c[by], c_ids[by]
-            new = np.flatnonzero(np.concatenate([[True], (c[1:] != c[:-1]).any(axis=1)]))
-            end = np.append(new[1:], len(c))
-            scale = np.abs(c[new]).max(axis=1, keepdims=True)
-            unit = c[new] / scale
-            unit /= np.sqrt((unit * unit).sum(axis=1, keepdims=True))
-            qs = q / np.abs(q).max(axis=1, keepdims=True)
-            qs /= np.sqrt((qs * qs).sum(axis=1, keepdims=True))
-            found = Tree(unit).search(qs, k + 1, factor)
-            row, col = np.nonzero(found >= 0)
-            point = found[row, col]
-            # equal vectors: the k+1 least ids are all that can be among the k best
-            count = np.minimum(end[point] - new[point], k + 1)
-            row = np.repeat(row, count)
-            at = np.repeat(new[point], count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-            other = c_ids[at] != q_ids[row]
-            row, at = row[other], at[other]
-            score = cosine(q[row], c[at])
-            order = np.lexsort((c_ids[at], -score, row))
-            row, at, score = row[order], at[order], score[order]
-            first = np.searchsorted(row, row, side="left")
-            top = np.arange(len(row)) - first < k
-            return pa.RecordBatch.from_arrays([pa.array(q_ids[row[top]]), pa.array(c_ids[at[top]]), pa.array(score[top])], names=names)
-
-        held: dict[str, list] = {}
-        now = None
         for batch in batches:
-            cell, is_query, ids = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1, 2))
-            lists = batch.column(3)
-            flat, dim = lists.flatten().to_numpy(zero_copy_only=False), batch.column(4).to_numpy(zero_copy_only=False)
-            begin = np.concatenate([[0], np.cumsum(dim)])
-            edge = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]])) if len(cell) else []
-            for a, b in zip(edge, np.append(edge[1:], len(cell)) if len(cell) else [], strict=True):
-                if cell[a] != now:
-                    if now is not None and held[False] and held[True]:
-                        yield search(*(np.concatenate([x[i] for x in held[w]]) for w in (False, True) for i in (0, 1)))
-                    now, held = cell[a], {False: [], True: []}
-                part = flat[begin[a] : begin[b]].reshape(b - a, -1)
-                for which in (False, True):
-                    pick = is_query[a:b] == which
-                    if pick.any():
-                        held[which].append((ids[a:b][pick], part[pick]))
-        if now is not None and held[False] and held[True]:
-            yield search(*(np.concatenate([x[i] for x in held[w]]) for w in (False, True) for i in (0, 1)))
+            for dim, part in _by_length(batch, 1):
+                q = units(_matrix(part.column(1)))
+                at, cell = trees.value[dim].route(q, np.full(len(q), -1.0))
+                home = np.empty(len(q), np.int64)
+                home[at] = cell
+                yield pa.RecordBatch.from_arrays([pa.array(home), *part.columns], names=["cell", *part.schema.names])
 
     return run
 
 
-def row_hash(c: np.ndarray) -> np.ndarray:
-    """Rows' hashes: equal rows get equal ones; unequal rows that share one only stay apart in the sort."""
-    from . import words
+def _visits(trees, factor: float):
+    """(point, vector, bound) of queries in all cells but their own that they have to visit."""
 
-    bits = np.ascontiguousarray(c + 0.0).view(np.uint64)
-    h = np.zeros(len(c), np.uint64)
-    for j in range(bits.shape[1]):
-        h = words.mix((h ^ bits[:, j]) * words._K1 + words._K3)
-    return h
+    def run(batches):
+        import pyarrow as pa
 
+        for batch in batches:
+            for dim, part in _by_length(batch, 1):
+                bound = part.column(2).to_numpy(zero_copy_only=False)
+                at, cell = trees.value[dim].route(units(_matrix(part.column(1))), factor * bound)
+                _, home = np.unique(at, return_index=True)  # a query's own cell comes first
+                away = np.ones(len(at), bool)
+                away[home] = False
+                at, cell = at[away], cell[away]
+                yield pa.RecordBatch.from_arrays([pa.array(cell), *(c.take(pa.array(at)) for c in part.columns)], names=["cell", "point", "vector", "bound"])
 
-def cosine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Cosine of rows in double precision; vectors are only rescaled by powers of two."""
+    return run
 
-    def fit(x: np.ndarray) -> np.ndarray:
-        return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1))[1][:, None]) if len(x) else x
 
-    a, b = fit(a), fit(b)
-    return np.einsum("ij,ij->i", a, b) / (np.sqrt(np.einsum("ij,ij->i", a, a)) * np.sqrt(np.einsum("ij,ij->i", b, b)))
+def answers(c: np.ndarray, q: np.ndarray, bound: np.ndarray, k: int, factor: float, block: int = 2048) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, point, score) of at least the k best points found of each query; ties of the k-th all come.
+
+    ``c``, ``q``: directions. Where more points than were asked for may tie,
+    all points are compared.
+    """
+    tree, unit, out = Tree(units(c)), units(q), []
+    for lo in range(0, len(q), block):
+        some = slice(lo, lo + block)
+        d, rows = tree.search(unit[some], k + 8, factor, bound[some])
+        kth = np.partition(d, k - 1, axis=1)[:, k - 1]
+        full = np.flatnonzero((d.max(axis=1) <= kth + TIE) & (len(c) > k + 8))
+        row, col = np.nonzero(rows >= 0)
+        point = rows[row, col]
+        keep = (d[row, col] <= np.minimum(kth[row], bound[some][row]) + TIE) & ~np.isin(row, full)
+        row, point = row[keep], point[keep]
+        for i in full.tolist():
+            near = np.flatnonzero(distances(unit[some][[i]], tree.points)[0] <= kth[i] + TIE)
+            row, point = np.append(row, np.full(len(near), i)), np.append(point, near)
+        out.append((row + lo, point))
+    row, point = (np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 2
+    return row, point, cosine(q[row], c[point])
+
+
+FOUND = "point long, vec_id long, score double"
+
+
+def _answer(k: int, factor: float):
+    """The k+1 best vectors of each query of a shard; rows are sorted by shard, points before queries."""
+
+    def search(points: list, queries: list):
+        import pyarrow as pa
+
+        c, q = (np.concatenate([_matrix(b.column(3)) for b in x]) for x in (points, queries))
+        name = np.concatenate([b.column(2).to_numpy(zero_copy_only=False) for b in queries])
+        bound = np.concatenate([b.column(5).to_numpy(zero_copy_only=False) for b in queries])
+        ids = [i for b in points for i in b.column(4).to_pylist()]
+        count = np.array([len(i) for i in ids])
+        flat, first = np.array([i for x in ids for i in x], np.int64), np.cumsum(count) - count
+        row, point, score = answers(c, q, bound, k + 1, factor)
+        n = count[point]
+        row, score = np.repeat(row, n), np.repeat(score, n)
+        vec_id = flat[np.repeat(first[point], n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)]
+        order = np.lexsort((vec_id, -score, row))
+        row, score, vec_id = row[order], score[order], vec_id[order]
+        top = np.arange(len(row)) - np.searchsorted(row, row, side="left") < k + 1
+        return pa.RecordBatch.from_arrays([pa.array(name[row[top]]), pa.array(vec_id[top]), pa.array(score[top])], names=["point", "vec_id", "score"])
+
+    def run(batches):
+        now, points, queries, waiting = None, [], [], 0
+        for batch in batches:
+            shard = batch.column(0).to_numpy(zero_copy_only=False)
+            query = batch.column(1).to_numpy(zero_copy_only=False)
+            edge = np.flatnonzero(np.concatenate([[True], (shard[1:] != shard[:-1]) | (query[1:] != query[:-1])])) if len(shard) else []
+            for a, b in zip(edge, np.append(edge[1:], len(shard)) if len(shard) else [], strict=True):
+                if shard[a] != now or waiting > 65_536:
+                    if points and queries:
+                        yield search(points, queries)
+                    queries, waiting = [], 0
+                    if shard[a] != now:
+                        now, points = shard[a], []
+                (queries if query[a] else points).append(batch.slice(a, b - a))
+                waiting += (b - a) * bool(query[a])
+        if points and queries:
+            yield search(points, queries)
+
+    return run
 
 
-def nearest(vectors: DataFrame, k: int = 5, query_modulus: int = 50, factor: float = 0.85, id_col: str = "vec_id", vec_col: str = "embedding", shard_rows: int = 16_384, query_block: int = 4096, scratch_group: str = "vptree") -> DataFrame:
+def nearest(vectors: DataFrame, k: int = 5, query_modulus: int = 50, factor: float = 0.85, id_col: str = "vec_id", vec_col: str = "embedding", shard_rows: int = 4096, sample_rows: int = 16_384, scratch_group: str = "vptree") -> DataFrame:
     """query_id, rank (from 1), vec_id, score of the ``k`` nearest found of each query.
 
     Queries are the rows whose id is divisible by ``query_modulus``; candidates
@@ -193,27 +304,69 @@ def nearest(vectors: DataFrame, k: int = 5, query_modulus: int = 50, factor: flo
     Nearness is the largest cosine in double precision, ties to the smaller
     id. Null ids, and vectors null, empty, zero or with a null or non-finite
     component take no part. Vectors meet vectors of the same length only.
-    Every vector is indexed; a cell holds ``shard_rows`` vectors and
-    ``query_block`` queries on average.
+    Repeated rows are one. An empty table gives no rows; other columns are
+    ignored, whatever their names. At factor one the result is exact.
     """
     spark = session_of(vectors)
     scratch = Scratch(spark, scratch_group)
-    rows = usable(vectors, id_col, vec_col).where("vec_id is not null").withColumn("dim", F.size("vector").cast("int"))
-    rows = scratch.table("rows", rows)
-    sizes = {r[0]: (r[1], r[2]) for r in rows.groupBy("dim").agg(F.count("*"), F.count(F.when(F.pmod("vec_id", F.lit(query_modulus)) == 0, 1))).collect()}
-    if not sizes:
+    rows = usable(vectors, id_col, vec_col).where("vec_id is not null").mapInArrow(_directed, "vec_id long, dim int, vector array<double>").distinct()
+    rows = scratch.table("rows", rows.withColumn("hash", F.xxhash64("vector")))
+    nth = F.row_number().over(Window.partitionBy("dim", "hash", "vector").orderBy("vec_id"))
+    least = rows.withColumn("nth", nth).where(F.col("nth") <= k + 1)
+    points = scratch.table("points", least.groupBy("dim", "hash", "vector").agg(F.sort_array(F.collect_list("vec_id")).alias("ids")))
+    if points.isEmpty():
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    n, q = max(x for x, _ in sizes.values()), max(x for _, x in sizes.values())
-    shards, blocks = max(1, -(-n // shard_rows)), max(1, -(-q // query_block))
-    if shards == 1 and blocks == 1:
-        shards = max(1, min(8, n // 1024))
-    spread = {False: F.sequence(F.lit(0), F.lit(blocks - 1)), True: F.sequence(F.lit(0), F.lit(shards - 1))}
-    shard, block = F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int"), F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(blocks)).cast("int")
-    candidates = rows.select(F.lit(False).alias("is_query"), "vec_id", "vector", "dim", shard.alias("shard"), F.explode(spread[False]).alias("block"))
-    queries = rows.where(F.pmod("vec_id", F.lit(query_modulus)) == 0).select(F.lit(True).alias("is_query"), "vec_id", "vector", "dim", F.explode(spread[True]).alias("shard"), block.alias("block"))
-    cells = candidates.union(queries).select((F.col("dim").cast("long") * F.lit(1 << 40) + F.col("shard") * F.lit(blocks) + F.col("block")).alias("cell"), "is_query", "vec_id", "vector", "dim")
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), shards * blocks)
-    dealt = cells.repartition(parts, "cell").sortWithinPartitions("cell")
-    found = dealt.mapInArrow(_answer(k, factor), T._parse_datatype_string("query_id long, vec_id long, score double"))
+
+    # the top trees, one for each length of vectors that enough of the sample has
+    n = points.count()
+    drawn = points.select("dim", "vector").orderBy("hash", "dim").limit(sample_rows)
+    sample: dict[int, list] = {}
+    for dim, vector in drawn.toLocalIterator():
+        sample.setdefault(dim, []).append(vector)
+    wanted = max(1, min(-(-n // shard_rows), sample_rows // 8))
+    trees = {dim: Tree(units(np.array(m)), leaf=max(8, -(-len(m) // max(1, round(wanted * len(m) / min(n, sample_rows)))))) for dim, m in sample.items()}
+    lone = Tree(np.zeros((1, 1)))  # a length that the sample hasn't: one cell
+    trees = spark.sparkContext.broadcast(_Trees(trees, lone))
+
+    routed = scratch.table("cells", points.select(F.lit(0).cast("long").alias("point"), "vector", "dim", "hash", "ids").mapInArrow(_routed(trees), "cell long, point long, vector array<double>, dim int, hash long, ids array<bigint>"))
+    # as many rows as there are cells, and cells are bounded by the sample for each length
+    shards = routed.groupBy("dim", "cell").agg(F.ceil(F.count("*") / shard_rows).cast("int").alias("shards"))
+    shards = scratch.table("shards", shards)
+    shard = lambda number: F.xxhash64("dim", "cell", number.cast("long"))
+    dealt_points = routed.join(shards, ["dim", "cell"]).select(shard(F.pmod("hash", "shards")).alias("shard"), F.lit(False).alias("is_query"), "point", "vector", "ids", F.lit(0.0).alias("bound"))
+    asked = rows.where(F.pmod("vec_id", F.lit(query_modulus)) == 0).groupBy("dim", "hash", "vector").agg(F.min("vec_id").alias("point"))
+    asked = scratch.table("asked", asked)
+    parts = partitions_for(spark, n, shard_rows)
+
+    def searched(name: str, queries: DataFrame) -> DataFrame:
+        """The k+1 best found of each query (cell, point, vector, dim, bound)."""
+        each = queries.join(shards, ["dim", "cell"]).withColumn("number", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)))
+        each = each.select(shard(F.col("number")).alias("shard"), F.lit(True).alias("is_query"), "point", "vector", F.lit(None).cast("array<bigint>").alias("ids"), "bound")
+        dealt = dealt_points.union(each).repartition(parts, "shard").sortWithinPartitions("shard", "is_query")
+        return scratch.table(name, best_of(dealt.mapInArrow(_answer(k, factor), FOUND), k + 1))
+
+    def best_of(found: DataFrame, most: int) -> DataFrame:
+        rank = F.row_number().over(Window.partitionBy("point").orderBy(F.desc("score"), "vec_id"))
+        return found.withColumn("rank", rank).where(F.col("rank") <= most).drop("rank")
+
+    own = asked.select("point", "vector", "dim").mapInArrow(_routed(trees), "cell long, point long, vector array<double>, dim int")
+    near = searched("near", own.withColumn("bound", F.lit(float("inf"))))
+    kth = near.groupBy("point").agg(F.when(F.count("*") > k, F.sqrt(F.greatest(F.lit(0.0), 2 - 2 * F.min("score")))).alias("bound"))
+    bounded = asked.join(kth, "point", "left").select("point", "vector", F.coalesce("bound", F.lit(float("inf"))).alias("bound"))
+    away = bounded.mapInArrow(_visits(trees, factor), "cell long, point long, vector array<double>, bound double").withColumn("dim", F.size("vector"))
+    found = best_of(near.union(searched("far", away)), k + 1)
+
+    ids = rows.where(F.pmod("vec_id", F.lit(query_modulus)) == 0).select("dim", "hash", "vector", F.col("vec_id").alias("query_id")).join(asked, ["dim", "hash", "vector"]).select("query_id", "point").distinct()
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    ranked = ids.join(found, "point").where("vec_id <> query_id").withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+
+
+class _Trees:
+    """Top trees by length of vectors; a length without one has a single cell."""
+
+    def __init__(self, trees: dict[int, Tree], lone: Tree):
+        self.trees, self.lone = trees, lone
+
+    def __getitem__(self, dim: int) -> Tree:
+        return self.trees.get(dim, self.lone)
