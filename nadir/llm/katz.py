@@ -303,9 +303,10 @@ def _ask(parts: int, waves: int, wave: int):
     """Blocks of the bigrams of the texts that are in a wave's parts and, in the first, the rows of each chunk."""
 
     def run(batches):
+        import xxhash
         from pyspark import TaskContext
 
-        chunk = TaskContext.get().partitionId() << 32
+        place = TaskContext.get().partitionId() << 32
         for batch in W.trimmed(batches):
             data, offsets = W.flat(batch.column(1))
             data = W._LOWER[data]
@@ -313,17 +314,19 @@ def _ask(parts: int, waves: int, wave: int):
             for a, b in W.chunks(offsets, CHUNK_BYTES):
                 row, before, word = _tokens(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
                 count = np.bincount(row, minlength=b - a).astype(np.int64)
+                # the name holds the chunk's place and content: it differs if another pass gets other rows
+                own_ids = ids.slice(a, b - a).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+                key = xxhash.xxh64_intdigest(data[offsets[a] : offsets[b]].tobytes() + own_ids.tobytes(), seed=place)
+                chunk, place = key - (1 << 64) if key >> 63 else key, place + 1
                 mine = word % np.uint64(parts) % np.uint64(waves) == wave
                 if mine.any():
                     for p, payload in _blocks(parts, row[mine], before[mine], word[mine]):
                         yield _record([(p, TOKENS, chunk, payload)])
                 if wave:
-                    chunk += 1
                     continue
                 own = ids.slice(a, b - a)
                 null = np.array(own.is_null().to_numpy(zero_copy_only=False), np.uint8)
-                yield _record([(-1 - chunk % parts, ROWS, chunk, pack(own.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64), null, held.slice(a, b - a).to_numpy(zero_copy_only=False).astype(np.uint8), count))])
-                chunk += 1
+                yield _record([(-1 - chunk % parts, ROWS, chunk, pack(own_ids, null, held.slice(a, b - a).to_numpy(zero_copy_only=False).astype(np.uint8), count))])
 
     return run
 
@@ -440,6 +443,8 @@ def _gather(batches):
             if now is not None:
                 yield out(rows, sums)
             now, rows, sums = chunk, arrays, np.zeros((3, len(arrays[0])))
+        elif chunk != now:
+            raise ValueError("the texts came in other partitions in another pass over them: write them to a table first")
         else:
             at = arrays[0].astype(np.int64)
             for i in range(3):
@@ -453,7 +458,8 @@ def score(docs: DataFrame, model: Model, scratch: Scratch, waves: int = 2) -> Da
 
     The parts are scored in ``waves``, each with its own pass over the texts,
     so that shuffle files hold only a wave's bigrams at a time. ``docs`` must
-    give the same rows in the same partitions each time, as a scan of a table does.
+    give the same rows in the same partitions each time, as a scan of a table
+    does; where it doesn't, the job fails.
     """
     parts, kind, wave = model.parts, F.col("kind"), F.pmod("part", F.lit(waves))
     rows = docs.select(F.col("doc_id").cast("long"), "text", "held_out")
