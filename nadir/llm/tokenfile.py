@@ -3,7 +3,7 @@
 Documents are tokenised, closed with an end id and laid end to end in
 ascending doc_id order. A file is a range of doc_ids; it is cut into blocks of
 about ``block_ids`` ids, each with a grammar of its own. Re-Pair replaces
-frequent pairs of ids by nonterminals, round by round; a block stores its
+frequent pairs of ids by nonterminals until none is left; a block stores its
 rules, the expansion length of each nonterminal, the final sequence and where
 each document ends. Any range of ids is decoded by the lengths alone, without
 expanding what lies before it.
@@ -16,7 +16,6 @@ from __future__ import annotations
 
 import re
 import zlib
-from array import array
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -30,46 +29,59 @@ BLOCK_SCHEMA = "file int, block int, n_docs int, n_ids long, first_rule int, doc
 # --- Re-Pair -----------------------------------------------------------------
 
 
-def repair(ids: np.ndarray, first_rule: int, max_rounds: int = 6, per_round: int = 2500, min_count: int = 6) -> tuple[np.ndarray, np.ndarray]:
-    """(sequence, rules): pairs found ``min_count`` times or more are replaced, the most frequent first.
+_PAIR_BITS = 20
 
-    Each round replaces up to ``per_round`` pairs at once; where occurrences
-    overlap, every other one of the run is taken. Rule k stands for symbol
-    ``first_rule + k``.
+
+def _may_be_frequent(seq: np.ndarray, least: int) -> np.ndarray:
+    """Places of pairs whose bucket of 2**20 has ``least`` pairs or more."""
+    bucket = ((seq[:-1].view(np.uint32) * np.uint32(0x9E3779B1) + seq[1:].view(np.uint32) * np.uint32(0x85EBCA77)) >> np.uint32(32 - _PAIR_BITS)).astype(np.int64)
+    return np.flatnonzero((np.bincount(bucket, minlength=1 << _PAIR_BITS) >= least)[bucket])
+
+
+def repair(ids: np.ndarray, first_rule: int, min_count: int = 6, max_rounds: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(sequence, rules): pairs are replaced until none is found ``min_count`` times (or after ``max_rounds``, if given).
+
+    Each round replaces all pairs found so often at once; where occurrences
+    overlap, every other one of the run is taken. A pair that is left with a
+    single place by that waits for the next round. A pair can only become
+    frequent with a new symbol in it or be one that lost places to others, so
+    later rounds count those alone. Rule k stands for symbol ``first_rule + k``.
     """
-    seq, rules = ids.astype(np.int64), [np.zeros((0, 2), np.int64)]
-    top = first_rule
-    for _ in range(max_rounds):
-        if len(seq) < 2:
-            break
-        key = (seq[:-1] << 32) | seq[1:]
+    seq, rules, top, rounds = ids.astype(np.int32), [np.zeros((0, 2), np.int64)], first_rule, 0
+    some = _may_be_frequent(seq, min_count) if len(seq) > 1 else np.zeros(0, np.int64)
+    while len(some) and rounds != max_rounds:
+        key = (seq[some].astype(np.int64) << 32) | seq[some + 1]
         ordered = np.sort(key)
         edge = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1], [True]]))
-        count = np.diff(edge)
-        often = np.flatnonzero(count >= min_count)
-        if not len(often):
+        chosen = ordered[edge[np.flatnonzero(np.diff(edge) >= min_count)]]
+        if not len(chosen):
             break
-        if len(often) > per_round:
-            often = often[np.argsort(-count[often], kind="stable")[:per_round]]
-        chosen = np.sort(ordered[edge[often]])
-        left, right = np.zeros(top, bool), np.zeros(top, bool)
-        left[chosen >> 32] = True
-        right[chosen & 0xFFFFFFFF] = True
-        at = np.flatnonzero(left[seq[:-1]] & right[seq[1:]])
-        slot = np.minimum(np.searchsorted(chosen, key[at]), len(chosen) - 1)
-        hit = chosen[slot] == key[at]
-        at, slot = at[hit], slot[hit]
-        head = np.concatenate([[True], np.diff(at) != 1]) if len(at) else np.zeros(0, bool)
+        slot = np.minimum(np.searchsorted(chosen, key), len(chosen) - 1)
+        hit = np.flatnonzero(chosen[slot] == key)
+        at, slot = some[hit], slot[hit]
+        head = np.concatenate([[True], np.diff(at) != 1])
         take = ((at - np.maximum.accumulate(np.where(head, at, 0))) & 1) == 0
-        at, slot = at[take], slot[take]
+        places = np.bincount(slot[take], minlength=len(chosen))
+        used = places >= (2 if places.max() >= 2 else 1)
+        take &= used[slot]
+        left = at[~take]
+        at, slot = at[take], (np.cumsum(used) - 1)[slot[take]]
+        chosen = chosen[used]
         seq[at] = top + slot
         stay = np.ones(len(seq), bool)
         stay[at + 1] = False
+        place = np.cumsum(stay) - 1
+        left = left[stay[left] & stay[left + 1]]  # pairs that lost this place but are still there
+        fresh = place[at]
         seq = seq[stay]
+        again = np.zeros(len(seq), bool)
+        again[place[left]] = True
+        again[fresh] = True
+        again[fresh[fresh > 0] - 1] = True
+        some = np.flatnonzero(again[:-1])
         rules.append(np.stack([chosen >> 32, chosen & 0xFFFFFFFF], axis=1))
         top += len(chosen)
-        if len(at) * 200 < len(seq):
-            break
+        rounds += 1
     return seq, np.concatenate(rules)
 
 
@@ -86,20 +98,36 @@ def expansion_lengths(rules: np.ndarray, first_rule: int) -> np.ndarray:
     return out
 
 
+def _gathered(flat: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Stretches of an array, end to end."""
+    before = np.cumsum(size) - size
+    return flat[np.arange(int(size.sum())) + np.repeat(first - before, size)]
+
+
+class Expansions:
+    """The ids that each symbol of a grammar stands for, end to end."""
+
+    def __init__(self, rules: np.ndarray, first_rule: int, lengths: np.ndarray):
+        self.size = np.concatenate([np.ones(first_rule, np.int64), lengths.astype(np.int64)])
+        self.first = np.cumsum(self.size) - self.size
+        self.flat = np.empty(int(self.size.sum()), np.int32)
+        self.flat[:first_rule] = np.arange(first_rule)
+        done = 0
+        while done < len(rules):  # rules of a round use symbols of earlier rounds only
+            reach = np.flatnonzero(rules[done:].max(axis=1) >= first_rule + done)
+            to = done + (int(reach[0]) if len(reach) else len(rules) - done)
+            symbols = rules[done:to].ravel()
+            a, b = self.first[first_rule + done], self.first[first_rule + to] if to < len(rules) else len(self.flat)
+            self.flat[a:b] = self.of(symbols)
+            done = to
+
+    def of(self, seq: np.ndarray) -> np.ndarray:
+        return _gathered(self.flat, self.first[seq], self.size[seq])
+
+
 def expand(seq: np.ndarray, rules: np.ndarray, first_rule: int) -> np.ndarray:
     """All ids of a sequence of symbols."""
-    seq = seq.astype(np.int64)
-    while True:
-        high = seq >= first_rule
-        if not high.any():
-            return seq
-        at = np.cumsum(1 + high) - 1 - high
-        out = np.empty(int(at[-1] + 1 + high[-1]), np.int64)
-        out[at[~high]] = seq[~high]
-        pair = rules[seq[high] - first_rule]
-        out[at[high]] = pair[:, 0]
-        out[at[high] + 1] = pair[:, 1]
-        seq = out
+    return Expansions(rules, first_rule, expansion_lengths(rules, first_rule)).of(seq)
 
 
 class Block:
@@ -109,111 +137,192 @@ class Block:
         self.first_rule = first_rule
         self.rules = np.frombuffer(rules, "<u4").reshape(-1, 2).astype(np.int64)
         self.seq = np.frombuffer(sequence, f"<u{width}").astype(np.int64)
-        size = np.concatenate([np.ones(first_rule, np.int64), np.frombuffer(lengths, "<u4").astype(np.int64)])
-        self.ends = np.cumsum(size[self.seq]) if len(self.seq) else np.zeros(0, np.int64)
+        self.symbols = Expansions(self.rules, first_rule, np.frombuffer(lengths, "<u4"))
+        self.ends = np.cumsum(self.symbols.size[self.seq]) if len(self.seq) else np.zeros(0, np.int64)
 
     def ids(self, a: int, b: int) -> np.ndarray:
         if a >= b:
             return np.zeros(0, np.int64)
         i, j = np.searchsorted(self.ends, a, side="right"), np.searchsorted(self.ends, b, side="left")
         before = int(self.ends[i - 1]) if i else 0
-        return expand(self.seq[i : j + 1], self.rules, self.first_rule)[a - before : b - before]
+        return self.symbols.of(self.seq[i : j + 1])[a - before : b - before]
 
 
 # --- encoding ----------------------------------------------------------------
 
-_encoders: dict[str, WordEncoder] = {}
-#: Words of lower-case letters up to U+00FF, and one sign after them at most. The tokenizer takes both apart
-#: and changes neither, so the letters can go to its model straight away.
-_PLAIN = re.compile(rb"((?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+)([.,;:!?]?)")
+_encoders: dict[str, TextEncoder] = {}
 #: Bytes of text that are encoded together: the more, the fewer distinct words to look up.
 _ENCODE_BYTES = 8 << 20
-
-
-def _byte_letters() -> dict[int, str]:
-    """The byte-level alphabet: printable Latin-1 stands for itself, other bytes follow from U+0100."""
-    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    rest = [b for b in range(256) if b not in plain]
-    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
-
-
-class WordEncoder:
-    """Encodes texts word by word with a tokenizer of the tokenizers library.
-
-    For a tokenizer that only uses white space to divide (it drops it, and no
-    piece, normalisation or special token reaches over it), the ids of a text
-    are those of its words, so each distinct word is encoded once. The words
-    seen are kept, up to ``most`` of them, over the tasks of a worker.
+#: Steps of a tokenizer that take any text apart at its white space and drop it (fixed values of its file).
+_SPLIT = {"type": "Sequence", "pretokenizers": [{"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}
+_NORMAL = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}]
+_LOWERCASE = {"type": "Lowercase"}
+_SIGNS = ".,;:!?"
+
+_ASCII_LETTER = np.zeros(256, bool)
+_ASCII_LETTER[65:91] = _ASCII_LETTER[97:123] = True
+_LATIN_LETTER = np.zeros(256, bool)  # after the byte C3: U+00C0 to U+00FF but the signs of multiplication and division
+_LATIN_LETTER[128:192] = True
+_LATIN_LETTER[[0x97, 0xB7]] = False
+_LATIN_CAPITAL = _LATIN_LETTER.copy()
+_LATIN_CAPITAL[0x9F:] = False
+_SIGN_OF = np.zeros(256, np.int64)
+_SIGN_OF[list(_SIGNS.encode())] = np.arange(1, len(_SIGNS) + 1)
+
+
+class TextEncoder:
+    """Encodes texts with a tokenizer of the tokenizers library.
+
+    If the file declares just the steps above (with or without lower-casing)
+    and a BPE model with word ends, the ids of a text are those of its words
+    between white space, so each distinct word is encoded once. A word of
+    letters up to U+00FF, with one of the signs ``.,;:!?`` after it at most, is
+    one piece of those steps and the sign another; normalisation does no more to it
+    than to lower its letters. Such words go through the same model with the
+    white space alone as divider, many at a time, and come apart at the ends of
+    words. All other words go through the tokenizer as it is. With any other
+    tokenizer whole texts do.
+
+    The words seen are kept, up to ``most`` of them, over the tasks of a worker;
+    they are told apart by 64-bit hashes.
     """
 
-    def __init__(self, path: str, most: int = 700_000):
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.most, self.known, self.letters = most, {}, {}
-        self.alphabet = {b: c for b, c in _byte_letters().items()}
-        # only if the model alone gives what the whole tokenizer gives
-        probe = ["the", "straße", "éèñó", "x", "abcdefghijklmnop"]
-        self.direct = all(self._model(w.encode()) == array("i", self.tokenizer.encode(w, add_special_tokens=False).ids).tobytes() for w in probe)
-        self.signs = {c.encode(): array("i", self.tokenizer.encode(c, add_special_tokens=False).ids).tobytes() for c in ".,;:!?"} | {b"": b""}
-
-    def _model(self, word: bytes) -> bytes:
-        return array("i", [t.id for t in self.tokenizer.model.tokenize("".join(map(self.alphabet.__getitem__, word)))]).tobytes()
-
-    def _learn(self, new: list[bytes]) -> None:
-        if len(self.known) + len(new) > self.most:
-            self.known.clear()
-            self.letters.clear()
-        rest, letters = [], self.letters
-        for w in new:
-            m = _PLAIN.fullmatch(w.lower()) if self.direct else None
-            if m is None:
-                rest.append(w)
-                continue
-            ids = letters.get(m[1])
-            if ids is None:
-                ids = letters[m[1]] = self._model(m[1])
-            self.known[w] = ids + self.signs[m[2]]
-        for at in range(0, len(rest), 20_000):
-            some = rest[at : at + 20_000]
-            for w, e in zip(some, self.tokenizer.encode_batch_fast([w.decode() for w in some], add_special_tokens=False), strict=True):
-                self.known[w] = array("i", e.ids).tobytes()
+    def __init__(self, path: str, most: int = 3_000_000):
+        import json
+        import os
+
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
+
+        self.tokenizer, self.most = Tokenizer.from_file(path), most
+        declared = json.loads(self.tokenizer.to_str())
+        steps, model = (declared["normalizer"] or {}).get("normalizers"), declared["model"]
+        self.fold = steps == [*_NORMAL, _LOWERCASE]
+        plain_model = model.get("type") == "BPE" and bool(model.get("end_of_word_suffix")) and not any(model.get(x) for x in ("dropout", "continuing_subword_prefix", "unk_token", "byte_fallback", "ignore_merges"))
+        whole = all(not re.search(r"\s", x["content"]) and not x["lstrip"] and not x["rstrip"] for x in declared["added_tokens"])
+        self.by_word = (self.fold or steps == _NORMAL) and declared["pre_tokenizer"] == _SPLIT and declared["post_processor"] is None and plain_model and whole and declared["truncation"] is None and declared["padding"] is None
+        if self.by_word:
+            self.plain = Tokenizer.from_file(path)
+            self.plain.normalizer = normalizers.Sequence([])
+            self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+            vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+            self.closes = np.zeros(max(vocabulary.values()) + 1, bool)
+            self.closes[[i for t, i in vocabulary.items() if t.endswith(model["end_of_word_suffix"])]] = True
+            signs = [self.tokenizer.encode(c, add_special_tokens=False).ids for c in _SIGNS]
+            self.by_word = all(len(x) == 1 for x in signs)
+            self.sign_ids = np.array([0, *(x[0] for x in signs)], np.int32)
+        self._forget()
+
+    def _forget(self) -> None:
+        self.keys, self.first, self.size = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.flat, self.n_flat = np.zeros(1 << 20, np.int32), 0
 
     @classmethod
-    def of(cls, path: str) -> WordEncoder:
+    def of(cls, path: str) -> TextEncoder:
         if path not in _encoders:
             _encoders[path] = cls(path)
         return _encoders[path]
 
+    def _encode_plain(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words of letters, end to end, and how many each has."""
+        joined = [b" ".join(words[i : i + 1000]).decode() for i in range(0, len(words), 1000)]
+        ids = np.concatenate([np.array(e.ids, np.int32) for e in self.plain.encode_batch_fast(joined, add_special_tokens=False)])
+        ends = np.flatnonzero(self.closes[ids]) + 1
+        if len(ends) != len(words):
+            raise ValueError("the tokenizer's model doesn't close every word")
+        return ids, np.diff(ends, prepend=0)
+
+    def _encode_each(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        coded = [e.ids for e in self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)]
+        return np.array([i for c in coded for i in c], np.int32), np.array([len(c) for c in coded], np.int64)
+
+    def _learn(self, keys: np.ndarray, ids: np.ndarray, size: np.ndarray) -> None:
+        if self.n_flat + len(ids) > len(self.flat):
+            self.flat = np.concatenate([self.flat[: self.n_flat], np.zeros(self.n_flat + len(ids), np.int32)])
+        self.flat[self.n_flat : self.n_flat + len(ids)] = ids
+        first = self.n_flat + np.cumsum(size) - size
+        order = np.argsort(keys)
+        at = np.searchsorted(self.keys, keys[order])
+        self.keys, self.first, self.size = np.insert(self.keys, at, keys[order]), np.insert(self.first, at, first[order]), np.insert(self.size, at, size[order])
+        self.n_flat += len(ids)
+
+    def _places(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where keys are among those kept, and whether they are."""
+        at = np.minimum(np.searchsorted(self.keys, keys), max(len(self.keys) - 1, 0))
+        return at, self.keys[at] == keys if len(self.keys) else np.zeros(len(keys), bool)
+
+    def _by_word(self, part: np.ndarray, own: np.ndarray, end_id: int | None) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, number of ids of each row)."""
+        import pyarrow as pa
+
+        starts, ends, _ = W.scan(part, own)
+        low, plain = W._LOWER[part] if self.fold else part, _ASCII_LETTER[part]
+        lead = np.flatnonzero(part == 0xC3)  # it begins a letter of two bytes
+        plain[lead] = True
+        after = lead[lead + 1 < len(part)] + 1
+        plain[after] = _LATIN_LETTER[part[after]]
+        if self.fold:
+            after = after[_LATIN_CAPITAL[part[after]]]
+            low[after] = part[after] + 32
+        odd = np.zeros(len(part) + 1, np.int32)
+        np.cumsum(~plain, dtype=np.int32, out=odd[1:])
+        odd = odd[ends] - odd[starts]
+        sign = _SIGN_OF[part[ends - 1]] if len(ends) else np.zeros(0, np.int64)
+        sign[(odd != 1) | (ends - starts < 2)] = 0
+        letters = odd == (sign > 0)
+        core_ends = ends - (sign > 0)
+        key = np.empty(len(starts), np.uint64)
+        key[letters] = W.hash_spans(low, starts[letters], core_ends[letters])
+        key[~letters] = W.mix(W.hash_spans(part, starts[~letters], ends[~letters]) ^ W._K2)
+        coded = pa.array(key).dictionary_encode()
+        index, keys = coded.indices.to_numpy().astype(np.int64), coded.dictionary.to_numpy().astype(np.uint64)
+        at, known = self._places(keys)
+        if not known.all():
+            if len(self.keys) + int((~known).sum()) > self.most:
+                self._forget()
+                known[:] = False
+            example = np.empty(len(keys), np.int64)
+            example[index] = np.arange(len(index))
+            learned = []
+            for raw, which, encode in ((low, letters, self._encode_plain), (part, ~letters, self._encode_each)):
+                new = np.flatnonzero(~known & which[example])
+                if len(new):
+                    text, e = raw.tobytes(), example[new]
+                    words = [text[i:j] for i, j in zip(starts[e].tolist(), core_ends[e].tolist(), strict=True)]
+                    learned.append((keys[new], *encode(words)))
+            self._learn(*(np.concatenate(x) for x in zip(*learned, strict=True)))
+            at, _ = self._places(keys)
+        core = self.size[at]
+        first, core = self.first[at][index], core[index]
+        n = core + (sign > 0)
+        words_before = np.searchsorted(starts, own)
+        total = np.concatenate([[0], np.cumsum(n)])
+        count = np.diff(total[words_before])
+        closing = end_id is not None
+        begin = total[:-1] + (np.repeat(np.arange(len(own) - 1), np.diff(words_before)) if closing else 0)
+        ids = np.empty(int(total[-1]) + closing * (len(own) - 1), np.int32)
+        before = np.cumsum(core) - core
+        each = np.arange(int(core.sum()))
+        ids[each + np.repeat(begin - before, core)] = self.flat[each + np.repeat(first - before, core)]
+        signed = np.flatnonzero(sign)
+        ids[begin[signed] + core[signed]] = self.sign_ids[sign[signed]]
+        if closing:
+            count = count + 1
+            ids[np.cumsum(count) - 1] = end_id
+        return ids, count
+
     def batch(self, column, end_id: int | None):
         """(ids, number of ids of each row) for some rows at a time."""
         data, offsets = W.flat(column)
         for a, b in W.chunks(offsets, _ENCODE_BYTES):
             part, own = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
-            starts, ends, rows = W.scan(part, own)
-            h = W.hash_spans(part, starts, ends)
-            _, where, back = np.unique(h, return_index=True, return_inverse=True)
-            raw = part.tobytes()
-            distinct = [raw[i:j] for i, j in zip(starts[where].tolist(), ends[where].tolist(), strict=True)]
-            coded = list(map(self.known.get, distinct))
-            missing = [i for i, x in enumerate(coded) if x is None]
-            if missing:
-                kept = {w: x for w, x in zip(distinct, coded, strict=True) if x is not None} if len(self.known) + len(missing) > self.most else None
-                self._learn([distinct[i] for i in missing])
-                if kept is not None:
-                    self.known.update(kept)
-                for i in missing:
-                    coded[i] = self.known[distinct[i]]
-            size = np.fromiter(map(len, coded), np.int64, len(coded)) >> 2
-            flat = np.frombuffer(b"".join(coded), "<i4")
-            first = np.cumsum(size) - size
-            n = size[back]
-            count = np.bincount(rows, weights=n, minlength=b - a).astype(np.int64)
-            at = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first[back], n)
-            ids = flat[at] if len(flat) else np.zeros(0, np.int32)
+            if self.by_word:
+                yield self._by_word(part, own, end_id)
+                continue
+            text = part.tobytes()
+            ids, count = self._encode_each([text[i:j] for i, j in zip(own[:-1].tolist(), own[1:].tolist(), strict=True)])
             if end_id is not None:
-                ids = np.insert(ids, np.cumsum(count), end_id)
-                count = count + 1
+                ids, count = np.insert(ids, np.cumsum(count), end_id), count + 1
             yield ids, count
 
 
@@ -222,7 +331,7 @@ def _write_blocks(path: str, end_id: int, block_ids: int):
         import pyarrow as pa
         from pyspark import TaskContext
 
-        encoder = WordEncoder.of(path)
+        encoder = TextEncoder.of(path)
         first_rule = max(encoder.tokenizer.get_vocab_size(with_added_tokens=True), end_id + 1)
         file, number = TaskContext.get().partitionId(), 0
         held: list[tuple[list, np.ndarray, np.ndarray]] = []
@@ -243,10 +352,16 @@ def _write_blocks(path: str, end_id: int, block_ids: int):
         for batch in W.trimmed(batches):
             keys, at = batch.column(0).to_pylist(), 0
             for ids, count in encoder.batch(batch.column(1), end_id):
-                held.append((keys[at : at + len(count)], ids, count))
+                ends = np.cumsum(count)
+                a = 0
+                while a < len(count):  # a block is closed by the document that fills it
+                    had, begin = sum(len(h[1]) for h in held), int(ends[a] - count[a])
+                    b = min(len(count), int(np.searchsorted(ends, begin + block_ids - had)) + 1)
+                    held.append((keys[at + a : at + b], ids[begin : ends[b - 1]], count[a:b]))
+                    a = b
+                    if sum(len(h[1]) for h in held) >= block_ids:
+                        yield flush()
                 at += len(count)
-                if sum(len(h[1]) for h in held) >= block_ids:
-                    yield flush()
         if held:
             yield flush()
 
