@@ -4,20 +4,25 @@ A line is the set of its words. A line goes if an earlier line has Jaccard
 similarity of at least 4/5 with it, earlier meaning lesser (doc_id, line
 number); equal sets are merged first, so exact repeats never meet each other.
 
+The texts are read once to be taken apart: their lines are stored as places in
+a dictionary of word hashes for each stretch of text (half the input's size),
+and all later steps work on that table.
+
 The join orders a line's words by rarity and files the line under those of
 its first ``size - ceil(4/5 size) + 1`` words that occur anywhere else: two
-similar lines share one. Rarity is the count of a word's bucket among
-2**22; any one order of the words makes the prefix filter exact, so the table of
-counts has a fixed size and is broadcast. What meets under a word passes the
-length filter, the positional filter and a bound on the symmetric difference
-from parity signatures, all exact; Jaccard is verified on whole sets. A line
-needs one match only: each posting list first names a line's ``witnesses``
-earliest candidates, and a line for which none held and that had more gets all
-of its candidates in a second round. So a group of n near copies costs some n
+similar lines share one. Rarity is the number of lines with a word of its
+bucket among 2**22; any one order of the words makes the prefix filter exact, so
+the table of counts has a fixed size and is broadcast. What meets under a word
+passes the length filter, the positional filter and a bound on the symmetric
+difference from parity signatures, all exact; Jaccard is verified on whole sets.
+A line needs one match only: each posting list first names a line's
+``witnesses`` best candidates. What of a posting list such a choice was made
+from is stored with them, and a line for which none of them held gets all the
+others from there in a second round. So a group of n near copies costs some n
 pairs, and no candidate is lost.
 
-Sets of lines that are candidates are found again in the texts by a bitmap of
-fixed size; the texts themselves are shuffled once, to take lines out.
+Sets are told apart by two 64-bit hashes: of their words, and of their parity
+signatures. The texts are shuffled once, to take lines out.
 """
 
 from __future__ import annotations
@@ -33,41 +38,14 @@ from .scratch import Scratch, partitions_for, session_of
 BUCKET_BITS = 22
 SLICES = 64
 BLOOM_BITS = 26
+#: Entries of posting lists that a task holds on average.
+ENTRIES_PER_TASK = 1_000_000
+#: Bytes of text that share a dictionary.
+STRETCH_BYTES = 8 << 20
+#: Lines of more words have signatures of 128 bits, others of 64.
+SHORT = 64
 
-
-class LineSets:
-    """The lines of some texts: their place, and the distinct word hashes of each line that has words."""
-
-    def __init__(self, part: np.ndarray, own: np.ndarray):
-        breaks = np.flatnonzero(part == 10) + 1
-        begin = np.unique(np.concatenate([own[:-1][np.diff(own) > 0], breaks[~np.isin(breaks, own[1:])]])) if len(part) else np.zeros(0, np.int64)
-        doc = np.searchsorted(own, begin, side="right") - 1
-        number = np.arange(len(begin)) - np.searchsorted(doc, doc, side="left")
-        starts, ends, _ = W.scan(part, own)
-        line = np.searchsorted(begin, starts, side="right") - 1
-        h = W.hash_spans(part, starts, ends)
-        if len(h):  # the first place of each word in its line; places keep the order of lines
-            key = W.mix(h ^ W.mix(line.astype(np.uint64) + W._K1))
-            order = np.argsort(key)
-            key = key[order]
-            first = np.minimum.reduceat(order, np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])))
-            first.sort()
-            line, h = line[first], h[first]
-        used, self.size = np.unique(line, return_counts=True)
-        self.doc, self.number = doc[used], number[used]
-        self.first = np.cumsum(self.size) - self.size
-        self.word = h
-        if len(h):
-            self.h1 = np.add.reduceat(W.mix(h + W._K1), self.first).view(np.int64)
-            self.h2 = np.add.reduceat(W.mix(h ^ W._K2), self.first).view(np.int64)
-        else:
-            self.h1 = self.h2 = np.zeros(0, np.int64)
-
-    def parities(self, lines: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Two 64-bit signatures of some lines: each word flips one of 128 bits."""
-        bit = np.uint64(1) << (self.word & np.uint64(63))
-        low = (self.word & np.uint64(64)) == 0
-        return tuple(np.bitwise_xor.reduceat(np.where(pick, bit, np.uint64(0)), self.first)[lines].view(np.int64) for pick in (low, ~low))
+_ONE = np.uint64(1)
 
 
 def _bucket(h: np.ndarray) -> np.ndarray:
@@ -84,9 +62,11 @@ def _slices(table: np.ndarray):
 
 
 def _combined(rows: DataFrame, dtype: str, bitwise: bool) -> np.ndarray:
-    """Sum (or union) of the tables that tasks gave in slices; SLICES rows reach the driver."""
+    """Sum (of 64 bits) or union of the tables that tasks gave in slices; SLICES rows reach the driver."""
     import zstandard
 
+    wide = dtype if bitwise else "u8"
+
     def merge(batches):
         import pyarrow as pa
         import zstandard
@@ -96,34 +76,182 @@ def _combined(rows: DataFrame, dtype: str, bitwise: bool) -> np.ndarray:
         for batch in W.trimmed(batches):
             for k, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 part = np.frombuffer(z.decompress(raw), dtype)
-                total[k] = part.copy() if k not in total else (total[k] | part if bitwise else total[k] + part)
+                if k not in total:
+                    total[k] = part.astype(wide)
+                elif bitwise:
+                    total[k] |= part
+                else:
+                    total[k] += part
         c = zstandard.ZstdCompressor(level=1)
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([c.compress(x.tobytes()) for x in total.values()], pa.binary())], names=["slice", "payload"])
 
     z = zstandard.ZstdDecompressor()
     got = dict(rows.repartition(SLICES, "slice").mapInArrow(merge, "slice int, payload binary").toLocalIterator())
     width = (1 << (BLOOM_BITS - 3) if bitwise else 1 << BUCKET_BITS) // SLICES
-    return np.concatenate([np.frombuffer(z.decompress(got[k]), dtype) if k in got else np.zeros(width, dtype) for k in range(SLICES)])
+    return np.concatenate([np.frombuffer(z.decompress(got[k]), wide) if k in got else np.zeros(width, wide) for k in range(SLICES)])
+
+
+# --- lines as places in dictionaries -----------------------------------------
+
+#: A stretch of text: ids and hashes of its rows; row, number and size of each line with words; the lines'
+#: distinct words, end to end, as places in the dictionary.
+STRETCH = "ids binary, nulls binary, text_hash binary, row binary, number binary, size binary, word binary, dictionary binary, word_width int, prefixes long"
+
+
+def lines_of(part: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, number, size, word) of the lines with words of some texts: the hashes of their distinct words, end to end."""
+    import pyarrow as pa
+
+    breaks = np.flatnonzero(part == 10) + 1
+    begin = np.unique(np.concatenate([own[:-1][np.diff(own) > 0], breaks[~np.isin(breaks, own[1:])]])) if len(part) else np.zeros(0, np.int64)
+    row = np.searchsorted(own, begin, side="right") - 1
+    number = np.arange(len(begin)) - np.searchsorted(row, row, side="left")
+    starts, ends, _ = W.scan(part, own)
+    line = np.searchsorted(begin, starts, side="right") - 1
+    coded = pa.array(W.hash_spans(part, starts, ends)).dictionary_encode()
+    key = np.sort((line << 32) | coded.indices.to_numpy().astype(np.int64))
+    key = key[np.diff(key, prepend=-1) != 0]
+    line = key >> 32
+    first, size = _runs_of(line)
+    used = line[first]
+    return row[used], number[used], size, coded.dictionary.to_numpy().astype(np.uint64)[key & 0xFFFFFFFF]
+
+
+def _stretches(batches):
+    """Rows of STRETCH, each of about STRETCH_BYTES of text, which is scanned in smaller chunks."""
+    import pyarrow as pa
+
+    names = [c.split()[0] for c in STRETCH.split(", ")]
+    types = [pa.binary()] * 8 + [pa.int32(), pa.int64()]
+    held, n_rows, n_bytes = [], 0, 0
+
+    def out():
+        nonlocal held, n_rows, n_bytes
+        ids, nulls, text_hash, row, number, size, word = (np.concatenate(x) for x in zip(*held, strict=True))
+        held, n_rows, n_bytes = [], 0, 0
+        coded = pa.array(word).dictionary_encode()
+        dictionary, place = coded.dictionary.to_numpy().astype(np.uint64), coded.indices.to_numpy()
+        width = 2 if len(dictionary) <= 1 << 16 else 3 if len(dictionary) <= 1 << 24 else 4
+        planes = place.astype("<u2").tobytes() + ((place >> 16).astype(("u1", "<u2")[width - 3]).tobytes() if width > 2 else b"")
+        values = [ids.tobytes(), nulls.tobytes(), text_hash.tobytes(), row.astype("<u4").tobytes(), number.astype("<u4").tobytes(), size.astype("<u4").tobytes(), planes, dictionary.tobytes(), width, int((size - (4 * size + 4) // 5 + 1).sum())]
+        return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, types, strict=True)], names=names)
+
+    for batch in W.trimmed(batches):
+        data, offsets = W.flat(batch.column(1))
+        ids, nulls = batch.column(0).fill_null(-(1 << 63)).to_numpy(zero_copy_only=False), batch.column(0).is_null().to_numpy(zero_copy_only=False)
+        text_hash = batch.column(2).to_numpy(zero_copy_only=False)
+        for a, b in W.chunks(offsets):
+            row, number, size, word = lines_of(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+            if not len(size):
+                continue
+            held.append((ids[a:b], nulls[a:b], text_hash[a:b], row + n_rows, number, size, word))
+            n_rows, n_bytes = n_rows + b - a, n_bytes + int(offsets[b] - offsets[a])
+            if n_bytes >= STRETCH_BYTES:
+                yield out()
+    if held:
+        yield out()
+
+
+def _places_of(planes: bytes, width: int) -> np.ndarray:
+    n = len(planes) // width
+    low = np.frombuffer(planes, "<u2", n)
+    return low if width == 2 else low.astype(np.int64) | (np.frombuffer(planes, ("u1", "<u2")[width - 3], n, 2 * n).astype(np.int64) << 16)
 
 
 def _count_words(batches):
-    """How often words of each bucket come: at least the number of their lines."""
+    """In how many lines words of each bucket are."""
     table, some = np.zeros(1 << BUCKET_BITS, np.uint32), False
     for batch in W.trimmed(batches):
-        data, offsets = W.flat(batch.column(0))
-        for a, b in W.chunks(offsets):
-            part, own = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
-            starts, ends, _ = W.scan(part, own)
-            np.add.at(table, _bucket(W.hash_spans(part, starts, ends)), np.uint32(1))
+        for word, dictionary, width in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            dictionary = np.frombuffer(dictionary, np.uint64)
+            np.add.at(table, _bucket(dictionary), np.bincount(_places_of(word, width), minlength=len(dictionary)).astype(np.uint32))
             some = True
     if some:
         yield _slices(table)
 
 
+def _second_hash(p1: np.ndarray, p2: np.ndarray) -> np.ndarray:
+    return W.mix(p1 ^ W.mix(p2 + W._K2))
+
+
+class Stretch:
+    """A stored stretch of text; ``h1``, ``h2`` tell the sets of its lines apart."""
+
+    def __init__(self, row: dict):
+        self.ids, self.nulls = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["nulls"], bool)
+        self.text_hash = np.frombuffer(row["text_hash"], np.int64)
+        self.row, self.number, self.size = (np.frombuffer(row[c], "<u4").astype(np.int64) for c in ("row", "number", "size"))
+        self.word = _places_of(row["word"], row["word_width"])
+        self.dictionary = np.frombuffer(row["dictionary"], np.uint64)
+        self.first = np.cumsum(self.size) - self.size
+        d = self.dictionary
+        bit, low = _ONE << (d & np.uint64(63)), (d & np.uint64(64)) == 0
+        self.p1 = np.bitwise_xor.reduceat(np.where(low, bit, np.uint64(0))[self.word], self.first)
+        self.p2 = np.bitwise_xor.reduceat(np.where(low, np.uint64(0), bit)[self.word], self.first)
+        self.h1 = np.add.reduceat(W.mix(d + W._K1)[self.word], self.first)
+        short = self.size <= SHORT
+        self.p1[short] ^= self.p2[short]
+        self.p2[short] = 0
+        self.h2 = _second_hash(self.p1, self.p2)
+
+    def firsts(self) -> np.ndarray:
+        """A line of each set."""
+        return np.sort(np.unique(self.h1, return_index=True)[1])
+
+
+def _each(job):
+    """A task that gives ``job(stretch)`` for every stretch."""
+
+    def run(batches):
+        for batch in W.trimmed(batches):
+            for row in batch.to_pylist():
+                yield job(Stretch(row))
+
+    return run
+
+
 # --- candidates --------------------------------------------------------------
 
-ENTRY = "token long, h1 long, parity1 long, parity2 long, doc_id long, meta long"
-PAIR = "later long, earlier long, more boolean"
+#: Part of the posting lists, and a block of their entries.
+BLOCK = "part int, block binary"
+ENTRY = (("token", "u8"), ("h1", "u8"), ("p1", "u8"), ("p2", "u8"), ("doc", "i8"), ("number", "u4"), ("size", "u4"), ("place", "u4"))
+PAIR = "later long, later2 long, earlier long, earlier2 long, more boolean, block binary"
+
+
+def _packed(columns: list[np.ndarray]) -> bytes:
+    """Columns of a block of entries: tokens in five bytes, the second signature of long lines only, small numbers in as few bytes as they need."""
+    token, h1, p1, p2, *rest = columns
+    n = len(token)
+    long = rest[2] > SHORT
+    out = [np.array([n, long.sum()], np.int64).tobytes(), (token & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes(), (token >> np.uint64(32)).astype(np.uint8).tobytes(), h1.tobytes(), p1.tobytes(), p2[long].tobytes()]
+    for c in rest:
+        low, high = (int(c.min()), int(c.max())) if n else (0, 0)
+        kind = next((k for k, m in (("u1", 1 << 8), ("u2", 1 << 16), ("u4", 1 << 32)) if high - low < m), "i8")
+        low = low if kind != "i8" else 0
+        out += [kind.encode(), np.int64(low).tobytes(), (c - low).astype(kind).tobytes()]
+    return b"".join(out)
+
+
+def _unpacked(block: bytes) -> list[np.ndarray]:
+    n, n_long = np.frombuffer(block, np.int64, 2).tolist()
+    at = 16
+
+    def take(kind: str, count: int) -> np.ndarray:
+        nonlocal at
+        out = np.frombuffer(block, kind, count, at)
+        at += out.nbytes
+        return out
+
+    token = take("<u4", n).astype(np.uint64) | (take("u1", n).astype(np.uint64) << np.uint64(32))
+    h1, p1, second, rest = take("u8", n), take("u8", n), take("u8", n_long), []
+    for _ in range(4):
+        kind = block[at : at + 2].decode()
+        at += 2
+        low = int(take("i8", 1)[0])
+        rest.append(take(kind, n).astype(np.int64) + low)
+    p2 = np.zeros(n, np.uint64)
+    p2[rest[2] > SHORT] = second
+    return [token, h1, p1, p2, *rest]
 
 
 def _by_rarity(line: np.ndarray, often: np.ndarray, word: np.ndarray) -> np.ndarray:
@@ -142,165 +270,194 @@ def _by_rarity(line: np.ndarray, often: np.ndarray, word: np.ndarray) -> np.ndar
         order[wrong], order[wrong + 1] = order[wrong + 1], order[wrong]
 
 
-def _entries(counts, tokens=None):
-    """The line under each word of its prefix that other lines have; meta is line number, size, position.
+def prefixes(s: Stretch, often: np.ndarray) -> list[np.ndarray]:
+    """The columns of ENTRY for a line of each set under each word of its prefix that other lines have.
 
-    ``tokens``: a bitmap of the words to file under, none if all.
+    ``often``: in how many lines each word of the dictionary is.
     """
-
+    rarest = np.lexsort((s.dictionary, often))
+    rank = np.empty(len(rarest), np.int64)
+    rank[rarest] = np.arange(len(rarest))
+    key = np.sort((np.repeat(np.arange(len(s.size)), s.size) << 32) | rank[s.word])
+    line, word = key >> 32, rarest[key & 0xFFFFFFFF]
+    place = np.arange(len(key)) - np.repeat(s.first, s.size)
+    keep = np.zeros(len(s.size), bool)
+    keep[s.firsts()] = True
+    reach = np.where(keep, s.size - (4 * s.size + 4) // 5 + 1, 0)
+    at = np.flatnonzero((place < np.repeat(reach, s.size)) & (often[word] > 1))
+    line, word, place = line[at], word[at], place[at]
+    return [s.dictionary[word], s.h1[line], s.p1[line], s.p2[line], s.ids[s.row[line]], s.number[line], s.size[line], place]
+
+
+def _entries(counts, parts: int):
     def run(batches):
         import pyarrow as pa
 
-        table = counts.value
+        def blocks():
+            columns = [np.concatenate(c) for c in zip(*held, strict=True)]
+            mixed = W.mix(columns[0])
+            part, columns[0] = (mixed % np.uint64(parts)).astype(np.int64), mixed >> np.uint64(24)  # words that share a token only meet in vain
+            order = np.argsort(part, kind="stable")
+            edge = np.searchsorted(part[order], np.arange(parts + 1))
+            some = np.flatnonzero(np.diff(edge))
+            columns = [c[order] for c in columns]
+            packed = [_packed([c[edge[k] : edge[k + 1]] for c in columns]) for k in some.tolist()]
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(packed, pa.binary())], names=["part", "block"])
+
+        table, held = counts.value, []
         for batch in W.trimmed(batches):
-            data, offsets = W.flat(batch.column(1))
-            ids = batch.column(0).fill_null(-(1 << 63)).to_numpy(zero_copy_only=False)
-            for a, b in W.chunks(offsets):
-                s = LineSets(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-                if not len(s.size):
-                    continue
-                _, one = np.unique(s.h1, return_index=True)  # the first line of each set here
-                keep = np.zeros(len(s.size), bool)
-                keep[one] = True
-                line = np.repeat(np.arange(len(s.size)), s.size)
-                kept = keep[line]
-                line, word = line[kept], s.word[kept]
-                often = table[_bucket(word)]
-                order = _by_rarity(line, often, word)
-                line, word, often = line[order], word[order], often[order]
-                start = np.flatnonzero(np.concatenate([[True], line[1:] != line[:-1]]))
-                place = np.arange(len(line)) - np.repeat(start, np.diff(np.append(start, len(line))))
-                size = s.size[line]
-                pick = (place < size - (4 * size + 4) // 5 + 1) & (often > 1)
-                if tokens is not None:
-                    pick &= _in_bloom(tokens.value, word.view(np.int64))
-                line, word, place, size = line[pick], word[pick], place[pick], size[pick]
-                meta = (np.minimum(s.number[line], (1 << 23) - 1) << 40) | (np.minimum(size, (1 << 24) - 1) << 16) | np.minimum(place, (1 << 16) - 1)
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (word.view(np.int64), s.h1[line], *s.parities(line), ids[a:b][s.doc[line]], meta)], names=[c.split()[0] for c in ENTRY.split(", ")])
-
-    return run
-
-
-def _prefix_words(counts):
-    """The words of stored sets under which their lines are filed."""
-
-    def run(batches):
-        import pyarrow as pa
-
-        for batch in W.trimmed(batches):
-            found = [np.zeros(0, np.uint64)]
-            for raw in batch.column(0).to_pylist():
-                word = np.frombuffer(raw, np.uint64)
-                often = counts.value[_bucket(word)]
-                order = _by_rarity(np.zeros(len(word), np.int64), often, word)[: len(word) - (4 * len(word) + 4) // 5 + 1]
-                found.append(word[order][often[order] > 1])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64))], names=["token"])
+            for row in batch.to_pylist():
+                s = Stretch(row)
+                held.append(prefixes(s, table[_bucket(s.dictionary)]))
+                if sum(len(h[0]) for h in held) >= ENTRIES_PER_TASK:
+                    yield blocks()
+        if held:
+            yield blocks()
 
     return run
 
 
 def _runs_of(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Where each run of equal values begins, and its length."""
-    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
     return first, np.diff(np.append(first, len(key)))
 
 
-def _candidates(witnesses: int, wanted=None):
-    """(later, earlier, more) of each run of equal tokens; ``wanted``: all candidates, of these later lines only."""
-
-    def pairs_of(token, h1, p1, p2, doc, meta):
-        _, length = _runs_of(token)
-        many = np.repeat(length > 1, length)
-        token, h1, p1, p2, doc, meta = (x[many] for x in (token, h1, p1, p2, doc, meta))
-        run = np.repeat(np.arange(int((length > 1).sum())), length[length > 1])
-        # the first line of each set in a run
-        order = np.lexsort((meta >> 40, doc, h1, run))
-        new = np.concatenate([[True], (run[order][1:] != run[order][:-1]) | (h1[order][1:] != h1[order][:-1])]) if len(order) else np.zeros(0, bool)
-        pick = order[new]
-        size = (meta[pick] >> 16) & ((1 << 24) - 1)
-        pick = pick[np.lexsort((size, run[pick]))]
-        run, h1, doc, meta = (x[pick] for x in (run, h1, doc, meta))
-        p1, p2 = (x[pick].view(np.uint64) for x in (p1, p2))
-        n = len(run)
-        none = np.zeros(0, np.int64)
-        if n < 2:
-            return none, none, np.zeros(0, bool)
-        size, place, line = (meta >> 16) & ((1 << 24) - 1), meta & ((1 << 16) - 1), meta >> 40
-        first, length = _runs_of(run)
-        # sizes grow in a run, so partners of up to 5/4 the size follow at once
-        reach = np.searchsorted(run * (1 << 25) + size, run * (1 << 25) + (5 * size) // 4, side="right")
-        # the shared word must be early enough in the smaller line for enough to follow
-        at = np.flatnonzero((reach > np.arange(n) + 1) & (place <= size - (8 * size + 8) // 9))
-        asked = None if wanted is None else _in_bloom(wanted.value, h1)
-        earlier, later, slack = [], [], []
-        step = 1
-        while len(at):
-            # a chunk of lines with all their partners at once, or all lines with one partner each
-            if len(at) * 8 < n and step == 1:
-                break
-            e = at + step
-            keep(at, e, size, place, p1, p2, doc, line, h1, asked, earlier, later, slack)
-            step += 1
-            at = at[reach[at] > at + step]
-            if len(at) * 8 < n:
-                break
-        for lo in range(0, len(at), 1 << 12):
-            some = at[lo : lo + (1 << 12)]
-            count = reach[some] - some - step
-            for cut in np.array_split(np.arange(len(some)), max(1, int(count.sum()) >> 20)):
-                c = count[cut]
-                x = np.repeat(some[cut], c)
-                e = x + step + np.arange(int(c.sum())) - np.repeat(np.cumsum(c) - c, c)
-                keep(x, e, size, place, p1, p2, doc, line, h1, asked, earlier, later, slack)
-        if not later:
-            return none, none, np.zeros(0, bool)
-        x, y, room = np.concatenate(earlier), np.concatenate(later), np.concatenate(slack)
-        # of a line's candidates, those come first whose signatures leave most room: they most likely hold
-        order = np.lexsort((h1[x], line[x], doc[x], room, h1[y]))
-        x, y = x[order], y[order]
-        new = np.concatenate([[True], (h1[y][1:] != h1[y][:-1]) | (h1[x][1:] != h1[x][:-1])])
-        x, y = x[new], y[new]
-        first, length = _runs_of(h1[y])
-        if wanted is not None:
-            return h1[y], h1[x], np.zeros(len(x), bool)
-        nth = np.arange(len(y)) - np.repeat(first, length)
-        few = nth < witnesses
-        return h1[y][few], h1[x][few], np.repeat(length > witnesses, length)[few]
-
-    def keep(a, b, size, place, p1, p2, doc, line, h1, asked, earlier, later, slack):
-        """Those of the pairs (a, b) that pass the filters, the earlier line first."""
+def candidates(entries: list[np.ndarray], witnesses: int, asked=None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(later, earlier, more, crowded) as rows of ``entries``, which are sorted by token.
+
+    A later line gets its ``witnesses`` best candidates, and ``more`` if it has
+    others; ``crowded`` are the rows among which it has them. ``asked``
+    (h1, h2): gives all candidates, of the later lines for which it is true.
+    """
+    token, h1, p1, p2, doc, number, size_all, place_all = entries
+    none = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool), np.zeros(0, np.int64))
+    first, length = _runs_of(token)
+    at = np.flatnonzero(np.repeat(length > 1, length))
+    if not len(at):
+        return none
+    run = np.repeat(np.arange(int((length > 1).sum())), length[length > 1])
+    # the first line of each set in a run
+    order = np.lexsort((number[at], doc[at], h1[at], run))
+    at, run = at[order], run[order]
+    new = np.concatenate([[True], (run[1:] != run[:-1]) | (h1[at][1:] != h1[at][:-1]) | (p1[at][1:] != p1[at][:-1]) | (p2[at][1:] != p2[at][:-1])])
+    at, run = at[new], run[new]
+    order = np.lexsort((size_all[at], run))
+    at, run = at[order], run[order]
+    n = len(at)
+    size, place = size_all[at], place_all[at]
+    q1, q2 = p1[at], p2[at]
+    # sizes grow in a run, so partners of up to 5/4 the size follow at once
+    wide = int(size.max()) * 2 + 2
+    reach = np.searchsorted(run * wide + size, run * wide + (5 * size) // 4, side="right")
+    # the shared word must be early enough in the smaller line for enough to follow
+    own = np.flatnonzero((reach > np.arange(n) + 1) & (place <= size - (8 * size + 8) // 9))
+    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+    def keep(a, b):
+        """Those of the pairs (a, b) that pass the filters."""
         sa, sb = size[a], size[b]
         least = (4 * (sa + sb) + 8) // 9  # words that they must share
-        apart = np.bitwise_count(p1[a] ^ p1[b]).astype(np.int64) + np.bitwise_count(p2[a] ^ p2[b])
-        ok = (apart <= sa + sb - 2 * least) & (np.minimum(sa - place[a], sb - place[b]) >= least)
-        a, b, room = a[ok], b[ok], (apart - (sa + sb - 2 * least))[ok]
-        swap = (doc[b] < doc[a]) | ((doc[b] == doc[a]) & ((line[b] < line[a]) | ((line[b] == line[a]) & (h1[b] < h1[a]))))
-        x, y = np.where(swap, b, a), np.where(swap, a, b)
-        if asked is not None:
-            room = room[asked[y]]
-            x, y = x[asked[y]], y[asked[y]]
-        if len(x):
-            earlier.append(x)
-            later.append(y)
-            slack.append(room)
+        # signatures of 128 bits fold into those of 64; both bound the symmetric difference from below
+        long = (sa > SHORT) & (sb > SHORT)
+        apart = np.where(long, np.bitwise_count(q1[a] ^ q1[b]).astype(np.int64) + np.bitwise_count(q2[a] ^ q2[b]), np.bitwise_count(q1[a] ^ q2[a] ^ q1[b] ^ q2[b]))
+        ok = np.flatnonzero((apart <= sa + sb - 2 * least) & (np.minimum(sa - place[a], sb - place[b]) >= least))
+        if len(ok):
+            found.append((a[ok], b[ok], (apart - (sa + sb - 2 * least))[ok]))
+
+    step = 1
+    while len(own) * 8 >= n:  # all lines with one partner each, while most have one
+        keep(own, own + step)
+        step += 1
+        own = own[reach[own] >= own + step + 1]
+    for lo in range(0, len(own), 1 << 12):
+        some = own[lo : lo + (1 << 12)]
+        count = reach[some] - some - step
+        for cut in np.array_split(np.arange(len(some)), max(1, int(count.sum()) >> 20)):
+            c = count[cut]
+            x = np.repeat(some[cut], c)
+            keep(x, x + step + np.arange(int(c.sum())) - np.repeat(np.cumsum(c) - c, c))
+    if not found:
+        return none
+    a, b, room = (np.concatenate(x) for x in zip(*found, strict=True))
+    place_of = np.empty(n, np.int64)
+    place_of[np.lexsort((p2[at], p1[at], h1[at], number[at], doc[at]))] = np.arange(n)
+    swap = place_of[b] < place_of[a]
+    x, y = at[np.where(swap, b, a)], at[np.where(swap, a, b)]
+    if asked is not None:
+        wanted = asked(h1[y], p1[y], p2[y])
+        x, y, room = x[wanted], y[wanted], room[wanted]
+        if not len(x):
+            return none
+    # of a line's candidates, those come first whose signatures leave most room: they most likely hold
+    order = np.lexsort((h1[x], number[x], doc[x], room, p2[y], p1[y], h1[y]))
+    x, y = x[order], y[order]
+    if asked is not None:
+        return y, x, np.zeros(len(x), bool), none[3]
+    group = np.concatenate([[True], (h1[y][1:] != h1[y][:-1]) | (p1[y][1:] != p1[y][:-1]) | (p2[y][1:] != p2[y][:-1])])
+    new = group | np.concatenate([[True], h1[x][1:] != h1[x][:-1]])  # under another word they met already
+    number_of = np.cumsum(group) - 1
+    nth = np.cumsum(new) - 1
+    nth -= nth[np.flatnonzero(group)][number_of]
+    more = (np.bincount(number_of, weights=new) > witnesses)[number_of]
+    few = new & (nth < witnesses)
+    crowded = np.unique(np.concatenate([x[more], y[more]]))
+    return y[few], x[few], more[few], crowded
+
+
+def _pairs(columns, later, earlier, more, block=None):
+    import pyarrow as pa
+
+    def h2(at):
+        return _second_hash(columns[2][at], columns[3][at]).view(np.int64)
+
+    arrays = [columns[1][later].view(np.int64), h2(later), columns[1][earlier].view(np.int64), h2(earlier), more]
+    fields = [pa.array(v) for v in arrays]
+    blocks = pa.nulls(len(later), pa.binary())
+    if block is not None:
+        fields = [pa.concat_arrays([f, pa.nulls(1, f.type)]) for f in fields]
+        blocks = pa.concat_arrays([blocks, pa.array([block], pa.binary())])
+    return pa.RecordBatch.from_arrays([*fields, blocks], names=[c.split()[0] for c in PAIR.split(", ")])
+
+
+def _first_round(witnesses: int):
+    """The best candidates of each part of the posting lists, and what the others can be found in."""
 
     def run(batches):
-        import pyarrow as pa
+        def done():
+            columns = [np.concatenate(c) for c in zip(*held, strict=True)]
+            held.clear()
+            order = np.argsort(columns[0], kind="stable")
+            columns = [c[order] for c in columns]
+            later, earlier, more, crowded = candidates(columns, witnesses)
+            return _pairs(columns, later, earlier, more, _packed([c[crowded] for c in columns]) if len(crowded) else None)
+
+        now, held = None, []
+        for batch in W.trimmed(batches):  # sorted by part
+            for part, block in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if part != now and held:
+                    yield done()
+                now = part
+                held.append(_unpacked(block))
+        if held:
+            yield done()
 
-        def out(arrays):
-            return pa.RecordBatch.from_arrays([pa.array(x) for x in pairs_of(*arrays)], names=["later", "earlier", "more"])
+    return run
+
+
+def _second_round(bits):
+    """All candidates of the lines asked for in stored parts of posting lists."""
+
+    def run(batches):
+        def asked(h1, p1, p2):
+            return _in_bloom(bits.value, h1.view(np.int64))
 
-        held: list[list[np.ndarray]] = []
         for batch in W.trimmed(batches):
-            held.append([batch.column(i).to_numpy(zero_copy_only=False) for i in range(6)])
-            token = held[-1][0]
-            if len(token) and held[0][0][0] != token[-1]:
-                arrays = [np.concatenate(x) for x in zip(*held, strict=True)]
-                cut = int(np.searchsorted(arrays[0], token[-1], side="left"))
-                yield out([x[:cut] for x in arrays])
-                held = [[x[cut:] for x in arrays]]
-        if held and sum(len(x[0]) for x in held):
-            yield out([np.concatenate(x) for x in zip(*held, strict=True)])
+            for block in batch.column(0).to_pylist():
+                columns = _unpacked(block)
+                later, earlier, more, _ = candidates(columns, 0, asked)
+                yield _pairs(columns, later, earlier, more)
 
     return run
 
@@ -329,91 +486,93 @@ def _bloom(batches):
 
 
 def _bitmap(spark: SparkSession, ids: DataFrame):
+    """A bitmap of fixed size that holds all ids of a frame, and some others."""
     return spark.sparkContext.broadcast(_combined(ids.mapInArrow(_bloom, "slice int, payload binary"), "u1", True))
 
 
-OCCURRENCE = "h1 long, h2 long, doc_id long, text_hash long, line int, words binary"
+def _sets(bits):
+    """(h1, h2, sorted word hashes) of sets that may be candidates."""
 
+    def job(s: Stretch):
+        import pyarrow as pa
 
-def _occurrences(bits):
-    """Every line with words; with its sorted word hashes if it may be a candidate."""
+        at = s.firsts()
+        at = at[_in_bloom(bits.value, s.h1[at].view(np.int64))]
+        own = [np.sort(s.dictionary[s.word[a : a + n]]).tobytes() for a, n in zip(s.first[at].tolist(), s.size[at].tolist(), strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array(s.h1[at].view(np.int64)), pa.array(s.h2[at].view(np.int64)), pa.array(own, pa.binary())], names=["h1", "h2", "words"])
 
-    def run(batches):
-        import pyarrow as pa
+    return _each(job)
 
-        for batch in W.trimmed(batches):
-            data, offsets = W.flat(batch.column(1))
-            ids, null, text_hash = batch.column(0).fill_null(0).to_numpy(zero_copy_only=False), batch.column(0).is_null().to_numpy(zero_copy_only=False), batch.column(2).to_numpy(zero_copy_only=False)
-            for a, b in W.chunks(offsets):
-                s = LineSets(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-                sets = [None] * len(s.size)
-                for i in np.flatnonzero(_in_bloom(bits.value, s.h1)).tolist():
-                    sets[i] = s.word[s.first[i] : s.first[i] + s.size[i]].tobytes()
-                doc = s.doc + a
-                yield pa.RecordBatch.from_arrays([pa.array(s.h1), pa.array(s.h2), pa.array(ids[doc], mask=null[doc]), pa.array(text_hash[doc]), pa.array(s.number.astype(np.int32)), pa.array(sets, pa.binary())], names=[c.split()[0] for c in OCCURRENCE.split(", ")])
 
-    return run
+def _places(s: Stretch):
+    """Every line with words."""
+    import pyarrow as pa
+
+    ids = pa.array(s.ids[s.row], mask=s.nulls[s.row])
+    return pa.RecordBatch.from_arrays([pa.array(s.h1.view(np.int64)), pa.array(s.h2.view(np.int64)), ids, pa.array(s.text_hash[s.row]), pa.array(s.number)], names=["h1", "h2", "doc_id", "text_hash", "line"])
 
 
 def _verify(batches):
-    """later, whether Jaccard is 4/5 or more, more."""
+    """Whether Jaccard is 4/5 or more."""
     import pyarrow as pa
 
     for batch in W.trimmed(batches):
         held = []
-        for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+        for x, y in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True):
             a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
             both = len(np.intersect1d(a, b, assume_unique=True))
             held.append(5 * both >= 4 * (len(a) + len(b) - both))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(held, pa.bool_()), batch.column(1)], names=["later", "held", "more"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(held, pa.bool_()), batch.column(2)], names=["later", "later2", "held", "more"])
 
 
 def removed_lines(docs: DataFrame, scratch: Scratch, witnesses: int = 6) -> DataFrame:
-    """(doc_id, text_hash, lines array<int>) of the rows of ``docs`` that lose lines, numbered from 0."""
+    """(doc_id, text_hash, lines array<long>) of the rows of ``docs`` that lose lines, numbered from 0."""
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
-    counts = spark.sparkContext.broadcast(_combined(rows.select("text").mapInArrow(_count_words, "slice int, payload binary"), "u4", False))
-    parts = partitions_for(spark, 0, 1)
-
-    def candidates(name: str, job, tokens=None) -> DataFrame:
-        entries = rows.select("doc_id", "text").mapInArrow(_entries(counts, tokens), ENTRY)
-        found = entries.repartition(parts, "token").sortWithinPartitions("token").mapInArrow(job, PAIR)
-        return scratch.table(name, found.groupBy("later", "earlier").agg(F.max("more").alias("more")))
-
-    def verified(pairs: DataFrame, lines: DataFrame) -> DataFrame:
-        sets = lines.where("words is not null").groupBy("h1").agg(F.min("words").alias("words"))
-        joined = pairs.join(sets.select(F.col("h1").alias("later"), F.col("words").alias("a")), "later").join(sets.select(F.col("h1").alias("earlier"), F.col("words").alias("b")), "earlier")
-        tried = joined.select("later", "more", "a", "b").mapInArrow(_verify, "later long, held boolean, more boolean")
-        return tried.groupBy("later").agg(F.max("held").alias("held"), F.max("more").alias("more"))
-
-    pairs = candidates("pairs", _candidates(witnesses))
-    ends = pairs.select("later").union(pairs.select("earlier"))
-    lines = scratch.table("lines", rows.mapInArrow(_occurrences(_bitmap(spark, ends)), OCCURRENCE))
-    scratch.release()
-    tried = scratch.table("tried", verified(pairs, lines))
+    stretches = scratch.table("stretches", rows.mapInArrow(_stretches, STRETCH))
+    table = _combined(stretches.select("word", "dictionary", "word_width").mapInArrow(_count_words, "slice int, payload binary"), "u4", False)
+    counts = spark.sparkContext.broadcast(np.minimum(table, 0xFFFFFFFF).astype(np.uint32))  # only their order matters
+    total = stretches.agg(F.coalesce(F.sum("prefixes"), F.lit(0))).first()[0]
+    parts = partitions_for(spark, total, ENTRIES_PER_TASK)
+
+    def first_round() -> DataFrame:
+        blocks = stretches.mapInArrow(_entries(counts, parts), BLOCK).repartition(parts, "part").sortWithinPartitions("part")
+        return scratch.table("first-round", blocks.mapInArrow(_first_round(witnesses), PAIR))
+
+    first = first_round()
     scratch.release()
-    similar = tried.where("held").select("later")
-    open_ = tried.where("more and not held").select("later")
+
+    def once(pairs: DataFrame) -> DataFrame:
+        return pairs.where("later is not null").groupBy("later", "later2", "earlier", "earlier2").agg(F.max("more").alias("more"))
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        bits = _bitmap(spark, pairs.select("later").union(pairs.select("earlier")))
+        sets = scratch.table("sets", stretches.mapInArrow(_sets(bits), "h1 long, h2 long, words binary")).groupBy("h1", "h2").agg(F.min("words").alias("words"))
+        ends = [sets.select(F.col("h1").alias(x), F.col("h2").alias(f"{x}2"), F.col("words").alias(w)) for x, w in (("later", "a"), ("earlier", "b"))]
+        joined = pairs.join(ends[0], ["later", "later2"]).join(ends[1], ["earlier", "earlier2"])
+        tried = joined.select("later", "later2", "more", "a", "b").mapInArrow(_verify, "later long, later2 long, held boolean, more boolean")
+        return tried.groupBy("later", "later2").agg(F.max("held").alias("held"), F.max("more").alias("more"))
+
+    pairs = scratch.table("pairs", once(first))
+    tried = scratch.table("tried", verified(pairs))
+    similar = tried.where("held").select("later", "later2")
+    open_ = scratch.table("open", tried.where("more and not held").select("later", "later2"))
     if not open_.isEmpty():
-        asked = lines.where("words is not null").join(open_, F.col("h1") == F.col("later"), "left_semi").select("words")
-        tokens = _bitmap(spark, asked.mapInArrow(_prefix_words(counts), "token long"))
-        rest = candidates("rest", _candidates(witnesses, _bitmap(spark, open_)), tokens).join(open_, "later", "left_semi")
+        rest = first.where("block is not null").select("block").mapInArrow(_second_round(_bitmap(spark, open_.select("later"))), PAIR)
+        rest = once(rest.join(open_, ["later", "later2"], "left_semi"))
         # what the first round has tried needs no second try
-        rest = scratch.table("rest-pairs", rest.join(pairs, ["later", "earlier"], "left_anti"))
+        rest = scratch.table("rest", rest.join(pairs.drop("more"), ["later", "later2", "earlier", "earlier2"], "left_anti"))
         if not rest.isEmpty():
-            again = rows.mapInArrow(_occurrences(_bitmap(spark, rest.select("later").union(rest.select("earlier")))), OCCURRENCE)
-            similar = similar.union(scratch.table("retried", verified(rest, again)).where("held").select("later"))
+            similar = similar.union(scratch.table("retried", verified(rest)).where("held").select("later", "later2"))
 
     # a set's first line stays unless the set itself is similar to an earlier one
     place = F.struct(F.col("doc_id").isNotNull().alias("some"), "doc_id", "line", "text_hash")
-    own = lines.select("h1", "h2", "doc_id", "text_hash", "line")
+    own = stretches.mapInArrow(_each(_places), "h1 long, h2 long, doc_id long, text_hash long, line long").repartition(partitions_for(spark, 0, 1), "h1", "h2")
     firsts = own.groupBy("h1", "h2").agg(F.min(place).alias("first"))
-    firsts = firsts.join(similar.distinct().withColumnRenamed("later", "h1").withColumn("similar", F.lit(True)), "h1", "left")
+    firsts = firsts.join(similar.select(F.col("later").alias("h1"), F.col("later2").alias("h2"), F.lit(True).alias("similar")), ["h1", "h2"], "left")
     marked = own.join(firsts, ["h1", "h2"])
     gone = marked.where(F.col("similar").isNotNull() | (place != F.col("first")))
     return gone.groupBy("doc_id", "text_hash").agg(F.collect_set("line").alias("lines"))
-
-
 def _without(text_at: int, chars_at: int | None):
     def run(batches):
         import pyarrow as pa
@@ -454,7 +613,9 @@ def dedup_lines(docs: DataFrame, scratch_group: str = "lines", witnesses: int =
     scratch = Scratch(spark, scratch_group)
     # one key without nulls on both sides: the join and the window then share one shuffle of the texts
     key = lambda: F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit("\0"))
-    gone = scratch.table("gone", removed_lines(docs, scratch, witnesses)).select(key().alias("k_id"), F.col("text_hash").alias("k_hash"), "lines")
+    gone = scratch.table("gone", removed_lines(docs, scratch, witnesses))
+    scratch.drop("stretches")
+    gone = gone.select(key().alias("k_id"), F.col("text_hash").alias("k_hash"), "lines")
     scratch.release()
     columns = docs.columns
     left = docs.select(key().alias("k_id"), F.xxhash64("text").alias("k_hash"), F.struct(*(F.col(f"`{c}`") for c in columns)).alias("row"))

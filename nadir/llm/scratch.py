@@ -3,7 +3,7 @@
 A table that several later steps read is written once as Parquet under the
 session's ``spark.checkpoint.dir`` and read back: that cuts the lineage, and a
 lost executor costs nothing but its running tasks. Only where the setting is
-unset (local tests) a temporary folder of the driver is used.
+unset on a local master (tests) a temporary folder of the driver is used.
 """
 
 from __future__ import annotations
@@ -29,7 +29,8 @@ def session_of(df: DataFrame) -> SparkSession:
     bytes and not by rows alone.
     """
     spark = df.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BATCH_BYTES))
+    if int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) or 1 << 62) > ARROW_BATCH_BYTES:  # a smaller bound stays
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BATCH_BYTES))
     return spark
 
 
@@ -38,6 +39,8 @@ def base_dir(spark: SparkSession) -> str:
     shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if shared:
         return shared.rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     if _local is None:
         _local = tempfile.mkdtemp(prefix="nadir-")
     return f"file://{_local}"
@@ -54,7 +57,7 @@ class Scratch:
     def table(self, name: str, df: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
         """Write ``df`` (in a folder for each value of ``by``) and return a frame that reads it back."""
         path = f"{self.path}/{name}"
-        writer = df.write.mode("overwrite")
+        writer = df.write.mode("overwrite").option("compression", "zstd")
         (writer.partitionBy(*by) if by else writer).parquet(path)
         return self.spark.read.schema(df.schema).parquet(path).select(*df.columns)
 

@@ -98,7 +98,7 @@ def test_tree_with_factor_one_is_exact():
     rng = np.random.default_rng(2)
     p = rng.normal(size=(3000, 8))
     p /= np.linalg.norm(p, axis=1, keepdims=True)
-    got = vptree.Tree(p, leaf=16).search(p[:50], 5, 1.0)
+    _, got = vptree.Tree(p, leaf=16).search(p[:50], 5, 1.0)
     want = np.argsort(vptree.distances(p[:50], p), axis=1, kind="stable")[:, :5]
     assert all(set(g) == set(w) for g, w in zip(got.tolist(), want.tolist(), strict=True))
 
@@ -110,7 +110,7 @@ def test_nearest(spark):
     rows = [(i, m[i].tolist()) for i in range(400)] + [(900, None), (950, [0.0] * 8), (1000, [float("nan")] * 8), (1050, [1.0, None] + [0.0] * 6), (1100, []), (None, m[0].tolist()), (1150, [1.0, 2.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     out = defaultdict(list)
-    for r in vptree.nearest(df, shard_rows=100, query_block=3, factor=1.0).orderBy("query_id", "rank").collect():
+    for r in vptree.nearest(df, shard_rows=40, sample_rows=100, factor=1.0).orderBy("query_id", "rank").collect():
         out[r["query_id"]].append((r["vec_id"], r["score"]))
     assert set(out) == {i for i in range(0, 400, 50)}  # the lone vector of two dimensions has no candidates
     for q, got in out.items():
@@ -120,6 +120,42 @@ def test_nearest(spark):
     assert vptree.nearest(df.where("vec_id is null")).count() == 0
     few = vptree.nearest(df.where("vec_id in (50, 3, 4)")).collect()
     assert [r["rank"] for r in few] == [1, 2]
+    clash = df.select("*", *(F.lit(1).alias(c) for c in (*CLASH, "dim", "hash", "vector", "cell", "point", "ids", "bound")))
+    assert sorted(map(str, vptree.nearest(clash, factor=1.0).collect())) == sorted(map(str, vptree.nearest(df.union(df), factor=1.0).collect()))
+
+
+@pytest.mark.parametrize("factor", [0.7, 1.0])
+def test_scaled_copies_tie_to_the_least_ids(spark, factor):
+    v = np.random.default_rng(4).normal(size=8)
+    rows = [(0, v.tolist())] + [(i, (v * 2.0 ** (i % 13 - 6)).tolist()) for i in range(1, 31)] + [(i, (v * i).tolist()) for i in range(31, 49)]
+    out = vptree.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), factor=factor).orderBy("rank").collect()
+    m = np.array([x for _, x in rows])
+    s = vptree.cosine(np.repeat(m[:1], len(m), 0), m)
+    assert [r["vec_id"] for r in out] == sorted(range(1, 49), key=lambda x: (-s[x], x))[:5]
+
+
+def clusters(n, dim=16, centres=60, seed=9):
+    rng = np.random.default_rng(seed)
+    c = rng.normal(size=(centres, dim))
+    return c[rng.integers(0, centres, n)] + 0.25 * rng.normal(size=(n, dim))
+
+
+def test_recall_at_the_production_factor(spark):
+    """On clustered vectors, over several cells and shards: recall at 5, and the share of pairs that are compared."""
+    m = clusters(9000)
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(m.tolist())], "vec_id long, embedding array<double>")
+    got = defaultdict(set)
+    for r in vptree.nearest(df, shard_rows=1000).collect():
+        got[r["query_id"]].add(r["vec_id"])
+    unit, hits = vptree.units(m), 0
+    for q in range(0, 9000, 50):
+        s = unit @ unit[q]
+        s[q] = -2
+        hits += len(got[q] & set(np.argsort(-s, kind="stable")[:5].tolist()))
+    assert hits / (5 * 180) >= 0.9
+    tree = vptree.Tree(unit)
+    tree.search(unit[::50], 6, 0.85)
+    assert tree.compared < 0.5 * 180 * 9000
 
 
 # --- Katz --------------------------------------------------------------------
@@ -230,6 +266,27 @@ def test_line_dedup_of_repeated_rows_and_empty(spark, empty):
     assert linededup.dedup_lines(empty)[0].count() == 0
 
 
+def test_counts_beyond_32_bits_and_lines_of_one_frequent_word(spark):
+    rows = spark.createDataFrame([(0, 1), (0, 2), (1, 3)], "slice int, k int")
+
+    def table(batches):
+        import pyarrow as pa
+        import zstandard
+
+        for batch in batches:
+            z = zstandard.ZstdCompressor()
+            raw = [z.compress(np.full((1 << linededup.BUCKET_BITS) // linededup.SLICES, 0xFFFFFFF0, np.uint32).tobytes()) for _ in range(batch.num_rows)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(raw, pa.binary())], names=["slice", "payload"])
+
+    total = linededup._combined(rows.mapInArrow(table, "slice int, payload binary"), "u4", False)
+    width = (1 << linededup.BUCKET_BITS) // linededup.SLICES
+    assert total[0] == 2 * 0xFFFFFFF0 and total[width] == 0xFFFFFFF0 and total[2 * width] == 0
+    # one word in half of all lines, and the only one that some lines share
+    texts = [(i, "\n".join([f"hot a{i} b{i}", f"hot c{i % 3} d{i % 3} e f g", f"k{i} l{i}", "hot"])) for i in range(120)]
+    out, _, _ = linededup.dedup_lines(frame(spark, texts))
+    assert {r["doc_id"]: r["text"] for r in out.collect()} == {k: w for (k, _), w in zip(texts, kept_lines(texts), strict=True)}
+
+
 # --- pieces ------------------------------------------------------------------
 
 
@@ -323,7 +380,9 @@ def test_longest_repeats():
 def test_repair_round_trip_and_random_access():
     rng = np.random.default_rng(6)
     for ids in (rng.integers(0, 6, size=5000), np.full(999, 3), np.zeros(0, np.int64), np.array([1])):
-        seq, rules = tokenfile.repair(ids, 10, per_round=20)
+        seq, rules = tokenfile.repair(ids, 10)
+        assert not len(seq) or max(Counter(zip(seq[:-1].tolist(), seq[1:].tolist(), strict=True)).values(), default=0) < 6
+        assert len(tokenfile.repair(ids, 10, max_rounds=1)[0]) >= len(seq)
         block = tokenfile.Block(10, rules.astype("<u4").tobytes(), tokenfile.expansion_lengths(rules, 10).astype("<u4").tobytes(), seq.astype("<u4").tobytes(), 4)
         assert (block.ids(0, len(ids)) == ids).all() and len(seq) <= len(ids)
         for a in range(0, len(ids), 97):
@@ -348,6 +407,35 @@ def test_token_files(spark, docs, empty):
     assert tokenfile.encode_and_read_back(empty, path).count() == 0
 
 
+AWKWARD_WORDS = "The the THE. é É Éa ÀÉ, straße ÿ × ÷ a×b it's IT'S 'll don't x1y 12 3.14 a.b a. . .. ?! ;; e\u0301 e\u0301. \u00a0x <|endoftext|> <|endoftext|>. Σας İ ŒUVRE œ ½ 日本 a\u200bb ... Word!? (a) -- a- -a ß ẞ"
+
+
+@pytest.mark.parametrize("change", ["none", "keep case", "no splitting rule"])
+def test_text_encoder_gives_what_the_tokenizer_gives(tmp_path, change):
+    """By words, by words with case kept, or by whole texts, as the file's declared steps allow."""
+    import json
+
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    declared = json.loads(open(vocabulary("word_bpe_49k.json")).read())
+    if change == "keep case":
+        declared["normalizer"]["normalizers"].pop()
+    if change == "no splitting rule":
+        declared["pre_tokenizer"]["pretokenizers"].pop(0)
+    path = tmp_path / "tokenizer.json"
+    path.write_text(json.dumps(declared))
+    tok, encoder = Tokenizer.from_file(str(path)), tokenfile.TextEncoder(str(path), most=40)
+    assert encoder.by_word == (change != "no splitting rule") and encoder.fold == (change != "keep case")
+    rng = np.random.default_rng(8)
+    texts = [None, "", " ", *AWKWARD_WORDS.split(" "), AWKWARD_WORDS, AWKWARD_WORDS.upper(), *(" ".join(rng.choice(AWKWARD_WORDS.split(" "), 9)) for _ in range(60)), "x" * 5000]
+    for _ in range(2):  # unknown words, then known ones
+        got = [(ids.tolist(), count.tolist()) for ids, count in encoder.batch(pa.array(texts), 1)]
+        want = [[*tok.encode(t or "", add_special_tokens=False).ids, 1] for t in texts]
+        assert [i for ids, _ in got for i in ids] == [i for w in want for i in w]
+        assert [n for _, count in got for n in count] == [len(w) for w in want]
+
+
 # --- near duplicates ---------------------------------------------------------
 
 
