@@ -1,27 +1,39 @@
 """Evaluation metrics as aggregates: a frame in, a row for each group out.
 
 Ranking metrics start from the curve: one row for each distinct score of a
-group, with what lies above it. Only that table, never the rows, is ordered.
+group, with what lies above it. Continuous scores make that as long as the
+rows, so no window runs over all of it: approximate quantiles of the score cut
+the order into buckets, bucket totals give offsets, windows run within buckets.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordering import copies, neighbour, running_before, same, value_bucket
+
 
 def _nan() -> Column:
     return F.lit("NaN").cast("double")
 
 
 def curve(df: DataFrame, label: str, score: str, by: Sequence[str] = ()) -> DataFrame:
-    """by, score, pos, neg, tp, fp (above or at the score), n_pos, n_neg. Null labels and scores are left out."""
-    points = df.where(F.col(label).isNotNull() & F.col(score).isNotNull()).groupBy(*by, F.col(score).alias("score")).agg(F.sum(F.when(F.col(label) == 1, 1).otherwise(0)).alias("pos"), F.sum(F.when(F.col(label) == 1, 0).otherwise(1)).alias("neg"))
-    above = Window.partitionBy(*by).orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
-    every = Window.partitionBy(*by)
-    return points.select("*", F.sum("pos").over(above).alias("tp"), F.sum("neg").over(above).alias("fp"), F.sum("pos").over(every).alias("n_pos"), F.sum("neg").over(every).alias("n_neg"))
+    """by, score, pos, neg, tp, fp (above or at the score), n_pos, n_neg, band. Null labels and scores are left out.
+
+    ``band`` is a bucket of scores, the highest first.
+    """
+    rows = df.where(F.col(label).isNotNull() & F.col(score).isNotNull())
+    points = rows.groupBy(*by, F.col(score).alias("score")).agg(F.sum(F.when(F.col(label) == 1, 1).otherwise(0)).alias("pos"), F.sum(F.when(F.col(label) == 1, 0).otherwise(1)).alias("neg"))
+    points = points.withColumn("band", -value_bucket(rows.select(F.col(score).alias("score")), "score"))
+    run = running_before(points, F.col("band"), [F.desc("score")], {"tp": "pos", "fp": "neg"}, by).withColumns({"tp": F.col("tp") + F.col("pos"), "fp": F.col("fp") + F.col("neg")})
+    totals = points.groupBy(*by).agg(F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"))
+    if not by:
+        return run.join(F.broadcast(totals))  # one row
+    return run.join(totals.select(*copies(by), "n_pos", "n_neg"), same(by)).drop(*(f"_j{i}" for i in range(len(by))))
 
 
 def _two_classes(value: Column) -> Column:
@@ -44,47 +56,43 @@ def log_auc(df: DataFrame, label: str, score: str, by: Sequence[str] = (), low:
     """Area under the curve over log10 of the false positive rate in [low, high], over its width.
 
     Points inside a straight run of the curve are dropped first, as that
-    changes the area on the logarithmic axis; the ends are interpolated.
+    changes the area on the logarithmic axis; steps that reach over an end of
+    the range are cut there.
     """
-    points = curve(df, label, score, by)
+    points = curve(df, label, score, by).withColumn("_o", -F.col("score"))
     two = points.where("n_pos > 0 and n_neg > 0")
-    w = Window.partitionBy(*by).orderBy("fp", "tp")
-    bend = lambda c: F.coalesce(F.lead(c).over(w) - 2 * F.col(c) + F.lag(c).over(w), F.lit(1)) != 0
-    kept = two.withColumn("_k", bend("fp") | bend("tp")).where("_k")
-    origin = two.groupBy(*by).agg(F.first("n_pos").alias("n_pos"), F.first("n_neg").alias("n_neg")).select(*by, F.lit(0).cast("long").alias("fp"), F.lit(0).cast("long").alias("tp"), "n_pos", "n_neg")
-    xy = kept.select(*by, "fp", "tp", "n_pos", "n_neg").unionByName(origin).select(*by, (F.col("fp") / F.col("n_neg")).alias("x"), (F.col("tp") / F.col("n_pos")).alias("y"))
-    p = F.struct("x", "y")
-    ends = xy.groupBy(*by).agg(*(f(F.when(c, p)).alias(n) for n, f, c in (("la", F.max, F.col("x") <= low), ("lb", F.min, F.col("x") > low), ("ha", F.max, F.col("x") <= high), ("hb", F.min, F.col("x") > high))))
-
-    def at(x: float, a: str, b: str) -> Column:
-        slope = (F.col(f"{b}.y") - F.col(f"{a}.y")) / (F.col(f"{b}.x") - F.col(f"{a}.x"))
-        return F.coalesce(F.col(f"{a}.y") + slope * (F.lit(x) - F.col(f"{a}.x")), F.col(f"{a}.y"))
-
-    edge = ends.select(*by, F.explode(F.array(F.struct(F.lit(low).alias("x"), at(low, "la", "lb").alias("y")), F.struct(F.lit(high).alias("x"), at(high, "ha", "hb").alias("y")))).alias("e")).select(*by, "e.x", "e.y")
-    path = xy.where((F.col("x") > low) & (F.col("x") < high)).unionByName(edge)
-    o = Window.partitionBy(*by).orderBy("x", "y")
-    piece = (F.log10("x") - F.log10(F.lag("x").over(o))) * (F.col("y") + F.lag("y").over(o)) / 2
-    import math
-
-    area = path.withColumn("_a", piece).groupBy(*by).agg((F.sum("_a") / (math.log10(high) - math.log10(low))).alias("log_auc"))
+    after = neighbour(two, F.col("band"), "_o", ["pos", "neg"], "_next", by, ahead=True)
+    first = (F.col("tp") == F.col("pos")) & (F.col("fp") == F.col("neg"))
+    bend = first | F.col("_next").isNull() | (F.col("_next.pos") != F.col("pos")) | (F.col("_next.neg") != F.col("neg"))
+    kept = neighbour(after.where(bend).drop("_next"), F.col("band"), "_o", ["fp", "tp"], "_last", by)
+    x0, y0 = F.coalesce(F.col("_last.fp"), F.lit(0)) / F.col("n_neg"), F.coalesce(F.col("_last.tp"), F.lit(0)) / F.col("n_pos")
+    x1, y1 = F.col("fp") / F.col("n_neg"), F.col("tp") / F.col("n_pos")
+    a, b = F.greatest(x0, F.lit(low)), F.least(x1, F.lit(high))
+    at = lambda x: y0 + (y1 - y0) * (x - x0) / (x1 - x0)
+    piece = F.when(a < b, (F.log10(b) - F.log10(a)) * (at(a) + at(b)) / 2).otherwise(0.0)
+    area = kept.groupBy(*by).agg((F.sum(piece) / (math.log10(high) - math.log10(low))).alias("log_auc"))
     if not by:
-        one = points.agg(((F.first("n_pos") > 0) & (F.first("n_neg") > 0)).alias("_two"))
-        return one.join(area).select(F.when(F.col("_two"), F.col("log_auc")).otherwise(_nan()).alias("log_auc"))
-    return points.select(*by).distinct().join(area, list(by), "left").withColumn("log_auc", F.coalesce("log_auc", _nan()))
+        return area.select(F.coalesce("log_auc", _nan()).alias("log_auc"))
+    groups = points.select(*by).distinct()
+    return groups.join(area.select(*copies(by), "log_auc"), same(by), "left").select(*by, F.coalesce("log_auc", _nan()).alias("log_auc"))
 
 
 def ranked(df: DataFrame, label: str, score: str, key: str, by: Sequence[str] = ()) -> DataFrame:
-    """Rows with their rank from the highest score, ties by key: what lies above a score, and the place among its ties."""
-    above = curve(df, label, score, by).select(*by, "score", (F.col("tp") + F.col("fp") - F.col("pos") - F.col("neg")).alias("_above"), (F.col("n_pos") + F.col("n_neg")).alias("n"), "n_pos")
-    rows = df.where(F.col(label).isNotNull() & F.col(score).isNotNull()).select(*by, F.col(score).alias("score"), F.col(label).alias("label"), F.col(key).alias("_key"))
-    tie = Window.partitionBy(*by, "score").orderBy("_key")
-    return rows.join(above, [*by, "score"]).withColumn("rank", F.col("_above") + F.row_number().over(tie))
+    """Rows with their rank from the highest score, ties by key: what lies above a score, and the place among its ties.
+
+    Ties of one score are ranked in buckets of a numeric key.
+    """
+    above = curve(df, label, score, by).select(*copies(by), F.col("score").alias("_score"), (F.col("tp") + F.col("fp") - F.col("pos") - F.col("neg")).alias("_above"), (F.col("n_pos") + F.col("n_neg")).alias("n"), "n_pos")
+    rows = df.where(F.col(label).isNotNull() & F.col(score).isNotNull()).select(*by, F.col(score).alias("score"), F.col(label).alias("label"), F.col(key).alias("_key"), F.lit(1).alias("_one"))
+    numeric = rows.schema["_key"].dataType.typeName() in ("byte", "short", "integer", "long", "float", "double", "decimal")
+    bucket = F.coalesce(value_bucket(rows, "_key"), F.lit(-1)) if numeric else F.lit(0)
+    placed = running_before(rows, bucket, ["_key"], {"_ties": "_one"}, [*by, "score"])
+    joined = placed.join(above, [*same(by), F.col("score") == F.col("_score")])
+    return joined.withColumn("rank", F.col("_above") + F.col("_ties") + 1).drop("_one", "_ties", "_above", "_score", *(f"_j{i}" for i in range(len(by))))
 
 
 def bedroc(df: DataFrame, label: str, score: str, key: str, by: Sequence[str] = (), alpha: float = 20.0) -> DataFrame:
     """Early-recognition score in [0, 1]; NaN without positives, 1 if all are; ties by key."""
-    import math
-
     s, n, p = F.sum(F.when(F.col("label") == 1, F.exp(-alpha * F.col("rank") / F.col("n"))).otherwise(0.0)), F.first("n"), F.first("n_pos")
     ra = p / n
     rie = s / (ra * (1 - math.exp(-alpha)) / F.expm1(alpha / n))
@@ -201,3 +209,61 @@ def all_by_fold(df: DataFrame, label: str, score: str, key: str, fold: str = "fo
     for part in (auprc(df, label, score, [fold]), log_auc(df, label, score, [fold]), bedroc(df, label, score, key, [fold]), enrichment(df, label, score, key, 1.0, [fold]), mcc(df, label, predicted, [fold])):
         out = out.join(part, fold, "left")
     return out
+
+
+def per_class_accuracy(df: DataFrame, gold: str, predicted: str, klass: str, by: Sequence[str] = ()) -> DataFrame:
+    """Accuracy of parsed predictions in each class."""
+    return df.where(F.col(predicted).isNotNull()).groupBy(*by, klass).agg(F.avg(F.when(F.col(gold) == F.col(predicted), 1.0).otherwise(0.0)).alias("accuracy"), F.count("*").alias("n"))
+
+
+# Words that make evidence substantive.
+EVIDENCE_WORDS = ("chembl", "pubchem", "bindingdb", "doi", "pmid", "assay", "ic50", "ki", "kd")
+
+
+def tested_block(df: DataFrame, gold: str, answer: str, evidence: str, period: str, early: str, late: str, by: Sequence[str] = (), words: Sequence[str] = EVIDENCE_WORDS, longer_than: int = 50, flag_above: float = 0.15) -> DataFrame:
+    """All figures of tested/untested answers: parse rate, accuracy, F1 of tested, MCC, evidence cited, accuracy by period, gap, flag.
+
+    Unparsed answers count in the parse rate only. Evidence is cited if it is
+    longer than 50 characters and has one of the words; its rate is over
+    rightly tested answers, 0 without any.
+    """
+    a, g, e = F.col(answer), F.col(gold), F.col(evidence)
+    cell = lambda x, y: F.count_if((g == x) & (a == y)).cast("double")
+    known = a.isNotNull()
+    cited = (F.length(e) > longer_than) & F.exists(F.array(*map(F.lit, words)), lambda w: F.contains(F.lower(e), w))
+    both = (a == "tested") & (g == "tested")
+    at = lambda p: F.avg(F.when(known & (F.col(period) == p), (a == g).cast("double")))
+    out = df.groupBy(*by).agg(
+        F.count("*").alias("n_total"), F.count(a).alias("n_valid"), F.avg(known.cast("double")).alias("parse_rate"), F.coalesce(F.avg(F.when(known, (a == g).cast("double"))), F.lit(0.0)).alias("accuracy"),
+        cell("tested", "tested").alias("_tp"), cell("untested", "untested").alias("_tn"), cell("untested", "tested").alias("_fp"), cell("tested", "untested").alias("_fn"),
+        F.coalesce(F.avg(F.when(both, F.coalesce(cited, F.lit(False)).cast("double"))), F.lit(0.0)).alias("evidence_rate"), at(early).alias("accuracy_early"), at(late).alias("accuracy_late"),
+    )
+    tp, tn, fp, fn = (F.col(c) for c in ("_tp", "_tn", "_fp", "_fn"))
+    den, gap = F.sqrt((tp + fp) * (tp + fn) * (tn + fp) * (tn + fn)), F.col("accuracy_early") - F.col("accuracy_late")
+    out = out.withColumns({"f1": F.when(2 * tp + fp + fn > 0, 2 * tp / (2 * tp + fp + fn)).otherwise(0.0), "mcc": F.when(den > 0, (tp * tn - fp * fn) / den).otherwise(0.0), "gap": gap, "flagged": F.coalesce(gap > flag_above, F.lit(False))})
+    return out.drop("_tp", "_tn", "_fp", "_fn")
+
+
+def key_set_f1(gold: Column, predicted: Column, aliases: dict[str, str] | None = None) -> Column:
+    """F1 of the field names of two JSON objects: 1 if both have none, 0 if one has none or the prediction is null.
+
+    Old names are folded into new ones where the new one isn't there.
+    """
+    def names(text: Column) -> Column:
+        keys = F.coalesce(F.json_object_keys(text), F.array().cast("array<string>"))
+        for old, new in (aliases or {}).items():
+            renamed = F.array_append(F.array_remove(keys, old), new)
+            keys = F.when(F.array_contains(keys, old) & ~F.array_contains(keys, new), renamed).otherwise(keys)
+        return F.array_distinct(keys)
+
+    g, p = names(gold), names(predicted)
+    hit, ng, np_ = F.size(F.array_intersect(g, p)), F.size(g), F.size(p)
+    return F.when(predicted.isNull(), 0.0).when((ng == 0) & (np_ == 0), 1.0).otherwise(F.coalesce(2.0 * hit / F.nullif(ng + np_, F.lit(0)), F.lit(0.0)))
+
+
+def transfer_gain(df: DataFrame, source: str, target: str, value: str, baseline: DataFrame) -> DataFrame:
+    """Mean value of each source and target minus the target's baseline (target, baseline), with the best source of each target."""
+    cells = df.groupBy(source, target).agg(F.avg(value).alias("value"))
+    best = cells.groupBy(target).agg(F.min_by(source, F.struct(-F.col("value"), F.col(source))).alias("best_source"))
+    joined = cells.join(baseline.select(F.col(target), F.col("baseline")), target, "left").join(best, target)
+    return joined.select(source, target, "value", (F.col("value") - F.col("baseline")).alias("gain"), "best_source")

@@ -38,8 +38,23 @@ def hash_rank(df: DataFrame, seed: int, keys: Sequence[str], by: Sequence[str] =
     return out.drop("_h", "_b", "_base", "_total", *names)
 
 
+def same(by: Sequence[str], prefix: str = "_j") -> list[Column]:
+    """Null-safe equality of columns and their copies under a prefix, for joins that keep null groups."""
+    return [F.col(c).eqNullSafe(F.col(f"{prefix}{i}")) for i, c in enumerate(by)]
+
+
+def copies(by: Sequence[str], prefix: str = "_j") -> list[Column]:
+    return [F.col(c).alias(f"{prefix}{i}") for i, c in enumerate(by)]
+
+
 def first_n(df: DataFrame, n: int | Column, seed: int, keys: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
-    """Exactly ``n`` rows (of each ``by``) in seeded order, or all if there are fewer."""
+    """Exactly ``n`` rows (of each ``by``) in seeded order, or all if there are fewer.
+
+    A fixed ``n`` of all rows is a limit over the order, so only ``n`` rows of
+    each task are shuffled, as long as that is few.
+    """
+    if not by and isinstance(n, int) and n <= 10_000:
+        return df.withColumn("_h", hash_key(seed, *keys)).orderBy("_h", *keys).limit(n).drop("_h")
     return hash_rank(df, seed, keys, by, "_r").where(F.col("_r") <= n).drop("_r")
 
 
@@ -47,21 +62,49 @@ def running_before(df: DataFrame, bucket: Column, order: Sequence[Column | str],
     """Sums of columns over all rows that come before, by buckets that follow the order.
 
     ``amounts`` maps new names to the columns summed. ``bucket`` must not
-    decrease along ``order``.
+    decrease along ``order``. Rows with a null in ``by`` are a group.
     """
     keyed = df.withColumn("_b", bucket)
     sums = keyed.groupBy(*by, "_b").agg(*(F.sum(c).alias(f"_s{i}") for i, c in enumerate(amounts.values())))
     before = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    base = sums.select(*by, "_b", *(F.coalesce(F.sum(f"_s{i}").over(before), F.lit(0)).alias(f"_o{i}") for i in range(len(amounts))))
+    base = sums.select(*copies(by), F.col("_b").alias("_jb"), *(F.coalesce(F.sum(f"_s{i}").over(before), F.lit(0)).alias(f"_o{i}") for i in range(len(amounts))))
     inside = Window.partitionBy(*by, "_b").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    out = keyed.join(base, [*by, "_b"])
+    out = keyed.join(base, [*same(by), F.col("_b") == F.col("_jb")])
     for i, (name, c) in enumerate(amounts.items()):
         out = out.withColumn(name, F.col(f"_o{i}") + F.coalesce(F.sum(c).over(inside), F.lit(0)))
-    return out.drop("_b", *(f"_o{i}" for i in range(len(amounts))))
+    return out.drop("_b", "_jb", *(f"_j{i}" for i in range(len(by))), *(f"_o{i}" for i in range(len(amounts))))
+
+
+def neighbour(df: DataFrame, bucket: Column, order: str, values: Sequence[str], name: str, by: Sequence[str] = (), ahead: bool = False) -> DataFrame:
+    """A struct of ``values`` of the row before (or after) along ``order``; null at the end. ``bucket`` follows the order."""
+    keyed, held = df.withColumn("_b", bucket), F.struct(*values)
+    ends = keyed.groupBy(*by, "_b").agg((F.min_by if ahead else F.max_by)(held, F.col(order)).alias("_e"))
+    along = Window.partitionBy(*by).orderBy("_b")
+    step = F.lead if ahead else F.lag
+    edge = ends.select(*copies(by), F.col("_b").alias("_jb"), step("_e").over(along).alias("_e"))
+    inside = Window.partitionBy(*by, "_b").orderBy(order)
+    out = keyed.join(edge, [*same(by), F.col("_b") == F.col("_jb")])
+    return out.withColumn(name, F.coalesce(step(held).over(inside), F.col("_e"))).drop("_b", "_jb", "_e", *(f"_j{i}" for i in range(len(by))))
 
 
 def value_bucket(df: DataFrame, column: str, parts: int = 64) -> Column:
-    """A bucket that grows with a numeric column: its place among approximate quantiles of the column."""
+    """A bucket that grows with a numeric column: its place among approximate quantiles of the column. One pass, run now."""
     cuts = df.select(F.percentile_approx(column, [i / parts for i in range(1, parts)], 1000)).first()[0] or []
     cuts = sorted(set(cuts))
     return F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < F.col(column))) if cuts else F.lit(0)
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """The frame written to the session's checkpoint folder, so that later steps start from its rows.
+
+    A local session without such a folder (tests) gets a temporary one.
+    """
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        shared = sc.getConf().get("spark.checkpoint.dir")
+        if shared is None and not (sc.master.startswith("local") and not sc.master.startswith("local-cluster")):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        import tempfile
+
+        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="nadir-"))
+    return df.checkpoint()

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from nadir.functions import columns as C
 
 from .sampling import first_n
+from .splits import exact_quantiles
 
 
 def chat(*turns: tuple[str, Column]) -> Column:
@@ -94,10 +95,10 @@ def judge_summary(df: DataFrame, dimensions: Sequence[str], by: Sequence[str] =
 
 
 def contamination_grid(df: DataFrame, correct: Column, popularity: str, period: str) -> DataFrame:
-    """Accuracy by popularity (above the median or not) and period."""
-    middle = df.agg(F.median(popularity).alias("_m"))
-    rows = df.join(F.broadcast(middle))
-    return rows.groupBy(F.when(F.col(popularity) > F.col("_m"), "high").otherwise("low").alias("popularity"), F.col(period).alias("period")).agg(F.avg(correct.cast("double")).alias("accuracy"), F.count("*").alias("n"))
+    """Accuracy by popularity (above the median or not; null is unknown) and period."""
+    middle = exact_quantiles(df, popularity, [0.5])
+    above = F.when(F.col(popularity).isNull(), "unknown").when(F.col(popularity) > F.lit(middle[0] if middle else None), "high").otherwise("low")
+    return df.groupBy(above.alias("popularity"), F.col(period).alias("period")).agg(F.avg(correct.cast("double")).alias("accuracy"), F.count("*").alias("n"))
 
 
 def before_after(before: DataFrame, after: DataFrame, keys: Sequence[str], values: Sequence[str]) -> DataFrame:

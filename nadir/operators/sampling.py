@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ordering import first_n, hash_key, hash_rank
+from .ordering import first_n, hash_key, hash_rank, running_before, settled
 
 
 def balanced(positives: DataFrame, negatives: DataFrame, keys: Sequence[str], ratio: int = 1, seed: int = 42) -> DataFrame:
@@ -43,8 +43,8 @@ def untested_pairs(a_side: DataFrame, b_side: DataFrame, tested: DataFrame, n: i
     """
     a, b = a_side.columns[0], b_side.columns[0]
     spark = a_side.sparkSession
-    left = hash_rank(a_side.distinct(), seed, [a], name="_i").withColumn("_i", F.col("_i") - 1)
-    right = hash_rank(b_side.distinct(), seed + 1, [b], name="_j").withColumn("_j", F.col("_j") - 1)
+    left = settled(hash_rank(a_side.distinct(), seed, [a], name="_i").withColumn("_i", F.col("_i") - 1))
+    right = settled(hash_rank(b_side.distinct(), seed + 1, [b], name="_j").withColumn("_j", F.col("_j") - 1))
     na, nb = left.count(), right.count()
     known = tested.select(a, b).distinct()
     room = na * nb
@@ -56,6 +56,7 @@ def untested_pairs(a_side: DataFrame, b_side: DataFrame, tested: DataFrame, n: i
         place = F.col("_x") % F.lit(room)
         cells = places.select(F.floor(place / nb).cast("long").alias("_i"), (place % nb).cast("long").alias("_j"))
         pairs = cells.join(left, "_i").join(right, "_j").select(a, b).join(known, [a, b], "left_anti")
+        pairs = settled(pairs)
         if want >= room or pairs.count() >= n:
             return first_n(pairs, n, seed, [a, b])
         want = min(room, want * 2)
@@ -80,7 +81,7 @@ def quota_matched(target: DataFrame, pool: DataFrame, bin_col: str, n: int, keys
     by_size = Window.orderBy(F.desc("_n"), bin_col)  # over bins, a handful of rows
     quota = quota.withColumn("_r", F.row_number().over(by_size)).join(F.broadcast(rest)).withColumn("_q", F.col("_q") + F.when(F.col("_r") <= F.col("_rest"), 1).otherwise(0))
     ranked = hash_rank(pool, seed, keys, [bin_col], "_r")
-    return ranked.join(F.broadcast(quota.select(bin_col, "_q")), bin_col).where(F.col("_r") <= F.col("_q")).drop("_r", "_q")
+    return ranked.join(quota.select(bin_col, "_q"), bin_col).where(F.col("_r") <= F.col("_q")).drop("_r", "_q")
 
 
 def log2_bin(degree: Column) -> Column:
@@ -98,7 +99,7 @@ def with_replacement(df: DataFrame, klass: str, keys: Sequence[str], n: int, see
     """Exactly ``n`` rows of each class; a short class is repeated."""
     sizes = df.groupBy(klass).agg(F.count("*").alias("_n"))
     times = F.ceil(F.lit(n) / F.col("_n")).cast("int")
-    many = df.join(F.broadcast(sizes), klass).withColumn("_c", F.explode(F.sequence(F.lit(1), times))).drop("_n")
+    many = df.join(sizes, klass).withColumn("_c", F.explode(F.sequence(F.lit(1), times))).drop("_n")
     return first_n(many.withColumn("_o", F.col("_c")), n, seed, ["_o", *keys], [klass]).drop("_c", "_o")
 
 
@@ -108,7 +109,7 @@ def backfilled_quota(df: DataFrame, klass: str, level: str, quotas: dict[str, in
     quota = F.coalesce(*(F.when(F.col(level) == k, F.lit(q)) for k, q in quotas.items()), F.lit(0))
     marked = ranked.withColumn("_in", F.col("_r") <= quota)
     filled = marked.where("_in").groupBy(klass).agg(F.count("*").alias("_got"))
-    spare = hash_rank(marked.where("not _in"), seed + 1, keys, [klass], "_s").join(F.broadcast(filled), klass, "left")
+    spare = hash_rank(marked.where("not _in"), seed + 1, keys, [klass], "_s").join(filled, klass, "left")
     more = spare.where(F.col("_s") <= F.lit(sum(quotas.values())) - F.coalesce("_got", F.lit(0)))
     return marked.where("_in").select(*df.columns).unionByName(more.select(*df.columns))
 
@@ -129,24 +130,22 @@ def relaxed(df: DataFrame, levels: Sequence[Column], n: int) -> DataFrame:
 def two_sided_cap(df: DataFrame, a: str, b: str, keys: Sequence[str], most: int, seed: int = 42) -> DataFrame:
     """Rows in seeded order, each kept while both its ends have fewer than ``most`` kept rows.
 
-    A row's fate hangs on all rows before it, so the rule runs in one task;
-    rows past ``most`` at either end alone can't be kept earlier and go first
-    only if the end is already full, hence no prefilter.
+    Decided in rounds with the same result as one after another: a row surely
+    stays if the kept and the open rows before it are fewer than ``most`` at
+    both ends, and surely goes if the kept ones before it are ``most`` at one.
+    The first open row of all is always decided; few rounds are needed, as
+    an end is closed once ``most`` of its rows are kept. Ends may be of one kind.
     """
-    kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
-    ordered = df.withColumn("_h", hash_key(seed, *keys))
-
-    def run(pdf):
-        from collections import Counter
-
-        pdf = pdf.sort_values(["_h", *keys], kind="stable")
-        n, keep = Counter(), []
-        for x, y in zip(pdf[a].tolist(), pdf[b].tolist(), strict=True):
-            ok = n[x] < most and n[y] < most
-            keep.append(ok)
-            if ok:
-                n[x] += 1
-                n[y] += 1
-        return pdf[keep].drop(columns="_h")
-
-    return ordered.groupBy(F.lit("all")).applyInPandas(run, ", ".join(f"`{c}` {t}" for c, t in kinds.items()))
+    state = settled(df.withColumn("_h", hash_key(seed, *keys)).withColumn("_kept", F.lit(None).cast("boolean")))
+    while True:
+        # what counts at an end: kept rows, and open ones; rows that went don't matter
+        alive = state.where(F.coalesce("_kept", F.lit(True)))
+        tag = F.struct("_h", *keys)
+        ends = alive.select(F.explode(F.array(F.col(a), F.col(b))).alias("_end"), tag.alias("_tag"), F.col("_kept").isNotNull().cast("int").alias("_k"), F.lit(1).alias("_one"))
+        before = running_before(ends, F.substring("_tag._h", 1, 3), ["_tag"], {"_kept_before": "_k", "_all_before": "_one"}, ["_end"])
+        worst = before.groupBy("_tag").agg(F.max("_kept_before").alias("_kb"), F.max("_all_before").alias("_ab"))
+        joined = state.withColumn("_tag", tag).join(worst, "_tag", "left")
+        verdict = F.when(F.col("_kept").isNotNull(), F.col("_kept")).when(F.col("_ab") < most, True).when(F.col("_kb") >= most, False)
+        state = settled(joined.withColumn("_kept", verdict).select(*df.columns, "_h", "_kept"))
+        if state.where(F.col("_kept").isNull()).isEmpty():
+            return state.where("_kept").select(*df.columns)

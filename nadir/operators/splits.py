@@ -94,7 +94,8 @@ def temporal(df: DataFrame, year: str, train_before: int, val_before: int) -> Da
 def running_total(df: DataFrame, family: str, ratios: Ratios = DEFAULT) -> DataFrame:
     """Families from the largest (ties to the least name) by the rows before each; rows without a family have no fold."""
     sizes = df.where(F.col(family).isNotNull()).groupBy(family).agg(F.count("*").alias("_n"))
-    bucket = -F.col("_n")  # families of one size are a bucket
+    # a bucket is a size and, as small sizes have most families, the first two characters of the name
+    bucket = F.struct((-F.col("_n")).alias("n"), F.substring(F.col(family).cast("string"), 1, 2).alias("name"))
     total = sizes.agg(F.sum("_n").alias("_total"))
     filled = running_before(sizes, bucket, [family], {"_before": "_n"}).join(F.broadcast(total))
     before, n = F.col("_before"), F.col("_total")
@@ -112,10 +113,30 @@ def degree_grid(df: DataFrame, keys: Sequence[str], first: str, second: str, bin
 
 def quantile_bins(df: DataFrame, value: str, bins: int, name: str = "bin") -> DataFrame:
     """0-based bin by distinct interpolated quantiles; the first bin holds its lower edge. Equal values share a bin."""
-    edges = df.agg(F.array_distinct(F.percentile(value, [i / bins for i in range(bins + 1)])).alias("_edges"))
-    inner = F.slice(F.col("_edges"), 2, F.greatest(F.size("_edges") - 2, F.lit(0)))
-    place = F.size(F.filter(inner, lambda e: e < F.col(value)))
-    return df.join(F.broadcast(edges)).withColumn(name, place).drop("_edges")
+    edges = exact_quantiles(df, value, [i / bins for i in range(bins + 1)])
+    place = F.size(F.filter(F.array(*map(F.lit, edges[1:-1])), lambda e: e < F.col(value))) if len(edges) > 2 else F.when(F.col(value).isNotNull(), F.lit(0))
+    return df.withColumn(name, F.when(F.col(value).isNotNull(), place).otherwise(-1) if len(edges) > 2 else place)
+
+
+def exact_quantiles(df: DataFrame, value: str, shares: Sequence[float]) -> list[float]:
+    """Distinct interpolated quantiles, exact: values are counted first, then found by their ranks in buckets of the order."""
+    counts = df.where(F.col(value).isNotNull()).groupBy(F.col(value).cast("double").alias("v")).agg(F.count("*").alias("n"))
+    placed = running_before(counts, value_bucket(counts, "v"), ["v"], {"before": "n"})
+    total = counts.agg(F.sum("n")).first()[0]
+    if not total:
+        return []
+    at = [s * (total - 1) for s in shares]
+    ranks = sorted({int(p) for p in at} | {min(int(p) + 1, total - 1) for p in at})
+    hit = lambda r: (F.col("before") <= r) & (r < F.col("before") + F.col("n"))
+    found = placed.agg(*(F.max(F.when(hit(r), F.col("v"))).alias(f"r{r}") for r in ranks)).first()
+    value_at = {r: found[f"r{r}"] for r in ranks}
+    out: list[float] = []
+    for p in at:
+        low, high = value_at[int(p)], value_at[min(int(p) + 1, total - 1)]
+        x = low if p == int(p) else low * (1 - (p - int(p))) + high * (p - int(p))
+        if x not in out:
+            out.append(x)
+    return out
 
 
 def degree_quantile(df: DataFrame, keys: Sequence[str], degree: str, bins: int = 5, seed: int = 42, ratios: Ratios = DEFAULT) -> DataFrame:
@@ -144,55 +165,58 @@ def few_shot(df: DataFrame, keys: Sequence[str], shots: int, val: int, test: int
     return ranked.withColumn("fold", F.when(r <= shots, "fewshot").when(r <= shots + val, "val").otherwise("test")).drop("_r")
 
 
-def _sequential(name: str):
-    """Greedy rules over families (name, n), largest first, that depend on every earlier choice.
-
-    The table of families is small beside the rows; the rule needs all of it.
-    """
-
-    def best_fit(sizes: list[int], ratios: Ratios) -> list[int]:
-        total, have, out = sum(sizes), [0, 0, 0], []
-        for n in sizes:
-            pick = next((k for k in (0, 1) if have[k] + n <= total * ratios[k]), 2)
-            have[pick] += n
-            out.append(pick)
-        return out
-
-    def underfilled(sizes: list[int], ratios: Ratios) -> list[int]:
-        total, have, out = sum(sizes), [0, 0, 0], []
-        for n in sizes:
-            pick = min(range(3), key=lambda k: (have[k] / total - ratios[k], k))
-            have[pick] += n
-            out.append(pick)
-        return out
-
-    return {"best_fit": best_fit, "underfilled": underfilled}[name]
-
-
 def family_greedy(df: DataFrame, family: str, rule: str = "best_fit", seed: int | None = None, ratios: Ratios = DEFAULT) -> DataFrame:
     """Families one after another by ``best_fit`` (skip a full fold) or ``underfilled`` (the fold that lacks most).
 
-    Largest first, or in seeded order. Sequential by nature: it runs over the
-    table of family sizes in one task, never over rows.
+    Largest first (ties to the least name), or in seeded order. Each choice
+    hangs on all before it, so the rule itself runs on one worker, but over
+    runs of families of one size and in one stream of narrow rows that is
+    never gathered; rows of ``df`` meet its result by a join.
     """
     from .ordering import hash_key
 
     sizes = df.where(F.col(family).isNotNull()).groupBy(family).agg(F.count("*").alias("n"))
-    sizes = sizes.withColumn("k", hash_key(seed, family) if seed is not None else F.format_string("%020d", F.lit(10**18) - F.col("n")))
-    assign = _sequential(rule)
+    order = [hash_key(seed, family), F.col(family)] if seed is not None else [F.desc("n"), F.col(family)]
+    total = sizes.agg(F.sum("n")).first()[0] or 0
     kind = df.schema[family].dataType.simpleString()
 
-    def run(pdf):
-        pdf = pdf.sort_values(["k", family], kind="stable")
-        return pdf.assign(fold=[FOLDS[i] for i in assign(pdf["n"].tolist(), ratios)])[[family, "fold"]]
+    def run(batches):
+        have = [0, 0, 0]
+
+        def best_fit(n: int) -> int:
+            return next((k for k in (0, 1) if have[k] + n <= total * ratios[k]), 2)
+
+        def underfilled(n: int) -> int:
+            return min(range(3), key=lambda k: (have[k] / total - ratios[k], k))
+
+        choose = {"best_fit": best_fit, "underfilled": underfilled}[rule]
+        for pdf in batches:
+            folds = []
+            for n in pdf["n"].tolist():
+                k = choose(n)
+                have[k] += n
+                folds.append(FOLDS[k])
+            yield pdf.assign(fold=folds)[[family, "fold"]]
 
-    folds = sizes.groupBy(F.lit("all")).applyInPandas(run, f"`{family}` {kind}, fold string")
+    folds = sizes.repartition(1).sortWithinPartitions(*order).mapInPandas(run, f"`{family}` {kind}, fold string")
     return df.join(folds, family, "left")
 
 
+def gene_groups(df: DataFrame, group: str, seed: int = 42, ratios: Ratios = DEFAULT) -> DataFrame:
+    """Cold by groups of one end only, each to the fold that lacks most. The other end may cross folds: this is no split cold for both."""
+    return family_greedy(df, group, "underfilled", seed, ratios)
+
+
+def cold_primary(df: DataFrame, key: str, triples: DataFrame, entity: str, seed: int = 42, ratios: Ratios = DEFAULT) -> DataFrame:
+    """Cold by each key's primary entity: the one it has most rows with in ``triples`` (ties to the least)."""
+    counts = triples.groupBy(key, entity).agg(F.count("*").alias("_n"))
+    primary = counts.groupBy(key).agg(F.min_by(entity, F.struct(-F.col("_n"), F.col(entity))).alias("primary"))
+    return cold_entity(df.join(primary, key, "left"), "primary", seed, ratios)
+
+
 STRATEGIES: dict[str, Callable[..., DataFrame]] = {
     "random": random_split, "cold_entity": cold_entity, "cold_greedy": cold_greedy, "max_rank": max_rank, "partition_both": partition_both, "temporal": temporal,
-    "running_total": running_total, "degree_grid": degree_grid, "degree_quantile": degree_quantile, "leave_one_group_out": leave_one_group_out, "few_shot": few_shot, "family_greedy": family_greedy,
+    "running_total": running_total, "degree_grid": degree_grid, "degree_quantile": degree_quantile, "leave_one_group_out": leave_one_group_out, "few_shot": few_shot, "family_greedy": family_greedy, "gene_groups": gene_groups, "cold_primary": cold_primary,
 }
 
 
@@ -208,9 +232,21 @@ def latest_version(definitions: DataFrame, name: str = "split_name") -> DataFram
     return rows.withColumn("_r", F.row_number().over(Window.partitionBy("base").orderBy(F.desc("version"), name))).where("_r = 1").drop("_r")
 
 
+def apply_bundle(df: DataFrame, bundle: dict[str, tuple[str, dict]]) -> DataFrame:
+    """Several splits of one frame at once: a column ``split_<name>`` for each name of (strategy, options)."""
+    out = df
+    for name, (strategy, options) in bundle.items():
+        out = apply_split(out, strategy, **options).withColumnRenamed("fold", f"split_{name}")
+        out = out.drop(*(c for c in out.columns if c not in df.columns and not c.startswith("split_")))
+    return out
+
+
+def register(assignments: DataFrame | None, new: DataFrame, name: str, strategy: str, key: str, seed: int, ratios: Ratios = DEFAULT) -> DataFrame:
+    """Long assignments (split_name, strategy, seed, ratios, key, fold) with those of ``name`` replaced."""
+    rows = new.where(F.col("fold").isNotNull()).select(F.lit(name).alias("split_name"), F.lit(strategy).alias("strategy"), F.lit(seed).alias("seed"), F.lit("/".join(map(str, ratios))).alias("ratios"), F.col(key).alias("key"), "fold")
+    return rows if assignments is None else assignments.where(F.col("split_name") != name).unionByName(rows)
+
+
 def pivot_folds(assignments: DataFrame, key: str, strategies: Sequence[str]) -> DataFrame:
     """One row for each key, a column for each strategy."""
     return assignments.groupBy(key).pivot("strategy", list(strategies)).agg(F.first("fold"))
-
-
-__all__ = ["STRATEGIES", "apply_split", "value_bucket"]

@@ -260,7 +260,7 @@ def fallback_key_join(spark, d):
     return E.fallback_join(T(spark, d, "customer").select("c_custkey", "c_nationkey"), T(spark, d, "supplier"), [("c_custkey", "s_suppkey"), ("c_nationkey", "s_nationkey")], "s_suppkey", "resolved").select("c_custkey", "resolved")
 
 
-@query("""WITH q AS (SELECT DISTINCT substr(n_name, 1, length(n_name) - 1) AS q FROM nation), s AS (SELECT q AS query, n_name AS match, jaro_winkler_similarity(q, n_name) AS s FROM q JOIN nation ON abs(length(q) - length(n_name)) <= 5 AND substr(q, 1, 1) = substr(n_name, 1, 1)),
+@query("""WITH q AS (SELECT DISTINCT substr(n_name, 1, length(n_name) - 1) AS q FROM nation), s AS (SELECT q AS query, n_name AS match, jaro_winkler_similarity(q, n_name) AS s FROM q JOIN nation ON abs(length(q) - length(n_name)) <= 5),
  r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY s DESC, match) AS r FROM s WHERE s >= 0.9) SELECT query, match, round(s, 6) AS similarity FROM r WHERE r = 1""")
 def fuzzy_match(spark, d):
     n = T(spark, d, "nation").select("n_name")
@@ -490,17 +490,6 @@ def split_llm(spark, d):
     return X.few_shot(T(spark, d, "orders").select("o_orderkey", "o_orderpriority"), ["o_orderkey"], 5, 10, 50, ["o_orderpriority"])
 
 
-@query()
-def split_family_greedy(spark, d):
-    """Sequential best fit; tested by its invariants."""
-    return X.family_greedy(T(spark, d, "part").select("p_partkey", "p_brand"), "p_brand").select("p_partkey", "fold")
-
-
-@query()
-def split_most_underfilled(spark, d):
-    return X.family_greedy(T(spark, d, "part").select("p_partkey", "p_brand"), "p_brand", "underfilled", 42).select("p_partkey", "fold")
-
-
 # --- samples and data sets ---------------------------------------------------
 
 CONFLICT_SQL = "pos AS (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem WHERE l_returnflag = 'A'), neg AS (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem WHERE l_returnflag = 'N')"
@@ -546,13 +535,6 @@ def conditional_entities(spark, d):
     return lines(spark, d).groupBy("l_partkey").agg(F.count_if(F.col("l_returnflag") == "A").alias("n_active"), F.count_if(F.col("l_returnflag") == "R").alias("n_inactive")).where("n_active >= 1 and n_inactive >= 1")
 
 
-@query()
-def uniform_negatives(spark, d):
-    """Exactly 500 untested pairs; tested by its invariants."""
-    a, b = T(spark, d, "part").select(F.col("p_partkey").alias("l_partkey")), T(spark, d, "supplier").select(F.col("s_suppkey").alias("l_suppkey"))
-    return S.untested_pairs(a, b, lines(spark, d), 500)
-
-
 @query(f"""{PS_SQL}, b AS (SELECT *, CAST(floor(log2(greatest(a_degree, 1))) AS INTEGER) AS bin FROM ps), tgt AS (SELECT bin, count(*) AS n FROM b WHERE l_partkey % 10 = 0 GROUP BY 1), q AS (SELECT bin, n, CAST(floor(300 * n / sum(n) OVER ()) AS BIGINT) AS q, row_number() OVER (ORDER BY n DESC, bin) AS r FROM tgt),
  z AS (SELECT bin, q + CASE WHEN r <= 300 - (SELECT sum(q) FROM q) THEN 1 ELSE 0 END AS q FROM q), pool AS (SELECT l_partkey, l_suppkey, bin, row_number() OVER (PARTITION BY bin ORDER BY {md5_sql(42, 'l_partkey', 'l_suppkey')}, l_partkey, l_suppkey) AS r FROM b WHERE l_partkey % 10 <> 0)
  SELECT l_partkey, l_suppkey, pool.bin FROM pool JOIN z ON pool.bin = z.bin WHERE r <= z.q""")
@@ -573,22 +555,6 @@ def relaxation_cascade(spark, d):
     return S.relaxed(T(spark, d, "orders"), [p > 300000, p > 200000, p > 100000], 5000).select("o_orderkey", "relax_level")
 
 
-@query()
-def two_sided_cap(spark, d):
-    """Sequential; tested by its invariants."""
-    return S.two_sided_cap(supplier_pairs(spark, d).select("s1", "s2").distinct(), "s1", "s2", ["s1", "s2"], 10)
-
-
-@query()
-def class_backfill(spark, d):
-    return S.backfilled_quota(T(spark, d, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority"), "o_orderstatus", "o_orderpriority", {"1-URGENT": 20, "2-HIGH": 20, "3-MEDIUM": 20}, ["o_orderkey"])
-
-
-@query()
-def sample_with_replacement(spark, d):
-    return S.with_replacement(T(spark, d, "nation").select("n_nationkey", "n_regionkey"), "n_regionkey", ["n_nationkey"], 8)
-
-
 # --- metrics -----------------------------------------------------------------
 
 
@@ -825,14 +791,6 @@ def answer_parsers(spark, d):
     return T(spark, d, "events").select("event_id", C.choice_letter(letter).alias("letter"), C.tested_answer(tested).alias("tested"))
 
 
-@query()
-def vcf_info_map(spark, d):
-    """INFO fields from literal rows."""
-    rows = spark.createDataFrame([(1, "AF=0.1,0.2;DB;AC=3")], "id int, info string")
-    m = C.info_map(F.col("info"))
-    return rows.select("id", m["AC"].alias("ac"), F.split(m["AF"], ",")[1].alias("af"), F.map_contains_key(m, "DB").alias("db"))
-
-
 @query("SELECT event_type, date_trunc('hour', ts) AS window_start, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
 def event_windows(spark, d):
     """The streaming aggregate's batch form: hourly windows."""
@@ -844,10 +802,10 @@ def _contains(table, column):
     return "CASE WHEN coalesce(text, '') = '' THEN 'other' " + " ".join(f"WHEN {' OR '.join(f"contains(lower({column}), '{w}')" for w in words)} THEN '{n}'" for n, words in table) + " ELSE 'other' END"
 
 
-@query(f"SELECT doc_id, {_contains(C.AREAS, 'text')} AS area, {_contains(C.COMPARTMENTS, 'text')} AS compartment FROM documents")
+@query(f"SELECT doc_id, {_contains(C.AREAS, 'text')} AS area, CASE WHEN coalesce(text, '') = '' THEN 'unknown' ELSE {_contains(C.COMPARTMENTS, 'text')} END AS compartment FROM documents")
 def area_and_compartment(spark, d):
     t = F.col("text")
-    return T(spark, d, "documents").select("doc_id", C.substring_class(t, C.AREAS).alias("area"), C.substring_class(t, C.COMPARTMENTS).alias("compartment"))
+    return T(spark, d, "documents").select("doc_id", C.substring_class(t, C.AREAS).alias("area"), C.substring_class(t, C.COMPARTMENTS, missing="unknown").alias("compartment"))
 
 
 # --- post-training -----------------------------------------------------------
@@ -910,3 +868,6 @@ def before_after(spark, d):
     mean = lambda s: lines(spark, d).where(F.col("l_linestatus") == s).groupBy("l_returnflag").agg(F.avg("l_tax").alias("tax"))
     out = R.before_after(mean("F"), mean("O"), ["l_returnflag"], ["tax"])
     return out.select("l_returnflag", *(F.round(c, 6).alias(c) for c in ("tax_before", "tax_after", "tax_delta")))
+
+
+from nadir.plans import catalog_builders  # noqa: E402, F401  it registers more queries with what is above

@@ -77,3 +77,26 @@ def croissant(name: str, description: str, df: DataFrame) -> str:
     """Metadata of a data set as JSON-LD with its fields."""
     fields = [{"@type": "cr:Field", "name": c, "dataType": t} for c, t in df.dtypes]
     return json.dumps({"@context": {"@vocab": "https://schema.org/", "cr": "http://mlcommons.org/croissant/"}, "@type": "Dataset", "name": name, "description": description, "recordSet": [{"@type": "cr:RecordSet", "name": name, "field": fields}]}, indent=1)
+
+
+def ordered(df: DataFrame, path: str, keys: Sequence[str]) -> None:
+    """Parquet files that follow one another in the order of the keys."""
+    df.orderBy(*keys).write.mode("overwrite").option("compression", "zstd").parquet(path)
+
+
+def merged(existing: DataFrame, incoming: DataFrame, keys: Sequence[str], update: Sequence[str]) -> DataFrame:
+    """Upsert by columns: rows of known keys take the incoming values of ``update`` (where not null), new keys are added."""
+    names = existing.columns
+    new = incoming.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)), *(F.col(c).alias(f"_n_{c}") for c in names), F.lit(True).alias("_in"))
+    both = existing.withColumn("_old", F.lit(True)).join(new, [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)], "full_outer")
+    old = F.coalesce(F.col("_old"), F.lit(False))
+    value = lambda c: F.coalesce(F.col(f"_n_{c}"), F.col(c)) if c in update else F.col(c)
+    return both.select(*(F.when(old, value(c)).otherwise(F.col(f"_n_{c}")).alias(c) for c in names))
+
+
+def dataset_card(name: str, tables: dict[str, DataFrame], licence: str, notes: str = "") -> str:
+    """A data set's description in Markdown with YAML metadata: each table's rows and columns."""
+    out = ["---", f"pretty_name: {name}", f"license: {licence}", "---", "", f"# {name}", ""]
+    for title, df in tables.items():
+        out += [f"## {title}", "", f"{df.count()} rows", "", "| column | type |", "| --- | --- |", *(f"| {c} | {t} |" for c, t in df.dtypes), ""]
+    return "\n".join([*out, notes]).rstrip() + "\n"

