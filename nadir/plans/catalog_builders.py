@@ -456,7 +456,7 @@ def sample_with_replacement(spark, d):
     return S.with_replacement(T(spark, d, "nation").select("n_nationkey", "n_regionkey"), "n_regionkey", ["n_nationkey"], 8)
 
 
-@query(f"""WITH RECURSIVE {SUP_SQL}, p AS (SELECT s1, s2, row_number() OVER (ORDER BY {md5_sql(42, 's1', 's2')}, s1, s2) AS r FROM (SELECT DISTINCT s1, s2 FROM sp)), w(r, s1, s2, ok, c) AS (SELECT CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST(0 AS BIGINT), false, (SELECT list_transform(range(max(s_suppkey) + 1), lambda x: 0) FROM supplier)
+@query(f"""WITH RECURSIVE {SUP_SQL}, p AS MATERIALIZED (SELECT s1, s2, row_number() OVER (ORDER BY {md5_sql(42, 's1', 's2')}, s1, s2) AS r FROM (SELECT DISTINCT s1, s2 FROM sp)), w(r, s1, s2, ok, c) AS (SELECT CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST(0 AS BIGINT), false, (SELECT list_transform(range(max(s_suppkey) + 1), lambda x: 0) FROM supplier)
  UNION ALL SELECT r, s1, s2, ok, CASE WHEN ok THEN list_transform(c, lambda x, i: CASE WHEN i = s1 + 1 OR i = s2 + 1 THEN x + 1 ELSE x END) ELSE c END FROM (SELECT p.*, c, c[p.s1 + 1] < 10 AND c[p.s2 + 1] < 10 AS ok FROM w JOIN p ON p.r = w.r + 1)) SELECT s1, s2 FROM w WHERE ok""")
 def two_sided_cap(spark, d):
     return S.two_sided_cap(supplier_pairs(spark, d).select("s1", "s2").distinct(), "s1", "s2", ["s1", "s2"], 10)

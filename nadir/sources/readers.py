@@ -61,7 +61,7 @@ def detect_header(spark: SparkSession, path: str, names: Sequence[str], sep: str
 def wide_matrix(df: DataFrame, index: str, variable: str = "variable", value: str = "value") -> DataFrame:
     """A matrix with an index column as (index, variable, value) rows; null cells go."""
     cells = [c for c in df.columns if c != index]
-    return df.select(F.col(f"`{index}`").alias(index), *(F.col(f"`{c}`").cast("double").alias(c) for c in cells)).unpivot([index], cells, variable, value).where(F.col(value).isNotNull())
+    return df.select(F.col(f"`{index}`").alias(index), *(F.col(f"`{c}`").cast("double").alias(c) for c in cells)).unpivot([f"`{index}`"], [f"`{c}`" for c in cells], variable, value).where(F.col(value).isNotNull())
 
 
 def symbol_and_id(name: str = "variable"):
