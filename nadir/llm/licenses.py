@@ -10,6 +10,8 @@ reported as well. Every row is judged by itself: nothing is shuffled.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -42,7 +44,37 @@ SENTENCES = (
     "SPDX-License-Identifier: MIT",
     "SPDX-License-Identifier: Apache-2.0",
     "All rights reserved.",
+    "This library is free software;",
+    "you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation;",
+    "either version 2.1 of the License, or (at your option) any later version.",
+    "either version 3 of the License, or (at your option) any later version.",
+    "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "you can redistribute it and/or modify it under the terms of the GNU General Public License version 2 as published by the Free Software Foundation.",
+    "This work is licensed under the GNU General Public License, version 2.",
+    "This work is licensed under the GNU Lesser General Public License, version 3.",
+    "This work is licensed under the GNU Affero General Public License, version 3.",
+    "To the extent possible under law, the author(s) have dedicated all copyright and related and neighboring rights to this software to the public domain worldwide.",
+    "This software is distributed without any warranty.",
+    "This is free and unencumbered software released into the public domain.",
+    "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
+    "This software is provided 'as-is', without any express or implied warranty.",
+    "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:",
+    "Distributed under the Boost Software License, Version 1.0.",
+    "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the \"Software\") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following:",
+    "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at",
+    "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
+    "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
+    "Licensed under CC BY-SA 4.0.",
+    "Licensed under the BSD 3-Clause License.",
+    "Licensed under the BSD 2-Clause License.",
+    "Licensed under the ISC License.",
+    "Licensed under the Mozilla Public License, Version 2.0.",
+    "Released under the Apache License, Version 2.0.",
+    "Released under the BSD 3-Clause License.",
 )
+# Identifiers in SPDX lines.
+SPDX = ("GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0-only", "GPL-3.0-or-later", "LGPL-2.1-only", "LGPL-2.1-or-later", "LGPL-3.0-only", "LGPL-3.0-or-later", "AGPL-3.0-only", "AGPL-3.0-or-later", "BSD-2-Clause", "BSD-3-Clause", "ISC", "MPL-2.0", "CC0-1.0", "CC-BY-4.0", "CC-BY-SA-4.0", "Unlicense", "Zlib", "BSL-1.0", "EPL-2.0")
+SENTENCES += tuple(f"SPDX-License-Identifier: {x}" for x in SPDX)
 
 # Fixed values: (licence, run of sentence numbers), tried in this order.
 RULES = (
@@ -66,16 +98,41 @@ RULES = (
     ("MPL-2.0", (24,)),
     ("MIT", (25,)),
     ("Apache-2.0", (26,)),
+    ("LGPL-2.1-or-later", (28, 29, 30)),
+    ("LGPL-3.0-or-later", (28, 29, 31)),
+    ("AGPL-3.0-or-later", (32,)),
+    ("GPL-2.0-only", (18, 33)),
+    ("GPL-2.0-only", (34,)),
+    ("LGPL-3.0-only", (35,)),
+    ("AGPL-3.0-only", (36,)),
+    ("CC0-1.0", (37, 38)),
+    ("CC0-1.0", (37,)),
+    ("Unlicense", (39, 40)),
+    ("Unlicense", (39,)),
+    ("Zlib", (41, 42)),
+    ("BSL-1.0", (43,)),
+    ("BSL-1.0", (44,)),
+    ("EPL-2.0", (45,)),
+    ("CC-BY-SA-4.0", (46,)),
+    ("CC-BY-NC-4.0", (47,)),
+    ("CC-BY-SA-4.0", (48,)),
+    ("BSD-3-Clause", (49,)),
+    ("BSD-2-Clause", (50,)),
+    ("ISC", (51,)),
+    ("MPL-2.0", (52,)),
+    ("Apache-2.0", (53,)),
+    ("BSD-3-Clause", (54,)),
 )
+RULES += tuple((x, (i,)) for i, x in enumerate(SPDX, len(SENTENCES) - len(SPDX) + 1))
 
-# A sentence ends at a blank line, and at white space after one of these signs.
+# A sentence ends at a line that is blank or holds a comment's mark alone, and at white space after one of these signs.
 _SPACE = r"[ \t\n\r\f\x0B]"
 SIGN = rf"([.;!?]){_SPACE}+"
-BLANK = r"\n[ \t\r\f\x0B]*\n"
+BLANK = r"\n[ \t\r\f\x0B]*(?:[#*;%]+|//+|--+)?[ \t\r\f\x0B]*\n"
 #: Marks the end of a sentence.
 MARK = "\x1e"
 #: Every known sentence has one of these; other sentences need no normalising.
-ANCHOR = r"(?i)licen[sc]e|permission|software|redistribut|copyright|rights reserved|CC BY|GNU"
+ANCHOR = r"(?i)licen[sc]e|permission|software|redistribut|copyright|rights reserved|CC BY|GNU|any later version"
 
 
 def normal_form(sentence: str) -> str:
@@ -89,7 +146,10 @@ def _normal(sentence: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(sentence), "[^a-z0-9]+", " "))
 
 
-def scan(docs: DataFrame) -> DataFrame:
+Rules = Sequence[tuple[str, Sequence[int]]]
+
+
+def scan(docs: DataFrame, sentences: Sequence[str] = SENTENCES, rules: Rules = RULES) -> DataFrame:
     """doc_id, n_known long, sentence_ids, licences, unmatched of every row of ``docs`` (doc_id, text).
 
     sentence_ids: numbers of the known sentences in order, joined by commas;
@@ -97,17 +157,18 @@ def scan(docs: DataFrame) -> DataFrame:
     name once; unmatched: the numbers that no rule took. No known sentence,
     empty or null text: 0 and empty strings. Repeated rows come out as often
     as they came; extra columns are ignored; an empty table gives no rows.
+    Other sentences (each with a word of ``ANCHOR``) and rules may be given.
     """
-    numbers = F.create_map(*(F.lit(x) for i, s in enumerate(SENTENCES, 1) for x in (normal_form(s), i)))
+    numbers = F.create_map(*(F.lit(x) for i, s in enumerate(sentences, 1) for x in (normal_form(s), i)))
     text = F.coalesce("text", F.lit(""))
-    sentences = F.filter(F.split(F.regexp_replace(F.regexp_replace(text, SIGN, f"$1{MARK}"), BLANK, MARK), MARK), lambda s: s.rlike(ANCHOR))
+    parts = F.filter(F.split(F.regexp_replace(F.regexp_replace(text, SIGN, f"$1{MARK}"), BLANK, MARK), MARK), lambda s: s.rlike(ANCHOR))
     number = lambda s: F.try_element_at(numbers, _normal(s))
     # a sentence may run over lines; of one that isn't known, each line may be
-    known = F.filter(F.flatten(F.transform(sentences, lambda s: F.when(number(s).isNotNull(), F.array(number(s))).otherwise(F.transform(F.split(s, "\n"), number)))), lambda n: n.isNotNull())
+    known = F.filter(F.flatten(F.transform(parts, lambda s: F.when(number(s).isNotNull(), F.array(number(s))).otherwise(F.transform(F.split(s, "\n"), number)))), lambda n: n.isNotNull())
     # most texts have no anchor at all and aren't cut up
     found = docs.select("doc_id", F.when(text.rlike(ANCHOR), known).otherwise(F.array().cast("array<int>")).alias("known"))
     ids = F.array_join(F.transform("known", lambda n: n.cast("string")), ",")
-    rules = F.array(*(F.struct(F.lit(name).alias("name"), F.lit("".join(f"<{n}>" for n in run)).alias("run")) for name, run in RULES))
+    tried = F.array(*(F.struct(F.lit(name).alias("name"), F.lit("".join(f"<{n}>" for n in run)).alias("run")) for name, run in rules))
     start = F.struct(F.array_join(F.transform("known", lambda n: F.concat(F.lit("<"), n.cast("string"), F.lit(">"))), "").alias("left"), F.array().cast("array<string>").alias("names"))
 
     def apply(state: Column, rule: Column) -> Column:
@@ -115,7 +176,7 @@ def scan(docs: DataFrame) -> DataFrame:
         # a mark stays where a run was, so that what was apart doesn't become a run
         return F.struct(F.when(hit, F.replace(state["left"], rule["run"], F.lit("|"))).otherwise(state["left"]).alias("left"), F.when(hit, F.array_append(state["names"], rule["name"])).otherwise(state["names"]).alias("names"))
 
-    judged = found.select("doc_id", F.size("known").cast("long").alias("n_known"), ids.alias("sentence_ids"), F.when(F.size("known") > 0, F.aggregate(rules, start, apply)).otherwise(start).alias("end"))
+    judged = found.select("doc_id", F.size("known").cast("long").alias("n_known"), ids.alias("sentence_ids"), F.when(F.size("known") > 0, F.aggregate(tried, start, apply)).otherwise(start).alias("end"))
     rest = F.regexp_replace(F.regexp_replace(F.col("end.left"), r"[|<]", ""), ">", ",")
     return judged.select("doc_id", "n_known", "sentence_ids", F.array_join(F.array_distinct("end.names"), ",").alias("licences"), F.rtrim(rest, F.lit(",")).alias("unmatched"))
 
