@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import words as W
-from .scratch import Scratch, partitions_for, session_of
+from .scratch import Scratch, partitions_for, rest_hash, session_of
 
 BUCKET_BITS = 22
 SLICES = 64
@@ -48,6 +48,11 @@ SHORT = 64
 _ONE = np.uint64(1)
 
 
+def fewer_tasks(df: DataFrame) -> DataFrame:
+    """A scan in an eighth of its tasks, as far as that keeps all cores busy: each gives a table of counts of fixed size."""
+    return df.coalesce(max(2 * df.sparkSession.sparkContext.defaultParallelism, df.rdd.getNumPartitions() // 8))
+
+
 def _bucket(h: np.ndarray) -> np.ndarray:
     return (h >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
 
@@ -530,7 +535,7 @@ def removed_lines(docs: DataFrame, scratch: Scratch, witnesses: int = 6) -> Data
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
     stretches = scratch.table("stretches", rows.mapInArrow(_stretches, STRETCH))
-    table = _combined(stretches.select("word", "dictionary", "word_width").mapInArrow(_count_words, "slice int, payload binary"), "u4", False)
+    table = _combined(stretches.select("word", "dictionary", "word_width").transform(fewer_tasks).mapInArrow(_count_words, "slice int, payload binary"), "u4", False)
     counts = spark.sparkContext.broadcast(np.minimum(table, 0xFFFFFFFF).astype(np.uint32))  # only their order matters
     total = stretches.agg(F.coalesce(F.sum("prefixes"), F.lit(0))).first()[0]
     parts = partitions_for(spark, total, ENTRIES_PER_TASK)
@@ -567,7 +572,7 @@ def removed_lines(docs: DataFrame, scratch: Scratch, witnesses: int = 6) -> Data
 
     # a set's first line stays unless the set itself is similar to an earlier one
     place = F.struct(F.col("doc_id").isNotNull().alias("some"), "doc_id", "line", "text_hash")
-    own = stretches.mapInArrow(_each(_places), "h1 long, h2 long, doc_id long, text_hash long, line long").repartition(partitions_for(spark, 0, 1), "h1", "h2")
+    own = stretches.mapInArrow(_each(_places), "h1 long, h2 long, doc_id long, text_hash long, line long")
     firsts = own.groupBy("h1", "h2").agg(F.min(place).alias("first"))
     firsts = firsts.join(similar.select(F.col("later").alias("h1"), F.col("later2").alias("h2"), F.lit(True).alias("similar")), ["h1", "h2"], "left")
     marked = own.join(firsts, ["h1", "h2"])
@@ -606,8 +611,8 @@ def dedup_lines(docs: DataFrame, scratch_group: str = "lines", witnesses: int =
 
     A line without words is never taken out. Null and empty text have no lines
     and stay as they are; null doc_id comes first; of rows with one doc_id,
-    lines count by number, then by text; a row that equals another loses all
-    lines with words. An empty table gives no rows. Columns may have any names.
+    lines count by number, then by text; of rows that are alike in both the first
+    in an order of hashes keeps its lines, the others lose all lines with words. An empty table gives no rows. Columns may have any names.
     """
     spark = session_of(docs)
     scratch = Scratch(spark, scratch_group)
@@ -620,7 +625,7 @@ def dedup_lines(docs: DataFrame, scratch_group: str = "lines", witnesses: int =
     columns = docs.columns
     left = docs.select(key().alias("k_id"), F.xxhash64("text").alias("k_hash"), F.struct(*(F.col(f"`{c}`") for c in columns)).alias("row"))
     joined = left.join(gone, ["k_id", "k_hash"], "left")
-    nth = F.row_number().over(Window.partitionBy("k_id", "k_hash").orderBy(F.lit(0)))
+    nth = F.row_number().over(Window.partitionBy("k_id", "k_hash").orderBy(rest_hash("row", docs.schema)))
     wide = joined.withColumn("nth", nth).select(*(F.col("row").getField(c).alias(f"c{i}") for i, c in enumerate(columns)), "lines", "nth")
     n = len(columns)
     schema = T.StructType([*(T.StructField(f"c{i}", f.dataType) for i, f in enumerate(docs.schema.fields)), T.StructField(f"c{n}", T.LongType()), T.StructField(f"c{n + 1}", T.LongType())])

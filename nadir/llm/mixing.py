@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .scratch import Scratch, session_of
+from .scratch import Scratch, rest_hash, session_of
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -175,9 +175,9 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     ``n_chars``, if there is one, is counted anew.
     """
     taken = mix(docs, **options).where("taken > 0").select("doc_id", "text_hash", "passes", "pieces")
-    nth = F.row_number().over(Window.partitionBy("doc_id", "text_hash").orderBy(F.lit(0)))
-    right = taken.withColumn("nth", nth).select(F.col("doc_id").alias("m_id"), F.col("text_hash").alias("m_hash"), F.col("nth").alias("m_nth"), "passes", "pieces")
-    left = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")).withColumn("nth", nth)
+    alike = Window.partitionBy("doc_id", "text_hash")
+    right = taken.withColumn("nth", F.row_number().over(alike.orderBy("passes", "pieces"))).select(F.col("doc_id").alias("m_id"), F.col("text_hash").alias("m_hash"), F.col("nth").alias("m_nth"), "passes", "pieces")
+    left = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")).withColumn("nth", F.row_number().over(alike.orderBy(rest_hash("row", docs.schema))))
     joined = left.join(right, F.col("doc_id").eqNullSafe(F.col("m_id")) & (F.col("text_hash") == F.col("m_hash")) & (F.col("nth") == F.col("m_nth")))
     run = "array<struct<start:bigint,length:bigint>>"
     whole = F.transform(F.sequence(F.lit(1), F.col("passes").cast("int")), lambda _: F.struct(F.lit(0).cast("long").alias("start"), F.lit(-1).cast("long").alias("length")))

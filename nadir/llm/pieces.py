@@ -273,9 +273,14 @@ def encode(docs: DataFrame, model: str, alpha: float = 1.0, seed: int = 0, id_li
     (of the ids as little-endian 32-bit integers), lossless boolean, and ids if
     ``id_lists``. Null text is empty and has no ids; a row's key is its doc_id,
     null included, so repeated rows come out alike; an empty table gives no
-    rows. Rows are independent: nothing is shuffled.
+    rows. Rows are independent: nothing is shuffled. Other columns are ignored;
+    a kept one must not have the name of a column of the result. The model must
+    have pieces for all bytes and none with the mark of a blank inside.
     """
     session_of(docs)
+    clash = {"doc_id", "n_pieces", "ids_crc32", "lossless", "ids"} & set(keep)
+    if clash:
+        raise ValueError(f"kept columns have names of the result's: {sorted(clash)}")
     fields = [T.StructField("doc_id", docs.schema["doc_id"].dataType), *(docs.schema[c] for c in keep), T.StructField("n_pieces", T.LongType()), T.StructField("ids_crc32", T.LongType()), T.StructField("lossless", T.BooleanType())]
     if id_lists:
         fields.append(T.StructField("ids", T.ArrayType(T.IntegerType())))

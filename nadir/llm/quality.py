@@ -140,7 +140,9 @@ def verdicts(docs: DataFrame, min_words: int = 20, max_window_percent: int = 30,
     base_failed: fewer than ``min_words`` words, or over ``max_window_percent``
     of them in windows found twice. kept: not base_failed, repeats cover no
     more than ``max_covered_percent`` of the words, and none is longer than
-    ``max_longest_repeat`` words.
+    ``max_longest_repeat`` words. Null and empty text has no words and fails.
+    Repeated rows come out as often as they came, extra columns are ignored,
+    whatever their names, and an empty table gives no rows.
     """
     base = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_window_percent * F.col("n_words"))
     repeats = (100 * F.col("covered_words") > max_covered_percent * F.col("n_words")) | (F.col("longest_repeat") > max_longest_repeat)
@@ -150,7 +152,8 @@ def verdicts(docs: DataFrame, min_words: int = 20, max_window_percent: int = 30,
 def kept_documents(docs: DataFrame, **options) -> DataFrame:
     """Rows of ``docs`` that ``verdicts`` keeps, whole and with their own columns.
 
-    Each row is judged by itself, in one pass: nothing is shuffled or joined.
+    Each row is judged by itself, in one pass: nothing is shuffled or joined, so
+    repeated rows share their fate. Columns may have any names.
     """
     session_of(docs)
     columns = docs.columns

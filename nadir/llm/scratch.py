@@ -10,10 +10,13 @@ from __future__ import annotations
 
 import atexit
 import gc
+import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Bytes of one Arrow batch that goes to a Python worker.
 ARROW_BATCH_BYTES = 8 << 20
@@ -96,6 +99,12 @@ def _at_exit() -> None:
 atexit.register(_at_exit)
 
 
+def rest_hash(row: str, schema: T.StructType, without: tuple[str, ...] = ("doc_id", "text")) -> Column:
+    """A hash of the fields of a struct column, to put rows in order that are alike in ``without``; maps and the like don't count."""
+    names = [f.name for f in schema.fields if f.name not in without and not re.search("map<|variant|geo", f.dataType.simpleString())]
+    return F.xxhash64(*(F.col(row).getField(n) for n in names)) if names else F.lit(0)
+
+
 def partitions_for(spark: SparkSession, rows: int, rows_per_partition: int) -> int:
     """As many partitions as keep each at ``rows_per_partition``; at least the session's."""
     least = int(spark.conf.get("spark.sql.shuffle.partitions"))

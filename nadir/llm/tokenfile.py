@@ -368,11 +368,14 @@ def _write_blocks(path: str, end_id: int, block_ids: int):
     return run
 
 
-def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, rows_per_file: int = 4096, max_files: int = 4096, block_ids: int = 1 << 20) -> None:
+def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, rows_per_file: int = 4096, max_files: int = 65_536, block_ids: int = 1 << 20) -> None:
     """Write the ids of every whole text of ``docs`` (doc_id integer, text) to ``path``.
 
     Null text is empty: only the end id. Null doc_id comes first; rows of one
-    doc_id follow in order of their texts. An empty table writes no blocks.
+    doc_id follow in order of their texts; equal rows are written as often as
+    they come; extra columns are ignored, whatever their names. An empty table
+    writes no blocks. There are ``max_files`` files at most, as the driver holds a
+    number of each when they are read.
     """
     spark = session_of(docs)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")

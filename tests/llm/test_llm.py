@@ -216,6 +216,24 @@ def test_licences(spark, docs, empty):
     assert licenses.scan(empty).count() == 0 and licenses.scan(docs).count() == docs.count()
 
 
+def test_every_licence_rule_and_comment_headers(spark):
+    runs = ["".join(f"<{n}>" for n in run) for _, run in licenses.RULES]
+    texts = [(i, "\n\n".join(licenses.SENTENCES[n - 1] for n in run)) for i, (_, run) in enumerate(licenses.RULES)]
+    out = {r["doc_id"]: r["licences"] for r in licenses.scan(frame(spark, texts)).collect()}
+    for i, own in enumerate(runs):
+        left, names = own, []
+        for (name, _), run in zip(licenses.RULES, runs, strict=True):
+            if run in left:
+                left = left.replace(run, "|")
+                names += [name] * (name not in names)
+        assert out[i] == ",".join(names), licenses.RULES[i]
+    for mark in ("#", "//", " *", ";;"):
+        header = "\n".join(f"{mark} {x}".rstrip() for x in ("\n\n".join(licenses.SENTENCES[:2]) + "\n").split("\n"))
+        assert licenses.scan(frame(spark, [(1, header)])).first()["licences"] == "MIT", mark
+    own = licenses.scan(frame(spark, [(1, "This software is ours. Ask first.")]), ["This software is ours."], [("Ours", (1,))]).first()
+    assert (own["licences"], own["n_known"]) == ("Ours", 1)
+
+
 def test_licences_match_sql(spark):
     import duckdb
 
