@@ -26,6 +26,8 @@ CLASSIFICATIONS = (
     ("pathogenic/likely pathogenic", "pathogenic/likely_pathogenic"), ("uncertain significance", "uncertain_significance"),
 )
 AMINO_ACIDS = "ACDEFGHIKLMNPQRSTVWY"
+#: Kyte and Doolittle's hydropathy of the amino acids.
+HYDROPATHY = {"A": 1.8, "C": 2.5, "D": -3.5, "E": -3.5, "F": 2.8, "G": -0.4, "H": -3.2, "I": 4.5, "K": -3.9, "L": 3.8, "M": 1.9, "N": -3.5, "P": -1.6, "Q": -3.5, "R": -4.5, "S": -0.8, "T": -0.7, "V": 4.2, "W": -0.9, "Y": -1.3}
 
 
 def _filled(c: Column) -> Column:
@@ -142,6 +144,22 @@ def amino_acid_composition(sequence: Column) -> Column:
     return F.array(*(F.when(total > 0, n / total).otherwise(0.0) for n in counts))
 
 
+def looked_up(key: Column, table: dict[str, float]) -> Column:
+    """A constant of a small table, null for any other key."""
+    return F.try_element_at(F.create_map(*(F.lit(x) for kv in table.items() for x in kv)), key)
+
+
+def substitution(ref: Column, alt: Column, matrix: dict[tuple[str, str], float]) -> Column:
+    """A substitution matrix's value of two amino acids, in either order."""
+    table = {f"{a}{b}": v for (a, b), v in matrix.items()}
+    return F.coalesce(looked_up(F.concat(ref, alt), table), looked_up(F.concat(alt, ref), table))
+
+
+def hydropathy_change(ref: Column, alt: Column) -> Column:
+    """Hydropathy of the new amino acid minus that of the old one."""
+    return looked_up(alt, HYDROPATHY) - looked_up(ref, HYDROPATHY)
+
+
 def dummies(value: Column, categories: Sequence[str], prefix: str) -> list[Column]:
     """A 0/1 column for each category; null is 0 in all."""
     return [F.coalesce((value == c).cast("int"), F.lit(0)).alias(f"{prefix}_{c}") for c in categories]

@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from nadir.functions.parsers import clean_drug_name
+
 from .pairs import first_per_group
 
 
@@ -60,6 +62,30 @@ def staged_lookup(names: DataFrame, name: str, stages: Sequence[tuple[str, DataF
     return done.unionByName(rest)
 
 
+def resolve_names(names: DataFrame, name: str, exact: DataFrame, cache: DataFrame, vocabulary: DataFrame, overrides: DataFrame, least: float = 0.9) -> DataFrame:
+    """Names with ``resolved`` and ``stage``: by exact synonyms, then a cache, then the nearest name of a vocabulary, then overrides.
+
+    All four are frames of a cleaned name and an id. Names are cleaned first;
+    each stage sees what the ones before left. Only unresolved distinct names
+    meet the vocabulary.
+    """
+    cleaned = names.withColumn("_clean", clean_drug_name(F.col(name)))
+    left = cleaned.select("_clean").distinct()
+    for table in (exact, cache):
+        left = left.join(table.select(F.col(table.columns[0]).alias("_clean")), "_clean", "left_anti")
+    key, value = vocabulary.columns
+    near = fuzzy_match(left, "_clean", vocabulary, key, least).join(vocabulary.groupBy(F.col(key).alias("match")).agg(F.min(value).alias("id")), "match").select("query", "id")
+    return staged_lookup(cleaned, "_clean", [("exact", exact), ("cache", cache), ("fuzzy", near), ("override", overrides)]).drop("_clean")
+
+
+def with_controls(df: DataFrame, controls: Sequence[tuple[DataFrame, Sequence[str], Sequence[str]]]) -> DataFrame:
+    """Columns of control frames (frame, keys, columns) beside the rows, null where a frame has no such key; of several rows of a key the least values count."""
+    out = df
+    for table, keys, columns in controls:
+        out = out.join(table.groupBy(*keys).agg(*(F.min(c).alias(c) for c in columns)), list(keys), "left")
+    return out
+
+
 def fallback_join(left: DataFrame, right: DataFrame, keys: Sequence[tuple[str, str]], value: str, name: str) -> DataFrame:
     """The value found by the first pair of (left key, right key) that matches."""
     out, found = left, []
@@ -100,8 +126,8 @@ def jaro_winkler(a: str, b: str) -> float:
 def fuzzy_match(queries: DataFrame, query: str, names: DataFrame, name: str, least: float = 0.9, length_gap: int = 5, block_prefix: int = 0) -> DataFrame:
     """query, match, similarity: the best name of Jaro-Winkler ``least`` or more whose length is within the gap.
 
-    Candidates are all names of such a length; ties go to the least name. A
-    ``block_prefix`` over 0 also asks for that many equal first characters,
+    Candidates are all names of such a length that share enough characters; ties
+    go to the least name. A ``block_prefix`` over 0 also asks for that many equal first characters,
     which loses matches that differ there.
     """
     @F.pandas_udf("double")
@@ -113,7 +139,10 @@ def fuzzy_match(queries: DataFrame, query: str, names: DataFrame, name: str, lea
     lengths = F.explode(F.sequence(F.length("query") - length_gap, F.length("query") + length_gap))
     left = q.withColumn("_l", lengths).withColumn("_p", F.substring("query", 1, block_prefix))
     right = n.withColumn("_l", F.length("match")).withColumn("_p", F.substring("match", 1, block_prefix))
-    scored = left.join(right, ["_l", "_p"]).withColumn("similarity", similarity("query", "match")).where(F.col("similarity") >= least)
+    # characters that the other name has, too, bound the matching ones; a common prefix adds 0.4 of the rest at most
+    shared = F.expr("least(length(query) - length(translate(query, match, '')), length(match) - length(translate(match, query, '')))")
+    may = shared / F.length("query") + shared / F.length("match") >= 3 * (least - 0.4) / 0.6 - 1 - 1e-9
+    scored = left.join(right, ["_l", "_p"]).where(may).withColumn("similarity", similarity("query", "match")).where(F.col("similarity") >= least)
     best = scored.groupBy("query").agg(F.min_by(F.struct("match", "similarity"), F.struct(-F.col("similarity"), F.col("match"))).alias("b"))
     return best.select("query", "b.match", "b.similarity")
 

@@ -238,6 +238,17 @@ def amino_acid_shares(spark, d):
     return T(spark, d, "part").select("p_partkey", F.round(c[0], 6).alias("a"), F.round(c[15], 6).alias("s"))
 
 
+_HYDRO = "CASE {c} " + " ".join(f"WHEN '{a}' THEN {v}" for a, v in A.HYDROPATHY.items()) + " END"
+_REF, _ALT = "substr('ACDEFGHIKLMNPQRSTVWYX', CAST(p_partkey % 21 + 1 AS INTEGER), 1)", "substr('ACDEFGHIKLMNPQRSTVWY', CAST(p_size % 20 + 1 AS INTEGER), 1)"
+
+
+@query(f"SELECT p_partkey, round({_HYDRO.format(c=_ALT)} - {_HYDRO.format(c=_REF)}, 6) AS hydropathy, CASE WHEN {_REF} = {_ALT} THEN 4.0 WHEN {_REF} || {_ALT} IN ('AC', 'CA') THEN 0.0 END AS matrix FROM part")
+def substitution_features(spark, d):
+    ref, alt = F.expr(_REF), F.expr(_ALT)
+    matrix = {(a, a): 4.0 for a in A.AMINO_ACIDS} | {("A", "C"): 0.0}
+    return T(spark, d, "part").select("p_partkey", F.round(A.hydropathy_change(ref, alt), 6).alias("hydropathy"), A.substitution(ref, alt, matrix).alias("matrix"))
+
+
 @query("SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END AS s_F, CASE WHEN o_orderstatus = 'O' THEN 1 ELSE 0 END AS s_O FROM orders")
 def dummy_columns(spark, d):
     return T(spark, d, "orders").select("o_orderkey", *A.dummies(F.col("o_orderstatus"), ["F", "O"], "s"))
@@ -261,6 +272,29 @@ def vcf_info_map(spark, d):
 # --- joins, aggregates, orders -----------------------------------------------
 
 
+@query("""WITH r AS (SELECT n_nationkey AS k, CASE n_nationkey % 4 WHEN 0 THEN lower(n_name) WHEN 1 THEN lower(n_name) WHEN 2 THEN lower(substr(n_name, 1, length(n_name) - 1)) ELSE 'zz' || n_nationkey END AS c FROM nation), f AS (SELECT c, v.n_nationkey + 200 AS id, row_number() OVER (PARTITION BY c ORDER BY jaro_winkler_similarity(c, lower(v.n_name)) DESC, lower(v.n_name)) AS r FROM (SELECT DISTINCT c FROM r) JOIN nation v ON abs(length(c) - length(v.n_name)) <= 5 WHERE jaro_winkler_similarity(c, lower(v.n_name)) >= 0.9)
+ SELECT k, coalesce(e.n_nationkey, h.n_nationkey + 100, f.id, CASE WHEN k % 8 = 3 THEN k + 300 END) AS resolved, CASE WHEN e.n_nationkey IS NOT NULL THEN 'exact' WHEN h.n_nationkey IS NOT NULL THEN 'cache' WHEN f.id IS NOT NULL THEN 'fuzzy' WHEN k % 8 = 3 THEN 'override' END AS stage FROM r LEFT JOIN nation e ON lower(e.n_name) = c AND e.n_nationkey < 8 LEFT JOIN nation h ON lower(h.n_name) = c AND h.n_nationkey < 16 LEFT JOIN f ON f.c = r.c AND f.r = 1""")
+def name_resolution_cascade(spark, d):
+    """Cleaned names by synonyms, a cache, the nearest name, and overrides."""
+    from nadir.operators import evidence as E
+
+    n = T(spark, d, "nation").select("n_name", F.col("n_nationkey").cast("long").alias("k"))
+    k, name = F.col("k"), F.lower("n_name")
+    raw = F.when(k % 4 == 0, F.concat("n_name", F.lit(" Sodium (20 mg)"))).when(k % 4 == 1, F.col("n_name")).when(k % 4 == 2, F.expr("substr(n_name, 1, length(n_name) - 1)")).otherwise(F.concat(F.lit("zz"), k.cast("string")))
+    table = lambda rows, plus: rows.select(name.alias("name"), (k + plus).alias("id"))
+    overrides = n.where("k % 8 = 3").select(F.concat(F.lit("zz"), k.cast("string")).alias("name"), (k + 300).alias("id"))
+    return E.resolve_names(n.select("k", raw.alias("raw")), "raw", table(n.where("k < 8"), 0), table(n.where("k < 16"), 100), table(n, 200), overrides).select("k", "resolved", "stage")
+
+
+@query("SELECT o_orderkey, c_mktsegment, total FROM orders LEFT JOIN (SELECT c_custkey, min(c_mktsegment) AS c_mktsegment FROM customer WHERE c_acctbal > 0 GROUP BY 1) ON c_custkey = o_custkey LEFT JOIN (SELECT l_orderkey, min(l_quantity) AS total FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1) ON l_orderkey = o_orderkey")
+def control_set_merge(spark, d):
+    from nadir.operators import evidence as E
+
+    c = T(spark, d, "customer").where("c_acctbal > 0").select(F.col("c_custkey").alias("o_custkey"), "c_mktsegment")
+    r = lines(spark, d).where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("o_orderkey"), F.col("l_quantity").alias("total"))
+    return E.with_controls(T(spark, d, "orders").select("o_orderkey", "o_custkey"), [(c, ["o_custkey"], ["c_mktsegment"]), (r, ["o_orderkey"], ["total"])]).select("o_orderkey", "c_mktsegment", "total")
+
+
 @query("SELECT count(*) AS n, count(DISTINCT c_custkey) AS n_left FROM customer JOIN supplier ON upper(trim('E' || c_custkey)) = upper(trim('e' || s_suppkey))")
 def cross_domain_symbol_join(spark, d):
     a = T(spark, d, "customer").select("c_custkey", F.concat(F.lit("E"), F.col("c_custkey").cast("string")).alias("symbol"))

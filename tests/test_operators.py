@@ -259,3 +259,22 @@ def test_staged_classification_fills_gaps_only(spark):
     f = lambda *k: spark.createDataFrame([(x,) for x in k], "k int")
     out = K.staged_classification([("a", f(1, 2)), ("b", f(2, 3)), ("c", f(3, 4, 4))], ["k"]).collect()
     assert sorted(map(tuple, out)) == [(1, "a"), (2, "a"), (3, "b"), (4, "c"), (4, "c")]
+
+
+def test_fuzzy_match_bound_loses_nothing(spark):
+    import random
+
+    rng = random.Random(3)
+    base = ["".join(rng.choice("abcdef") for _ in range(rng.randint(1, 9))) for _ in range(60)]
+    query = [b[:i] + rng.choice("abcdef") + b[i + 1 :] for b in base for i in (0, len(b) // 2)] + ["", "zz"]
+    out = {r["query"]: (r["match"], r["similarity"]) for r in E.fuzzy_match(spark.createDataFrame([(q,) for q in query], "q string"), "q", spark.createDataFrame([(b,) for b in base], "b string"), "b").collect()}
+    for q in set(query):
+        best = max(((E.jaro_winkler(q, b), b) for b in set(base) if abs(len(q) - len(b)) <= 5), key=lambda x: (x[0], [-ord(c) for c in x[1]]))
+        assert (q in out) == (best[0] >= 0.9) and (q not in out or abs(out[q][1] - best[0]) < 1e-12)
+
+
+def test_names_resolve_in_stages(spark):
+    f = lambda *rows: spark.createDataFrame(rows, "name string, id long")
+    names = spark.createDataFrame([("Aspirin Sodium",), ("ibuprofen",), ("cetirizine",), ("odd one",), ("unknown",), (None,)], "raw string")
+    out = {r["raw"]: (r["resolved"], r["stage"]) for r in E.resolve_names(names, "raw", f(("aspirin", 1)), f(("ibuprofen", 2)), f(("setirizine", 3), ("aspirin", 9)), f(("odd one", 4))).collect()}
+    assert out == {"Aspirin Sodium": (1, "exact"), "ibuprofen": (2, "cache"), "cetirizine": (3, "fuzzy"), "odd one": (4, "override"), "unknown": (None, None), None: (None, None)}
