@@ -134,8 +134,8 @@ def fuzzy_match(queries: DataFrame, query: str, names: DataFrame, name: str, lea
     def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([jaro_winkler(x, y) for x, y in zip(a, b, strict=True)])
 
-    q = queries.select(F.col(query).alias("query")).distinct().where("query is not null")
-    n = names.select(F.col(name).alias("match")).distinct().where("match is not null")
+    q = queries.select(F.col(query).alias("query")).distinct().where("query <> ''")
+    n = names.select(F.col(name).alias("match")).distinct().where("match <> ''")
     lengths = F.explode(F.sequence(F.length("query") - length_gap, F.length("query") + length_gap))
     left = q.withColumn("_l", lengths).withColumn("_p", F.substring("query", 1, block_prefix))
     right = n.withColumn("_l", F.length("match")).withColumn("_p", F.substring("match", 1, block_prefix))
