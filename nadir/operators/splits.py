@@ -112,10 +112,10 @@ def degree_grid(df: DataFrame, keys: Sequence[str], first: str, second: str, bin
 
 
 def quantile_bins(df: DataFrame, value: str, bins: int, name: str = "bin") -> DataFrame:
-    """0-based bin by distinct interpolated quantiles; the first bin holds its lower edge. Equal values share a bin."""
+    """0-based bin by distinct interpolated quantiles; the first bin holds its lower edge. Equal values share a bin, null has none."""
     edges = exact_quantiles(df, value, [i / bins for i in range(bins + 1)])
-    place = F.size(F.filter(F.array(*map(F.lit, edges[1:-1])), lambda e: e < F.col(value))) if len(edges) > 2 else F.when(F.col(value).isNotNull(), F.lit(0))
-    return df.withColumn(name, F.when(F.col(value).isNotNull(), place).otherwise(-1) if len(edges) > 2 else place)
+    place = F.size(F.filter(F.array(*map(F.lit, edges[1:-1])), lambda e: e < F.col(value))) if len(edges) > 2 else F.lit(0)
+    return df.withColumn(name, F.when(F.col(value).isNotNull(), place))
 
 
 def exact_quantiles(df: DataFrame, value: str, shares: Sequence[float]) -> list[float]:
