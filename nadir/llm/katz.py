@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import words as W
-from .scratch import Scratch, session_of
+from .scratch import Scratch, dealt, session_of
 
 START, END = np.uint64(0x243F6A8885A308D3), np.uint64(0x13198A2E03707344)
 K = 5
@@ -277,7 +277,8 @@ class Model:
 
 
 def _deal(blocks: DataFrame, parts: int, *order: str) -> DataFrame:
-    return blocks.repartition(max(parts, int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions"))), order[0]).sortWithinPartitions(*order)
+    n = max(parts, int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return (dealt(blocks, "part", n) if order[0] == "part" else blocks.repartition(n, order[0])).sortWithinPartitions(*order)
 
 
 def train(docs: DataFrame, scratch: Scratch) -> Model:

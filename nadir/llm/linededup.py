@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import words as W
-from .scratch import Scratch, partitions_for, rest_hash, session_of
+from .scratch import Scratch, dealt, partitions_for, rest_hash, session_of
 
 BUCKET_BITS = 22
 SLICES = 64
@@ -91,7 +91,7 @@ def _combined(rows: DataFrame, dtype: str, bitwise: bool) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([c.compress(x.tobytes()) for x in total.values()], pa.binary())], names=["slice", "payload"])
 
     z = zstandard.ZstdDecompressor()
-    got = dict(rows.repartition(SLICES, "slice").mapInArrow(merge, "slice int, payload binary").toLocalIterator())
+    got = dict(dealt(rows, "slice", min(SLICES, max(8, 2 * rows.sparkSession.sparkContext.defaultParallelism))).mapInArrow(merge, "slice int, payload binary").toLocalIterator())
     width = (1 << (BLOOM_BITS - 3) if bitwise else 1 << BUCKET_BITS) // SLICES
     return np.concatenate([np.frombuffer(z.decompress(got[k]), wide) if k in got else np.zeros(width, wide) for k in range(SLICES)])
 
@@ -541,7 +541,8 @@ def removed_lines(docs: DataFrame, scratch: Scratch, witnesses: int = 6) -> Data
     parts = partitions_for(spark, total, ENTRIES_PER_TASK)
 
     def first_round() -> DataFrame:
-        blocks = stretches.mapInArrow(_entries(counts, parts), BLOCK).repartition(parts, "part").sortWithinPartitions("part")
+        blocks = stretches.mapInArrow(_entries(counts, parts), BLOCK)
+        blocks = dealt(blocks, "part", parts).sortWithinPartitions("part")
         return scratch.table("first-round", blocks.mapInArrow(_first_round(witnesses), PAIR))
 
     first = first_round()

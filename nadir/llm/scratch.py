@@ -105,6 +105,29 @@ def rest_hash(row: str, schema: T.StructType, without: tuple[str, ...] = ("doc_i
     return F.xxhash64(*(F.col(row).getField(n) for n in names)) if names else F.lit(0)
 
 
+_places: dict[int, list[int]] = {}
+
+
+def dealt(df: DataFrame, column: str, n: int, most: int = 8192) -> DataFrame:
+    """Rows in ``n`` partitions by a column of numbers modulo ``n``, each number in a partition of its own.
+
+    A hash of so few numbers would put several of them into some partitions and
+    none into others; here each stands for an integer whose hash is its place.
+    For more than ``most`` partitions that table would be long, and the hash of
+    the number decides.
+    """
+    if n > most:
+        return df.repartition(n, column)
+    if n not in _places:
+        place = F.pmod(F.hash(F.col("id").cast("int")), F.lit(n))
+        found = df.sparkSession.range(n * 24 + 64).groupBy(place.alias("place")).agg(F.min("id").alias("id")).collect()
+        _places[n] = [r["id"] for r in sorted(found, key=lambda r: r["place"])]
+    if len(_places[n]) < n:
+        return df.repartition(n, column)
+    names = F.array(*(F.lit(i).cast("int") for i in _places[n]))
+    return df.repartition(n, F.element_at(names, F.pmod(F.col(column), F.lit(n)).cast("int") + 1))
+
+
 def partitions_for(spark: SparkSession, rows: int, rows_per_partition: int) -> int:
     """As many partitions as keep each at ``rows_per_partition``; at least the session's."""
     least = int(spark.conf.get("spark.sql.shuffle.partitions"))

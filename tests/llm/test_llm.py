@@ -368,6 +368,12 @@ def test_quality_against_brute_force(spark, docs, empty):
             dup += bool(words(x)) and x in lines
             lines.add(x)
         assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]) == (n, sum(map(len, w)), sum(c in "#*$%&|<>" for c in t), dup, len(cover)), r["doc_id"]
+        longest = 0
+        while n - longest > 0 and len({hash(tuple(w[i : i + longest + 1])) for i in range(n - longest)}) < n - longest and n < 2000:
+            longest += 1
+        if n < 2000:  # the longest run of words found twice, and the verdict that follows
+            assert r["longest_repeat"] == longest and r["covered_words"] == len(cover), r["doc_id"]
+            assert r["kept"] == (n >= 20 and 100 * len(cover) <= 30 * n and longest <= 100)
         assert r["base_failed"] == (n < 20 or 100 * len(cover) > 30 * n) and not (r["kept"] and r["base_failed"])
     kept = quality.kept_documents(docs)
     assert kept.columns == docs.columns
@@ -636,3 +642,4 @@ def test_pipeline_near_dedup_keeps_unrelated_rows_that_share_an_id(spark):
     docs = frame(spark, [(None, texts[0]), (None, texts[1]), (None, texts[2]), (7, texts[3]), (7, texts[4]), (8, texts[5]), (None, texts[5])])
     got = sorted(str((r["doc_id"], r["text"])) for r in c.drop_near_duplicates(spark, docs, "").collect())
     assert got == sorted(str(x) for x in [*((None, t) for t in texts[:3]), (7, texts[3]), (7, texts[4]), (8, texts[5])])
+    assert c.drop_near_duplicates(spark, docs.where("doc_id = 100"), "").count() == 0
