@@ -574,8 +574,10 @@ def removed_lines(docs: DataFrame, scratch: Scratch, witnesses: int = 6) -> Data
     # a set's first line stays unless the set itself is similar to an earlier one
     place = F.struct(F.col("doc_id").isNotNull().alias("some"), "doc_id", "line", "text_hash")
     own = stretches.mapInArrow(_each(_places), "h1 long, h2 long, doc_id long, text_hash long, line long")
-    firsts = own.groupBy("h1", "h2").agg(F.min(place).alias("first"))
+    firsts = own.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("n"))
     firsts = firsts.join(similar.select(F.col("later").alias("h1"), F.col("later2").alias("h2"), F.lit(True).alias("similar")), ["h1", "h2"], "left")
+    # sets that lose lines are few, and as a table of their own they can meet the lines of a very common set in parts
+    firsts = scratch.table("losing", firsts.where("n > 1 or similar").drop("n"))
     marked = own.join(firsts, ["h1", "h2"])
     gone = marked.where(F.col("similar").isNotNull() | (place != F.col("first")))
     return gone.groupBy("doc_id", "text_hash").agg(F.collect_set("line").alias("lines"))
