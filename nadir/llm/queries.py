@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, katz, licenses, linededup, mixing, pieces, quality, simhash, tokenfile, vptree
+from . import ballkmeans, chat, feistel, importance, katz, licenses, linededup, mixing, pieces, quality, simhash, tokenfile, vptree
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -72,9 +72,24 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.format_and_read_back(own.unionByName(extra))
 
 
+def op11_ball_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = ballkmeans.cluster(_table(spark, sf_dir, "embeddings"))
+    return out.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", ballkmeans.centroid_digest().alias("centroid_sha256"))
+
+
+def op12_importance_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op13_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The permutation deals rows, so shards' counts are at most one apart."""
+    out = feistel.assign(_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mix_sources, op2_vptree_neighbours, op3_katz_score, op4_licence_sentences, op5_line_dedup, op6_sampled_pieces, op7_quality_rules, op8_token_files, op9_simhash_near_dedup, op10_chat_format)}
+    return {f.__name__: f for f in (op1_mix_sources, op2_vptree_neighbours, op3_katz_score, op4_licence_sentences, op5_line_dedup, op6_sampled_pieces, op7_quality_rules, op8_token_files, op9_simhash_near_dedup, op10_chat_format, op11_ball_kmeans, op12_importance_resample, op13_feistel_shards)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_licence_sentences": licenses.scan_sql()}
+    return {"op4_licence_sentences": licenses.scan_sql(), "op11_ball_kmeans": ballkmeans.cluster_sql(), "op13_feistel_shards": feistel.assign_sql()}
