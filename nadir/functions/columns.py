@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column
@@ -254,9 +254,24 @@ def lenient_json(response: Column, schema: str) -> Column:
     return F.from_json(F.regexp_extract(bare, r"(?s)(\{.*\})", 1), schema)
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once, although lambdas inside would compute it for each element."""
+    return F.transform(F.array(value), use)[0]
+
+
+def last_of_each(entries: Column) -> Column:
+    """A map from an array of structs (k, v) with the last value of each key."""
+    placed = F.array_sort(F.transform(entries, lambda e, i: F.struct(e["k"].alias("k"), i.alias("i"), e["v"].alias("v"))))
+    is_last = lambda s: lambda e, i: F.coalesce(F.get(s, i + 1)["k"] != e["k"], F.lit(True))
+    return F.map_from_entries(F.transform(bound(placed, lambda s: F.filter(s, is_last(s))), lambda e: F.struct(e["k"], e["v"])))
+
+
 def info_map(text: Column) -> Column:
-    """``k=v;k2=v2`` as a map; a key without a value maps to null."""
-    return F.str_to_map(text, F.lit(";"), F.lit("="))
+    """``k=v;k2=v2`` as a map, a repeated key with its last value; a key without a value maps to null, empty items go."""
+    items = F.filter(F.split(text, ";"), lambda x: x != "")
+    key = lambda x: F.substring_index(x, "=", 1)
+    entry = lambda x: F.struct(key(x).alias("k"), F.when(F.contains(x, F.lit("=")), F.substr(x, F.length(key(x)) + 2)).alias("v"))
+    return last_of_each(F.transform(items, entry))
 
 
 def one_hot(value: Column, categories: Sequence[str]) -> Column:

@@ -21,6 +21,14 @@ CONSEQUENCES = (
 )
 ACMG = r"\b(BA1|BS[1-4]|BP[1-7]|PP3|PM[1-6]|PS[1-4]|PVS1)\b"
 MEDGEN_CUI = r"\b(CN?\d{6,8})\b"
+CODING = r"(N[MR]_[\d.]+)(?:\([^)]+\))?(:[cgrnomp]\.\S+)"
+PROTEIN = r"\((p\.\w+)\)"
+GLUED_PROTEIN = r"\s*\(p\..*\)\s*$"
+WITH_LABEL = r"^([A-Za-z0-9_]+)\(([^)]+)\)"
+WITHOUT_STATE = r"(?s)^(.*?)(?:-(?:phosphorylated|nonphosphorylated).*)?$"
+INFO_ID = r"ID=([^,>]+)"
+INFO_FORMAT = r'Format: ([^"]+)'
+ANNOTATION_IDS = ("vep", "CSQ", "vep_annotation")
 CLASSIFICATIONS = (
     ("benign", "benign"), ("likely benign", "likely_benign"), ("benign/likely benign", "benign/likely_benign"), ("pathogenic", "pathogenic"), ("likely pathogenic", "likely_pathogenic"),
     ("pathogenic/likely pathogenic", "pathogenic/likely_pathogenic"), ("uncertain significance", "uncertain_significance"),
@@ -58,16 +66,15 @@ def clean_drug_name(name: Column) -> Column:
 
 def gene_and_mutation(name: Column) -> tuple[Column, Column]:
     """``ABL1(E255K)-phosphorylated`` as (gene, mutation); labels of domains or species are no mutations."""
-    with_label = r"^([A-Za-z0-9_]+)\(([^)]+)\)"
-    label = _filled(F.regexp_extract(name, with_label, 2))
-    gene = F.coalesce(_filled(F.regexp_extract(name, with_label, 1)), F.regexp_extract(name, r"(?s)^(.*?)(?:-(?:phosphorylated|nonphosphorylated).*)?$", 1))
+    label = _filled(F.regexp_extract(name, WITH_LABEL, 2))
+    gene = F.coalesce(_filled(F.regexp_extract(name, WITH_LABEL, 1)), F.regexp_extract(name, WITHOUT_STATE, 1))
     return gene, F.when(label.rlike(r"^[A-Z]\d"), label)
 
 
 def hgvs(name: Column) -> tuple[Column, Column]:
     """Coding notation (without the gene's symbol) and protein notation of a variant's name; null where there is none."""
-    coding = r"(N[MR]_[\d.]+)(?:\([^)]+\))?(:[cgrnomp]\.\S+)"
-    return _filled(F.concat(F.regexp_extract(name, coding, 1), F.regexp_extract(name, coding, 2))), _filled(F.regexp_extract(name, r"\((p\.\w+)\)", 1))
+    coding = F.concat(F.regexp_extract(name, CODING, 1), F.regexp_extract(name, CODING, 2))
+    return _filled(F.regexp_replace(coding, GLUED_PROTEIN, "")), _filled(F.regexp_extract(name, PROTEIN, 1))
 
 
 def consequence(name: Column) -> Column:
@@ -115,24 +122,25 @@ def truncate_words(text: Column, most: int, mark: str = " [...]") -> Column:
 def annotation(csq: Column, fields: Sequence[str], alt: Column | None = None) -> Column:
     """A map of the first annotation of an annotated INFO value that is of the allele (or names none); empty values go.
 
-    ``fields``: the names that the file's header gives, in order.
+    ``fields``: the names that the file's header gives, in order; a repeated name
+    stands for its last place.
     """
+    places = {name: i for i, name in enumerate(fields)}
     entries = F.transform(F.split(csq, ","), lambda x: F.split(x, r"\|"))
-    if alt is not None and "Allele" in fields:
-        at = list(fields).index("Allele") + 1
-        own = lambda e: F.coalesce(F.try_element_at(e, F.lit(at)), F.lit(""))
+    if alt is not None and "Allele" in places:
+        own = lambda e: F.coalesce(F.get(e, F.lit(places["Allele"])), F.lit(""))
         entries = F.filter(entries, lambda e: (own(e) == "") | (own(e) == alt))
-    first = F.try_element_at(entries, F.lit(1))
-    names = F.slice(F.array(*map(F.lit, fields)), F.lit(1), F.least(F.lit(len(fields)), F.size(first)))
-    return F.when(first.isNotNull(), F.map_filter(F.map_from_arrays(names, F.slice(first, F.lit(1), F.size(names))), lambda k, v: v != ""))
+    first = F.get(entries, F.lit(0))
+    values = F.map_from_arrays(F.array(*map(F.lit, places)), F.array(*(F.get(first, F.lit(i)) for i in places.values()))) if places else F.create_map().cast("map<string,string>")
+    return F.when(first.isNotNull(), F.map_filter(values, lambda k, v: F.coalesce(v != "", F.lit(False))))
 
 
 def annotation_spec(header_line: str) -> tuple[str, list[str]] | None:
     """The INFO id and field names that a ``##INFO`` line of annotations declares."""
     import re
 
-    name, form = re.search(r"ID=([^,>]+)", header_line), re.search(r'Format: ([^"]+)', header_line)
-    if not name or not form or name[1] not in ("vep", "CSQ", "vep_annotation"):
+    name, form = re.search(INFO_ID, header_line), re.search(INFO_FORMAT, header_line)
+    if not name or not form or name[1] not in ANNOTATION_IDS:
         return None
     return name[1], [f.strip() for f in form[1].split("|")]
 

@@ -98,10 +98,12 @@ def id_mapping(df: DataFrame, key: str, value: str, order: Sequence[str]) -> Dat
 
 
 def vcf(spark: SparkSession, path: str) -> DataFrame:
-    """A row for each alternate allele: locus, alleles and INFO as a map, with its place for Number=A fields."""
+    """A row for each alternate allele: locus, alleles and INFO as a map (of a repeated key the last value), with its place for Number=A fields."""
+    from nadir.functions.columns import info_map
+
     c = F.split("value", "\t")
     rows = spark.read.text(path).where(~F.col("value").startswith("#")).select(c.alias("c")).where(F.size("c") >= 8)
-    base = rows.select(F.regexp_replace(F.col("c")[0], "^chr", "").alias("chromosome"), F.col("c")[1].cast("long").alias("position"), F.col("c")[3].alias("ref"), F.posexplode(F.split(F.col("c")[4], ",")).alias("allele", "alt"), F.str_to_map(F.col("c")[7], F.lit(";"), F.lit("=")).alias("info"))
+    base = rows.select(F.regexp_replace(F.col("c")[0], "^chr", "").alias("chromosome"), F.col("c")[1].cast("long").alias("position"), F.col("c")[3].alias("ref"), F.posexplode(F.split(F.col("c")[4], ",")).alias("allele", "alt"), info_map(F.col("c")[7]).alias("info"))
     return base.where(~F.col("alt").rlike(r"^[<*.]|[\[\]]"))
 
 
@@ -146,14 +148,13 @@ def link_degrees(links: DataFrame, least: int = 0) -> DataFrame:
 
 
 def vcf_annotation_spec(spark: SparkSession, path: str) -> tuple[str, list[str]] | None:
-    """INFO id and field names of the annotations that a VCF's header declares."""
-    from nadir.functions.parsers import annotation_spec
+    """INFO id and field names of the annotations that a VCF's header declares; the last declaration counts."""
+    from nadir.functions.parsers import ANNOTATION_IDS, INFO_FORMAT, INFO_ID, annotation_spec
 
-    for row in spark.read.text(path).where(F.col("value").startswith("##INFO")).limit(1000).collect():  # a header has some lines
-        found = annotation_spec(row[0])
-        if found:
-            return found
-    return None
+    line = F.col("value")
+    declared = spark.read.text(path).where(line.startswith("##INFO=") & F.regexp_extract(line, INFO_ID, 1).isin(*ANNOTATION_IDS) & line.rlike(INFO_FORMAT))
+    last = declared.withColumn("at", F.monotonically_increasing_id()).agg(F.max_by("value", "at")).first()[0]
+    return annotation_spec(last) if last is not None else None
 
 
 def variant_summary(spark: SparkSession, path: str) -> DataFrame:
@@ -202,9 +203,11 @@ def sniffed(spark: SparkSession, path: str, seps: Sequence[str] = ("\t", ",")) -
 def zipped(spark: SparkSession, path: str, member: str | None = None, sep: str = "\t") -> DataFrame:
     """A table in a zip archive (its only member, or the one named), a row of strings each.
 
-    An archive can't be divided, so each is read by one task, which streams its
-    lines; several archives under a path are read side by side. Other suffixes
-    are read as text, compressed or not.
+    An archive can't be divided, so each is one row of bytes (2 GB at most, else
+    Spark raises an error) in one task, which unpacks it line by line; several
+    archives under a path are read side by side. Each one's first line is its
+    header, and that of the first path names the columns. Other suffixes are read
+    as text, compressed or not.
     """
     if not path.endswith(".zip"):
         return delimited(spark, path, sep)
@@ -222,15 +225,18 @@ def zipped(spark: SparkSession, path: str, member: str | None = None, sep: str =
                     if member is None and len(names) != 1:
                         raise ValueError(f"an archive with {len(names)} members needs a member's name")
                     with io.TextIOWrapper(archive.open(member or names[0]), "utf-8") as text:
+                        header = True
                         while block := text.readlines(1 << 20):
-                            yield pd.DataFrame({"value": [x.rstrip("\r\n") for x in block]})
+                            rows = pd.DataFrame({"value": [x.rstrip("\r\n") for x in block], "header": False})
+                            rows.loc[0, "header"], header = header, False
+                            yield rows
 
-    text = spark.read.format("binaryFile").load(path).select("content").mapInPandas(lines, "value string")
-    header = text.first()
+    text = spark.read.format("binaryFile").load(path).select("content").mapInPandas(lines, "value string, header boolean")
+    header = text.where("header").first()
     if header is None:
         raise ValueError(f"an empty table in {path}")
     cells = F.split("value", sep)
-    return text.where(F.col("value") != header[0]).select(*(F.get(cells, F.lit(i)).alias(n.lstrip("\ufeff")) for i, n in enumerate(header[0].split(sep))))
+    return text.where("not header").select(*(F.get(cells, F.lit(i)).alias(n.lstrip("\ufeff")) for i, n in enumerate(header[0].split(sep))))
 
 
 def sheet(spark: SparkSession, path: str, wanted: dict[str, Sequence[str]], most: int = 1_000_000) -> DataFrame:

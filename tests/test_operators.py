@@ -176,6 +176,9 @@ def test_parsers(spark):
     assert one(A.tested_evidence(lit("tested\n see DOI \n"))) == "see DOI" and one(A.tested_evidence(lit("tested"))) is None
     assert one(A.annotation(lit("A|x|G,T|y|"), ["Allele", "Consequence", "SYMBOL"], lit("T"))) == {"Allele": "T", "Consequence": "y"}
     assert one(A.annotation(lit(None).cast("string"), ["Allele"])) is None
+    assert one(A.annotation(lit("A|x|y"), ["Allele", "X", "X"])) == {"Allele": "A", "X": "y"} and one(A.annotation(lit("A|x"), ["Allele", "X", "X"])) == {"Allele": "A"}
+    assert one(A.annotation(lit(""), ["Allele"], lit("A"))) == {} and one(A.annotation(lit("G|x"), ["Allele", "X"], lit("A"))) is None
+    assert [tuple(one(c) for c in A.hgvs(lit(t))) for t in ("NM_1.4:c.5A>T(p.Ala1Asp)", "NM_1.4(G):c.5A>T (p.Ala1Asp)", "NM_1.4:c.5A>T", "none")] == [("NM_1.4:c.5A>T", "p.Ala1Asp"), ("NM_1.4:c.5A>T", "p.Ala1Asp"), ("NM_1.4:c.5A>T", None), (None, None)]
     assert one(A.consequence(lit("NM_1:c.1A>G (p.Ala1Gly)"))) == "missense" and one(A.consequence(lit(None).cast("string"))) == "other"
 
 

@@ -100,6 +100,24 @@ def test_annotated_vcf_header(spark, tmp_path):
     assert R.vcf_annotation_spec(spark, str(tmp_path / "h.vcf")) == ("CSQ", ["Allele", "Consequence", "SYMBOL"])
 
 
+def test_vcf_with_repeated_keys_and_a_long_header(spark, tmp_path):
+    spec = '##INFO=<ID={},Number=.,Description="Format: Allele|{}|SYMBOL">\n'
+    head = "".join(f"##INFO=<ID=K{i},Number=1>\n" for i in range(1500)) + spec.format("CSQ", "Old") + spec.format("other", "X") + spec.format("vep", "Consequence")
+    (tmp_path / "r.vcf").write_text(head + "#CHROM\nchr2\t7\t.\tA\tC\t.\t.\tAC=1;AC=2;DB;;X=a=b;E=\n3\t8\t.\tA\tC\t.\t.\tAC=1;AC\n")
+    assert R.vcf_annotation_spec(spark, str(tmp_path / "r.vcf")) == ("vep", ["Allele", "Consequence", "SYMBOL"])
+    got = [r["info"] for r in R.vcf(spark, str(tmp_path / "r.vcf")).orderBy("position").collect()]
+    assert got == [{"AC": "2", "DB": None, "X": "a=b", "E": ""}, {"AC": None}]
+
+
+def test_zip_keeps_lines_like_its_header(spark, tmp_path):
+    import zipfile
+
+    for name in ("a", "b"):
+        with zipfile.ZipFile(tmp_path / f"{name}.zip", "w") as z:
+            z.writestr("t.tsv", "a\tb\n1\t2\na\tb\n")
+    assert sorted(tuple(r) for r in R.zipped(spark, str(tmp_path / "*.zip")).collect()) == [("1", "2")] * 2 + [("a", "b")] * 2
+
+
 def test_zip_sniffing_and_config(spark, tmp_path):
     import zipfile
 
