@@ -7,6 +7,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .graphs import cold_both_graph
 from .ordering import hash_rank, running_before, value_bucket
 
 Ratios = tuple[float, float, float]
@@ -76,8 +77,8 @@ def max_rank(df: DataFrame, first: str, second: str, seed: int = 42, ratios: Rat
 def partition_both(df: DataFrame, first: str, second: str, parts: int = 10, seed: int = 42, ratios: Ratios = DEFAULT) -> DataFrame:
     """Cold for both ends by parts of the entities: rows whose ends are in different folds have none.
 
-    Parts are hashed, which stands in for a graph partition: the same
-    guarantee, with more rows left out.
+    Parts are hashed: the same guarantee as by parts of the graph
+    (``graphs.cold_both_graph``), with more rows left out.
     """
     part = lambda c: F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(c).cast("string"))), 1, 4), 16, 10).cast("int") % parts
     fold = lambda p: F.when(p < int(parts * ratios[0]), 0).when(p < int(parts * ratios[0]) + max(1, int(parts * ratios[1])), 1).otherwise(2)
@@ -215,7 +216,7 @@ def cold_primary(df: DataFrame, key: str, triples: DataFrame, entity: str, seed:
 
 
 STRATEGIES: dict[str, Callable[..., DataFrame]] = {
-    "random": random_split, "cold_entity": cold_entity, "cold_greedy": cold_greedy, "max_rank": max_rank, "partition_both": partition_both, "temporal": temporal,
+    "random": random_split, "cold_entity": cold_entity, "cold_greedy": cold_greedy, "max_rank": max_rank, "partition_both": partition_both, "cold_both_graph": cold_both_graph, "temporal": temporal,
     "running_total": running_total, "degree_grid": degree_grid, "degree_quantile": degree_quantile, "leave_one_group_out": leave_one_group_out, "few_shot": few_shot, "family_greedy": family_greedy, "gene_groups": gene_groups, "cold_primary": cold_primary,
 }
 

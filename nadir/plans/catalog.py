@@ -870,4 +870,4 @@ def before_after(spark, d):
     return out.select("l_returnflag", *(F.round(c, 6).alias(c) for c in ("tax_before", "tax_after", "tax_delta")))
 
 
-from nadir.plans import catalog_builders, catalog_cells  # noqa: E402, F401  they register more queries with what is above
+from nadir.plans import catalog_builders, catalog_cells, catalog_graphs  # noqa: E402, F401  they register more queries with what is above
