@@ -94,17 +94,8 @@ def value_bucket(df: DataFrame, column: str, parts: int = 64) -> Column:
     return F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < F.col(column))) if cuts else F.lit(0)
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """The frame written to the session's checkpoint folder, so that later steps start from its rows.
+def settled(df: DataFrame, replaces: DataFrame | None = None) -> DataFrame:
+    """The frame written to the session's shared folder, so that later steps start from its rows; what ``replaces`` was read from is deleted."""
+    from .steps import Steps
 
-    A local session without such a folder (tests) gets a temporary one.
-    """
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        shared = sc.getConf().get("spark.checkpoint.dir")
-        if shared is None and not (sc.master.startswith("local") and not sc.master.startswith("local-cluster")):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        import tempfile
-
-        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="nadir-"))
-    return df.checkpoint()
+    return Steps(df.sparkSession, "settled").table(df, replaces)

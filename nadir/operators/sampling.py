@@ -46,9 +46,10 @@ def untested_pairs(a_side: DataFrame, b_side: DataFrame, tested: DataFrame, n: i
     left = settled(hash_rank(a_side.distinct(), seed, [a], name="_i").withColumn("_i", F.col("_i") - 1))
     right = settled(hash_rank(b_side.distinct(), seed + 1, [b], name="_j").withColumn("_j", F.col("_j") - 1))
     na, nb = left.count(), right.count()
-    known = tested.select(a, b).distinct()
+    known = settled(tested.select(a, b).distinct())
     room = na * nb
     want = min(room, int(n * oversample) + known.count() * n // max(1, room) + 16)
+    found = None
     while True:
         # a multiplicative walk visits every place of the product once
         step = next(s for s in range(int(room * 0.6180339887) | 1, room * 2 + 3, 2) if _coprime(s, room)) if room > 2 else 1
@@ -56,9 +57,9 @@ def untested_pairs(a_side: DataFrame, b_side: DataFrame, tested: DataFrame, n: i
         place = F.col("_x") % F.lit(room)
         cells = places.select(F.floor(place / nb).cast("long").alias("_i"), (place % nb).cast("long").alias("_j"))
         pairs = cells.join(left, "_i").join(right, "_j").select(a, b).join(known, [a, b], "left_anti")
-        pairs = settled(pairs)
-        if want >= room or pairs.count() >= n:
-            return first_n(pairs, n, seed, [a, b])
+        found = settled(pairs, found)
+        if want >= room or found.count() >= n:
+            return first_n(found, n, seed, [a, b])
         want = min(room, want * 2)
 
 
@@ -95,6 +96,70 @@ def weighted(df: DataFrame, weight: Column, keys: Sequence[str], n: int, seed: i
     return df.withColumn("_k", -F.log(u) / weight).where(weight > 0).orderBy("_k", *keys).limit(n).drop("_k")
 
 
+def draw_number(seed: int, draw: Column, side: str, below: int) -> Column:
+    """A number from 0 to ``below`` - 1 for each draw: the first 60 bits of MD5(seed:draw:side)."""
+    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), draw.cast("string"), F.lit(side)))
+    return F.pmod(F.conv(F.substring(digest, 1, 15), 16, 10).cast("long"), F.lit(below).cast("long"))
+
+
+def weighted_pairs(a_side: DataFrame, b_side: DataFrame, tested: DataFrame, n: int, seed: int = 42, one_kind: bool = False, most_tries: int = 64) -> DataFrame:
+    """``n`` untested pairs whose ends are drawn by weight: (a, b, draw), in the order of their draws.
+
+    The sides are frames of a key and an integer weight; keys of one side are
+    distinct, and those with a null, zero or negative weight are never drawn. Draw i
+    is a number below the sum of weights on either side, and a key owns a
+    range of those numbers; both are cut into cells, so that the join of draws and
+    ranges is an equi-join and the product of the sides is never made. A tested pair,
+    one drawn before, and with ``one_kind`` a key with itself, is no result
+    (and a pair's ends are put in order). Draws go on in blocks until there are
+    ``n``; fewer come only if ``most_tries`` times ``n`` draws haven't found them, or
+    there are no more. The result doesn't depend on the blocks.
+    """
+    a, b = a_side.columns[0], b_side.columns[0]
+    spark = a_side.sparkSession
+    sides = []
+    for tag, side in (("a", a_side), ("b", b_side)):
+        key, weight = side.columns
+        own = side.select(F.col(key).alias("key"), F.col(weight).cast("long").alias("w")).where("w > 0 and key is not null")
+        total, keys = own.agg(F.coalesce(F.sum("w"), F.lit(0)), F.count("*")).first()
+        if not total:
+            return spark.createDataFrame([], "draw long").join(a_side.select(a).limit(0)).join(b_side.select(F.col(b).alias("_b")).limit(0)).select(F.col(a).alias("a"), F.col("_b").alias("b"), "draw")
+        width = max(1, total // (2 * keys))
+        ranges = running_before(own.withColumn("h", hash_key(seed, "key")), F.substring("h", 1, 3), ["h", "key"], {"begin": "w"})
+        # all cells together are as many as keys and twice that
+        cells = ranges.withColumn("cell", F.explode(F.sequence(F.floor(F.col("begin") / width), F.floor((F.col("begin") + F.col("w") - 1) / width))))
+        sides.append((tag, settled(cells.select("key", "begin", "w", "cell")), total, width, keys))
+    room = sides[0][4] * sides[1][4]
+    known = tested.select(F.col(a if a in tested.columns else tested.columns[0]).alias("a"), F.col(b if b in tested.columns and b != a else tested.columns[1]).alias("b"))
+    known = settled((_ordered(known) if one_kind else known).distinct())
+    found, have, begin = None, 0, 0
+    while True:
+        size = min(n * most_tries - begin, max(16, int((n - have) * 1.5)) if begin == 0 else max(begin, 16))
+        pairs = spark.range(begin, begin + size).withColumnRenamed("id", "draw")
+        for tag, cells, total, width, _ in sides:
+            numbered = pairs.withColumn("u", draw_number(seed, F.col("draw"), tag, total)).withColumn("cell", F.floor(F.col("u") / width))
+            pairs = numbered.join(cells, "cell").where((F.col("u") >= F.col("begin")) & (F.col("u") < F.col("begin") + F.col("w"))).drop("u", "cell", "begin", "w").withColumnRenamed("key", tag)
+        if one_kind:
+            pairs = _ordered(pairs.where("a <> b"))
+        fresh = pairs.groupBy("a", "b").agg(F.min("draw").alias("draw")).join(known, ["a", "b"], "left_anti")
+        both = fresh if found is None else found.unionByName(fresh).groupBy("a", "b").agg(F.min("draw").alias("draw"))
+        found = settled(both, found)
+        have, begin = found.count(), begin + size
+        if have >= n or have >= room or begin >= n * most_tries:
+            return found.orderBy("draw").limit(n) if n <= 10_000 else _first_draws(found, n)
+
+
+def _ordered(pairs: DataFrame) -> DataFrame:
+    return pairs.withColumns({"a": F.least("a", "b"), "b": F.greatest("a", "b")})
+
+
+def _first_draws(found: DataFrame, n: int) -> DataFrame:
+    """The ``n`` least draws, by exact counts of runs of draws."""
+    run = 1 << 16
+    before = running_before(found.withColumn("one", F.lit(1)), F.floor(F.col("draw") / run), ["draw"], {"before": "one"})
+    return before.where(F.col("before") < n).select("a", "b", "draw")
+
+
 def with_replacement(df: DataFrame, klass: str, keys: Sequence[str], n: int, seed: int = 42) -> DataFrame:
     """Exactly ``n`` rows of each class; a short class is repeated."""
     sizes = df.groupBy(klass).agg(F.count("*").alias("_n"))
@@ -146,6 +211,6 @@ def two_sided_cap(df: DataFrame, a: str, b: str, keys: Sequence[str], most: int,
         worst = before.groupBy("_tag").agg(F.max("_kept_before").alias("_kb"), F.max("_all_before").alias("_ab"))
         joined = state.withColumn("_tag", tag).join(worst, "_tag", "left")
         verdict = F.when(F.col("_kept").isNotNull(), F.col("_kept")).when(F.col("_ab") < most, True).when(F.col("_kb") >= most, False)
-        state = settled(joined.withColumn("_kept", verdict).select(*df.columns, "_h", "_kept"))
+        state = settled(joined.withColumn("_kept", verdict).select(*df.columns, "_h", "_kept"), state)
         if state.where(F.col("_kept").isNull()).isEmpty():
             return state.where("_kept").select(*df.columns)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from nadir.operators import graphs
+from nadir.operators import sampling as S
 from nadir.operators import splits as X
 
 from .catalog import T, lines, query
@@ -32,3 +33,18 @@ def split_cold_both_graph(spark, d):
     left = kept.agg(F.count("*").alias("n_rows"), F.count_if(F.col("fold").isNull()).alias("out"))
     one = left.crossJoin(by_hash).crossJoin(sizes).crossJoin(crossing)  # single rows
     return one.select("n_rows", "n_nodes", "nodes_in_two_folds", "parts_within_five_percent", (F.col("out") * 3 <= F.col("hashed")).alias("leaves_out_a_third_of_the_hash"))
+
+
+_DRAW = "CAST('0x' || substr(md5('42:' || i || ':{s}'), 1, 15) AS BIGINT) % (SELECT CAST(sum(w) AS BIGINT) FROM w{s})"
+
+
+@query(f"""WITH t AS (SELECT DISTINCT o_custkey AS a, l_partkey AS b FROM lineitem JOIN orders ON l_orderkey = o_orderkey), wa AS (SELECT a AS k, count(*) AS w FROM t GROUP BY 1), wb AS (SELECT b AS k, count(*) AS w FROM t GROUP BY 1),
+ ca AS (SELECT k, w, sum(w) OVER (ORDER BY md5('42:' || k), k) - w AS c FROM wa), cb AS (SELECT k, w, sum(w) OVER (ORDER BY md5('42:' || k), k) - w AS c FROM wb),
+ d AS (SELECT i, {_DRAW.format(s='a')} AS ua, {_DRAW.format(s='b')} AS ub FROM range(0, 6000) r(i)),
+ f AS (SELECT ca.k AS a, cb.k AS b, min(i) AS draw FROM d JOIN ca ON ua >= ca.c AND ua < ca.c + ca.w JOIN cb ON ub >= cb.c AND ub < cb.c + cb.w GROUP BY 1, 2)
+ SELECT a, b, draw FROM f WHERE NOT EXISTS (SELECT 1 FROM t WHERE t.a = f.a AND t.b = f.b) ORDER BY draw LIMIT 300""")
+def degree_weighted_pairs(spark, d):
+    """Customers and parts without an order between them, drawn by their degrees."""
+    tested = lines(spark, d).join(T(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("o_custkey").alias("a"), F.col("l_partkey").alias("b")).distinct()
+    degree = lambda c: tested.groupBy(c).agg(F.count("*").alias("w"))
+    return S.weighted_pairs(degree("a"), degree("b"), tested, 300)

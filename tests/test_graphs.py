@@ -55,3 +55,27 @@ def test_odd_graphs(spark, edges):
 def test_dispatch(spark):
     df = spark.createDataFrame([(1, 1), (1, 2), (2, 2)], "a long, b long")
     assert splits.apply_split(df, "cold_both_graph", first="a", second="b", one_kind=False, parts=2, levels=1, rounds=1, refine=1).count() == 3
+
+
+def test_weighted_pairs(spark):
+    from collections import Counter
+
+    from nadir.operators import sampling
+
+    weights = {i: 1 + (i % 7) ** 2 for i in range(60)} | {100: 0, 101: None}
+    side = spark.createDataFrame(list(weights.items()), "k long, w long")
+    tested = [(i, (i * 7) % 60) for i in range(60)]
+    out = sampling.weighted_pairs(side, side.toDF("m", "v"), spark.createDataFrame(tested, "k long, m long"), 500).collect()
+    pairs = [(r["a"], r["b"]) for r in out]
+    assert len(set(pairs)) == 500 and not set(pairs) & set(tested) and [r["draw"] for r in out] == sorted(r["draw"] for r in out)
+    total = sum(w or 0 for w in weights.values())
+    for end in (0, 1):  # ends of the first draws, before repeats matter much, follow the weights
+        seen = Counter(p[end] % 7 for p in pairs[:300])
+        for m in range(7):
+            share = sum(w or 0 for i, w in weights.items() if i % 7 == m and i < 60) / total
+            assert abs(seen[m] - 300 * share) < 4 * (300 * share * (1 - share)) ** 0.5 + 3
+    one = sampling.weighted_pairs(side, side.toDF("m", "v"), spark.createDataFrame([], "k long, m long"), 200, one_kind=True).collect()
+    assert len(one) == 200 and all(r["a"] < r["b"] for r in one)
+    few = sampling.weighted_pairs(side.where("k < 2"), side.where("k < 2").toDF("m", "v"), spark.createDataFrame([(0, 0)], "k long, m long"), 100)
+    assert {(r["a"], r["b"]) for r in few.collect()} == {(0, 1), (1, 0), (1, 1)}
+    assert sampling.weighted_pairs(side.limit(0), side.toDF("m", "v"), spark.createDataFrame([], "k long, m long"), 5).count() == 0
