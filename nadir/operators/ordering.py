@@ -94,6 +94,22 @@ def value_bucket(df: DataFrame, column: str, parts: int = 64) -> Column:
     return F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < F.col(column))) if cuts else F.lit(0)
 
 
+def ordinal(df: DataFrame, order: Sequence[Column | str], name: str, rows_per_partition: int = 1 << 20) -> DataFrame:
+    """Rows with their 0-based place in a total order, by range partitions of the whole order: no bucket depends on how values look.
+
+    Rows must be distinct in ``order``.
+    """
+    rows = settled(df)
+    parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // rows_per_partition))
+    # an id holds a partition's number above its 33rd bit and the index in it below
+    placed = settled(rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id()), rows)
+    part = F.shiftright("_id", 33)
+    counts = placed.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))  # a row for each partition
+    base = counts.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_base"))
+    out = placed.withColumn("_part", part).join(F.broadcast(base), "_part")
+    return out.withColumn(name, F.col("_base") + F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))).drop("_part", "_base", "_id")
+
+
 def settled(df: DataFrame, replaces: DataFrame | None = None) -> DataFrame:
     """The frame written to the session's shared folder, so that later steps start from its rows; what ``replaces`` was read from is deleted."""
     from .steps import Steps

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .graphs import cold_both_graph
-from .ordering import hash_rank, running_before, value_bucket
+from .ordering import hash_rank, ordinal, running_before, value_bucket
 
 Ratios = tuple[float, float, float]
 DEFAULT: Ratios = (0.7, 0.1, 0.2)
@@ -92,16 +94,33 @@ def temporal(df: DataFrame, year: str, train_before: int, val_before: int) -> Da
     return df.withColumn("fold", F.when(y.isNull() | (y < train_before), "train").when(y < val_before, "val").otherwise("test"))
 
 
+def family_places(df: DataFrame, family: str) -> tuple[DataFrame, list[tuple[int, int]]]:
+    """Families (family, n, place) with their place among those of their size, by name; and how many each size has, largest first.
+
+    There are at most sqrt(2 * rows) different sizes, so that list is small.
+    """
+    sizes = df.where(F.col(family).isNotNull()).groupBy(family).agg(F.count("*").alias("n"))
+    placed = ordinal(sizes, [F.desc("n"), F.asc(family)], "_at")
+    runs = sorted(map(tuple, placed.groupBy("n").agg(F.count("*").alias("m")).collect()), reverse=True)
+    before, first = [], 0
+    for n, m in runs:
+        before.append((n, first))
+        first += m
+    table = F.broadcast(df.sparkSession.createDataFrame(before, "n long, _first long"))
+    return placed.join(table, "n").withColumn("place", F.col("_at") - F.col("_first")).drop("_at", "_first"), runs
+
+
 def running_total(df: DataFrame, family: str, ratios: Ratios = DEFAULT) -> DataFrame:
     """Families from the largest (ties to the least name) by the rows before each; rows without a family have no fold."""
-    sizes = df.where(F.col(family).isNotNull()).groupBy(family).agg(F.count("*").alias("_n"))
-    # a bucket is a size and, as small sizes have most families, the first two characters of the name
-    bucket = F.struct((-F.col("_n")).alias("n"), F.substring(F.col(family).cast("string"), 1, 2).alias("name"))
-    total = sizes.agg(F.sum("_n").alias("_total"))
-    filled = running_before(sizes, bucket, [family], {"_before": "_n"}).join(F.broadcast(total))
-    before, n = F.col("_before"), F.col("_total")
-    fold = F.when(before < n * F.lit(float(ratios[0])), "train").when(before < n * F.lit(float(ratios[0] + ratios[1])), "val").otherwise("test")
-    return df.join(filled.select(family, fold.alias("fold")), family, "left")
+    placed, runs = family_places(df, family)
+    total, have, begins = sum(n * m for n, m in runs), 0, []
+    for n, m in runs:
+        begins.append((n, have))
+        have += n * m
+    table = F.broadcast(df.sparkSession.createDataFrame(begins, "n long, _rows long"))  # a row for each size
+    before = F.col("_rows") + F.col("place") * F.col("n")
+    fold = F.when(before < total * float(ratios[0]), "train").when(before < total * float(ratios[0] + ratios[1]), "val").otherwise("test")
+    return df.join(placed.join(table, "n").select(family, fold.alias("fold")), family, "left")
 
 
 def degree_grid(df: DataFrame, keys: Sequence[str], first: str, second: str, bins: int = 5, seed: int = 42, ratios: Ratios = DEFAULT) -> DataFrame:
@@ -166,18 +185,90 @@ def few_shot(df: DataFrame, keys: Sequence[str], shots: int, val: int, test: int
     return ranked.withColumn("fold", F.when(r <= shots, "fewshot").when(r <= shots + val, "val").otherwise("test")).drop("_r")
 
 
+def fitting(have: int, n: int, most: float, of: int) -> int:
+    """How many of ``of`` families of size ``n`` fit one after another into a fold with ``have`` rows."""
+    c = min(of, max(0, int((most - have) // n)))
+    while c < of and have + (c + 1) * n <= most:
+        c += 1
+    while c and have + c * n > most:
+        c -= 1
+    return c
+
+
+def shared_out(place: np.ndarray, n: np.ndarray, have: np.ndarray, total: int, ratios: Ratios) -> np.ndarray:
+    """How many of the first ``place`` families of size ``n`` each fold gets by the rule of the fold that lacks most.
+
+    A fold's t-th family comes when it lacks (have + t * n) / total - ratio, so the
+    choices are those values of the folds merged in order: a level to which all
+    folds fill up gives the counts but for a few, which are then set right one by one.
+    """
+    share = np.array(ratios)
+    lack = share * total - have
+    active = np.ones(have.shape, bool)
+    for _ in range(len(ratios)):
+        level = (place * n - np.where(active, lack, 0).sum(axis=1)) / np.maximum(1, active.sum(axis=1))
+        active &= level[:, None] + lack > 0
+    counts = np.where(active, np.maximum(0, (level[:, None] + lack) // n[:, None]), 0).astype(np.int64)
+    key = lambda c: (have + c * n[:, None]) / total - share
+    rows, kinds = np.arange(len(place)), np.arange(len(ratios))
+    while True:
+        due = key(counts)
+        nxt = due.argmin(axis=1)  # ties go to the first fold
+        last = np.where(counts > 0, key(counts - 1), -np.inf)
+        top = last.max(axis=1)
+        end = np.where(last == top[:, None], kinds, -1).max(axis=1)  # and so the last of equals came last
+        spare = counts.sum(axis=1) - place
+        over = (top > due[rows, nxt]) | ((top == due[rows, nxt]) & (end > nxt))
+        less, more = (spare > 0) | ((spare == 0) & over), (spare < 0) | ((spare == 0) & over)
+        if not (less | more).any():
+            return counts
+        counts[rows[less], end[less]] -= 1
+        counts[rows[more], nxt[more]] += 1
+
+
 def family_greedy(df: DataFrame, family: str, rule: str = "best_fit", seed: int | None = None, ratios: Ratios = DEFAULT) -> DataFrame:
     """Families one after another by ``best_fit`` (skip a full fold) or ``underfilled`` (the fold that lacks most).
 
-    Largest first (ties to the least name), or in seeded order. Each choice
-    hangs on all before it, so the rule itself runs on one worker, but over
-    runs of families of one size and in one stream of narrow rows that is
-    never gathered; rows of ``df`` meet its result by a join.
+    Largest first, ties to the least name: inside a run of families of one size
+    the choices follow from the state at its beginning by arithmetic, and there are
+    at most sqrt(2 * rows) runs, so the driver goes through the sizes and every
+    family finds its fold by its place in its run. In seeded order (``seed``) each
+    choice hangs on all before it; the rule itself then runs on one worker, in one
+    stream of narrow rows that is never gathered.
     """
+    if seed is not None:
+        return _seeded_greedy(df, family, rule, seed, ratios)
+    placed, runs = family_places(df, family)
+    total = sum(n * m for n, m in runs)
+    have, states = [0, 0, 0], []
+    for n, m in runs:
+        if rule == "best_fit":
+            train = fitting(have[0], n, total * ratios[0], m)
+            val = fitting(have[1], n, total * ratios[1], m - train)
+            got = [train, val, m - train - val]
+        else:
+            got = shared_out(np.array([m]), np.array([n]), np.array([have], np.int64), total, ratios)[0].tolist()
+        states.append((n, *have, *got))
+        have = [h + c * n for h, c in zip(have, got, strict=True)]
+    table = F.broadcast(df.sparkSession.createDataFrame(states, "n long, h0 long, h1 long, h2 long, c0 long, c1 long, c2 long"))  # a row for each size
+    rows = placed.join(table, "n")
+    if rule == "best_fit":
+        fold = F.when(F.col("place") < F.col("c0"), "train").when(F.col("place") < F.col("c0") + F.col("c1"), "val").otherwise("test")
+    else:
+        @F.pandas_udf("int")
+        def turn(place: pd.Series, n: pd.Series, h0: pd.Series, h1: pd.Series, h2: pd.Series) -> pd.Series:
+            held, size = np.stack([h0, h1, h2], axis=1).astype(np.int64), n.to_numpy(np.int64)
+            counts = shared_out(place.to_numpy(np.int64), size, held, total, ratios)
+            return pd.Series(((held + counts * size[:, None]) / total - np.array(ratios)).argmin(axis=1).astype(np.int32))
+
+        fold = _name(turn("place", "n", "h0", "h1", "h2"))
+    return df.join(rows.select(family, fold.alias("fold")), family, "left")
+
+
+def _seeded_greedy(df: DataFrame, family: str, rule: str, seed: int, ratios: Ratios) -> DataFrame:
     from .ordering import hash_key
 
     sizes = df.where(F.col(family).isNotNull()).groupBy(family).agg(F.count("*").alias("n"))
-    order = [hash_key(seed, family), F.col(family)] if seed is not None else [F.desc("n"), F.col(family)]
     total = sizes.agg(F.sum("n")).first()[0] or 0
     kind = df.schema[family].dataType.simpleString()
 
@@ -199,7 +290,7 @@ def family_greedy(df: DataFrame, family: str, rule: str = "best_fit", seed: int
                 folds.append(FOLDS[k])
             yield pdf.assign(fold=folds)[[family, "fold"]]
 
-    folds = sizes.repartition(1).sortWithinPartitions(*order).mapInPandas(run, f"`{family}` {kind}, fold string")
+    folds = sizes.repartition(1).sortWithinPartitions(hash_key(seed, family), F.col(family)).mapInPandas(run, f"`{family}` {kind}, fold string")
     return df.join(folds, family, "left")
 
 
