@@ -5,7 +5,9 @@ by Euclidean distance, which is a metric. A tree's node has a vantage point and
 the median distance to it, which divide the rest. A query skips a side if the
 triangle inequality, relaxed by ``factor``, says that it holds nothing nearer
 than the k-th found: a side is searched only where gap <= factor * distance.
-Factor one is exact; less is faster.
+Factor one is exact; less is faster. How much less depends on the vectors: where
+no factor is given, the least one is taken that reaches the wanted recall when
+vectors of the sample are searched for others of it (``tuned_factor``).
 
 There are two levels. A top tree over a bounded sample (``sample_rows`` vectors
 of least hash, on the driver) divides space into cells; every vector is
@@ -251,6 +253,40 @@ def answers(c: np.ndarray, q: np.ndarray, bound: np.ndarray, k: int, factor: flo
     return row, point, cosine(q[row], c[point])
 
 
+def tuned_factor(sample: np.ndarray, top: Tree, k: int, recall: float, queries: int = 96, most: int = 4096, steps: int = 7) -> float:
+    """The least factor, to 1/128, at which vectors of the sample find ``recall`` of their k+1 nearest in it.
+
+    What is lost is the product of two: by cells of ``top`` that aren't visited,
+    with the distance of the k-th in a query's own cell as its bound, and by
+    sides of a shard's tree that aren't searched.
+    """
+    few, shard = sample[:queries], sample[:most]
+    apart, inside = distances(few, sample), distances(few, shard)
+    wanted = min(k + 1, len(shard))
+    goal, near = np.sort(apart, axis=1)[:, wanted - 1], np.sort(inside, axis=1)[:, wanted - 1]
+    home = np.empty(len(sample), np.int64)
+    at, cell = top.route(sample, np.full(len(sample), -1.0))
+    home[at] = cell
+    own = np.where(home[None] == home[: len(few), None], apart, np.inf)
+    bound = np.sort(own, axis=1)[:, wanted - 1]
+    tree = Tree(shard)
+
+    def reached(factor: float) -> float:
+        d, _ = tree.search(few, wanted, factor)
+        by_tree = (d <= near[:, None] + TIE).sum() / (wanted * len(few))
+        row, to = top.route(few, factor * bound)
+        seen = np.zeros((len(few), int(home.max()) + 1), bool)
+        seen[row, to] = True
+        hit = (apart <= goal[:, None] + TIE) & seen[np.arange(len(few))[:, None], home[None]]
+        return by_tree * min(1.0, hit.sum() / (wanted * len(few)))
+
+    low, high = 0.0, 1.0
+    for _ in range(steps):
+        mid = (low + high) / 2
+        low, high = (low, mid) if reached(mid) >= recall else (mid, high)
+    return high
+
+
 FOUND = "point long, vec_id long, score double"
 
 
@@ -296,7 +332,7 @@ def _answer(k: int, factor: float):
     return run
 
 
-def nearest(vectors: DataFrame, k: int = 5, query_modulus: int = 50, factor: float = 0.85, id_col: str = "vec_id", vec_col: str = "embedding", shard_rows: int = 4096, sample_rows: int = 16_384, scratch_group: str = "vptree") -> DataFrame:
+def nearest(vectors: DataFrame, k: int = 5, query_modulus: int = 50, factor: float | None = None, id_col: str = "vec_id", vec_col: str = "embedding", shard_rows: int = 4096, sample_rows: int = 16_384, recall: float = 0.97, scratch_group: str = "vptree") -> DataFrame:
     """query_id, rank (from 1), vec_id, score of the ``k`` nearest found of each query.
 
     Queries are the rows whose id is divisible by ``query_modulus``; candidates
@@ -305,7 +341,8 @@ def nearest(vectors: DataFrame, k: int = 5, query_modulus: int = 50, factor: flo
     id. Null ids, and vectors null, empty, zero or with a null or non-finite
     component take no part. Vectors meet vectors of the same length only.
     Repeated rows are one. An empty table gives no rows; other columns are
-    ignored, whatever their names. At factor one the result is exact.
+    ignored, whatever their names. At factor one the result is exact; without a
+    factor, the one of the commonest length that reaches ``recall`` on the sample.
     """
     spark = session_of(vectors)
     scratch = Scratch(spark, scratch_group)
@@ -325,6 +362,10 @@ def nearest(vectors: DataFrame, k: int = 5, query_modulus: int = 50, factor: flo
         sample.setdefault(dim, []).append(vector)
     wanted = max(1, min(-(-n // shard_rows), sample_rows // 8))
     trees = {dim: Tree(units(np.array(m)), leaf=max(8, -(-len(m) // max(1, round(wanted * len(m) / min(n, sample_rows)))))) for dim, m in sample.items()}
+    if factor is None:
+        common = max(sample, key=lambda dim: (len(sample[dim]), -dim))
+        factor = tuned_factor(units(np.array(sample[common])), trees[common], k, recall)
+    divided = any(len(t.cells()) > 1 for t in trees.values())
     lone = Tree(np.zeros((1, 1)))  # a length that the sample hasn't: one cell
     trees = spark.sparkContext.broadcast(_Trees(trees, lone))
 
@@ -351,11 +392,16 @@ def nearest(vectors: DataFrame, k: int = 5, query_modulus: int = 50, factor: flo
 
     own = asked.select("point", "vector", "dim").mapInArrow(_routed(trees), "cell long, point long, vector array<double>, dim int")
     near = searched("near", own.withColumn("bound", F.lit(float("inf"))))
+    if not divided:  # no other cells
+        return _ranked(rows, asked, near, query_modulus, k)
     kth = near.groupBy("point").agg(F.when(F.count("*") > k, F.sqrt(F.greatest(F.lit(0.0), 2 - 2 * F.min("score")))).alias("bound"))
     bounded = asked.join(kth, "point", "left").select("point", "vector", F.coalesce("bound", F.lit(float("inf"))).alias("bound"))
     away = bounded.mapInArrow(_visits(trees, factor), "cell long, point long, vector array<double>, bound double").withColumn("dim", F.size("vector"))
-    found = best_of(near.union(searched("far", away)), k + 1)
+    return _ranked(rows, asked, best_of(near.union(searched("far", away)), k + 1), query_modulus, k)
+
 
+def _ranked(rows: DataFrame, asked: DataFrame, found: DataFrame, query_modulus: int, k: int) -> DataFrame:
+    """The k best of each query that aren't its own row."""
     ids = rows.where(F.pmod("vec_id", F.lit(query_modulus)) == 0).select("dim", "hash", "vector", F.col("vec_id").alias("query_id")).join(asked, ["dim", "hash", "vector"]).select("query_id", "point").distinct()
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     ranked = ids.join(found, "point").where("vec_id <> query_id").withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)

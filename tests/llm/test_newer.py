@@ -216,3 +216,28 @@ def test_matches_sql(spark, name):
     assert sorted(got.columns) == sorted(want.columns) and len(got) == len(want)
     plain = lambda d: sorted(map(tuple, d[sorted(d.columns)].astype(object).where(d[sorted(d.columns)].notna(), None).itertuples(index=False)), key=str)
     assert plain(got) == plain(want)
+
+
+# --- the tuned factor of the nearest-neighbour search ------------------------
+
+
+def test_tuned_factor_prunes_clusters_and_keeps_recall(spark):
+    """64 dimensions: where vectors lie in clusters most pairs are pruned, on the distributed path recall stays."""
+    from nadir.llm import vptree
+
+    rng = np.random.default_rng(8)
+    c = rng.normal(size=(60, 64))
+    m = c[rng.integers(0, 60, 6000)] + 0.25 * rng.normal(size=(6000, 64))
+    u = vptree.units(m)
+    top = vptree.Tree(u, leaf=1000)
+    factor = vptree.tuned_factor(u, top, 5, 0.97)
+    tree = vptree.Tree(u[:4096])
+    tree.search(u[:96], 6, factor)
+    assert tree.compared < 0.5 * 96 * 4096 and factor < 0.85
+    df = spark.createDataFrame([(i, m[i].tolist()) for i in range(6000)], "vec_id long, embedding array<double>")
+    got = {(r["query_id"], r["vec_id"]) for r in vptree.nearest(df, shard_rows=1024, sample_rows=4096).collect()}
+    q = np.arange(0, 6000, 50)
+    s = u[q] @ u.T
+    s[np.arange(len(q)), q] = -9
+    want = {(int(i), int(j)) for r, i in enumerate(q) for j in np.argsort(-s[r])[:5]}
+    assert len(got & want) >= 0.9 * len(want) and len(got) == len(want)
