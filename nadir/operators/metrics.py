@@ -2,8 +2,8 @@
 
 Ranking metrics start from the curve: one row for each distinct score of a
 group, with what lies above it. Continuous scores make that as long as the
-rows, so no window runs over all of it: approximate quantiles of the score cut
-the order into buckets, bucket totals give offsets, windows run within buckets.
+rows, so no window runs over all of it: range partitions of it, as many as it
+needs, are bands, totals of bands give offsets, windows run within bands.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ordering import copies, neighbour, running_before, same, value_bucket
+from .ordering import copies, in_bands, neighbour, ordinal, running_before, same, settled
 
 
 def _nan() -> Column:
@@ -24,11 +24,15 @@ def _nan() -> Column:
 def curve(df: DataFrame, label: str, score: str, by: Sequence[str] = ()) -> DataFrame:
     """by, score, pos, neg, tp, fp (above or at the score), n_pos, n_neg, band. Null labels and scores are left out.
 
-    ``band`` is a bucket of scores, the highest first.
+    One pass over the rows; ``band`` is a range of groups and scores, the highest first,
+    of about as many scores as a window may hold. All metrics of one frame
+    can be had of one curve: give it to them in place of the frame.
     """
+    if {"tp", "fp", "n_pos", "n_neg", "band"} <= set(df.columns):
+        return df
     rows = df.where(F.col(label).isNotNull() & F.col(score).isNotNull())
     points = rows.groupBy(*by, F.col(score).alias("score")).agg(F.sum(F.when(F.col(label) == 1, 1).otherwise(0)).alias("pos"), F.sum(F.when(F.col(label) == 1, 0).otherwise(1)).alias("neg"))
-    points = points.withColumn("band", -value_bucket(rows.select(F.col(score).alias("score")), "score"))
+    points = in_bands(points, [*by, F.desc("score")])
     run = running_before(points, F.col("band"), [F.desc("score")], {"tp": "pos", "fp": "neg"}, by).withColumns({"tp": F.col("tp") + F.col("pos"), "fp": F.col("fp") + F.col("neg")})
     totals = points.groupBy(*by).agg(F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"))
     if not by:
@@ -78,17 +82,22 @@ def log_auc(df: DataFrame, label: str, score: str, by: Sequence[str] = (), low:
 
 
 def ranked(df: DataFrame, label: str, score: str, key: str, by: Sequence[str] = ()) -> DataFrame:
-    """Rows with their rank from the highest score, ties by key: what lies above a score, and the place among its ties.
+    """by, score, label, rank (from the highest score, ties by key), n, n_pos.
 
-    Ties of one score are ranked in buckets of a numeric key.
+    Ranks are places in range partitions of (by, score, key), so neither a
+    group, nor a score that all rows share, is one window, whatever the key's type.
+    Rows of one score and key come with their positives last.
     """
-    above = curve(df, label, score, by).select(*copies(by), F.col("score").alias("_score"), (F.col("tp") + F.col("fp") - F.col("pos") - F.col("neg")).alias("_above"), (F.col("n_pos") + F.col("n_neg")).alias("n"), "n_pos")
-    rows = df.where(F.col(label).isNotNull() & F.col(score).isNotNull()).select(*by, F.col(score).alias("score"), F.col(label).alias("label"), F.col(key).alias("_key"), F.lit(1).alias("_one"))
-    numeric = rows.schema["_key"].dataType.typeName() in ("byte", "short", "integer", "long", "float", "double", "decimal")
-    bucket = F.coalesce(value_bucket(rows, "_key"), F.lit(-1)) if numeric else F.lit(0)
-    placed = running_before(rows, bucket, ["_key"], {"_ties": "_one"}, [*by, "score"])
-    joined = placed.join(above, [*same(by), F.col("score") == F.col("_score")])
-    return joined.withColumn("rank", F.col("_above") + F.col("_ties") + 1).drop("_one", "_ties", "_above", "_score", *(f"_j{i}" for i in range(len(by))))
+    if {"rank", "n", "n_pos", "label", "score"} <= set(df.columns):
+        return df
+    rows = df.where(F.col(label).isNotNull() & F.col(score).isNotNull()).select(*by, F.col(score).alias("score"), F.col(label).alias("label"), F.col(key).alias("_key"))
+    placed = settled(ordinal(rows, [*by, F.desc("score"), "_key", "label"], "_at"))
+    groups = placed.groupBy(*by).agg(F.min("_at").alias("_first"), F.count("*").alias("n"), F.sum(F.when(F.col("label") == 1, 1).otherwise(0)).alias("n_pos"))
+    if by:
+        joined = placed.join(groups.select(*copies(by), "_first", "n", "n_pos"), same(by)).drop(*(f"_j{i}" for i in range(len(by))))
+    else:
+        joined = placed.join(F.broadcast(groups))  # one row
+    return joined.withColumn("rank", F.col("_at") - F.col("_first") + 1).drop("_at", "_first", "_key")
 
 
 def bedroc(df: DataFrame, label: str, score: str, key: str, by: Sequence[str] = (), alpha: float = 20.0) -> DataFrame:
@@ -203,10 +212,11 @@ def run_summary(df: DataFrame, keys: Sequence[str], seed: str, value: str) -> Da
 
 
 def all_by_fold(df: DataFrame, label: str, score: str, key: str, fold: str = "fold", threshold: float = 0.5) -> DataFrame:
-    """Every ranking metric, and MCC at a threshold, for each fold."""
-    out = auroc(df, label, score, [fold])
+    """Every ranking metric, and MCC at a threshold, for each fold: all of one curve and one ranking."""
+    points, rows = settled(curve(df, label, score, [fold])), settled(ranked(df, label, score, key, [fold]))
+    out = auroc(points, label, score, [fold])
     predicted = F.when(F.col(score) >= threshold, 1).otherwise(0)
-    for part in (auprc(df, label, score, [fold]), log_auc(df, label, score, [fold]), bedroc(df, label, score, key, [fold]), enrichment(df, label, score, key, 1.0, [fold]), mcc(df, label, predicted, [fold])):
+    for part in (auprc(points, label, score, [fold]), log_auc(points, label, score, [fold]), bedroc(rows, label, score, key, [fold]), enrichment(rows, label, score, key, 1.0, [fold]), mcc(df, label, predicted, [fold])):
         out = out.join(part, fold, "left")
     return out
 

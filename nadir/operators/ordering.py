@@ -87,11 +87,22 @@ def neighbour(df: DataFrame, bucket: Column, order: str, values: Sequence[str],
     return out.withColumn(name, F.coalesce(step(held).over(inside), F.col("_e"))).drop("_b", "_jb", "_e", *(f"_j{i}" for i in range(len(by))))
 
 
-def value_bucket(df: DataFrame, column: str, parts: int = 64) -> Column:
-    """A bucket that grows with a numeric column: its place among approximate quantiles of the column. One pass, run now."""
-    cuts = df.select(F.percentile_approx(column, [i / parts for i in range(1, parts)], 1000)).first()[0] or []
-    cuts = sorted(set(cuts))
-    return F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < F.col(column))) if cuts else F.lit(0)
+#: Rows that one window may hold without being divided.
+WINDOW_ROWS = 1 << 16
+
+
+def in_bands(df: DataFrame, order: Sequence[Column | str], rows_per_band: int = WINDOW_ROWS, most_bands: int = 1 << 14) -> DataFrame:
+    """Rows with ``band``: their range partition of a total order, as many as the rows need. Written and read back.
+
+    Spark's sampled splitters follow the whole order and not one column of it,
+    so a value that many rows share is divided by what comes after it.
+    """
+    rows = settled(df)
+    n = rows.count()
+    if n <= rows_per_band:
+        return rows.withColumn("band", F.lit(0))
+    parts = min(most_bands, -(-n // rows_per_band))
+    return settled(rows.repartitionByRange(parts, *order).withColumn("band", F.spark_partition_id()), rows)
 
 
 def ordinal(df: DataFrame, order: Sequence[Column | str], name: str, rows_per_partition: int = 1 << 20) -> DataFrame:

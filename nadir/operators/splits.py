@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .graphs import cold_both_graph
-from .ordering import hash_rank, ordinal, running_before, value_bucket
+from .ordering import hash_rank, in_bands, ordinal, running_before
 
 Ratios = tuple[float, float, float]
 DEFAULT: Ratios = (0.7, 0.1, 0.2)
@@ -139,9 +139,10 @@ def quantile_bins(df: DataFrame, value: str, bins: int, name: str = "bin") -> Da
 
 
 def exact_quantiles(df: DataFrame, value: str, shares: Sequence[float]) -> list[float]:
-    """Distinct interpolated quantiles, exact: values are counted first, then found by their ranks in buckets of the order."""
+    """Distinct interpolated quantiles, exact: values are counted first, then found by their ranks in bands of the order."""
     counts = df.where(F.col(value).isNotNull()).groupBy(F.col(value).cast("double").alias("v")).agg(F.count("*").alias("n"))
-    placed = running_before(counts, value_bucket(counts, "v"), ["v"], {"before": "n"})
+    counts = in_bands(counts, ["v"])
+    placed = running_before(counts, F.col("band"), ["v"], {"before": "n"})
     total = counts.agg(F.sum("n")).first()[0]
     if not total:
         return []
