@@ -157,9 +157,13 @@ def scan(docs: DataFrame, sentences: Sequence[str] = SENTENCES, rules: Rules = R
     name once; unmatched: the numbers that no rule took. No known sentence,
     empty or null text: 0 and empty strings. Repeated rows come out as often
     as they came; extra columns are ignored; an empty table gives no rows.
-    Other sentences (each with a word of ``ANCHOR``) and rules may be given.
+    Other sentences (each with a word of ``ANCHOR``) and rules may be given; of
+    sentences with one normal form the first one's number stands for all, in rules, too.
     """
-    numbers = F.create_map(*(F.lit(x) for i, s in enumerate(sentences, 1) for x in (normal_form(s), i)))
+    first: dict[str, int] = {}
+    same = {i: first.setdefault(normal_form(s), i) for i, s in enumerate(sentences, 1)}
+    rules = [(name, [same[n] for n in run]) for name, run in rules]
+    numbers = F.create_map(*(F.lit(x) for pair in first.items() for x in pair))
     text = F.coalesce("text", F.lit(""))
     parts = F.filter(F.split(F.regexp_replace(F.regexp_replace(text, SIGN, f"$1{MARK}"), BLANK, MARK), MARK), lambda s: s.rlike(ANCHOR))
     number = lambda s: F.try_element_at(numbers, _normal(s))
