@@ -3,9 +3,9 @@
 1. Every document's size is its number of words; sizes are summed by source.
 2. Weights share out all words; a target stops at ``max_repeats`` times its
    source's size and the excess is reshared by weight until none is above.
-3. Each source is divided into shards by a hash of the document's id, in
-   proportion to its size, so that a source with a third of all rows is many
-   shards. There are at most ``max_shards`` shards and one more per source.
+3. Each source is divided into shards by a hash of the document's id and text,
+   in proportion to its size, so that a source with a third of all rows, or an
+   id that many of them share, is many shards. There are at most ``max_shards`` shards and one more per source.
 4. Equal-token blocks are seats: Sainte-Lague (highest quotient T/(2k+1))
    allots them to sources by target, then within a source to its shards by
    size, which gives each shard an integer quota.
@@ -132,7 +132,7 @@ def mix(
     source_row = T.StructType([T.StructField("source", T.StringType()), T.StructField("source_size", T.LongType()), T.StructField("target", T.DoubleType()), T.StructField("parts", T.IntegerType())])
     by_source = spark.createDataFrame([(s, n, t, p) for (s, n), t, p in zip(totals, targets, parts, strict=True)], source_row)
     sharded = sized.join(F.broadcast(by_source), sized["source"].eqNullSafe(by_source["source"])).select(
-        "doc_id", sized["source"], "text_hash", "size", "source_size", "target", F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.col("parts")).cast("int").alias("shard")
+        "doc_id", sized["source"], "text_hash", "size", "source_size", "target", F.pmod(F.xxhash64(F.lit(seed), "doc_id", "text_hash"), F.col("parts")).cast("int").alias("shard")
     )
     shards: dict[str | None, list[tuple[int, int]]] = {}
     for r in sharded.groupBy("source", "shard").agg(F.sum("size")).collect():  # at most max_shards and one per source
