@@ -380,7 +380,8 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
     spark = session_of(docs)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     files = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(max_files, -(-rows.count() // rows_per_file)))
-    ordered = rows.repartitionByRange(files, "doc_id").sortWithinPartitions("doc_id", "text")
+    # an id that many rows share is divided by how their texts begin
+    ordered = rows.repartitionByRange(files, "doc_id", F.substring("text", 1, 24)).sortWithinPartitions("doc_id", "text")
     ordered.mapInArrow(_write_blocks(tokenizer, end_id, block_ids), BLOCK_SCHEMA).write.mode("overwrite").parquet(path)
 
 

@@ -241,3 +241,27 @@ def test_tuned_factor_prunes_clusters_and_keeps_recall(spark):
     s[np.arange(len(q)), q] = -9
     want = {(int(i), int(j)) for r, i in enumerate(q) for j in np.argsort(-s[r])[:5]}
     assert len(got & want) >= 0.9 * len(want) and len(got) == len(want)
+
+
+# --- hot ids and repeated sentences in earlier operators ---------------------
+
+
+def test_a_null_id_on_many_rows_is_divided(spark, tmp_path):
+    from nadir.llm import mixing, tokenfile
+    from nadir.llm.queries import vocabulary
+
+    df = spark.createDataFrame([(None, f"word{i} and some more words", "a") for i in range(3000)], SCHEMA)
+    out = mixing.mix(df, shard_tokens=500).collect()
+    assert len(out) == 3000 and abs(sum(r["taken"] for r in out) - sum(r["size"] for r in out)) <= 300
+    path = str(tmp_path / "tokens")
+    tokenfile.write_token_files(df, path, vocabulary("word_bpe_49k.json"), rows_per_file=500)
+    assert spark.read.parquet(path).select("file").distinct().count() >= 4
+    assert tokenfile.document_digests(spark, path).count() == 3000
+
+
+def test_sentences_of_one_normal_form(spark):
+    from nadir.llm import licenses
+
+    df = spark.createDataFrame([(1, "Licensed under the X License. Foo.", "a")], SCHEMA)
+    got = licenses.scan(df, ["Licensed under the X License.", "LICENSED under the x license"], [("X", (2,))]).first()
+    assert (got["sentence_ids"], got["licences"], got["unmatched"]) == ("1", "X", "")
