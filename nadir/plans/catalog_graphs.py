@@ -48,3 +48,20 @@ def degree_weighted_pairs(spark, d):
     tested = lines(spark, d).join(T(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("o_custkey").alias("a"), F.col("l_partkey").alias("b")).distinct()
     degree = lambda c: tested.groupBy(c).agg(F.count("*").alias("w"))
     return S.weighted_pairs(degree("a"), degree("b"), tested, 300)
+
+
+@query("""WITH s AS (SELECT l_partkey, l_suppkey, l_returnflag, l_quantity, CASE WHEN l_linenumber = 6 THEN -1 ELSE 1 END AS g FROM lineitem)
+ SELECT l_partkey, l_suppkey, CAST(sum(g) AS BIGINT) AS n, round(CAST(sum(CAST(l_quantity AS DECIMAL(18,4)) * g) AS DOUBLE), 4) AS total, CASE WHEN sum(CASE WHEN l_returnflag = 'A' THEN g ELSE 0 END) > 0 THEN 'A' WHEN sum(CASE WHEN l_returnflag = 'N' THEN g ELSE 0 END) > 0 THEN 'N' WHEN sum(CASE WHEN l_returnflag = 'R' THEN g ELSE 0 END) > 0 THEN 'R' END AS best_tier
+ FROM s GROUP BY 1, 2 HAVING sum(g) > 0""")
+def incremental_pair_rollup(spark, d):
+    """Pairs by merging three batches, one of them twice, into a bucketed table; sixth lines are withdrawals."""
+    import uuid
+
+    from nadir.operators.steps import shared_dir
+    from nadir.streaming.merge import PairRollup
+
+    rows = lines(spark, d).select("l_orderkey", F.col("l_partkey").cast("long").alias("l_partkey"), F.col("l_suppkey").cast("long").alias("l_suppkey"), "l_returnflag", "l_quantity", "l_linenumber")
+    roll = PairRollup(spark, f"{shared_dir(spark)}/nadir-rollup-{uuid.uuid4().hex[:12]}", "l_partkey", "l_suppkey", "l_returnflag", "l_quantity", ["A", "N", "R"], buckets=8)
+    for batch in (0, 1, 2, 1):
+        roll.apply(rows.where(F.col("l_orderkey") % 3 == batch), F.col("l_linenumber") == 6, batch)
+    return roll.read().withColumn("total", F.round(F.col("total").cast("double"), 4))
