@@ -428,6 +428,16 @@ def untested_trick_items(spark, d):
     return B.untested_items(part_supplier(spark, d), "l_partkey", "l_suppkey", ("a_degree", "b_degree"), lines(spark, d), 40, 0, (100, 20), -1).select("l_partkey", "l_suppkey", "kind", "answer")
 
 
+_LITTLE = "(WITH pp AS (SELECT l_partkey, l_suppkey FROM lineitem GROUP BY 1, 2) SELECT l_partkey FROM pp GROUP BY 1 HAVING count(*) <= 22)"
+
+
+@query(untested_sql(_TOPS, _LITTLE, "lineitem", 40, 43, ("l_suppkey", "l_partkey")).replace("SELECT l_suppkey, l_partkey FROM c, f", "SELECT l_suppkey, l_partkey, 'obvious' AS kind, 'untested' AS answer FROM c, f"))
+def untested_obvious_items(spark, d):
+    """Untested pairs of a well-known supplier and a part of few suppliers."""
+    out = B.untested_items(part_supplier(spark, d), "l_suppkey", "l_partkey", ("b_degree", "a_degree"), lines(spark, d), 0, 40, (20, 1), 22)
+    return out.select("l_suppkey", "l_partkey", "kind", "answer")
+
+
 _LINKED = f"(WITH {SUP_SQL}, lk AS (SELECT DISTINCT s1, s2 FROM sp WHERE l_orderkey % 50 = 0) SELECT s1, s2 FROM lk UNION SELECT s2 AS s1, s1 AS s2 FROM lk UNION SELECT s_suppkey, s_suppkey FROM supplier)"
 _DRAWN = untested_sql("(SELECT s_suppkey AS s1 FROM supplier)", "(SELECT s_suppkey AS s2 FROM supplier)", _LINKED, 124, 42, ("s1", "s2"))
 

@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from nadir.functions import columns as C
 from nadir.functions import parsers as A
+from nadir.operators import evidence as E
 
-from .catalog import T, query
+from .catalog import T, lines, query
 
 _ITEMS = "list_filter(string_split(translate({t}, ' e', ';='), ';'), lambda x: x <> '')"
 
@@ -54,3 +55,61 @@ def variant_names_of_texts(spark, d):
         coding, protein = A.hgvs(name)
         both.append(rows.select("doc_id", coding.alias("coding"), protein.alias("protein")))
     return both[0].unionAll(both[1])
+
+
+_P = "(CAST(l_quantity AS DOUBLE) / 5)"
+
+
+@query(f"SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber = 5 THEN NULL WHEN {_P} <= 5 THEN 'inactive' WHEN {_P} >= 7 THEN 'active' ELSE 'borderline' END AS class FROM lineitem")
+def affinity_classes(spark, d):
+    p = F.when(F.col("l_linenumber") != 5, F.col("l_quantity").cast("double") / 5)
+    return lines(spark, d).select("l_orderkey", "l_linenumber", C.affinity_class(p).alias("class"))
+
+
+_Z = "((l_discount - 0.05) * 1500)"
+
+
+@query(f"""SELECT l_orderkey, l_linenumber, CASE WHEN round({_Z}, 6) > 50 THEN 'strongly_synergistic' WHEN round({_Z}, 6) > 20 THEN 'synergistic' WHEN round({_Z}, 6) >= -20 THEN 'additive' WHEN round({_Z}, 6) >= -50 THEN 'antagonistic' WHEN {_Z} IS NOT NULL THEN 'strongly_antagonistic' END AS class FROM lineitem""")
+def combo_classes(spark, d):
+    return lines(spark, d).select("l_orderkey", "l_linenumber", C.combo_class(F.round((F.col("l_discount") - 0.05) * 1500, 6)).alias("class"))
+
+
+@query("""SELECT l_orderkey, l_linenumber, CASE WHEN t = 'silver' AND l_quantity > 40 THEN 'gold' ELSE t END AS tier FROM
+ (SELECT *, CASE WHEN l_returnflag = 'R' AND l_linestatus = 'F' THEN 'silver' WHEN l_returnflag = 'R' THEN 'bronze' WHEN l_returnflag = 'N' THEN 'silver' ELSE 'gold' END AS t FROM lineitem)""")
+def tier_chains(spark, d):
+    tier = F.when(F.col("l_returnflag") == "R", "bronze").when(F.col("l_returnflag") == "N", "silver").otherwise("gold")
+    rows = E.tier_chain(lines(spark, d).withColumn("tier", tier), "tier", F.col("l_linestatus") == "F", F.col("l_quantity") > 40)
+    return rows.select("l_orderkey", "l_linenumber", "tier")
+
+
+@query("""SELECT l_orderkey, CASE WHEN bool_or(l_returnflag = 'R') THEN 'R' WHEN bool_or(l_returnflag = 'A') THEN 'A' ELSE 'other' END AS label FROM lineitem GROUP BY 1""")
+def first_labels(spark, d):
+    """Of several labels of an order the first by precedence."""
+    return lines(spark, d).groupBy("l_orderkey").agg(C.first_label(F.collect_set("l_returnflag"), ["R", "A"]).alias("label"))
+
+
+_TAX = "CASE WHEN o_orderkey % 7 = 6 THEN NULL ELSE CASE o_orderkey % 7 WHEN 0 THEN '9606' WHEN 1 THEN ' 10090; 9606.0' WHEN 2 THEN '10090|x' WHEN 3 THEN '' WHEN 4 THEN '96060, 1' ELSE '9606/10116' END || CASE WHEN o_custkey % 2 = 0 THEN ' ' || o_orderstatus ELSE '' END END"
+
+
+@query(f"SELECT o_orderkey, coalesce(len(list_filter(regexp_split_to_array(trim({_TAX}), '[;,/|\\s]+'), lambda t: floor(TRY_CAST(t AS DOUBLE)) = 9606)) > 0, false) AS human FROM orders")
+def human_cells(spark, d):
+    """Taxonomy cells of several values, some malformed."""
+    k = F.col("o_orderkey") % 7
+    base = F.when(k == 0, "9606").when(k == 1, " 10090; 9606.0").when(k == 2, "10090|x").when(k == 3, "").when(k == 4, "96060, 1").when(k == 5, "9606/10116")
+    cell = F.concat(base, F.when(F.col("o_custkey") % 2 == 0, F.concat(F.lit(" "), F.col("o_orderstatus"))).otherwise(""))
+    return T(spark, d, "orders").select("o_orderkey", C.human_taxid(cell).alias("human"))
+
+
+@query("SELECT doc_id, CAST(nullif(regexp_extract(text || ' ' || n_chars, '\\b((?:19|20)[0-9]{2})\\b', 1), '') AS INTEGER) AS year FROM documents")
+def years_in_texts(spark, d):
+    return T(spark, d, "documents").select("doc_id", C.year_in(F.concat("text", F.lit(" "), F.col("n_chars").cast("string"))).alias("year"))
+
+
+_WORD = "trim(regexp_extract(upper(text), '[A-Z]+', 0) || CASE doc_id % 3 WHEN 0 THEN '-' ELSE '' END || n_chars)"
+
+
+@query(f"SELECT doc_id, regexp_matches({_WORD}, '{C.CODE_NAME}') AS is_code, coalesce(regexp_matches(text, '{C.UNPLAYED}'), false) AS is_non_drug FROM documents WHERE text IS NOT NULL")
+def drug_name_kinds(spark, d):
+    """Code names made of a text's first word and length, and texts that name no drug."""
+    name = F.concat(F.regexp_extract(F.upper("text"), "[A-Z]+", 0), F.when(F.col("doc_id") % 3 == 0, "-").otherwise(""), F.col("n_chars").cast("string"))
+    return T(spark, d, "documents").where("text is not null").select("doc_id", C.is_code_name(name).alias("is_code"), C.is_non_drug(F.col("text")).alias("is_non_drug"))
