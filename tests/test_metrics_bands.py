@@ -27,3 +27,17 @@ def test_metrics_over_many_bands(spark, monkeypatch):
         pos, neg = [b_ for b_, a_ in own if a_], [b_ for b_, a_ in own if not a_]
         p, n = np.array(pos)[:, None], np.array(neg)[None]
         assert abs(a["auroc"] - ((p > n) + 0.5 * (p == n)).mean()) < 1e-9
+
+
+def test_model_correlation_by_matrices_is_that_of_the_join(spark):
+    rng = np.random.default_rng(4)
+    rows = [(f"m{m}", int(i), None if (m + i) % 17 == 0 else float(1000 + (m * i) % 7 + rng.normal())) for m in range(6) for i in range(80) if (m * i) % 5]
+    rows += [("m1", 3, 4.0), ("m1", 3, 5.0), (None, 3, 1.0), ("m2", None, 1.0)] + [("flat", i, 0.1) for i in range(80)]
+    df = spark.createDataFrame(rows, "m string, i long, v double")
+    key = lambda out: {(r["m1"], r["m2"]): (r["n_common"], r["correlation"]) for r in out.collect()}
+    got = key(metrics.model_correlation(df, "m", "i", "v"))
+    want = key(metrics._correlation_by_join(df.where("m is not null and i is not null"), "m", "i", "v", 10))
+    assert got.keys() == want.keys()
+    for k, (n, c) in want.items():
+        assert got[k][0] == n and (np.isnan(c) and np.isnan(got[k][1]) or abs(c - got[k][1]) < 1e-9)
+    assert metrics.model_correlation(df.limit(0), "m", "i", "v").count() == 0
