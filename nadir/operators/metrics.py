@@ -294,17 +294,17 @@ def per_class_accuracy(df: DataFrame, gold: str, predicted: str, klass: str, by:
 EVIDENCE_WORDS = ("chembl", "pubchem", "bindingdb", "doi", "pmid", "assay", "ic50", "ki", "kd")
 
 
-def tested_block(df: DataFrame, gold: str, answer: str, evidence: str, period: str, early: str, late: str, by: Sequence[str] = (), words: Sequence[str] = EVIDENCE_WORDS, longer_than: int = 50, flag_above: float = 0.15) -> DataFrame:
+def tested_block(df: DataFrame, gold: str, answer: str, evidence: str, period: str, early: str, late: str, by: Sequence[str] = (), words: Sequence[str] | Column = EVIDENCE_WORDS, longer_than: int = 50, flag_above: float = 0.15) -> DataFrame:
     """All figures of tested/untested answers: parse rate, accuracy, F1 of tested, MCC, evidence cited, accuracy by period, gap, flag.
 
     Unparsed answers count in the parse rate only. Evidence is cited if it is
-    longer than 50 characters and has one of the words; its rate is over
-    rightly tested answers, 0 without any.
+    longer than 50 characters and has one of the words (in lower case, or an
+    array column of such); its rate is over rightly tested answers, 0 without any.
     """
     a, g, e = F.col(answer), F.col(gold), F.col(evidence)
     cell = lambda x, y: F.count_if((g == x) & (a == y)).cast("double")
     known = a.isNotNull()
-    cited = (F.length(e) > longer_than) & F.exists(F.array(*map(F.lit, words)), lambda w: F.contains(F.lower(e), w))
+    cited = (F.length(e) > longer_than) & F.exists(words if isinstance(words, Column) else F.array(*map(F.lit, words)), lambda w: F.contains(F.lower(e), w))
     both = (a == "tested") & (g == "tested")
     at = lambda p: F.avg(F.when(known & (F.col(period) == p), (a == g).cast("double")))
     out = df.groupBy(*by).agg(

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window
@@ -68,3 +69,21 @@ def partner_jaccard(pairs: DataFrame, partners: DataFrame, a: str, b: str, entit
     out = pairs.join(n.select(F.col(entity).alias(a), F.col("n").alias("_na")), a, "left").join(n.select(F.col(entity).alias(b), F.col("n").alias("_nb")), b, "left").join(shared, [a, b], "left")
     na, nb, s = (F.coalesce(F.col(c), F.lit(0)) for c in ("_na", "_nb", "shared"))
     return out.withColumn("shared", s).withColumn("jaccard", s / F.nullif(na + nb - s, F.lit(0))).drop("_na", "_nb")
+
+
+#: log2 of a sketch's registers, and the standard error of its estimate that follows.
+SKETCH_BITS = 14
+SKETCH_ERROR = 1.04 / (1 << SKETCH_BITS) ** 0.5
+
+
+def sketched(rows: DataFrame, by: Sequence[str], distinct: dict[str, str]) -> DataFrame:
+    """The finest groups with a mergeable sketch of the distinct values of each column (name -> column), to be stored.
+
+    A sketch is some kilobytes however many values it has seen; null values don't count.
+    """
+    return rows.groupBy(*by).agg(F.count("*").alias("n"), *(F.hll_sketch_agg(c, F.lit(SKETCH_BITS)).alias(name) for name, c in distinct.items()))
+
+
+def cube_of_sketches(stored: DataFrame, by: Sequence[str], names: Sequence[str]) -> DataFrame:
+    """Rows and estimated distinct values of every combination of groups, merged from stored sketches alone; null in ``by`` stands for all, too."""
+    return stored.cube(*by).agg(F.sum("n").alias("n"), *(F.hll_sketch_estimate(F.hll_union_agg(name)).alias(name) for name in names))

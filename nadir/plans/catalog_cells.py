@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from nadir.functions import columns as C
 from nadir.functions import parsers as A
 from nadir.operators import evidence as E
+from nadir.operators import pairs as P
+from nadir.operators import registry as R
 
 from .catalog import T, lines, query
 
@@ -113,3 +115,42 @@ def drug_name_kinds(spark, d):
     """Code names made of a text's first word and length, and texts that name no drug."""
     name = F.concat(F.regexp_extract(F.upper("text"), "[A-Z]+", 0), F.when(F.col("doc_id") % 3 == 0, "-").otherwise(""), F.col("n_chars").cast("string"))
     return T(spark, d, "documents").where("text is not null").select("doc_id", C.is_code_name(name).alias("is_code"), C.is_non_drug(F.col("text")).alias("is_non_drug"))
+
+
+_WORDS = "CASE domain " + " ".join("WHEN '{}' THEN [{}]".format(x.domain, ", ".join(f"'{w.lower()}'" for w in x.evidence_words)) for x in R.DOMAINS) + " END"
+
+
+@query(f"""WITH r AS (SELECT ['dti', 'ct', 'ppi', 'ge', 'vp'][CAST(l_linenumber % 5 + 1 AS INTEGER)] AS domain, l_returnflag AS model, CASE WHEN l_linestatus = 'F' THEN 'tested' ELSE 'untested' END AS g, CASE l_orderkey % 4 WHEN 0 THEN 'tested' WHEN 1 THEN 'untested' WHEN 2 THEN 'tested' END AS p, year(l_shipdate) < 1995 AS early,
+ CASE l_orderkey % 3 WHEN 0 THEN 'see the ChEMBL assay, the FDA notes and the ClinVar record of it' WHEN 1 THEN 'short DOI' ELSE 'nothing of that kind is known to me, nor to anyone else here' END AS e FROM lineitem),
+ c AS (SELECT domain, model, count(*) AS n_total, count(p) AS n_valid, avg(CASE WHEN p IS NOT NULL THEN 1.0 ELSE 0.0 END) AS parse_rate, avg(CASE WHEN p IS NOT NULL THEN CASE WHEN p = g THEN 1.0 ELSE 0.0 END END) AS accuracy, coalesce(avg(CASE WHEN p = 'tested' AND g = 'tested' THEN CASE WHEN domain <> 'ge' AND length(e) > 50 AND len(list_filter({_WORDS}, lambda w: contains(lower(e), w))) > 0 THEN 1.0 ELSE 0.0 END END), 0) AS evidence_rate,
+  avg(CASE WHEN early AND p IS NOT NULL THEN CASE WHEN p = g THEN 1.0 ELSE 0.0 END END) AS ae, avg(CASE WHEN NOT early AND p IS NOT NULL THEN CASE WHEN p = g THEN 1.0 ELSE 0.0 END END) AS al FROM r GROUP BY 1, 2)
+ SELECT domain, model, n_total, n_valid, round(parse_rate, 6) AS parse_rate, round(accuracy, 6) AS accuracy, round(evidence_rate, 6) AS evidence_rate, round(ae, 6) AS accuracy_early, round(al, 6) AS accuracy_late FROM c""")
+def tested_answers_of_all_domains(spark, d):
+    """Raw answers of five domains in one frame, evaluated by the table of domains."""
+    k, line = F.col("l_orderkey"), F.col("l_linenumber")
+    domain = F.element_at(F.array(*map(F.lit, ("dti", "ct", "ppi", "ge", "vp"))), (line % 5 + 1).cast("int"))
+    first = F.when(k % 4 == 0, "tested").when(k % 4 == 1, "Untested").when(k % 4 == 2, "It was Tested.").otherwise("no idea")
+    told = F.when(k % 3 == 0, "see the ChEMBL assay, the FDA notes and the ClinVar record of it").when(k % 3 == 1, "short DOI").otherwise("nothing of that kind is known to me, nor to anyone else here")
+    gold = F.when(F.col("l_linestatus") == "F", "tested").otherwise("untested")
+    early = F.year("l_shipdate") < 1995
+    period = F.coalesce(*(F.when(F.col("domain") == x.domain, F.when(early, x.early).otherwise(x.late)) for x in R.DOMAINS))
+    rows = lines(spark, d).select(domain.alias("domain"), F.col("l_returnflag").alias("model"), F.concat(first, F.lit("\n"), told).alias("response"), F.when(line % 5 == 0, gold).alias("correct_answer"), F.when(line % 5 != 0, gold).alias("gold_answer"), "l_shipdate")
+    out = R.evaluate_tested(rows.withColumn("period", period), "response", "period")
+    return out.select("domain", "model", "n_total", "n_valid", *(F.round(c, 6).alias(c) for c in ("parse_rate", "accuracy", "evidence_rate", "accuracy_early", "accuracy_late")))
+
+
+@query("SELECT l_returnflag, l_linestatus, count(*) AS n, sum(l_quantity) AS total, CAST(grouping(l_returnflag) AS INTEGER) AS all_flags, CAST(grouping(l_linestatus) AS INTEGER) AS all_statuses FROM lineitem GROUP BY CUBE (l_returnflag, l_linestatus)")
+def cube_totals(spark, d):
+    rows = lines(spark, d).cube("l_returnflag", "l_linestatus")
+    return rows.agg(F.count("*").alias("n"), F.sum("l_quantity").alias("total"), F.grouping("l_returnflag").cast("int").alias("all_flags"), F.grouping("l_linestatus").cast("int").alias("all_statuses"))
+
+
+@query("SELECT l_returnflag, l_linestatus, true AS parts_within_bound, true AS orders_within_bound FROM lineitem GROUP BY CUBE (l_returnflag, l_linestatus)")
+def cube_of_sketches(spark, d):
+    """Distinct parts and orders of all groups from stored sketches, each within five standard errors of the exact number."""
+    stored = P.sketched(lines(spark, d), ["l_returnflag", "l_linestatus"], {"parts": "l_partkey", "orders": "l_orderkey"})
+    near = P.cube_of_sketches(stored, ["l_returnflag", "l_linestatus"], ["parts", "orders"])
+    exact = lines(spark, d).cube("l_returnflag", "l_linestatus").agg(F.countDistinct("l_partkey").alias("np"), F.countDistinct("l_orderkey").alias("no")).toDF("f", "s", "np", "no")
+    both = near.join(exact, F.col("l_returnflag").eqNullSafe(F.col("f")) & F.col("l_linestatus").eqNullSafe(F.col("s")))
+    within = lambda a, b: F.abs(F.col(a) - F.col(b)) <= F.greatest(F.lit(2), F.col(b) * 5 * P.SKETCH_ERROR)
+    return both.select("l_returnflag", "l_linestatus", within("parts", "np").alias("parts_within_bound"), within("orders", "no").alias("orders_within_bound"))
