@@ -11,12 +11,12 @@ from nadir.operators import splits as X
 from .catalog import T, lines, query
 
 # customers and parts of one last digit are linked by their orders, and by a few lines across digits
-_LINKS = "SELECT 'c' || o_custkey AS a, 'p' || (l_partkey % 500) AS b FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_custkey % 10 = l_partkey % 10 OR (l_linenumber = 7 AND l_partkey % 20 = 1)"
+_LINKS = "SELECT 'c' || (o_custkey % 300) AS a, 'p' || (l_partkey % 100) AS b FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_custkey % 10 = l_partkey % 10 OR (l_linenumber = 7 AND l_partkey % 20 = 1)"
 
 
 def links(spark, d):
     both = lines(spark, d).join(T(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).where("o_custkey % 10 = l_partkey % 10 or (l_linenumber = 7 AND l_partkey % 20 = 1)")
-    return both.select(F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("a"), F.concat(F.lit("p"), (F.col("l_partkey") % 500).cast("string")).alias("b"))
+    return both.select(F.concat(F.lit("c"), (F.col("o_custkey") % 300).cast("string")).alias("a"), F.concat(F.lit("p"), (F.col("l_partkey") % 100).cast("string")).alias("b"))
 
 
 @query(f"WITH l AS ({_LINKS}) SELECT count(*) AS n_rows, (SELECT count(DISTINCT x) FROM (SELECT a AS x FROM l UNION ALL SELECT b FROM l)) AS n_nodes, CAST(0 AS BIGINT) AS nodes_in_two_folds, true AS parts_within_five_percent, true AS leaves_out_a_third_of_the_hash FROM l")
