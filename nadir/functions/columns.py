@@ -260,17 +260,20 @@ def bound(value: Column, use: Callable[[Column], Column]) -> Column:
 
 
 def last_of_each(entries: Column) -> Column:
-    """A map from an array of structs (k, v) with the last value of each key."""
-    placed = F.array_sort(F.transform(entries, lambda e, i: F.struct(e["k"].alias("k"), i.alias("i"), e["v"].alias("v"))))
+    """A map from an array of structs (k, v) with the last value of each key.
+
+    Structs are named ones, as aliases inside an expression are lost where a generator stands beside it.
+    """
+    placed = F.array_sort(F.transform(entries, lambda e, i: F.named_struct(F.lit("k"), e["k"], F.lit("i"), i, F.lit("v"), e["v"])))
     is_last = lambda s: lambda e, i: F.coalesce(F.get(s, i + 1)["k"] != e["k"], F.lit(True))
-    return F.map_from_entries(F.transform(bound(placed, lambda s: F.filter(s, is_last(s))), lambda e: F.struct(e["k"], e["v"])))
+    return F.map_from_entries(F.transform(bound(placed, lambda s: F.filter(s, is_last(s))), lambda e: F.named_struct(F.lit("k"), e["k"], F.lit("v"), e["v"])))
 
 
 def info_map(text: Column) -> Column:
     """``k=v;k2=v2`` as a map, a repeated key with its last value; a key without a value maps to null, empty items go."""
     items = F.filter(F.split(text, ";"), lambda x: x != "")
     key = lambda x: F.substring_index(x, "=", 1)
-    entry = lambda x: F.struct(key(x).alias("k"), F.when(F.contains(x, F.lit("=")), F.substr(x, F.length(key(x)) + 2)).alias("v"))
+    entry = lambda x: F.named_struct(F.lit("k"), key(x), F.lit("v"), F.when(F.contains(x, F.lit("=")), F.substr(x, F.length(key(x)) + 2)))
     return last_of_each(F.transform(items, entry))
 
 
