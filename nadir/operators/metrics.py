@@ -172,68 +172,20 @@ def item_difficulty(df: DataFrame, item: str, correct: Column) -> DataFrame:
     return df.groupBy(item).agg((1 - F.avg(correct.cast("double"))).alias("difficulty"), F.count("*").alias("n_models"))
 
 
-#: Models whose matrix of pairs a task holds; beyond that, items are joined with themselves.
-MOST_MODELS = 512
-
-
 def model_correlation(df: DataFrame, model: str, item: str, value: str, least_common: int = 10) -> DataFrame:
     """Pearson correlation of each two models over their common items; NaN below ``least_common`` items or for a constant side.
 
-    Answers are shuffled by item once; a task adds up counts, sums and products of
-    all pairs of models as matrices over blocks of items, and gives a row for each
-    pair. So the shuffle is linear in the answers, however many models answer an item.
-    Null models and items count for nothing, a null value only as common. A model
-    that answers an item twice is paired as often.
+    Answers are shuffled by item once, as lists; their pairs are made in the task
+    that has the list and go into its partial aggregates, so what is shuffled is
+    linear in the answers and a row for each pair of models a task. Null models and
+    items count for nothing, a null value only as common. A model that answers an
+    item twice is paired as often.
     """
     rows = df.where(F.col(model).isNotNull() & F.col(item).isNotNull())
-    models = [r[0] for r in rows.select(model).distinct().limit(MOST_MODELS + 1).collect()]
-    if len(models) > MOST_MODELS:
-        return _correlation_by_join(rows, model, item, value, least_common)
-    models.sort()
-    if not models:
-        return _correlation_by_join(rows, model, item, value, least_common)
-    shift = rows.agg(F.coalesce(F.avg(F.col(value).cast("double")), F.lit(0.0))).first()[0]  # sums about the mean don't cancel
-    x = F.col(value).cast("double") - shift
-    place = F.array_position(F.array(*map(F.lit, models)), F.col(model)).cast("int") - 1
-    cells = rows.groupBy(F.col(item).alias("item"), place.alias("m")).agg(F.count("*").alias("a"), F.count(x).alias("c"), F.coalesce(F.sum(x), F.lit(0.0)).alias("s"), F.coalesce(F.sum(x * x), F.lit(0.0)).alias("q"))
-    by_item = cells.groupBy("item").agg(F.collect_list(F.struct("m", "a", "c", "s", "q")).alias("cells")).select("cells")  # at most as many as there are models
-    sums = by_item.mapInPandas(_pair_sums(len(models)), "i int, j int, common long, n double, sx double, sy double, sxx double, syy double, sxy double")
-    total = sums.groupBy("i", "j").agg(*(F.sum(c).alias(c) for c in ("common", "n", "sx", "sy", "sxx", "syy", "sxy")))
-    n, vx, vy = F.col("n"), F.col("sxx") - F.col("sx") * F.col("sx") / F.col("n"), F.col("syy") - F.col("sy") * F.col("sy") / F.col("n")
-    flat = lambda v, ss: v <= 1e-12 * ss  # noqa: E731  what rounding leaves of a constant side
-    corr = F.when((n > 0) & ~flat(vx, F.col("sxx")) & ~flat(vy, F.col("syy")), (F.col("sxy") - F.col("sx") * F.col("sy") / n) / F.sqrt(vx * vy)).otherwise(_nan())
-    name = lambda c: F.element_at(F.array(*map(F.lit, models)), F.col(c) + 1)
-    return total.select(name("i").alias("m1"), name("j").alias("m2"), F.col("common").alias("n_common"), F.when(F.col("common") >= least_common, corr).otherwise(_nan()).alias("correlation"))
-
-
-def _pair_sums(size: int, block: int = 4096):
-    """Sums of each pair of models over a task's items, given as lists of (m, a, c, s, q)."""
-
-    def run(batches):
-        import numpy as np
-        import pandas as pd
-
-        total = np.zeros((7, size, size))
-        for pdf in batches:
-            for at in range(0, len(pdf), block):
-                lists = pdf["cells"].iloc[at : at + block]
-                full = np.zeros((4, len(lists), size))
-                for row, cells in enumerate(lists):
-                    for cell in cells:
-                        full[:, row, cell["m"]] = cell["a"], cell["c"], cell["s"], cell["q"]
-                a, c, s, q = full
-                total += np.stack([a.T @ a, c.T @ c, s.T @ c, c.T @ s, q.T @ c, c.T @ q, s.T @ s])
-        i, j = np.nonzero(np.triu(total[0], 1))
-        if len(i):
-            common, *rest = total[:, i, j]
-            yield pd.DataFrame({"i": i.astype(np.int32), "j": j.astype(np.int32), "common": common.astype(np.int64), **dict(zip(("n", "sx", "sy", "sxx", "syy", "sxy"), rest, strict=True))})
-
-    return run
-
-
-def _correlation_by_join(rows: DataFrame, model: str, item: str, value: str, least_common: int) -> DataFrame:
-    a, b = rows.select(F.col(model).alias("m1"), item, F.col(value).alias("_x")), rows.select(F.col(model).alias("m2"), item, F.col(value).alias("_y"))
-    pairs = a.join(b, item).where("m1 < m2").groupBy("m1", "m2").agg(F.count("*").alias("n_common"), _pearson(F.col("_x"), F.col("_y")).alias("_c"))
+    answers = rows.groupBy(item).agg(F.array_sort(F.collect_list(F.struct(F.col(model).alias("m"), F.col(value).alias("x")))).alias("l"))  # at most as many as models answer
+    one = answers.select("l", F.posexplode("l").alias("i", "a"))
+    two = one.select("a", F.explode(F.slice("l", F.col("i") + 2, F.size("l"))).alias("b")).where("a.m < b.m")
+    pairs = two.groupBy(F.col("a.m").alias("m1"), F.col("b.m").alias("m2")).agg(F.count("*").alias("n_common"), _pearson(F.col("a.x"), F.col("b.x")).alias("_c"))
     return pairs.select("m1", "m2", "n_common", F.when(F.col("n_common") >= least_common, F.col("_c")).otherwise(_nan()).alias("correlation"))
 
 

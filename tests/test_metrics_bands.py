@@ -29,14 +29,20 @@ def test_metrics_over_many_bands(spark, monkeypatch):
         assert abs(a["auroc"] - ((p > n) + 0.5 * (p == n)).mean()) < 1e-9
 
 
-def test_model_correlation_by_matrices_is_that_of_the_join(spark):
+def test_model_correlation_is_that_of_the_join(spark):
     rng = np.random.default_rng(4)
     rows = [(f"m{m}", int(i), None if (m + i) % 17 == 0 else float(1000 + (m * i) % 7 + rng.normal())) for m in range(6) for i in range(80) if (m * i) % 5]
     rows += [("m1", 3, 4.0), ("m1", 3, 5.0), (None, 3, 1.0), ("m2", None, 1.0)] + [("flat", i, 0.1) for i in range(80)]
     df = spark.createDataFrame(rows, "m string, i long, v double")
     key = lambda out: {(r["m1"], r["m2"]): (r["n_common"], r["correlation"]) for r in out.collect()}
     got = key(metrics.model_correlation(df, "m", "i", "v"))
-    want = key(metrics._correlation_by_join(df.where("m is not null and i is not null"), "m", "i", "v", 10))
+    a, b = df.toDF("m1", "i", "x"), df.toDF("m2", "i", "y")
+    pairs = a.join(b, "i").where("m1 < m2").groupBy("m1", "m2").agg(F.count("*").alias("n_common"), F.collect_list(F.struct("x", "y")).alias("v"))
+    want = {}
+    for r in pairs.collect():
+        x, y = np.array([(p["x"], p["y"]) for p in r["v"] if p["x"] is not None and p["y"] is not None]).T
+        flat = len(set(x)) == 1 or len(set(y)) == 1
+        want[r["m1"], r["m2"]] = (r["n_common"], float("nan") if flat or r["n_common"] < 10 else np.corrcoef(x, y)[0, 1])
     assert got.keys() == want.keys()
     for k, (n, c) in want.items():
         assert got[k][0] == n and (np.isnan(c) and np.isnan(got[k][1]) or abs(c - got[k][1]) < 1e-9)
