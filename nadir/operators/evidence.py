@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from nadir.functions.parsers import clean_drug_name
 
+from .names import fuzzy_match
 from .pairs import first_per_group
 
 
@@ -96,57 +96,6 @@ def fallback_join(left: DataFrame, right: DataFrame, keys: Sequence[tuple[str, s
     return out.withColumn(name, F.coalesce(*found)).drop(*(f"_k{i}" for i in range(len(keys))), *(f"_v{i}" for i in range(len(keys))))
 
 
-def jaro_winkler(a: str, b: str) -> float:
-    """Jaro-Winkler similarity, prefix weight 0.1 over at most four characters."""
-    if a == b:
-        return 1.0 if a else 0.0
-    if not a or not b:
-        return 0.0
-    reach = max(max(len(a), len(b)) // 2 - 1, 0)
-    free, first = [True] * len(b), []
-    for i, c in enumerate(a):
-        for j in range(max(0, i - reach), min(len(b), i + reach + 1)):
-            if free[j] and b[j] == c:
-                free[j] = False
-                first.append(c)
-                break
-    if not first:
-        return 0.0
-    second = [c for c, f in zip(b, free, strict=True) if not f]
-    m, swapped = len(first), sum(x != y for x, y in zip(first, second, strict=True)) / 2
-    jaro = (m / len(a) + m / len(b) + (m - swapped) / m) / 3
-    prefix = 0
-    for x, y in zip(a[:4], b[:4], strict=False):
-        if x != y:
-            break
-        prefix += 1
-    return jaro + prefix * 0.1 * (1 - jaro)
-
-
-def fuzzy_match(queries: DataFrame, query: str, names: DataFrame, name: str, least: float = 0.9, length_gap: int = 5, block_prefix: int = 0) -> DataFrame:
-    """query, match, similarity: the best name of Jaro-Winkler ``least`` or more whose length is within the gap.
-
-    Candidates are all names of such a length that share enough characters; ties
-    go to the least name. A ``block_prefix`` over 0 also asks for that many equal first characters,
-    which loses matches that differ there.
-    """
-    @F.pandas_udf("double")
-    def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([jaro_winkler(x, y) for x, y in zip(a, b, strict=True)])
-
-    q = queries.select(F.col(query).alias("query")).distinct().where("query <> ''")
-    n = names.select(F.col(name).alias("match")).distinct().where("match <> ''")
-    lengths = F.explode(F.sequence(F.length("query") - length_gap, F.length("query") + length_gap))
-    left = q.withColumn("_l", lengths).withColumn("_p", F.substring("query", 1, block_prefix))
-    right = n.withColumn("_l", F.length("match")).withColumn("_p", F.substring("match", 1, block_prefix))
-    # characters that the other name has, too, bound the matching ones; a common prefix adds 0.4 of the rest at most
-    shared = F.expr("least(length(query) - length(translate(query, match, '')), length(match) - length(translate(match, query, '')))")
-    may = shared / F.length("query") + shared / F.length("match") >= 3 * (least - 0.4) / 0.6 - 1 - 1e-9
-    scored = left.join(right, ["_l", "_p"]).where(may).withColumn("similarity", similarity("query", "match")).where(F.col("similarity") >= least)
-    best = scored.groupBy("query").agg(F.min_by(F.struct("match", "similarity"), F.struct(-F.col("similarity"), F.col("match"))).alias("b"))
-    return best.select("query", "b.match", "b.similarity")
-
-
 def bliss_excess(long: DataFrame, by: Sequence[str], i: str, j: str, value: str) -> DataFrame:
     """Mean of observed minus expected inhibition of a dose matrix in long form, over cells with both doses.
 

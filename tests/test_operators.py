@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from nadir.functions import columns as C
 from nadir.operators import evidence as E
 from nadir.operators import metrics as M
+from nadir.operators import names as N
 from nadir.operators import ordering as O
 from nadir.operators import pairs as P
 from nadir.operators import quality as Q
@@ -133,8 +134,8 @@ def test_column_library(spark):
 
 
 def test_jaro_winkler_known_values():
-    assert abs(E.jaro_winkler("MARTHA", "MARHTA") - 0.961111) < 1e-6 and abs(E.jaro_winkler("DIXON", "DICKSONX") - 0.813333) < 1e-6
-    assert E.jaro_winkler("", "") == 0.0 and E.jaro_winkler("a", "b") == 0.0
+    assert abs(N.jaro_winkler("MARTHA", "MARHTA") - 0.961111) < 1e-6 and abs(N.jaro_winkler("DIXON", "DICKSONX") - 0.813333) < 1e-6
+    assert N.jaro_winkler("", "") == 0.0 and N.jaro_winkler("a", "b") == 0.0
 
 
 def test_evidence_upserts_and_violations(spark):
@@ -153,11 +154,11 @@ def test_bliss_excess(spark):
 def test_fuzzy_match_takes_the_best_name_whatever_its_first_letter(spark):
     q = spark.createDataFrame([("cetirizine",), ("cetirizina",), (None,), ("",)], "q string")
     n = spark.createDataFrame([("setirizine",), ("cetirazin",), ("loratadine",), (None,)], "n string")
-    got = {r["query"]: (r["match"], round(r["similarity"], 3)) for r in E.fuzzy_match(q, "q", n.where("n <> 'cetirazin'"), "n").collect()}
+    got = {r["query"]: (r["match"], round(r["similarity"], 3)) for r in N.fuzzy_match(q, "q", n.where("n <> 'cetirazin'"), "n").collect()}
     assert got["cetirizine"] == ("setirizine", 0.933) and "" not in got
     names = [r["n"] for r in n.collect() if r["n"]]
-    for r in E.fuzzy_match(q, "q", n, "n").collect():
-        assert (-r["similarity"], r["match"]) == min((-E.jaro_winkler(r["query"], x), x) for x in names)
+    for r in N.fuzzy_match(q, "q", n, "n").collect():
+        assert (-r["similarity"], r["match"]) == min((-N.jaro_winkler(r["query"], x), x) for x in names)
 
 
 # --- parsers, tiers, builders, audits ----------------------------------------
@@ -270,12 +271,42 @@ def test_fuzzy_match_bound_loses_nothing(spark):
     rng = random.Random(3)
     base = ["".join(rng.choice("abcdef") for _ in range(rng.randint(1, 9))) for _ in range(60)]
     query = [b[:i] + rng.choice("abcdef") + b[i + 1 :] for b in base for i in (0, len(b) // 2)] + ["", "zz"]
-    out = {r["query"]: (r["match"], r["similarity"]) for r in E.fuzzy_match(spark.createDataFrame([(q,) for q in query], "q string"), "q", spark.createDataFrame([(b,) for b in base], "b string"), "b").collect()}
+    out = {r["query"]: (r["match"], r["similarity"]) for r in N.fuzzy_match(spark.createDataFrame([(q,) for q in query], "q string"), "q", spark.createDataFrame([(b,) for b in base], "b string"), "b").collect()}
     for q in set(query):
-        best = max(((E.jaro_winkler(q, b), b) for b in set(base) if abs(len(q) - len(b)) <= 5), key=lambda x: (x[0], [-ord(c) for c in x[1]]))
+        best = max(((N.jaro_winkler(q, b), b) for b in set(base) if abs(len(q) - len(b)) <= 5), key=lambda x: (x[0], [-ord(c) for c in x[1]]))
         assert (q in out) == (best[0] >= 0.9) and (q not in out or abs(out[q][1] - best[0]) < 1e-12)
 
 
+def test_scores_of_a_batch_are_those_of_single_pairs():
+    import random
+
+    rng = random.Random(5)
+    word = lambda n: "".join(rng.choice("abcé\U0001f600") for _ in range(n))
+    pairs = [(word(rng.randint(1, 12)), word(rng.randint(1, 12))) for _ in range(3000)] + [("martha", "marhta"), ("dixon", "dicksonx"), ("a", "a")]
+    assert list(N._scores([a for a, _ in pairs], [b for _, b in pairs])) == [N.jaro_winkler(a, b) for a, b in pairs]
+
+
+def test_fuzzy_match_meets_few_pairs_and_each_once(spark):
+    import random
+
+    rng = random.Random(11)
+    letters = "eeeeeeaaaaaiiiiooootttttnnnnrrrrlllssccuuddmmpphhgbyvkxfwzjq"
+    word = lambda: "".join(rng.choice(letters) for _ in range(rng.randint(5, 24)))
+    base = sorted({word() for _ in range(3000)})
+    asked = sorted({w[:i] + w[i + 1 :] + w[i : i + 1] for w in base[::3] for i in (0, len(w) // 2)} | {word() for _ in range(500)} | {"x\ty", "é" * 80})
+    n = spark.createDataFrame([(b,) for b in [*base, "x\tyz", "é" * 81]], "match string")
+    q = spark.createDataFrame([(a,) for a in asked], "query string")
+    met = N.candidates(q, n, 0.9, 5)
+    total, different = met.count(), met.distinct().count()
+    near = sum(abs(len(a) - len(b)) <= 5 for a in asked for b in base)
+    assert total == different and total < near / 10
+    got = {(r["query"], r["match"]) for r in met.collect()}
+    some = asked[:: len(asked) // 150]
+    assert all((a, b) in got for a in some for b in base if abs(len(a) - len(b)) <= 5 and N.jaro_winkler(a, b) >= 0.9)
+    out = {r["query"]: r["match"] for r in N.fuzzy_match(q, "query", n, "match").collect()}
+    assert out["x\ty"] == "x\tyz" and out["é" * 80] == "é" * 81
+
+
 def test_names_resolve_in_stages(spark):
     f = lambda *rows: spark.createDataFrame(rows, "name string, id long")
     names = spark.createDataFrame([("Aspirin Sodium",), ("ibuprofen",), ("cetirizine",), ("odd one",), ("unknown",), (None,)], "raw string")
