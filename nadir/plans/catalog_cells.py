@@ -9,6 +9,7 @@ from nadir.functions import parsers as A
 from nadir.operators import evidence as E
 from nadir.operators import pairs as P
 from nadir.operators import registry as R
+from nadir.operators import textclass as X
 
 from .catalog import T, lines, query
 
@@ -154,3 +155,14 @@ def cube_of_sketches(spark, d):
     both = near.join(exact, F.col("l_returnflag").eqNullSafe(F.col("f")) & F.col("l_linestatus").eqNullSafe(F.col("s")))
     within = lambda a, b: F.abs(F.col(a) - F.col(b)) <= F.greatest(F.lit(2), F.col(b) * 5 * P.SKETCH_ERROR)
     return both.select("l_returnflag", "l_linestatus", within("parts", "np").alias("parts_within_bound"), within("orders", "no").alias("orders_within_bound"))
+
+
+_STOP = ", ".join(f"'{w}'" for w in X.STOP_WORDS)
+
+
+@query(f"""WITH w AS (SELECT list_filter(string_split_regex(lower(coalesce(text, '')), '[^\\p{{L}}\\p{{N}}]+'), lambda x: length(x) >= 2 AND x NOT IN ({_STOP})) AS k FROM labels JOIN documents USING (doc_id)),
+ t AS (SELECT unnest(k) AS term FROM w UNION ALL SELECT unnest(list_transform(range(1, len(k)), lambda i: k[i] || ' ' || k[i + 1])) FROM w)
+ SELECT term, count(*) AS n FROM t GROUP BY term ORDER BY n DESC, term LIMIT {X.MOST_TERMS}""")
+def vocabulary_of_labelled_texts(spark, d):
+    """The exact vocabulary that a classifier of the labelled texts is fitted on: one- and two-word terms by occurrences."""
+    return X.vocabulary(T(spark, d, "labels").select("doc_id").join(T(spark, d, "documents").select("doc_id", "text"), "doc_id"), "text")

@@ -23,3 +23,30 @@ def test_classifier_learns_and_falls_back(spark):
     assert textclass.classify(new, "text", "label", model).orderBy("id").first()["label"] == "safety"
     assert textclass.train(df.limit(50), "text", "label", "id") == (None, None)
     assert [r["label"] for r in textclass.classify(new, "text", "label").orderBy("id").collect()] == ["safety", "other"]
+
+
+def test_vocabulary_is_exact_and_a_tie_goes_to_the_lesser_term(spark):
+    import collections
+    import random
+    import re
+
+    rng = random.Random(4)
+    texts = [None, "", "The and of", *(" ".join(rng.choice(["Alpha", "beta,", "the", "x", "gamma-2", "délta", "is"]) for _ in range(rng.randint(0, 30))) for _ in range(200))]
+    counts = collections.Counter()
+    for t in texts:
+        kept = [w for w in re.findall(r"\w+", (t or "").lower()) if len(w) >= 2 and w not in textclass.STOP_WORDS]
+        counts.update(kept)
+        counts.update(f"{a} {b}" for a, b in zip(kept, kept[1:], strict=False))
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    assert list(map(tuple, textclass.vocabulary(df, "text", 7).collect())) == sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:7]
+
+
+def test_classifier_without_a_term_falls_back(spark):
+    df = spark.createDataFrame([(i, "the" if i % 2 else None, "a" if i % 3 else "b") for i in range(120)], "id long, text string, label string")
+    assert textclass.train(df, "text", "label", "id", folds=2) == (None, None)
+
+
+def test_more_labelled_rows_than_the_bound_are_sampled(spark):
+    df = spark.createDataFrame([(i, "good fine" if i % 2 else "bad poor", "a" if i % 2 else "b") for i in range(200)], "id long, text string, label string")
+    model, accuracy = textclass.train(df, "text", "label", "id", folds=2, most_rows=100, iterations=3)
+    assert model is not None and accuracy == 1.0
