@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from nadir.functions.columns import FAILURE_KEYWORDS, keyword_class
 
 from .ordering import hash_rank
+from .steps import Steps
 
 # fixed values: words that carry no topic
 STOP_WORDS = (
@@ -30,6 +31,7 @@ STOP_WORDS = (
 
 
 MOST_TERMS = 10_000
+PLACES = 1 << 20  # of the table of counts
 
 
 def _cut(text: str) -> list:
@@ -41,17 +43,45 @@ def _cut(text: str) -> list:
     ]
 
 
-def term_counts(df: DataFrame, text: str) -> DataFrame:
-    """(term, n): occurrences of all one- and two-word terms without stop words; null texts have none."""
+def _occurrences(df: DataFrame, text: str) -> DataFrame:
+    """(term, place): a row for each occurrence, with the term's place in the table of counts."""
     rows = df.select(F.coalesce(F.col(text), F.lit("")).alias("_text"))
     for stage in _cut("_text"):
         rows = stage.transform(rows)
-    return rows.select(F.explode("_terms").alias("term")).groupBy("term").agg(F.count("*").alias("n"))
+    # the outer form, as the other one adds a filter that cuts every text a second time
+    terms = rows.select(F.explode_outer("_terms").alias("term")).where("term is not null")
+    return terms.select("term", F.pmod(F.xxhash64("term"), F.lit(PLACES)).cast("int").alias("place"))
+
+
+def _cutoff(counted: DataFrame, most: int) -> int:
+    """The number of occurrences of the last of the ``most`` most frequent terms; one if there are fewer."""
+    sizes = counted.groupBy("n").agg(F.count("*").alias("terms")).orderBy(F.desc("n")).limit(most).collect()
+    for r in sizes:
+        most -= r["terms"]
+        if most <= 0:
+            return r["n"]
+    return 1
 
 
 def vocabulary(df: DataFrame, text: str, most: int = MOST_TERMS) -> DataFrame:
-    """(term, n) of the ``most`` most frequent terms; ties go to the lesser term."""
-    return term_counts(df, text).orderBy(F.desc("n"), "term").limit(most)
+    """(term, n) of the ``most`` most frequent one- and two-word terms without stop words; ties go to the lesser term. Null texts have none.
+
+    Exact, in two or three passes: the first counts the places of a hash table of
+    fixed size, the second the terms of the fullest places. A place that holds
+    fewer occurrences than the last term found can't hold a better one; any other
+    place's terms are counted by a third pass. So rare terms are never shuffled.
+    """
+    steps, terms = Steps(df.sparkSession, "vocabulary"), _occurrences(df, text)
+    places = steps.table(terms.groupBy("place").agg(F.count("*").alias("n")))
+    first = steps.table(places.orderBy(F.desc("n"), "place").limit(4 * most).select("place"))
+    count = lambda chosen: terms.join(F.broadcast(chosen), "place").groupBy("term").agg(F.count("*").alias("n"))  # noqa: E731  at most PLACES integers
+    counted = steps.table(count(first))
+    least = _cutoff(counted, most)
+    rest = steps.table(places.where(F.col("n") >= least).join(F.broadcast(first), "place", "left_anti").select("place"))
+    if not rest.isEmpty():
+        counted = counted.unionByName(steps.table(count(rest)))
+        least = _cutoff(counted, most)
+    return counted.where(F.col("n") >= least).orderBy(F.desc("n"), "term").limit(most)
 
 
 def _features(rows: DataFrame, text: str, most: int) -> list | None:

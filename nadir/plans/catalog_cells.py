@@ -165,4 +165,5 @@ _STOP = ", ".join(f"'{w}'" for w in X.STOP_WORDS)
  SELECT term, count(*) AS n FROM t GROUP BY term ORDER BY n DESC, term LIMIT {X.MOST_TERMS}""")
 def vocabulary_of_labelled_texts(spark, d):
     """The exact vocabulary that a classifier of the labelled texts is fitted on: one- and two-word terms by occurrences."""
-    return X.vocabulary(T(spark, d, "labels").select("doc_id").join(T(spark, d, "documents").select("doc_id", "text"), "doc_id"), "text")
+    labelled = T(spark, d, "labels").select("doc_id").hint("merge").join(T(spark, d, "documents").select("doc_id", "text"), "doc_id")
+    return X.vocabulary(labelled, "text")

@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from nadir.operators import posttrain as R
@@ -25,7 +26,9 @@ def test_classifier_learns_and_falls_back(spark):
     assert [r["label"] for r in textclass.classify(new, "text", "label").orderBy("id").collect()] == ["safety", "other"]
 
 
-def test_vocabulary_is_exact_and_a_tie_goes_to_the_lesser_term(spark):
+@pytest.mark.parametrize("places", [1 << 20, 64, 3])  # few places make a third pass
+def test_vocabulary_is_exact_and_a_tie_goes_to_the_lesser_term(spark, monkeypatch, places):
+    monkeypatch.setattr(textclass, "PLACES", places)
     import collections
     import random
     import re
@@ -38,7 +41,8 @@ def test_vocabulary_is_exact_and_a_tie_goes_to_the_lesser_term(spark):
         counts.update(kept)
         counts.update(f"{a} {b}" for a, b in zip(kept, kept[1:], strict=False))
     df = spark.createDataFrame([(t,) for t in texts], "text string")
-    assert list(map(tuple, textclass.vocabulary(df, "text", 7).collect())) == sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:7]
+    for most in (1, 7, 1000):
+        assert list(map(tuple, textclass.vocabulary(df, "text", most).collect())) == sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:most]
 
 
 def test_classifier_without_a_term_falls_back(spark):
