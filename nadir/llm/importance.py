@@ -242,7 +242,8 @@ def weigh(docs: DataFrame, target: DataFrame, buckets: int = 10_000, parts: int
     blocks = blocks.where("block is not null")
     n = blocks.where("part = 0").count()
     shares = max(1, -(-n // CELL_BLOCKS))
-    cell = lambda share: F.col("part") * shares + share
+    # both sides' cells are longs: Spark hashes an int otherwise, and a cogroup doesn't cast its keys
+    cell = lambda share: F.col("part").cast("long") * shares + share.cast("long")
     postings = blocks.select(cell(F.pmod(F.xxhash64("block"), F.lit(shares))).alias("cell"), *CONTRIBUTION_INPUT)
     both = sums.withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(shares - 1)))).select(cell(F.col("share")).alias("cell"), "is_target", "at", "n")
     given = postings.groupBy("cell").cogroup(both.groupBy("cell")).applyInArrow(_contributions(parts, buckets, total.get(False, 0), total.get(True, 0)), CONTRIBUTIONS)

@@ -148,6 +148,19 @@ def test_resample_many_blocks(spark, monkeypatch):
     assert sorted(map(tuple, got.collect()), key=str) == plain_resample(rows, ["w3 the the w5 w3"])
 
 
+def test_resample_cells_meet_over_many_partitions(spark):
+    """A cell's postings and sums are in one partition, also if there are several: their keys have one type."""
+    rows = [(i, f"w{i % 7} the the w{i % 13} " * (6 + i % 5)) for i in range(100)]
+    docs, aim = spark.createDataFrame([(i, t, "a") for i, t in rows], SCHEMA), spark.createDataFrame([(1, "w3 the the w5 w3")], "item_id long, text string")
+    name = "spark.sql.adaptive.coalescePartitions.enabled"
+    before = spark.conf.get(name)
+    try:
+        spark.conf.set(name, "false")
+        assert sorted(map(tuple, importance.resample(docs, aim).collect()), key=str) == plain_resample(rows, ["w3 the the w5 w3"])
+    finally:
+        spark.conf.set(name, before)
+
+
 # --- Feistel shards ----------------------------------------------------------
 
 
