@@ -8,6 +8,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordering import settled
+
 
 @dataclass(frozen=True)
 class PairSpec:
@@ -20,29 +22,43 @@ class PairSpec:
     degrees: tuple[str, str] = ("a_degree", "b_degree")
 
 
-def rollup(evidence: DataFrame, spec: PairSpec) -> DataFrame:
+def rollup(evidence: DataFrame, spec: PairSpec, partitions: int | None = None) -> DataFrame:
     """A row for each pair with the measures of its evidence and the degree of each end.
 
     Null ends are dropped. Degrees are sums over the pair table, joined back:
-    an end with very many pairs is aggregated in parts.
+    an end with very many pairs is aggregated in parts. A symmetric pair table is
+    written once, and so are its degrees: where these are few they are broadcast
+    to it, and it isn't shuffled again. ``partitions`` is for evidence of pairs that
+    seldom come twice, which are shuffled as they are into so many.
     """
     rows = evidence.where(F.col(spec.a).isNotNull() & F.col(spec.b).isNotNull())
     if spec.symmetric:
         low, high = F.least(spec.a, spec.b), F.greatest(spec.a, spec.b)
         rows = rows.where(F.col(spec.a) != F.col(spec.b)).withColumns({spec.a: low, spec.b: high})
+    if partitions:
+        rows = rows.repartition(partitions, spec.a, spec.b)
     pairs = rows.groupBy(spec.a, spec.b).agg(*(c.alias(n) for n, c in spec.measures.items()))
     if spec.symmetric:
-        degree = two_sided_degree(pairs, spec.a, spec.b)
+        pairs = settled(pairs)
+        # a pair comes once here
+        degree = settled(pairs.select(F.explode(F.array(spec.a, spec.b)).alias("entity")).groupBy("entity").agg(F.count("*").alias("degree")))
         da, db = degree.select(F.col("entity").alias(spec.a), F.col("degree").alias(spec.degrees[0])), degree.select(F.col("entity").alias(spec.b), F.col("degree").alias(spec.degrees[1]))
     else:
         da, db = pairs.groupBy(spec.a).agg(F.count("*").alias(spec.degrees[0])), pairs.groupBy(spec.b).agg(F.count("*").alias(spec.degrees[1]))
     return pairs.join(da, spec.a).join(db, spec.b)
 
 
-def two_sided_degree(pairs: DataFrame, a: str, b: str) -> DataFrame:
-    """entity, degree: distinct partners of every end of symmetric pairs."""
-    ends = pairs.select(F.explode(F.array(F.struct(F.col(a).alias("entity"), F.col(b).alias("other")), F.struct(F.col(b).alias("entity"), F.col(a).alias("other")))).alias("e")).select("e.*")
-    return ends.groupBy("entity").agg(F.countDistinct("other").alias("degree"))
+def two_sided_degree(pairs: DataFrame, a: str, b: str, partitions: int | None = None) -> DataFrame:
+    """entity, degree: distinct partners of every end of symmetric pairs.
+
+    Pairs are made distinct once, not for each end; degrees are then counts.
+    """
+    turned = F.col(a).isNull() | (F.col(b) < F.col(a))
+    once = pairs.select(F.when(turned, F.col(b)).otherwise(F.col(a)).alias("a"), F.when(turned, F.col(a)).otherwise(F.col(b)).alias("b"))
+    once = (once.repartition(partitions, "a", "b") if partitions else once).distinct()
+    end = lambda x, y: F.struct(F.col(x).alias("entity"), F.col(y).alias("other"))
+    ends = once.select(F.explode(F.array_distinct(F.array(end("a", "b"), end("b", "a")))).alias("e")).select("e.*")
+    return ends.groupBy("entity").agg(F.count("other").alias("degree"))
 
 
 def mode_per_group(df: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
@@ -56,19 +72,42 @@ def first_per_group(df: DataFrame, keys: list[str], order: list[Column | str]) -
     return df.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_r = 1").drop("_r")
 
 
+#: Distinct items up to which an entity's items are bits of one row.
+MOST_BITS = 4096
+
+
 def partner_jaccard(pairs: DataFrame, partners: DataFrame, a: str, b: str, entity: str, item: str) -> DataFrame:
-    """Jaccard of the items of both ends of each pair; null where neither end has any."""
-    sizes = partners.select(entity, item).distinct()
-    n = sizes.groupBy(entity).agg(F.count("*").alias("n"))
-    shared = (
-        pairs.select(a, b).distinct()
-        .join(sizes.select(F.col(entity).alias(a), F.col(item).alias("_i")), a)
-        .join(sizes.select(F.col(entity).alias(b), F.col(item).alias("_i")), [b, "_i"])
-        .groupBy(a, b).agg(F.count("*").alias("shared"))
-    )
-    out = pairs.join(n.select(F.col(entity).alias(a), F.col("n").alias("_na")), a, "left").join(n.select(F.col(entity).alias(b), F.col("n").alias("_nb")), b, "left").join(shared, [a, b], "left")
+    """Jaccard of the items of both ends of each pair; null where neither end has any.
+
+    Items are numbered, and an entity's are bits of one row: a pair meets the rows
+    of its ends, and no row for each item they share is made. These rows are
+    written, so they are broadcast where they are few. With more than
+    ``MOST_BITS`` items that would be wide, and ends meet by item.
+    """
+    sizes = partners.select(entity, item).where(F.col(entity).isNotNull()).distinct()
+    items = settled(sizes.select(item).where(F.col(item).isNotNull()).distinct())
+    many = items.count()
     na, nb, s = (F.coalesce(F.col(c), F.lit(0)) for c in ("_na", "_nb", "shared"))
-    return out.withColumn("shared", s).withColumn("jaccard", s / F.nullif(na + nb - s, F.lit(0))).drop("_na", "_nb")
+    done = lambda out: out.withColumn("shared", s).withColumn("jaccard", s / F.nullif(na + nb - s, F.lit(0)))
+    if many > MOST_BITS:
+        n = sizes.groupBy(entity).agg(F.count("*").alias("n"))
+        shared = (
+            pairs.select(a, b).distinct()
+            .join(sizes.select(F.col(entity).alias(a), F.col(item).alias("_i")), a)
+            .join(sizes.select(F.col(entity).alias(b), F.col(item).alias("_i")), [b, "_i"])
+            .groupBy(a, b).agg(F.count("*").alias("shared"))
+        )
+        out = pairs.join(n.select(F.col(entity).alias(a), F.col("n").alias("_na")), a, "left").join(n.select(F.col(entity).alias(b), F.col("n").alias("_nb")), b, "left").join(shared, [a, b], "left")
+        return done(out).drop("_na", "_nb")
+    numbered = items.withColumn("_p", F.row_number().over(Window.orderBy(item)) - 1)  # at most MOST_BITS rows
+    placed = sizes.join(F.broadcast(numbered), item, "left")  # a null item counts, but is shared by none
+    words = [F.bit_or(F.when(F.floor(F.col("_p") / 64) == w, F.expr("shiftleft(1L, cast(_p % 64 as int))")).otherwise(F.lit(0).cast("long"))) for w in range(-(-many // 64))]
+    rows = settled(placed.groupBy(entity).agg(F.count("*").alias("n"), F.array(*words).cast("array<long>").alias("bits")))
+    out = pairs
+    for end, tag in ((a, "a"), (b, "b")):
+        out = out.join(rows.select(F.col(entity).alias(end), F.col("n").alias(f"_n{tag}"), F.col("bits").alias(f"_bits{tag}")), end, "left")
+    both = F.zip_with("_bitsa", "_bitsb", lambda x, y: F.bit_count(x.bitwiseAND(y)).cast("long"))
+    return done(out.withColumn("shared", F.aggregate(both, F.lit(0).cast("long"), lambda t, x: t + x))).drop("_na", "_nb", "_bitsa", "_bitsb")
 
 
 #: log2 of a sketch's registers, and the standard error of its estimate that follows.

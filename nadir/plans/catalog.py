@@ -121,10 +121,21 @@ def pair_rollup_mode_phase(spark, d):
     return P.rollup(rows, spec).drop("a_degree", "b_degree").join(mode, ["l_partkey", "l_suppkey"])
 
 
+def pair_partitions(spark, d):
+    """Partitions for pairs of lines: their number grows with the lines, so that a task's share doesn't."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-lines(spark, d).count() // 400_000))
+
+
 def supplier_pairs(spark, d):
+    parts = pair_partitions(spark, d)
     a = lines(spark, d).select("l_orderkey", F.col("l_suppkey").alias("s1"), F.col("l_quantity").alias("q"))
     b = lines(spark, d).select("l_orderkey", F.col("l_suppkey").alias("s2"))
-    return a.join(b, "l_orderkey").where("s1 < s2")
+    return a.repartition(parts, "l_orderkey").join(b.repartition(parts, "l_orderkey"), "l_orderkey").where("s1 < s2")
+
+
+def linked_suppliers(spark, d):
+    """Distinct pairs of suppliers; few come twice in a task, so they are shuffled before they are made distinct."""
+    return supplier_pairs(spark, d).select("s1", "s2").repartition(pair_partitions(spark, d), "s1", "s2").distinct()
 
 
 SUP_SQL = "sp AS (SELECT a.l_orderkey, a.l_suppkey AS s1, b.l_suppkey AS s2, a.l_quantity AS q FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_suppkey < b.l_suppkey)"
@@ -134,7 +145,7 @@ SUP_SQL = "sp AS (SELECT a.l_orderkey, a.l_suppkey AS s1, b.l_suppkey AS s2, a.l
  g AS (SELECT e, count(DISTINCT o) AS deg FROM (SELECT s1 AS e, s2 AS o FROM p UNION ALL SELECT s2, s1 FROM p) GROUP BY 1)
  SELECT p.*, x.deg AS a_degree, y.deg AS b_degree FROM p JOIN g x ON s1 = x.e JOIN g y ON s2 = y.e""")
 def pair_rollup_symmetric(spark, d):
-    return P.rollup(supplier_pairs(spark, d), P.PairSpec("s1", "s2", {"num_experiments": F.countDistinct("l_orderkey"), "min_score": F.min("q"), "max_score": F.max("q")}, symmetric=True))
+    return P.rollup(supplier_pairs(spark, d), P.PairSpec("s1", "s2", {"num_experiments": F.countDistinct("l_orderkey"), "min_score": F.min("q"), "max_score": F.max("q")}, symmetric=True), pair_partitions(spark, d))
 
 
 @query(f"""SELECT l_partkey, l_suppkey, count(DISTINCT l_orderkey) AS num_screens, {BEST_SQL} AS best_tier, min(l_discount) AS min_effect, max(l_discount) AS max_effect, round(avg(l_discount), 6) AS avg_effect FROM lineitem GROUP BY 1, 2""")
@@ -179,12 +190,12 @@ def triple_rollup(spark, d):
  SELECT p.s1, p.s2, coalesce(shared, 0) AS shared, round(coalesce(shared, 0) / nullif(coalesce(a.n, 0) + coalesce(b.n, 0) - coalesce(shared, 0), 0), 6) AS jaccard FROM p LEFT JOIN n a ON s1 = a.e LEFT JOIN n b ON s2 = b.e LEFT JOIN s ON s.s1 = p.s1 AND s.s2 = p.s2""")
 def target_jaccard(spark, d):
     items = lines(spark, d).select(F.col("l_suppkey").alias("e"), (F.col("l_partkey") % 50).alias("g"))
-    return P.partner_jaccard(supplier_pairs(spark, d).select("s1", "s2").distinct(), items, "s1", "s2", "e", "g").withColumn("jaccard", F.round("jaccard", 6))
+    return P.partner_jaccard(linked_suppliers(spark, d), items, "s1", "s2", "e", "g").withColumn("jaccard", F.round("jaccard", 6))
 
 
 @query(f"WITH {SUP_SQL} SELECT e AS entity, count(DISTINCT o) AS degree FROM (SELECT s1 AS e, s2 AS o FROM sp UNION ALL SELECT s2, s1 FROM sp) GROUP BY 1")
 def degree_two_sided(spark, d):
-    return P.two_sided_degree(supplier_pairs(spark, d), "s1", "s2")
+    return P.two_sided_degree(supplier_pairs(spark, d), "s1", "s2", pair_partitions(spark, d))
 
 
 # --- filters and joins -------------------------------------------------------
@@ -236,7 +247,7 @@ def split_pivot_export(spark, d):
 def double_dim_join(spark, d):
     s = T(spark, d, "supplier")
     a, b = s.select(F.col("s_suppkey").alias("s1"), F.col("s_name").alias("name_a")), s.select(F.col("s_suppkey").alias("s2"), F.col("s_name").alias("name_b"))
-    return supplier_pairs(spark, d).select("s1", "s2").distinct().join(a, "s1").join(b, "s2").select("s1", "s2", "name_a", "name_b")
+    return linked_suppliers(spark, d).join(a, "s1").join(b, "s2").select("s1", "s2", "name_a", "name_b")
 
 
 @query(f"""SELECT l_orderkey, l_linenumber, CASE WHEN c THEN 'silver' ELSE tier END AS tier, CASE WHEN c THEN 1 ELSE 0 END AS upgraded FROM (SELECT e.*, {TIER_SQL} AS tier, l_returnflag = 'R' AND EXISTS (SELECT 1 FROM lineitem x WHERE x.l_partkey = e.l_partkey AND x.l_suppkey = e.l_suppkey AND x.l_linestatus <> e.l_linestatus AND x.l_quantity > 20) AS c FROM lineitem e)""")

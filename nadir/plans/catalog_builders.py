@@ -13,7 +13,7 @@ from nadir.operators import sampling as S
 from nadir.operators import splits as X
 from nadir.operators import tiers as K
 
-from .catalog import ANSWERS_SQL, CONSENSUS_SQL, PS_SQL, SUP_SQL, SYN_SQL, TIER_SQL, ZIP_SQL, T, answers, cut_sql, lines, md5_sql, part_supplier, query, supplier_pairs, tier_column, zip_column
+from .catalog import ANSWERS_SQL, CONSENSUS_SQL, PS_SQL, SUP_SQL, SYN_SQL, TIER_SQL, ZIP_SQL, T, answers, cut_sql, lines, linked_suppliers, md5_sql, pair_partitions, part_supplier, query, supplier_pairs, tier_column, zip_column
 
 KEY = ["l_orderkey", "l_linenumber"]
 
@@ -345,7 +345,7 @@ def pair_rollup_combination(spark, d):
     rows = supplier_pairs(spark, d).withColumn("z", F.round((F.col("q") - 25) / 2, 6)).withColumn("k", C.synergy_class(F.col("z")))
     spec = P.PairSpec("s1", "s2", {"num_cells": F.countDistinct("l_orderkey"), "num_measurements": F.count("*"), "avg_zip": F.round(F.avg("z"), 6), "antagonism_fraction": F.round(C.fraction(k.isin("antagonistic", "strongly_antagonistic")), 6), "consensus_class": C.consensus_class(k)}, symmetric=True)
     items = lines(spark, d).select(F.col("l_suppkey").alias("e"), (F.col("l_partkey") % 50).alias("g"))
-    return P.partner_jaccard(P.rollup(rows, spec), items, "s1", "s2", "e", "g").withColumn("jaccard", F.round("jaccard", 6))
+    return P.partner_jaccard(P.rollup(rows, spec, pair_partitions(spark, d)), items, "s1", "s2", "e", "g").withColumn("jaccard", F.round("jaccard", 6))
 
 
 @query(f"{PS_SQL} SELECT l_partkey FROM (SELECT l_partkey, max(a_degree) AS d FROM ps GROUP BY 1) ORDER BY d DESC, l_partkey LIMIT 50")
@@ -507,7 +507,7 @@ def sample_with_replacement(spark, d):
 @query(f"""WITH RECURSIVE {SUP_SQL}, p AS MATERIALIZED (SELECT s1, s2, row_number() OVER (ORDER BY {md5_sql(42, 's1', 's2')}, s1, s2) AS r FROM (SELECT DISTINCT s1, s2 FROM sp)), w(r, s1, s2, ok, c) AS (SELECT CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST(0 AS BIGINT), false, (SELECT list_transform(range(max(s_suppkey) + 1), lambda x: 0) FROM supplier)
  UNION ALL SELECT r, s1, s2, ok, CASE WHEN ok THEN list_transform(c, lambda x, i: CASE WHEN i = s1 + 1 OR i = s2 + 1 THEN x + 1 ELSE x END) ELSE c END FROM (SELECT p.*, c, c[p.s1 + 1] < 10 AND c[p.s2 + 1] < 10 AS ok FROM w JOIN p ON p.r = w.r + 1)) SELECT s1, s2 FROM w WHERE ok""")
 def two_sided_cap(spark, d):
-    return S.two_sided_cap(supplier_pairs(spark, d).select("s1", "s2").distinct(), "s1", "s2", ["s1", "s2"], 10)
+    return S.two_sided_cap(linked_suppliers(spark, d), "s1", "s2", ["s1", "s2"], 10)
 
 
 def family_sql(order: str, pick: str) -> str:
@@ -536,7 +536,7 @@ _FOLD = "CASE {f} WHEN 'train' THEN 0 WHEN 'val' THEN 1 ELSE 2 END"
  SELECT s1, s2, CASE greatest({_FOLD.format(f='a.fold')}, {_FOLD.format(f='b.fold')}) WHEN 0 THEN 'train' WHEN 1 THEN 'val' ELSE 'test' END AS fold FROM p JOIN f a ON a.e = s1 JOIN f b ON b.e = s2""")
 def split_cold_one_kind(spark, d):
     """Cold for both ends of pairs of one kind: the later of the ends' folds."""
-    return X.max_rank(supplier_pairs(spark, d).select("s1", "s2").distinct(), "s1", "s2", ratios=(0.8, 0.05, 0.15), one_kind=True).select("s1", "s2", "fold")
+    return X.max_rank(linked_suppliers(spark, d), "s1", "s2", ratios=(0.8, 0.05, 0.15), one_kind=True).select("s1", "s2", "fold")
 
 
 @query(f"""WITH c AS (SELECT l_partkey, l_suppkey, row_number() OVER (PARTITION BY l_partkey ORDER BY count(*) DESC, l_suppkey) AS q FROM lineitem GROUP BY 1, 2), m AS (SELECT l_partkey, l_suppkey AS prim FROM c WHERE q = 1), f AS (SELECT e, {cut_sql('r', 'n')} AS fold FROM (SELECT e, row_number() OVER (ORDER BY {md5_sql(42, 'e')}, e) AS r, count(*) OVER () AS n FROM (SELECT DISTINCT prim AS e FROM m)))

@@ -1,5 +1,6 @@
 """Invariants and edge cases of operators that SQL doesn't express, on literal frames."""
 
+import hashlib
 import math
 
 import pytest
@@ -328,3 +329,49 @@ def test_code_name_of_letters_with_several_capitals(spark, tmp_path):
     want = con.execute(catalog.oracle_sql()["drug_name_kinds"]).fetchall()
     assert sorted(map(tuple, catalog.queries()["drug_name_kinds"](spark, str(tmp_path)).collect())) == sorted(want)
     assert dict((r[0], r[1]) for r in want)[0] is True
+
+
+def test_partner_jaccard_by_bits_and_by_items(spark, monkeypatch):
+    """Ends meet by bits, without a row for each shared item; more items than fit in bits give the same."""
+    from nadir.operators.ordering import settled
+
+    pairs = settled(spark.createDataFrame([(i, j) for i in range(12) for j in range(i + 1, 12)], "a long, b long"))
+    own = [(e, g) for e in range(10) for g in range(200) if g % (e + 2) == 0 and e != 7] + [(3, None), (None, 5), (4, 4), (4, 4)]
+    items = spark.createDataFrame(own, "e long, g long")
+    sets = {e: {g for x, g in own if x == e} for e in range(12)}
+    want = set()
+    for i in range(12):
+        for j in range(i + 1, 12):
+            x, y = sets[i], sets[j]
+            both = len({g for g in x & y if g is not None})
+            all_ = len(x) + len(y) - both
+            want.add((i, j, both, round(both / all_, 9) if all_ else None))
+    take = lambda: P.partner_jaccard(pairs, items, "a", "b", "e", "g").select("a", "b", "shared", F.round("jaccard", 9))
+    found = take()
+    assert "Exchange hashpartitioning" not in found._jdf.queryExecution().executedPlan().toString()
+    assert {tuple(r) for r in found.collect()} == want
+    monkeypatch.setattr(P, "MOST_BITS", 10)
+    assert {tuple(r) for r in take().collect()} == want
+
+
+def test_degree_of_pairs_either_way_round(spark):
+    """Pairs are distinct once, whichever end comes first; a null partner doesn't count."""
+    df = spark.createDataFrame([(1, 2), (2, 1), (1, 2), (3, 3), (5, None), (None, 5), (2, 3)], "a long, b long")
+    for parts in (None, 3):
+        got = {tuple(r) for r in P.two_sided_degree(df, "a", "b", parts).collect()}
+        assert got == {(1, 1), (2, 2), (3, 2), (5, 0), (None, 1)}
+
+
+def test_two_sided_cap_looks_at_stretches(spark, monkeypatch):
+    """Rows of closed ends go before their stretch is decided, and what is kept is as one row after another."""
+    monkeypatch.setattr(S, "CAP_ROWS", 8)
+    seen, decide = [], S._first_at_both
+    monkeypatch.setattr(S, "_first_at_both", lambda state, *a: seen.append(state.where("_kept is null").count()) or decide(state, *a))
+    pairs = [(i, j) for i in range(40) for j in range(i + 1, 40)]
+    got = {tuple(r) for r in S.two_sided_cap(spark.createDataFrame(pairs, "a long, b long"), "a", "b", ["a", "b"], 2).collect()}
+    count, want = {}, set()
+    for _, a, b in sorted((hashlib.md5(f"42:{a}:{b}".encode()).hexdigest(), a, b) for a, b in pairs):
+        if count.get(a, 0) < 2 and count.get(b, 0) < 2:
+            want.add((a, b))
+            count[a], count[b] = count.get(a, 0) + 1, count.get(b, 0) + 1
+    assert got == want and len(seen) > 1 and sum(seen) < len(pairs) / 2
