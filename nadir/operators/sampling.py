@@ -195,22 +195,53 @@ def relaxed(df: DataFrame, levels: Sequence[Column], n: int) -> DataFrame:
 def two_sided_cap(df: DataFrame, a: str, b: str, keys: Sequence[str], most: int, seed: int = 42) -> DataFrame:
     """Rows in seeded order, each kept while both its ends have fewer than ``most`` kept rows.
 
+    Decided by stretches of the order, each some times the ones before it: an
+    end is closed once ``most`` of its rows are kept, and the rows that are left of
+    closed ends go before the next stretch is looked at. Ends may be of one kind.
+    """
+    rest = settled(df)
+    n, ends = rest.count(), rest.select(F.explode(F.array(a, b)).alias("_end")).agg(F.approx_count_distinct("_end")).first()[0]
+    kept, done = None, 0
+    upto = max(most * ends, CAP_ROWS) / max(1, n)  # rows are evenly spread over the order
+    while True:
+        last = upto >= 1
+        h = hash_key(seed, *keys)
+        before = F.substring(h, 1, 8) < F.lit(f"{int(min(upto, 1) * (1 << 32)):08x}")
+        state = (rest if last else rest.where(before)).select(*df.columns, h.alias("_h"), F.lit(None).cast("boolean").alias("_kept"))
+        kept = _first_at_both(settled(state if kept is None else kept.unionByName(state)), a, b, keys, most)
+        if last:
+            return kept.select(*df.columns)
+        full = settled(kept.select(F.explode(F.array(a, b)).alias("_end")).groupBy("_end").agg(F.count("*").alias("_n")).where(F.col("_n") >= most).select("_end"))
+        left = rest.where(~before)
+        for end in (a, b):
+            left = left.join(full.withColumnRenamed("_end", "_full"), F.col(end) == F.col("_full"), "left_anti")
+        rest = settled(left, rest)
+        m = rest.count()
+        # a stretch holds four times as many rows as the one before it
+        done += 1
+        upto = 1.0 if not m else min(1.0, upto + (1 - upto) * max(most * ends, CAP_ROWS) * 4**done / m)
+
+
+#: Least rows of the first stretch of ``two_sided_cap``.
+CAP_ROWS = 1 << 16
+
+
+def _first_at_both(state: DataFrame, a: str, b: str, keys: Sequence[str], most: int) -> DataFrame:
+    """Kept rows of a stretch and of those before it, whose kept rows it holds, too.
+
     Decided in rounds with the same result as one after another: a row surely
     stays if the kept and the open rows before it are fewer than ``most`` at
     both ends, and surely goes if the kept ones before it are ``most`` at one.
-    The first open row of all is always decided; few rounds are needed, as
-    an end is closed once ``most`` of its rows are kept. Ends may be of one kind.
+    The first open row of all is always decided.
     """
-    state = settled(df.withColumn("_h", hash_key(seed, *keys)).withColumn("_kept", F.lit(None).cast("boolean")))
-    while True:
-        # what counts at an end: kept rows, and open ones; rows that went don't matter
-        alive = state.where(F.coalesce("_kept", F.lit(True)))
+    columns = state.columns
+    while not state.where(F.col("_kept").isNull()).isEmpty():
         tag = F.struct("_h", *keys)
-        ends = alive.select(F.explode(F.array(F.col(a), F.col(b))).alias("_end"), tag.alias("_tag"), F.col("_kept").isNotNull().cast("int").alias("_k"), F.lit(1).alias("_one"))
-        before = running_before(ends, F.substring("_tag._h", 1, 3), ["_tag"], {"_kept_before": "_k", "_all_before": "_one"}, ["_end"])
+        at = state.select(F.explode(F.array(F.col(a), F.col(b))).alias("_end"), tag.alias("_tag"), F.col("_kept").isNotNull().cast("int").alias("_k"), F.lit(1).alias("_one"))
+        before = running_before(at, F.substring("_tag._h", 1, 3), ["_tag"], {"_kept_before": "_k", "_all_before": "_one"}, ["_end"])
         worst = before.groupBy("_tag").agg(F.max("_kept_before").alias("_kb"), F.max("_all_before").alias("_ab"))
         joined = state.withColumn("_tag", tag).join(worst, "_tag", "left")
         verdict = F.when(F.col("_kept").isNotNull(), F.col("_kept")).when(F.col("_ab") < most, True).when(F.col("_kb") >= most, False)
-        state = settled(joined.withColumn("_kept", verdict).select(*df.columns, "_h", "_kept"), state)
-        if state.where(F.col("_kept").isNull()).isEmpty():
-            return state.where("_kept").select(*df.columns)
+        # rows that went don't matter any more
+        state = settled(joined.withColumn("_kept", verdict).select(*columns).where(F.coalesce("_kept", F.lit(True))), state)
+    return state
