@@ -126,3 +126,17 @@ def sketched(rows: DataFrame, by: Sequence[str], distinct: dict[str, str]) -> Da
 def cube_of_sketches(stored: DataFrame, by: Sequence[str], names: Sequence[str]) -> DataFrame:
     """Rows and estimated distinct values of every combination of groups, merged from stored sketches alone; null in ``by`` stands for all, too."""
     return stored.cube(*by).agg(F.sum("n").alias("n"), *(F.hll_sketch_estimate(F.hll_union_agg(name)).alias(name) for name in names))
+
+
+def cube_of_distinct(rows: DataFrame, by: Sequence[str], value: str, name: str) -> DataFrame:
+    """(cell array<string>, all int, name): exact distinct values in every combination of groups.
+
+    Rows are made distinct once, at the finest groups, and each value then names the
+    cells it is in; ``all`` has a bit for each group that stands for all of them.
+    A null in ``by`` is a group of its own, told from all by its bit; null values
+    don't count.
+    """
+    fine = rows.select(*by, value).distinct()
+    each = fine.groupBy(value).agg(F.collect_list(F.struct(*by)).alias("_in"))
+    named = lambda g: F.array(*(F.struct(F.array(*(F.lit(None).cast("string") if m >> i & 1 else g[c].cast("string") for i, c in enumerate(by))).alias("cell"), F.lit(m).alias("all")) for m in range(1 << len(by))))
+    return each.select(value, F.explode(F.array_distinct(F.flatten(F.transform("_in", named)))).alias("_c")).groupBy("_c.cell", "_c.all").agg(F.count(value).alias(name))

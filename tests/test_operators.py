@@ -375,3 +375,15 @@ def test_two_sided_cap_looks_at_stretches(spark, monkeypatch):
             want.add((a, b))
             count[a], count[b] = count.get(a, 0) + 1, count.get(b, 0) + 1
     assert got == want and len(seen) > 1 and sum(seen) < len(pairs) / 2
+
+
+def test_cube_of_distinct(spark):
+    """Exact distinct values of all combinations of groups; null is a group of its own and no value."""
+    own = [("A", "x", 1), ("A", "y", 1), ("A", "y", 2), ("B", "x", 1), (None, "x", 3), ("B", "x", None), ("C", "z", None)]
+    df = spark.createDataFrame(own, "f string, s string, v long")
+    got = {(tuple(r["cell"]), r["all"]): r["n"] for r in P.cube_of_distinct(df, ("f", "s"), "v", "n").collect()}
+    want = {}
+    for f, s, v in own:
+        for m in range(4):
+            want.setdefault(((None if m & 1 else f, None if m & 2 else s), m), set()).update(() if v is None else (v,))
+    assert got == {k: len(v) for k, v in want.items()}
