@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nadir.llm import linededup, mixing, pieces, quality, scratch, shinglesets
+from nadir.llm import linededup, mixing, pieces, quality, scratch, shinglesets, simhash
 from nadir.llm.queries import vocabulary
 
 _GROUP = "pipeline-stage"
@@ -34,12 +34,15 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group linked at a Jaccard similarity of 0.8 of five-word shingles: that of the least doc_id.
 
+    Links come from SimHash fingerprints at 4 or fewer differing bits, each
+    checked by its Jaccard similarity. Similar texts may differ in more bits, so an
+    exact join follows over what the fingerprints haven't connected.
     Of several rows of a group with that doc_id the one whose text sorts first
     stays; null doc_id comes last. Rows that only share an id, or have none,
     all stay.
     """
     scratch.clear(_GROUP)
-    return shinglesets.representatives(docs, scratch_group=_GROUP)
+    return shinglesets.representatives(docs, scratch_group=_GROUP, linked=simhash.linked_keys)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

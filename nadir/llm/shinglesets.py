@@ -12,15 +12,18 @@ What meets passes the length and positional filters and a bound from the number
 of shingles under which two sets meet, then one on the symmetric difference from
 parity signatures, all exact; Jaccard is verified on whole sets made from the
 texts. Only components are
-asked for, so the first round tries pairs with the least set of a posting list
-and with the set before, some n pairs in a group of n near copies; the second
-tries every pair left whose ends the first has not connected. No candidate is
-lost; a passage that is most of many otherwise different documents costs pairs
+asked for. The first round checks the pairs that fingerprints link (``simhash``),
+where they are given; the second tries pairs with the least set of a posting list
+and with the set before, some n pairs in a group of n near copies; the third
+tries every pair left. Neither of these tries a pair whose ends are connected
+already. No candidate is lost; a passage that is most of many otherwise different documents costs pairs
 in the square of their number.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -35,6 +38,7 @@ WIDTH = 5
 SIGNATURE = 1024
 ENTRY = "token long, doc_set long, size int, place int"
 PAIR = "a long, b long"
+Linked = Callable[[DataFrame, str, Scratch], DataFrame]
 MET = "a long, b long, met long, need long"
 
 
@@ -292,8 +296,11 @@ def _similar(batches):
         yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at)], names=["a", "b"])
 
 
-def set_components(keyed: DataFrame, scratch: Scratch) -> DataFrame:
-    """(doc_set, root) of the shingle sets of ``keyed`` (doc_set, text) that are linked to another one."""
+def set_components(keyed: DataFrame, scratch: Scratch, linked: Linked | None = None) -> DataFrame:
+    """(doc_set, root) of the shingle sets of ``keyed`` (doc_set, text) that are linked to another one.
+
+    ``linked`` proposes pairs of sets (a, b) that are checked before all others.
+    """
     spark = keyed.sparkSession
     texts = keyed.select("text")
     table = _combined(fewer_tasks(texts).mapInArrow(_count_shingles, "slice int, payload binary"), "uint32", bitwise=False)
@@ -325,6 +332,11 @@ def set_components(keyed: DataFrame, scratch: Scratch) -> DataFrame:
             scratch.drop(f"{name}-{used}")
         return out
 
+    def apart(pairs: DataFrame) -> DataFrame:
+        """The pairs whose ends aren't connected yet."""
+        root = lambda x: roots.select(F.col("doc_set").alias(x), F.col("root").alias(f"r{x}"))
+        return pairs.join(root("a"), "a", "left").join(root("b"), "b", "left").where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
+
     def stars() -> DataFrame:
         return shared.repartition(parts, "token").sortWithinPartitions("token", "size", "doc_set").mapInArrow(_stars, MET).select("a", "b").distinct()
 
@@ -333,7 +345,13 @@ def set_components(keyed: DataFrame, scratch: Scratch) -> DataFrame:
         met = rooted.repartition(parts, "token").sortWithinPartitions("token", "root", "doc_set").mapInArrow(_crossing, MET)
         return met.groupBy("a", "b").agg(F.sum("met").alias("met"), F.max("need").alias("need")).where("met >= need").select("a", "b")
 
-    links = verified("stars", stars())
+    if linked is None:
+        links = verified("stars", stars())
+    else:
+        links = verified("prints", linked(keyed, "doc_set", scratch))
+        roots = scratch.table("print-roots", components(links, scratch, "cc-prints").withColumnRenamed("node", "doc_set"))
+        scratch.release()
+        links = links.union(verified("stars", apart(stars())))
     scratch.release()
     roots = scratch.table("roots", components(links, scratch, "cc-stars").withColumnRenamed("node", "doc_set"))
     links = links.union(verified("crossing", crossing()))
@@ -351,18 +369,19 @@ def with_component(docs: DataFrame, scratch_group: str = "shingles") -> DataFram
     return keyed.join(roots, "doc_set", "left").select(F.coalesce("root", "doc_set").alias("root"), "row")
 
 
-def representatives(docs: DataFrame, scratch_group: str = "shingles") -> DataFrame:
+def representatives(docs: DataFrame, scratch_group: str = "shingles", linked: Linked | None = None) -> DataFrame:
     """One row of each component of ``docs`` (doc_id, text, any more columns): that of the least doc_id, null last, then of the least text.
 
     Rows that are alike in both differ by a hash of all columns. Only rows whose
     shingle set has a link or comes more than once (and the few that a bitmap
     takes for such) are grouped, by an aggregate that leaves a row of each
     component to each task before anything is shuffled; all others stay as they are.
+    ``linked``: see ``set_components``.
     """
     spark = session_of(docs)
     scratch = Scratch(spark, scratch_group)
     keyed = scratch.table("keyed", with_set(docs))
-    roots = set_components(keyed.select("doc_set", F.col("row.text").alias("text")), scratch)
+    roots = set_components(keyed.select("doc_set", F.col("row.text").alias("text")), scratch, linked)
     again = keyed.groupBy("doc_set").agg(F.count("*").alias("n")).where("n > 1").select("doc_set")
     bits = _bitmap(spark, again.union(roots.select("doc_set")))
     alone = _among(keyed, bits, wanted=False).select("row")

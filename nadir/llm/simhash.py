@@ -273,6 +273,22 @@ def links(prints: DataFrame, scratch: Scratch, radius: int = 4, hot: int = 1 <<
     return dealt.mapInArrow(_links(radius), "a long, b long").distinct()
 
 
+def linked_keys(texts: DataFrame, key: str, scratch: Scratch, shingle_words: int = 4, radius: int = 4) -> DataFrame:
+    """(a, b), a < b: keys of ``texts`` (key long, text) whose fingerprints link; the pairs span every component, and aren't all of its pairs.
+
+    Keys of one fingerprint are linked to the least of them, and least keys of
+    linked fingerprints to each other. A key may come with several texts.
+    """
+    session_of(texts)
+    prints = scratch.table("prints", fingerprints(texts.select(F.col(key).alias("doc_id"), "text"), shingle_words).distinct())
+    distinct = scratch.table("distinct", prints.groupBy("fingerprint").agg(F.min("doc_id").alias("least")))
+    edges = links(distinct, scratch, radius)
+    same = prints.join(distinct, "fingerprint").select(F.col("least").alias("a"), F.col("doc_id").alias("b"))
+    end = lambda x: distinct.select(F.col("fingerprint").alias(x), F.col("least").alias(f"key_{x}"))
+    across = edges.join(end("a"), "a").join(end("b"), "b").select(F.least("key_a", "key_b").alias("a"), F.greatest("key_a", "key_b").alias("b"))
+    return same.unionAll(across).where("a < b").distinct()
+
+
 def near_duplicates(docs: DataFrame, shingle_words: int = 4, radius: int = 4, scratch_group: str = "simhash") -> DataFrame:
     """(doc_id, fingerprint string, component_id) of every row of ``docs`` (doc_id, text).
 

@@ -278,3 +278,28 @@ def test_sentences_of_one_normal_form(spark):
     df = spark.createDataFrame([(1, "Licensed under the X License. Foo.", "a")], SCHEMA)
     got = licenses.scan(df, ["Licensed under the X License.", "LICENSED under the x license"], [("X", (2,))]).first()
     assert (got["sentence_ids"], got["licences"], got["unmatched"]) == ("1", "X", "")
+
+
+def test_pipeline_near_dedup_checks_the_links_of_fingerprints(spark, tmp_path, monkeypatch):
+    import corpus_pipeline as c
+    from nadir.llm import scratch, shinglesets, simhash
+
+    rng = np.random.default_rng(4)
+    word = lambda: "".join(rng.choice(list("abcdefgh"), size=6))
+    base = [[word() for _ in range(400)] for _ in range(6)]
+    rows = [(k, " ".join(b)) for k, b in enumerate(base)] + [(10 + k, " ".join([*b, word()])) for k, b in enumerate(base)] + [(50, "x y"), (51, "X y"), (52, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    # pairs span the components of op9
+    pairs = [(r["a"], r["b"]) for r in simhash.linked_keys(docs, "doc_id", scratch.Scratch(spark, "test-links")).collect()]
+    label = {i: i for i, _ in rows}
+    for _ in rows:
+        for a, b in pairs:
+            label[a] = label[b] = min(label[a], label[b])
+    assert label == {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(docs).collect()} and len(set(label.values())) < len(rows) - 1
+    # the stage asks for them, and a proposed pair counts only if it is similar
+    asked, found = [], simhash.linked_keys
+    monkeypatch.setattr(simhash, "linked_keys", lambda *a: asked.append(a[1]) or found(*a))
+    assert sorted(r["doc_id"] for r in c.drop_near_duplicates(spark, docs, "").collect()) == [*range(6), 50, 52]
+    assert asked == ["doc_set"]
+    wrong = lambda keyed, key, s: keyed.select(F.min(key).alias("a"), F.max(key).alias("b"))
+    assert shinglesets.representatives(docs, "test-wrong", wrong).count() == 8
