@@ -8,7 +8,7 @@ from nadir.operators import graphs
 from nadir.operators import sampling as S
 from nadir.operators import splits as X
 
-from .catalog import T, lines, query
+from .catalog import T, lines, pair_partitions, query
 
 # customers and parts of one last digit are linked by their orders, and by a few lines across digits
 _LINKS = "SELECT 'c' || (o_custkey % 300) AS a, 'p' || (l_partkey % 100) AS b FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_custkey % 10 = l_partkey % 10 OR (l_linenumber = 7 AND l_partkey % 20 = 1)"
@@ -63,5 +63,5 @@ def incremental_pair_rollup(spark, d):
     rows = lines(spark, d).select("l_orderkey", F.col("l_partkey").cast("long").alias("l_partkey"), F.col("l_suppkey").cast("long").alias("l_suppkey"), "l_returnflag", "l_quantity", "l_linenumber")
     roll = PairRollup(spark, f"{shared_dir(spark)}/nadir-rollup-{uuid.uuid4().hex[:12]}", "l_partkey", "l_suppkey", "l_returnflag", "l_quantity", ["A", "N", "R"], buckets=8)
     for batch in (0, 1, 2, 1):
-        roll.apply(rows.where(F.col("l_orderkey") % 3 == batch), F.col("l_linenumber") == 6, batch)
+        roll.apply(rows.where(F.col("l_orderkey") % 3 == batch), F.col("l_linenumber") == 6, batch, partitions=pair_partitions(spark, d))
     return roll.read().withColumn("total", F.round(F.col("total").cast("double"), 4))

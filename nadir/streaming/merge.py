@@ -18,6 +18,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+#: Rows of a merge that one task gets.
+TASK_ROWS = 400_000
+
+
 class MergeTable:
     """``keys`` make a row's identity, null like a value; ``schema`` is that of the rows."""
 
@@ -70,12 +74,13 @@ class MergeTable:
         """Replace the rows of touched buckets by ``combine`` of them and the batch; false if the batch was merged before.
 
         ``combine`` gets the old rows (``is_new`` false) and the batch's (true) of
-        whole buckets, in one frame, and gives rows of the table's schema whose keys are among theirs.
+        whole buckets, in one frame partitioned by the keys, and gives rows of the table's schema whose keys are among theirs.
         """
         now = self.manifest()
         if batch_id is not None and now["batches"].get(source, -1) >= batch_id:
             return False
         bucket = F.pmod(F.xxhash64(*self.keys), F.lit(self.buckets)).cast("int")
+        least = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
         names = [f.name for f in self.schema.fields]
         batch = batch.select(*names).persist()
         try:
@@ -85,8 +90,11 @@ class MergeTable:
                 old = self._rows(folders[str(b)] for b in touched if str(b) in folders)
                 both = old.withColumn("is_new", F.lit(False)).unionByName(batch.withColumn("is_new", F.lit(True)))
                 new = f"data/{now['version'] + 1:010d}-{uuid.uuid4().hex[:8]}"
-                out = combine(both).select(*names).withColumn("_bucket", bucket)
-                out.repartition(min(len(touched), self.buckets), "_bucket").write.partitionBy("_bucket").option("compression", "zstd").parquet(f"{self.path}/{new}")
+                # partitions follow the rows, so a task's share doesn't; a large bucket is written by several
+                tasks = -(-(old.count() + batch.count()) // TASK_ROWS)
+                files = -(-tasks // len(touched))
+                out = combine(both.repartition(max(least, tasks), *self.keys)).select(*names).withColumn("_bucket", bucket)
+                out.repartition(len(touched) * files, "_bucket", F.pmod(F.hash(*self.keys), F.lit(files))).write.partitionBy("_bucket").option("compression", "zstd").parquet(f"{self.path}/{new}")
                 fs, _ = self._at("")
                 for b in touched:  # a bucket may have lost its last row
                     folder = f"{new}/_bucket={b}"
@@ -150,14 +158,15 @@ class PairRollup:
         schema = T.StructType.fromDDL(f"{a} {key_type}, {b} {key_type}, n long, total decimal(38,4), " + ", ".join(f"n_{t} long" for t in tiers))
         self.table = MergeTable(spark, path, schema, [a, b], buckets)
 
-    def deltas(self, rows: DataFrame, withdrawn: Column) -> DataFrame:
+    def deltas(self, rows: DataFrame, withdrawn: Column, partitions: int | None = None) -> DataFrame:
         sign = F.when(withdrawn, -1).otherwise(1)
         parts = [F.sum(sign).alias("n"), F.sum(F.coalesce(F.col(self.value), F.lit(0)).cast("decimal(18,4)") * sign).cast("decimal(38,4)").alias("total")]
         parts += [F.sum(F.when(F.col(self.tier) == t, sign).otherwise(0)).alias(f"n_{t}") for t in self.tiers]
-        return rows.groupBy(self.a, self.b).agg(*parts)
+        return (rows.repartition(partitions, self.a, self.b) if partitions else rows).groupBy(self.a, self.b).agg(*parts)
 
-    def apply(self, rows: DataFrame, withdrawn: Column, batch_id: int | None = None, source: str = "") -> bool:
-        return self.table.merge(self.deltas(rows, withdrawn), add_up([self.a, self.b], self.sums), batch_id, source)
+    def apply(self, rows: DataFrame, withdrawn: Column, batch_id: int | None = None, source: str = "", partitions: int | None = None) -> bool:
+        """Merge a batch; ``partitions`` is for large ones of pairs that seldom come twice, whose rows are shuffled into so many."""
+        return self.table.merge(self.deltas(rows, withdrawn, partitions), add_up([self.a, self.b], self.sums), batch_id, source)
 
     def read(self) -> DataFrame:
         best = F.coalesce(*(F.when(F.col(f"n_{t}") > 0, t) for t in self.tiers))
