@@ -90,6 +90,11 @@ def study_count(study: Column, null_is_study: bool = True) -> Column:
     return F.countDistinct(F.coalesce(study, F.lit(-1)) if null_is_study else study)
 
 
+def source_count(source: Column | str) -> Column:
+    """Aggregate: distinct sources without null, of which there are few: they are held as a set, so no rows are made for a second distinct count."""
+    return F.size(F.collect_set(source)).cast("long")
+
+
 def fraction(condition: Column) -> Column:
     """Aggregate: share of all rows, those with a null condition included."""
     return F.avg(F.when(condition, 1.0).otherwise(0.0))

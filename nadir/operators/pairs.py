@@ -13,23 +13,24 @@ from .ordering import settled
 
 @dataclass(frozen=True)
 class PairSpec:
-    """What a pair table holds. ``symmetric`` pairs have one kind of end: the lesser comes first, degrees count both ends."""
+    """What a pair table holds. ``symmetric`` pairs have one kind of end: the lesser comes first, degrees count both ends; None: no degrees."""
 
     a: str
     b: str
     measures: dict[str, Column] = field(default_factory=dict)
     symmetric: bool = False
-    degrees: tuple[str, str] = ("a_degree", "b_degree")
+    degrees: tuple[str, str] | None = ("a_degree", "b_degree")
 
 
 def rollup(evidence: DataFrame, spec: PairSpec, partitions: int | None = None) -> DataFrame:
     """A row for each pair with the measures of its evidence and the degree of each end.
 
     Null ends are dropped. Degrees are sums over the pair table, joined back:
-    an end with very many pairs is aggregated in parts. A symmetric pair table is
+    an end with very many pairs is aggregated in parts. The pair table is
     written once, and so are its degrees: where these are few they are broadcast
     to it, and it isn't shuffled again. ``partitions`` is for evidence of pairs that
-    seldom come twice, which are shuffled as they are into so many.
+    seldom come twice, which are shuffled as they are into so many; measures should
+    count distinct values of one column then, as two make rows of each of both.
     """
     rows = evidence.where(F.col(spec.a).isNotNull() & F.col(spec.b).isNotNull())
     if spec.symmetric:
@@ -38,14 +39,29 @@ def rollup(evidence: DataFrame, spec: PairSpec, partitions: int | None = None) -
     if partitions:
         rows = rows.repartition(partitions, spec.a, spec.b)
     pairs = rows.groupBy(spec.a, spec.b).agg(*(c.alias(n) for n, c in spec.measures.items()))
+    if spec.degrees is None:
+        return pairs
+    pairs = settled(pairs)
     if spec.symmetric:
-        pairs = settled(pairs)
         # a pair comes once here
         degree = settled(pairs.select(F.explode(F.array(spec.a, spec.b)).alias("entity")).groupBy("entity").agg(F.count("*").alias("degree")))
         da, db = degree.select(F.col("entity").alias(spec.a), F.col("degree").alias(spec.degrees[0])), degree.select(F.col("entity").alias(spec.b), F.col("degree").alias(spec.degrees[1]))
     else:
-        da, db = pairs.groupBy(spec.a).agg(F.count("*").alias(spec.degrees[0])), pairs.groupBy(spec.b).agg(F.count("*").alias(spec.degrees[1]))
-    return pairs.join(da, spec.a).join(db, spec.b)
+        da, db = (settled(pairs.groupBy(end).agg(F.count("*").alias(name))) for end, name in zip((spec.a, spec.b), spec.degrees, strict=True))
+    return _with_degree(_with_degree(pairs, da, spec.a, partitions), db, spec.b, partitions)
+
+
+#: Degrees up to which they are broadcast to their pairs.
+MOST_BROADCAST = 1 << 17
+
+
+def _with_degree(pairs: DataFrame, degree: DataFrame, end: str, partitions: int | None) -> DataFrame:
+    """Pairs with the degree of an end, which is written; pairs are neither sorted nor held."""
+    if degree.count() <= MOST_BROADCAST:
+        return pairs.join(F.broadcast(degree), end)
+    if partitions:
+        pairs, degree = pairs.repartition(partitions, end), degree.repartition(partitions, end)
+    return pairs.join(degree.hint("shuffle_hash"), end)
 
 
 def two_sided_degree(pairs: DataFrame, a: str, b: str, partitions: int | None = None) -> DataFrame:

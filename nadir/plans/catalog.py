@@ -86,7 +86,7 @@ def lines(spark: SparkSession, d: str) -> DataFrame:
 
 def part_supplier(spark: SparkSession, d: str) -> DataFrame:
     """Distinct pairs with their degrees."""
-    return P.rollup(lines(spark, d), P.PairSpec("l_partkey", "l_suppkey", {"n": F.count("*")}))
+    return P.rollup(lines(spark, d), P.PairSpec("l_partkey", "l_suppkey", {"n": F.count("*")}), pair_partitions(spark, d))
 
 
 PS_SQL = """WITH p AS (SELECT l_partkey, l_suppkey, count(*) AS n FROM lineitem GROUP BY 1, 2),
@@ -103,10 +103,10 @@ EVIDENCE_PAIR = ("l_orderkey", "l_linenumber")
 def pair_rollup_basic(spark, d):
     n = F.col("l_linenumber")
     return P.rollup(lines(spark, d), P.PairSpec("l_partkey", "l_suppkey", {
-        "num_studies": C.study_count(study_column()), "num_sources": F.countDistinct("l_linestatus"), "best_tier": C.best_of(tier_column()),
+        "num_studies": C.study_count(study_column()), "num_sources": C.source_count("l_linestatus"), "best_tier": C.best_of(tier_column()),
         "best_result": C.any_precedence([(n == 1, "hard"), (n == 2, "conditional"), (n == 3, "methodological")], "hypothesis"),
         "earliest_year": F.min(F.year("l_shipdate")), "avg_value": F.round(F.avg("l_quantity"), 6), "min_value": F.min("l_extendedprice"), "max_value": F.max("l_extendedprice"),
-    }))
+    }), pair_partitions(spark, d))
 
 
 @query("""WITH c AS (SELECT l_partkey, l_suppkey, l_linestatus || l_returnflag AS cat, count(*) AS n FROM lineitem GROUP BY 1, 2, 3),
@@ -116,9 +116,9 @@ def pair_rollup_basic(spark, d):
  SELECT p.l_partkey, p.l_suppkey, num_trials, highest_phase, cat AS primary_category FROM p JOIN m ON p.l_partkey = m.l_partkey AND p.l_suppkey = m.l_suppkey AND r = 1""")
 def pair_rollup_mode_phase(spark, d):
     rows = lines(spark, d).join(T(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
-    spec = P.PairSpec("l_partkey", "l_suppkey", {"num_trials": C.study_count(study_column(), null_is_study=False), "highest_phase": C.highest_of(F.col("o_orderpriority"), ("3-MEDIUM", "2-HIGH", "1-URGENT"))})
+    spec = P.PairSpec("l_partkey", "l_suppkey", {"num_trials": C.study_count(study_column(), null_is_study=False), "highest_phase": C.highest_of(F.col("o_orderpriority"), ("3-MEDIUM", "2-HIGH", "1-URGENT"))}, degrees=None)
     mode = P.mode_per_group(lines(spark, d).withColumn("cat", F.concat("l_linestatus", "l_returnflag")), ["l_partkey", "l_suppkey"], "cat", "primary_category")
-    return P.rollup(rows, spec).drop("a_degree", "b_degree").join(mode, ["l_partkey", "l_suppkey"])
+    return P.rollup(rows, spec).join(mode, ["l_partkey", "l_suppkey"])
 
 
 def pair_partitions(spark, d):
@@ -150,8 +150,8 @@ def pair_rollup_symmetric(spark, d):
 
 @query(f"""SELECT l_partkey, l_suppkey, count(DISTINCT l_orderkey) AS num_screens, {BEST_SQL} AS best_tier, min(l_discount) AS min_effect, max(l_discount) AS max_effect, round(avg(l_discount), 6) AS avg_effect FROM lineitem GROUP BY 1, 2""")
 def pair_rollup_effect(spark, d):
-    spec = P.PairSpec("l_partkey", "l_suppkey", {"num_screens": F.countDistinct("l_orderkey"), "best_tier": C.best_of(tier_column(), C.TIERS[:3]), "min_effect": F.min("l_discount"), "max_effect": F.max("l_discount"), "avg_effect": F.round(F.avg("l_discount"), 6)})
-    return P.rollup(lines(spark, d), spec).drop("a_degree", "b_degree")
+    spec = P.PairSpec("l_partkey", "l_suppkey", {"num_screens": F.countDistinct("l_orderkey"), "best_tier": C.best_of(tier_column(), C.TIERS[:3]), "min_effect": F.min("l_discount"), "max_effect": F.max("l_discount"), "avg_effect": F.round(F.avg("l_discount"), 6)}, degrees=None)
+    return P.rollup(lines(spark, d), spec, pair_partitions(spark, d))
 
 
 @query("""SELECT l_partkey, l_suppkey, count(*) AS num_submissions, count(DISTINCT o_custkey) AS num_submitters, max(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END) AS has_conflict, max(l_tax) AS max_frequency
@@ -159,8 +159,8 @@ def pair_rollup_effect(spark, d):
 def pair_rollup_conflict(spark, d):
     done = T(spark, d, "orders").where("o_orderstatus = 'F'")
     rows = lines(spark, d).join(done, F.col("l_orderkey") == F.col("o_orderkey"), "left")
-    spec = P.PairSpec("l_partkey", "l_suppkey", {"num_submissions": F.count("*"), "num_submitters": F.countDistinct("o_custkey"), "has_conflict": F.max(F.when(F.col("l_returnflag") == "R", 1).otherwise(0)), "max_frequency": F.max("l_tax")})
-    return P.rollup(rows, spec).drop("a_degree", "b_degree")
+    spec = P.PairSpec("l_partkey", "l_suppkey", {"num_submissions": F.count("*"), "num_submitters": F.countDistinct("o_custkey"), "has_conflict": F.max(F.when(F.col("l_returnflag") == "R", 1).otherwise(0)), "max_frequency": F.max("l_tax")}, degrees=None)
+    return P.rollup(rows, spec, pair_partitions(spark, d))
 
 
 _share = lambda k: f"avg(CASE WHEN {k} THEN 1.0 ELSE 0.0 END)"
@@ -173,8 +173,8 @@ CONSENSUS_SQL = f"CASE WHEN {_share(_ANT)} > 0.5 THEN 'antagonistic' WHEN {_shar
 def pair_rollup_synergy(spark, d):
     rows = lines(spark, d).withColumn("z", zip_column()).withColumn("k", C.synergy_class(F.col("z")))
     k = F.col("k")
-    spec = P.PairSpec("l_partkey", "l_suppkey", {"num_measurements": F.count("*"), "avg_zip": F.round(F.avg("z"), 6), "antagonism_fraction": F.round(C.fraction(k.isin("antagonistic", "strongly_antagonistic")), 6), "synergy_fraction": F.round(C.fraction(k.isin("synergistic", "strongly_synergistic")), 6), "consensus_class": C.consensus_class(k)})
-    return P.rollup(rows, spec).drop("a_degree", "b_degree")
+    spec = P.PairSpec("l_partkey", "l_suppkey", {"num_measurements": F.count("*"), "avg_zip": F.round(F.avg("z"), 6), "antagonism_fraction": F.round(C.fraction(k.isin("antagonistic", "strongly_antagonistic")), 6), "synergy_fraction": F.round(C.fraction(k.isin("synergistic", "strongly_synergistic")), 6), "consensus_class": C.consensus_class(k)}, degrees=None)
+    return P.rollup(rows, spec, pair_partitions(spark, d))
 
 
 @query(f"""WITH t AS (SELECT l_partkey, l_suppkey, c_nationkey, round(avg({ZIP_SQL}), 6) AS avg_zip, count(*) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2, 3)
