@@ -48,24 +48,63 @@ def by_difficulty(pool: DataFrame, difficulty: Column, shares: dict[str, int], k
 
 
 def tested_items(pairs: DataFrame, year: str, periods: dict[str, tuple[int | None, int | None, int]], keys: Sequence[str], spread: str, prefer: Column, seed: int = 42) -> DataFrame:
-    """Tested pairs of each period (from, before, number), one to each value of ``spread`` first, preferred rows before the rest."""
+    """Tested pairs of each period (from, before, number), one to each value of ``spread`` first, preferred rows before the rest.
+
+    Up to ``MOST_LIMIT`` rows a period come by limits that every task applies before
+    anything is shuffled. Rows that aren't first of their spread value are looked at
+    only in periods with fewer values than rows wanted.
+    """
     inside = lambda lo, hi: (F.lit(True) if lo is None else F.col(year) >= lo) & (F.lit(True) if hi is None else F.col(year) < hi)
     period = F.coalesce(*(F.when(inside(lo, hi), name) for name, (lo, hi, _) in periods.items()))
     rows = pairs.withColumn("period", period).where(F.col("period").isNotNull())
+    most = max(n for *_, n in periods.values())
+    if most <= MOST_LIMIT:
+        return _tested_by_limits(rows, {k: v[2] for k, v in periods.items()}, most, keys, spread, prefer, seed).withColumn("answer", F.lit("tested"))
     own = Window.partitionBy("period", spread).orderBy(hash_key(seed, *keys), *keys)
     again = (F.row_number().over(own) > 1).cast("int") * 2 + F.when(F.coalesce(prefer, F.lit(False)), 0).otherwise(1)
     rows = rows.withColumn("_c", again)
     counts = rows.groupBy(F.col("period").alias("_p"), F.col("_c").alias("_k")).agg(F.count("*").alias("_n"))  # four rows a period at most
     before = Window.partitionBy("_p").orderBy("_k").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.withColumn("_base", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-    ranked = hash_rank(rows, seed, keys, ["period", "_c"], "_r").join(counts, (F.col("period") == F.col("_p")) & (F.col("_c") == F.col("_k")))
+    ranked = hash_rank(rows, seed, keys, ["period", "_c"], "_r").join(F.broadcast(counts), (F.col("period") == F.col("_p")) & (F.col("_c") == F.col("_k")))
     wanted = F.coalesce(*(F.when(F.col("period") == k, v[2]) for k, v in periods.items()))
     return ranked.where(F.col("_base") + F.col("_r") <= wanted).drop("_c", "_p", "_k", "_n", "_base", "_r").withColumn("answer", F.lit("tested"))
 
 
-def well_known(pairs: DataFrame, entity: str, degree: str, most: int) -> DataFrame:
-    """The ``most`` entities of the greatest degree (ties to the least), a top-k."""
-    top = pairs.groupBy(entity).agg(F.max(degree).alias("_d"))
+#: Rows a group up to which Spark limits a ranked group in every task (``spark.sql.optimizer.windowGroupLimitThreshold``), over two.
+MOST_LIMIT = 500
+
+
+def _tested_by_limits(rows: DataFrame, wanted: dict[str, int], most: int, keys: Sequence[str], spread: str, prefer: Column, seed: int) -> DataFrame:
+    names = [c for c in rows.columns]
+    rows = rows.withColumns({"_h": hash_key(seed, *keys), "_c": F.when(F.coalesce(prefer, F.lit(False)), 0).otherwise(1)})
+
+    def top(df: DataFrame, by: Sequence[str], order: Sequence[str], n: int) -> DataFrame:
+        return df.withColumn("_r", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("_r") <= n)
+
+    firsts = settled(top(rows, ["period", spread], ["_h", *keys], 1).drop("_r"))
+    had = dict(firsts.groupBy("period").count().collect())  # a row for each period
+    limit = lambda ns: F.coalesce(*(F.when(F.col("period") == k, n) for k, n in ns.items()))
+    out = top(firsts, ["period"], ["_c", "_h", *keys], most).where(F.col("_r") <= limit(wanted))
+    lacking = {k: n - had[k] for k, n in wanted.items() if 0 < had.get(k, 0) < n}
+    if lacking:
+        # fewer than ``most`` of these are firsts; one row of each is taken out
+        best = top(rows.where(F.col("period").isin(*lacking)), ["period"], ["_c", "_h", *keys], 2 * most).drop("_r")
+        own = ["period", spread, *keys]
+        twice = best.withColumn("_k", F.row_number().over(Window.partitionBy(*own).orderBy("_c")))
+        marked = firsts.select(*(F.col(c).alias(f"_j{i}") for i, c in enumerate(own)), F.lit(1).alias("_k"))
+        others = twice.join(marked, [*(F.col(c).eqNullSafe(F.col(f"_j{i}")) for i, c in enumerate(own)), twice["_k"] == marked["_k"]], "left_anti")
+        out = out.unionByName(top(others.drop("_k"), ["period"], ["_c", "_h", *keys], most).where(F.col("_r") <= limit(lacking)))
+    return out.select(*names)
+
+
+def _degree(pairs: DataFrame, entity: str, degree: str | None) -> DataFrame:
+    return pairs.groupBy(entity).agg((F.max(degree) if degree else F.count("*")).alias("_d"))
+
+
+def well_known(pairs: DataFrame, entity: str, degree: str | None, most: int) -> DataFrame:
+    """The ``most`` entities of the greatest degree (ties to the least), a top-k. Without a column of degrees they are numbers of pairs."""
+    top = _degree(pairs, entity, degree)
     return top.orderBy(F.desc("_d"), entity).limit(most).select(entity)
 
 

@@ -399,7 +399,7 @@ def difficulty_selection(spark, d):
 @query(f"""WITH a AS (SELECT l_orderkey, l_linenumber, l_suppkey, CASE WHEN year(l_shipdate) < 1995 THEN 'early' WHEN year(l_shipdate) >= 1996 THEN 'late' END AS period, CASE WHEN l_returnflag = 'R' THEN 0 ELSE 1 END AS p FROM lineitem), c AS (SELECT *, 2 * CASE WHEN row_number() OVER (PARTITION BY period, l_suppkey ORDER BY {_H}, l_orderkey, l_linenumber) > 1 THEN 1 ELSE 0 END + p AS c FROM a WHERE period IS NOT NULL),
  r AS (SELECT *, row_number() OVER (PARTITION BY period ORDER BY c, {_H}, l_orderkey, l_linenumber) AS r FROM c) SELECT l_orderkey, l_linenumber, period, 'tested' AS answer FROM r WHERE r <= CASE period WHEN 'early' THEN 60 ELSE 40 END""")
 def tested_items(spark, d):
-    rows = lines(spark, d).withColumn("y", F.year("l_shipdate"))
+    rows = lines(spark, d).select(*KEY, "l_suppkey", "l_returnflag", F.year("l_shipdate").alias("y"))
     return B.tested_items(rows, "y", {"early": (None, 1995, 60), "late": (1996, None, 40)}, KEY, "l_suppkey", F.col("l_returnflag") == "R").select(*KEY, "period", "answer")
 
 
