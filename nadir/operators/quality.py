@@ -117,10 +117,18 @@ def overlap_by_class(pairs: DataFrame, shared: Column, klass: str, measures: dic
     return pairs.where(F.col(klass).isNotNull()).groupBy(F.when(F.coalesce(shared, F.lit(False)), "shared").otherwise("no_shared").alias("overlap"), klass).agg(F.count("*").alias("n"), *(c.alias(k) for k, c in measures.items()))
 
 
-def edge_list(links: DataFrame, a: str, b: str, names: DataFrame, key: str, name: str) -> DataFrame:
-    """Undirected edges (low, high) of named nodes from links of keys: both ends must be named, loops and repeats go."""
+def edge_list(links: DataFrame, a: str, b: str, names: DataFrame, key: str, name: str, partitions: int | None = None) -> DataFrame:
+    """Undirected edges (low, high) of named nodes from links of keys: both ends must be named, loops and repeats go.
+
+    Links of nodes with a name are made distinct by their keys before they are named. ``partitions`` is for
+    links that seldom come twice in a task, which are shuffled as they are into so many.
+    """
     ends = [names.select(F.col(key).alias(c), F.col(name).alias(f"_{c}")) for c in (a, b)]
-    joined = links.select(a, b).join(ends[0], a).join(ends[1], b).where(F.col(f"_{a}") != F.col(f"_{b}"))
+    for c in (a, b):
+        links = links.join(names.select(F.col(key).alias(c)), c, "left_semi")
+    once = links.select(F.least(a, b).alias(a), F.greatest(a, b).alias(b))
+    once = (once.repartition(partitions, a, b) if partitions else once).distinct()
+    joined = once.join(ends[0], a).join(ends[1], b).where(F.col(f"_{a}") != F.col(f"_{b}"))
     return joined.select(F.least(f"_{a}", f"_{b}").alias("low"), F.greatest(f"_{a}", f"_{b}").alias("high")).distinct()
 
 

@@ -634,4 +634,4 @@ def overlap_by_class(spark, d):
 
 @query(f"WITH {SUP_SQL} SELECT DISTINCT least(a.s_name, b.s_name) AS low, greatest(a.s_name, b.s_name) AS high FROM sp JOIN supplier a ON s1 = a.s_suppkey JOIN supplier b ON s2 = b.s_suppkey WHERE a.s_name <> b.s_name AND a.s_nationkey < 20 AND b.s_nationkey < 20")
 def edge_list(spark, d):
-    return Q.edge_list(supplier_pairs(spark, d), "s1", "s2", T(spark, d, "supplier").where("s_nationkey < 20"), "s_suppkey", "s_name")
+    return Q.edge_list(supplier_pairs(spark, d), "s1", "s2", T(spark, d, "supplier").where("s_nationkey < 20"), "s_suppkey", "s_name", pair_partitions(spark, d))
