@@ -144,18 +144,19 @@ def _refined(edges: DataFrame, nodes: DataFrame, parts: int, least: int, most: i
     return nodes
 
 
-def balanced_parts(links: DataFrame, a: str, b: str, parts: int = 10, slack: float = 0.04, levels: int = 3, rounds: int = 4, refine: int = 4) -> DataFrame:
+def balanced_parts(links: DataFrame, a: str, b: str, parts: int = 10, slack: float = 0.04, levels: int = 3, rounds: int = 4, refine: int = 4, weight: str | None = None) -> DataFrame:
     """node, part (0 to ``parts`` - 1) of every end of ``links``, by the steps above.
 
     Both ends are of one kind and type. Part sizes stay within ``slack`` of the
     mean, or within one node where that is less. Links from a node to itself and
     with a null end count for nothing, though the other end of a link is a
-    node; repeated links weigh as often as they come.
+    node; repeated links weigh as often as they come, or by the whole numbers of ``weight``.
     """
     steps = Steps(links.sparkSession, "graph")
-    plain = links.select(F.col(a).alias("a"), F.col(b).alias("b"))
+    # links are read once, and most repeats go before anything is shuffled
+    plain = steps.table(links.groupBy(F.col(a).alias("a"), F.col(b).alias("b")).agg((F.sum(weight) if weight else F.count("*")).cast("long").alias("e")))
     ends = steps.table(plain.select(F.explode(F.array("a", "b")).alias("node")).where("node is not null").distinct().withColumn("w", F.lit(1).cast("long")))
-    one_way = plain.where("a <> b").groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.count("*").alias("e"))
+    one_way = plain.where("a <> b").groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.sum("e").alias("e"))
     edges = steps.table(one_way.unionAll(one_way.select(F.col("b"), F.col("a"), "e")))
     total = ends.count()
     if not total:

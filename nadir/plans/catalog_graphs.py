@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from nadir.operators import graphs
 from nadir.operators import sampling as S
 from nadir.operators import splits as X
+from nadir.operators.ordering import settled
 
 from .catalog import T, lines, pair_partitions, query
 
@@ -22,15 +23,16 @@ def links(spark, d):
 @query(f"WITH l AS ({_LINKS}) SELECT count(*) AS n_rows, (SELECT count(DISTINCT x) FROM (SELECT a AS x FROM l UNION ALL SELECT b FROM l)) AS n_nodes, CAST(0 AS BIGINT) AS nodes_in_two_folds, true AS parts_within_five_percent, true AS leaves_out_a_third_of_the_hash FROM l")
 def split_cold_both_graph(spark, d):
     """Parts of the graph as folds, beside parts by hash."""
-    rows = links(spark, d)
-    where = graphs.balanced_parts(rows, "a", "b")
+    rows = settled(links(spark, d).groupBy("a", "b").agg(F.count("*").alias("n")))  # a row for each link, however often it comes
+    where = graphs.balanced_parts(rows, "a", "b", weight="n")
     fold = F.element_at(F.array(*map(F.lit, graphs.part_folds(10, 42, X.DEFAULT))), F.col("part") + 1)
     side = lambda key: where.select(F.col("node").alias(key), fold.alias(f"f{key}"))
     kept = rows.join(side("a"), "a").join(side("b"), "b").withColumn("fold", F.when(F.col("fa") == F.col("fb"), F.col("fa")))
     crossing = kept.where("fold is not null").select(F.explode(F.array("a", "b")).alias("x"), "fold").groupBy("x").agg(F.countDistinct("fold").alias("n")).where("n > 1").agg(F.count("*").alias("nodes_in_two_folds"))
     sizes = where.groupBy("part").count().agg(F.sum("count").alias("n_nodes"), ((F.max("count") <= 1.05 * F.sum("count") / 10) & (F.min("count") >= 0.95 * F.sum("count") / 10)).alias("parts_within_five_percent"))
-    by_hash = X.partition_both(rows, "a", "b").agg(F.count_if(F.col("fold").isNull()).alias("hashed"))
-    left = kept.agg(F.count("*").alias("n_rows"), F.count_if(F.col("fold").isNull()).alias("out"))
+    unplaced = F.coalesce(F.sum(F.when(F.col("fold").isNull(), F.col("n"))), F.lit(0))
+    by_hash = X.partition_both(rows, "a", "b").agg(unplaced.alias("hashed"))
+    left = kept.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_rows"), unplaced.alias("out"))
     one = left.crossJoin(by_hash).crossJoin(sizes).crossJoin(crossing)  # single rows
     return one.select("n_rows", "n_nodes", "nodes_in_two_folds", "parts_within_five_percent", (F.col("out") * 3 <= F.col("hashed")).alias("leaves_out_a_third_of_the_hash"))
 
