@@ -108,13 +108,20 @@ def well_known(pairs: DataFrame, entity: str, degree: str | None, most: int) ->
     return top.orderBy(F.desc("_d"), entity).limit(most).select(entity)
 
 
-def untested_items(pairs: DataFrame, a: str, b: str, degrees: tuple[str, str], known: DataFrame, n_trick: int, n_obvious: int, top: tuple[int, int] = (2000, 500), few: int = 10, seed: int = 42) -> DataFrame:
-    """Pairs that nobody tested: ``trick`` of two well-known ends, ``obvious`` of a well-known and a little-studied one."""
-    left = well_known(pairs, a, degrees[0], top[0])
-    right = well_known(pairs, b, degrees[1], top[1])
-    little = pairs.groupBy(b).agg(F.max(degrees[1]).alias("_d")).where(F.col("_d") <= few).select(b)
+def untested_items(pairs: DataFrame, a: str, b: str, degrees: tuple[str, str] | None, known: DataFrame, n_trick: int, n_obvious: int, top: tuple[int, int] = (2000, 500), few: int = 10, seed: int = 42, known_once: bool = False) -> DataFrame:
+    """Pairs that nobody tested: ``trick`` of two well-known ends, ``obvious`` of a well-known and a little-studied one.
+
+    ``degrees`` None: pairs are distinct, and an end's degree is the number of its
+    pairs. ``known_once``: ``known`` is distinct and written.
+    """
+    da, db = degrees or (None, None)
+    if not known_once and n_trick + n_obvious > 0:
+        known = settled(known.select(a, b).distinct())
+    left = settled(well_known(pairs, a, da, top[0]))
+    right = well_known(pairs, b, db, top[1])
+    little = _degree(pairs, b, db).where(F.col("_d") <= few).select(b)
     kinds = (("trick", right, n_trick, seed), ("obvious", little, n_obvious, seed + 1))
-    parts = [untested_pairs(left, side, known, n, s).withColumn("kind", F.lit(kind)) for kind, side, n, s in kinds]
+    parts = [untested_pairs(left, settled(side) if n > 0 else side, known, n, s, known_once=True).withColumn("kind", F.lit(kind)) for kind, side, n, s in kinds]
     return parts[0].unionByName(parts[1]).withColumn("answer", F.lit("untested"))
 
 

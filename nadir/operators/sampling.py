@@ -34,19 +34,23 @@ def capped(df: DataFrame, entity: str, keys: Sequence[str], most: int, seed: int
     return df.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= most).drop("_r")
 
 
-def untested_pairs(a_side: DataFrame, b_side: DataFrame, tested: DataFrame, n: int, seed: int = 42, oversample: float = 2.0) -> DataFrame:
+def untested_pairs(a_side: DataFrame, b_side: DataFrame, tested: DataFrame, n: int, seed: int = 42, oversample: float = 2.0, known_once: bool = False) -> DataFrame:
     """``n`` pairs of the two sides' keys that aren't tested, in seeded order of the pair.
 
     The cross product is never made: candidate places of it are drawn by hash
     from its row numbers in ever larger blocks until enough untested pairs are
     found. The sides are frames of one key column; places are 0-based ranks.
+    ``known_once``: ``tested`` is distinct and written already. Of it only what is
+    among the candidates is shuffled, as long as these are few.
     """
     a, b = a_side.columns[0], b_side.columns[0]
+    if n <= 0:
+        return a_side.crossJoin(b_side).limit(0)
     spark = a_side.sparkSession
     left = settled(hash_rank(a_side.distinct(), seed, [a], name="_i").withColumn("_i", F.col("_i") - 1))
     right = settled(hash_rank(b_side.distinct(), seed + 1, [b], name="_j").withColumn("_j", F.col("_j") - 1))
     na, nb = left.count(), right.count()
-    known = settled(tested.select(a, b).distinct())
+    known = tested.select(a, b) if known_once else settled(tested.select(a, b).distinct())
     room = na * nb
     want = min(room, int(n * oversample) + known.count() * n // max(1, room) + 16)
     found = None
@@ -56,8 +60,8 @@ def untested_pairs(a_side: DataFrame, b_side: DataFrame, tested: DataFrame, n: i
         places = spark.range(want).select((F.col("id").cast("decimal(38,0)") * F.lit(step) + F.lit(seed)).alias("_x"))
         place = F.col("_x") % F.lit(room)
         cells = places.select(F.floor(place / nb).cast("long").alias("_i"), (place % nb).cast("long").alias("_j"))
-        pairs = cells.join(left, "_i").join(right, "_j").select(a, b).join(known, [a, b], "left_anti")
-        found = settled(pairs, found)
+        pairs = settled(cells.join(left, "_i").join(right, "_j").select(a, b))
+        found = settled(pairs.join(known.join(pairs, [a, b], "left_semi"), [a, b], "left_anti"), found)
         if want >= room or found.count() >= n:
             return first_n(found, n, seed, [a, b])
         want = min(room, want * 2)

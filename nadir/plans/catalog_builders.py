@@ -12,6 +12,7 @@ from nadir.operators import quality as Q
 from nadir.operators import sampling as S
 from nadir.operators import splits as X
 from nadir.operators import tiers as K
+from nadir.operators.ordering import settled
 
 from .catalog import ANSWERS_SQL, CONSENSUS_SQL, PS_SQL, SUP_SQL, SYN_SQL, TIER_SQL, ZIP_SQL, T, answers, cut_sql, lines, linked_suppliers, md5_sql, pair_partitions, part_supplier, query, supplier_pairs, tier_column, zip_column
 
@@ -418,6 +419,12 @@ def uniform_negatives(spark, d):
     return S.untested_pairs(a, b, lines(spark, d), 500)
 
 
+def known_pairs(spark, d):
+    """Distinct pairs, written, and those of them without a null end."""
+    once = settled(lines(spark, d).select("l_partkey", "l_suppkey").repartition(pair_partitions(spark, d), "l_partkey", "l_suppkey").distinct())
+    return once, once.where("l_partkey is not null and l_suppkey is not null")
+
+
 _TOP = f"(WITH pp AS (SELECT l_partkey, l_suppkey FROM lineitem GROUP BY 1, 2) SELECT l_partkey FROM pp GROUP BY 1 ORDER BY count(*) DESC, l_partkey LIMIT 100)"
 _TOPS = f"(WITH pp AS (SELECT l_partkey, l_suppkey FROM lineitem GROUP BY 1, 2) SELECT l_suppkey FROM pp GROUP BY 1 ORDER BY count(*) DESC, l_suppkey LIMIT 20)"
 
@@ -425,7 +432,8 @@ _TOPS = f"(WITH pp AS (SELECT l_partkey, l_suppkey FROM lineitem GROUP BY 1, 2)
 @query(untested_sql(_TOP, _TOPS, "lineitem", 40, 42, ("l_partkey", "l_suppkey")).replace("SELECT l_partkey, l_suppkey FROM c, f", "SELECT l_partkey, l_suppkey, 'trick' AS kind, 'untested' AS answer FROM c, f"))
 def untested_trick_items(spark, d):
     """Untested pairs of two well-known ends (no end is little studied here, so ``obvious`` gives none)."""
-    return B.untested_items(part_supplier(spark, d), "l_partkey", "l_suppkey", ("a_degree", "b_degree"), lines(spark, d), 40, 0, (100, 20), -1).select("l_partkey", "l_suppkey", "kind", "answer")
+    known, pairs = known_pairs(spark, d)
+    return B.untested_items(pairs, "l_partkey", "l_suppkey", None, known, 40, 0, (100, 20), -1, known_once=True).select("l_partkey", "l_suppkey", "kind", "answer")
 
 
 _LITTLE = "(WITH pp AS (SELECT l_partkey, l_suppkey FROM lineitem GROUP BY 1, 2) SELECT l_partkey FROM pp GROUP BY 1 HAVING count(*) <= 22)"
@@ -434,7 +442,8 @@ _LITTLE = "(WITH pp AS (SELECT l_partkey, l_suppkey FROM lineitem GROUP BY 1, 2)
 @query(untested_sql(_TOPS, _LITTLE, "lineitem", 40, 43, ("l_suppkey", "l_partkey")).replace("SELECT l_suppkey, l_partkey FROM c, f", "SELECT l_suppkey, l_partkey, 'obvious' AS kind, 'untested' AS answer FROM c, f"))
 def untested_obvious_items(spark, d):
     """Untested pairs of a well-known supplier and a part of few suppliers."""
-    out = B.untested_items(part_supplier(spark, d), "l_suppkey", "l_partkey", ("b_degree", "a_degree"), lines(spark, d), 0, 40, (20, 1), 22)
+    known, pairs = known_pairs(spark, d)
+    out = B.untested_items(pairs, "l_suppkey", "l_partkey", None, known, 0, 40, (20, 1), 22, known_once=True)
     return out.select("l_suppkey", "l_partkey", "kind", "answer")
 
 
