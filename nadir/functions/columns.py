@@ -1,12 +1,16 @@
-"""Column expressions: ordered enums, tiers, classes, parsers, units. All stay in the JVM."""
+"""Column expressions: ordered enums, tiers, classes, parsers, units. All but ``info_map`` stay in the JVM."""
 
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Orders and thresholds that results depend on.
 TIERS = ("gold", "silver", "bronze", "copper")
@@ -264,22 +268,37 @@ def bound(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), use)[0]
 
 
-def last_of_each(entries: Column) -> Column:
-    """A map from an array of structs (k, v) with the last value of each key.
-
-    Structs are named ones, as aliases inside an expression are lost where a generator stands beside it.
-    """
-    placed = F.array_sort(F.transform(entries, lambda e, i: F.named_struct(F.lit("k"), e["k"], F.lit("i"), i, F.lit("v"), e["v"])))
-    is_last = lambda s: lambda e, i: F.coalesce(F.get(s, i + 1)["k"] != e["k"], F.lit(True))
-    return F.map_from_entries(F.transform(bound(placed, lambda s: F.filter(s, is_last(s))), lambda e: F.named_struct(F.lit("k"), e["k"], F.lit("v"), e["v"])))
+@F.arrow_udf(T.MapType(T.BinaryType(), T.BinaryType()))
+def _last_values(texts: pa.Array) -> pa.Array:
+    """Bytes as maps of their items, by one sort of (text, key) a slice of texts, which keeps the items' order within a key."""
+    maps = []
+    for start in range(0, len(texts) or 1, 256):
+        part = texts[start : start + 256]
+        split = pc.split_pattern(part, b";")
+        text, items = pc.list_parent_indices(split), pc.list_flatten(split)
+        some = pc.not_equal(items, b"")
+        text, halves = text.filter(some).to_numpy(), pc.split_pattern(items.filter(some), b"=", max_splits=1)
+        n = pc.list_value_length(halves).to_numpy(zero_copy_only=False)
+        first = np.cumsum(n) - n
+        keys = pc.list_flatten(halves).take(pa.array(first)).dictionary_encode()
+        rank = np.empty(len(keys.dictionary), np.int64)
+        rank[pc.array_sort_indices(keys.dictionary).to_numpy()] = np.arange(len(rank))
+        group = text * len(rank) + rank[keys.indices.to_numpy()]
+        order = np.argsort(group, kind="stable")
+        last = order[np.diff(group[order], append=-1) != 0]
+        values = pc.list_flatten(halves).take(pa.array(first[last] + 1, mask=n[last] == 1))
+        ends = np.cumsum(np.bincount(text[last], minlength=len(part)))
+        offsets = pa.array(np.append(0, ends), pa.int32(), mask=np.append(part.is_null().to_numpy(zero_copy_only=False), False))
+        maps.append(pa.MapArray.from_arrays(offsets, keys.take(pa.array(last)).dictionary_decode(), values))
+    return pa.concat_arrays(maps)
 
 
 def info_map(text: Column) -> Column:
-    """``k=v;k2=v2`` as a map, a repeated key with its last value; a key without a value maps to null, empty items go."""
-    items = F.filter(F.split(text, ";"), lambda x: x != "")
-    key = lambda x: F.substring_index(x, "=", 1)
-    entry = lambda x: F.named_struct(F.lit("k"), key(x), F.lit("v"), F.when(F.contains(x, F.lit("=")), F.substr(x, F.length(key(x)) + 2)))
-    return last_of_each(F.transform(items, entry))
+    """``k=v;k2=v2`` as a map, a repeated key with its last value; a key without a value maps to null, empty items go.
+
+    In Arrow batches, as Catalyst's array functions are interpreted for every item; so no lambda's variable can be the text.
+    """
+    return _last_values(text.cast("binary")).cast("map<string,string>")
 
 
 def one_hot(value: Column, categories: Sequence[str]) -> Column:
