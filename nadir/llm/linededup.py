@@ -40,6 +40,9 @@ SLICES = 64
 BLOOM_BITS = 26
 #: Entries of posting lists that a task holds on average.
 ENTRIES_PER_TASK = 1_000_000
+#: Pairs of a posting list that are compared at once, and those held before only each line's best stay.
+PAIRS_AT_ONCE = 1 << 18
+PAIRS_HELD = 1 << 19
 #: Bytes of text that share a dictionary.
 STRETCH_BYTES = 8 << 20
 #: Lines of more words have signatures of 128 bits, others of 64.
@@ -329,86 +332,125 @@ def _runs_of(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return first, np.diff(np.append(first, len(key)))
 
 
-def candidates(entries: list[np.ndarray], witnesses: int, asked=None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(later, earlier, more, crowded) as rows of ``entries``, which are sorted by token.
+def listed(entries: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of ``entries``, which are sorted by token, in lists of two or more, and the number of each one's list.
 
-    A later line gets its ``witnesses`` best candidates, and ``more`` if it has
-    others; ``crowded`` are the rows among which it has them. ``asked``
-    (h1, h2): gives all candidates, of the later lines for which it is true.
+    A list has the first line of each set. Rows are in order of list and size.
     """
-    token, h1, p1, p2, doc, number, size_all, place_all = entries
-    none = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool), np.zeros(0, np.int64))
+    token, h1, p1, p2, doc, number, size, _ = entries
     first, length = _runs_of(token)
     at = np.flatnonzero(np.repeat(length > 1, length))
-    if not len(at):
-        return none
     run = np.repeat(np.arange(int((length > 1).sum())), length[length > 1])
-    # the first line of each set in a run
+    if not len(at):
+        return at, run
     order = np.lexsort((number[at], doc[at], h1[at], run))
     at, run = at[order], run[order]
     new = np.concatenate([[True], (run[1:] != run[:-1]) | (h1[at][1:] != h1[at][:-1]) | (p1[at][1:] != p1[at][:-1]) | (p2[at][1:] != p2[at][:-1])])
     at, run = at[new], run[new]
-    order = np.lexsort((size_all[at], run))
-    at, run = at[order], run[order]
+    order = np.lexsort((size[at], run))
+    return at[order], run[order]
+
+
+def meetings(entries: list[np.ndarray], at: np.ndarray, run: np.ndarray):
+    """(later, earlier, room) of the pairs of ``listed`` rows that pass the filters, as places in ``at``.
+
+    They come in arrays of PAIRS_AT_ONCE or little more, so a list's pairs are never held together.
+    """
+    if not len(at):
+        return
+    _, h1, p1, p2, doc, number, size, place = (c[at] for c in entries)
     n = len(at)
-    size, place = size_all[at], place_all[at]
-    q1, q2 = p1[at], p2[at]
     # sizes grow in a run, so partners of up to 5/4 the size follow at once
     wide = int(size.max()) * 2 + 2
     reach = np.searchsorted(run * wide + size, run * wide + (5 * size) // 4, side="right")
     # the shared word must be early enough in the smaller line for enough to follow
     own = np.flatnonzero((reach > np.arange(n) + 1) & (place <= size - (8 * size + 8) // 9))
-    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    turn = np.empty(n, np.int64)
+    turn[np.lexsort((p2, p1, h1, number, doc))] = np.arange(n)
 
-    def keep(a, b):
+    def passed(a, b):
         """Those of the pairs (a, b) that pass the filters."""
         sa, sb = size[a], size[b]
         least = (4 * (sa + sb) + 8) // 9  # words that they must share
         # signatures of 128 bits fold into those of 64; both bound the symmetric difference from below
         long = (sa > SHORT) & (sb > SHORT)
-        apart = np.where(long, np.bitwise_count(q1[a] ^ q1[b]).astype(np.int64) + np.bitwise_count(q2[a] ^ q2[b]), np.bitwise_count(q1[a] ^ q2[a] ^ q1[b] ^ q2[b]))
+        apart = np.where(long, np.bitwise_count(p1[a] ^ p1[b]).astype(np.int64) + np.bitwise_count(p2[a] ^ p2[b]), np.bitwise_count(p1[a] ^ p2[a] ^ p1[b] ^ p2[b]))
         ok = np.flatnonzero((apart <= sa + sb - 2 * least) & (np.minimum(sa - place[a], sb - place[b]) >= least))
-        if len(ok):
-            found.append((a[ok], b[ok], (apart - (sa + sb - 2 * least))[ok]))
+        a, b, room = a[ok], b[ok], (apart - (sa + sb - 2 * least))[ok]
+        swap = turn[b] < turn[a]
+        return np.where(swap, a, b), np.where(swap, b, a), room
 
     step = 1
     while len(own) * 8 >= n:  # all lines with one partner each, while most have one
-        keep(own, own + step)
+        for lo in range(0, len(own), PAIRS_AT_ONCE):
+            yield passed(own[lo : lo + PAIRS_AT_ONCE], own[lo : lo + PAIRS_AT_ONCE] + step)
         step += 1
         own = own[reach[own] >= own + step + 1]
     for lo in range(0, len(own), 1 << 12):
         some = own[lo : lo + (1 << 12)]
         count = reach[some] - some - step
-        for cut in np.array_split(np.arange(len(some)), max(1, int(count.sum()) >> 20)):
+        for cut in np.split(np.arange(len(some)), np.flatnonzero(np.diff(np.cumsum(count) // PAIRS_AT_ONCE)) + 1):
             c = count[cut]
             x = np.repeat(some[cut], c)
-            keep(x, x + step + np.arange(int(c.sum())) - np.repeat(np.cumsum(c) - c, c))
-    if not found:
-        return none
-    a, b, room = (np.concatenate(x) for x in zip(*found, strict=True))
-    place_of = np.empty(n, np.int64)
-    place_of[np.lexsort((p2[at], p1[at], h1[at], number[at], doc[at]))] = np.arange(n)
-    swap = place_of[b] < place_of[a]
-    x, y = at[np.where(swap, b, a)], at[np.where(swap, a, b)]
-    if asked is not None:
-        wanted = asked(h1[y], p1[y], p2[y])
-        x, y, room = x[wanted], y[wanted], room[wanted]
-        if not len(x):
-            return none
-    # of a line's candidates, those come first whose signatures leave most room: they most likely hold
-    order = np.lexsort((h1[x], number[x], doc[x], room, p2[y], p1[y], h1[y]))
-    x, y = x[order], y[order]
-    if asked is not None:
-        return y, x, np.zeros(len(x), bool), none[3]
-    group = np.concatenate([[True], (h1[y][1:] != h1[y][:-1]) | (p1[y][1:] != p1[y][:-1]) | (p2[y][1:] != p2[y][:-1])])
-    new = group | np.concatenate([[True], h1[x][1:] != h1[x][:-1]])  # under another word they met already
-    number_of = np.cumsum(group) - 1
-    nth = np.cumsum(new) - 1
-    nth -= nth[np.flatnonzero(group)][number_of]
-    more = (np.bincount(number_of, weights=new) > witnesses)[number_of]
-    few = new & (nth < witnesses)
-    crowded = np.unique(np.concatenate([x[more], y[more]]))
-    return y[few], x[few], more[few], crowded
+            yield passed(x, x + step + np.arange(int(c.sum())) - np.repeat(np.cumsum(c) - c, c))
+
+
+def candidates(entries: list[np.ndarray], witnesses: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(later, earlier, more, crowded) as rows of ``entries``, which are sorted by token.
+
+    A later line gets its ``witnesses`` best candidates, and ``more`` if it has
+    others; ``crowded`` are the rows among which it has them. A line never
+    holds more than its best ones, so memory follows the entries and not the pairs.
+    """
+    at, run = listed(entries)
+    n = len(at)
+    if not n:
+        return at, at, np.zeros(0, bool), at
+    _, h1, p1, p2, doc, number, _, _ = entries
+    order = np.lexsort((p2[at], p1[at], h1[at]))
+    set_of = np.empty(n, np.int64)
+    set_of[order] = np.cumsum(np.concatenate([[0], np.any([c[at[order]][1:] != c[at[order]][:-1] for c in (h1, p1, p2)], axis=0)]))
+    turn = np.empty(n, np.int64)
+    turn[np.lexsort((set_of, number[at], doc[at]))] = np.arange(n)
+    # the room of a line's best candidate that is one too many; nothing worse need be held
+    enough = np.full(n, 1 << 62)
+    crowd = np.zeros(n, bool)
+
+    def best(held):
+        """Of a line's candidates those whose signatures leave most room, which most likely hold: one more than it gets."""
+        y, x, room = (np.concatenate(c) for c in zip(*held, strict=True))
+        order = np.lexsort((turn[x], room, set_of[y]))
+        y, x, room = y[order], x[order], room[order]
+        line, other = set_of[y], set_of[x]
+        group = np.concatenate([[True], line[1:] != line[:-1]]) if len(y) else np.zeros(0, bool)
+        new = group.copy()
+        new[1:] |= other[1:] != other[:-1]  # under another word they met already
+        nth = np.cumsum(new) - 1
+        nth -= nth[np.flatnonzero(group)][np.cumsum(group) - 1]
+        many = new & (nth > witnesses)
+        crowd[y[many]] = crowd[x[many]] = True
+        last = new & (nth == witnesses)
+        enough[line[last]] = room[last]
+        kept = new & (nth <= witnesses)
+        return (y[kept], x[kept], room[kept]), nth[kept] < witnesses
+
+    none = np.zeros(0, np.int64)
+    held, n_held, most = [(none, none, none)], 0, PAIRS_HELD
+    for y, x, room in meetings(entries, at, run):
+        late = room >= enough[set_of[y]]
+        if late.any():
+            crowd[y[late]] = crowd[x[late]] = True
+            y, x, room = y[~late], x[~late], room[~late]
+        held.append((y, x, room))
+        n_held += len(y)
+        if n_held > most:
+            held = [best(held)[0]]
+            n_held = len(held[0][0])
+            most = 2 * n_held + PAIRS_HELD
+    (y, x, _), few = best(held)
+    more = enough[set_of[y]] < 1 << 62
+    crowd[y[more]] = crowd[x[more]] = True
+    return at[y[few]], at[x[few]], more[few], np.sort(at[crowd])
 
 
 def _pairs(columns, later, earlier, more, block=None):
@@ -455,14 +497,16 @@ def _second_round(bits):
     """All candidates of the lines asked for in stored parts of posting lists."""
 
     def run(batches):
-        def asked(h1, p1, p2):
-            return _in_bloom(bits.value, h1.view(np.int64))
-
         for batch in W.trimmed(batches):
             for block in batch.column(0).to_pylist():
                 columns = _unpacked(block)
-                later, earlier, more, _ = candidates(columns, 0, asked)
-                yield _pairs(columns, later, earlier, more)
+                at, lists = listed(columns)
+                asked = _in_bloom(bits.value, columns[1][at].view(np.int64))
+                for later, earlier, _ in meetings(columns, at, lists):
+                    wanted = asked[later]
+                    if wanted.any():
+                        later, earlier = at[later[wanted]], at[earlier[wanted]]
+                        yield _pairs(columns, later, earlier, np.zeros(len(later), bool))
 
     return run
 
@@ -581,6 +625,8 @@ def removed_lines(docs: DataFrame, scratch: Scratch, witnesses: int = 6) -> Data
     marked = own.join(firsts, ["h1", "h2"])
     gone = marked.where(F.col("similar").isNotNull() | (place != F.col("first")))
     return gone.groupBy("doc_id", "text_hash").agg(F.collect_set("line").alias("lines"))
+
+
 def _without(text_at: int, chars_at: int | None):
     def run(batches):
         import pyarrow as pa
