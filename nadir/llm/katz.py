@@ -17,8 +17,11 @@ row of a table is one sorted, dictionary-coded and compressed block of a part,
 so shuffles carry a few bytes a bigram. Scoring sends each text's bigrams to
 the parts of their second words, and only those not in training further, to
 the parts of their contexts; the sums come back for each text. A task holds one
-part of the model and streams over the blocks it scores; the number of parts
-follows the input.
+part of the model at a time and streams over the blocks it scores; the number of
+parts follows the input. A block is what a task has for a part, so that blocks
+don't get smaller, and more, with the square of the parts: texts share a block
+as far as HELD_BYTES goes, bigrams not in training up to HELD_UNSEEN, and a task
+adds the sums of its parts up before they come back.
 """
 
 from __future__ import annotations
@@ -36,6 +39,13 @@ K = 5
 #: Bytes of text to a part of the model.
 PART_BYTES = 24 << 20
 CHUNK_BYTES = 8 << 20
+#: Bytes of text that share their blocks; bigrams not in training, and rows with sums, that a task holds.
+HELD_BYTES = 32 << 20
+HELD_UNSEEN = 1 << 20
+HELD_SUMS = 4 << 20
+#: A wave is scored in at most so many tasks for each core, as far as they get no more than so many parts.
+TASKS_PER_CORE = 6
+PARTS_PER_TASK = 8
 _BLOCK = "part int, kind int, chunk long, payload binary"
 
 
@@ -78,6 +88,23 @@ def _record(rows: list[tuple]):
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int32(), pa.int64(), pa.binary()), strict=True)], names=["part", "kind", "chunk", "payload"])
 
 
+def _records(job):
+    """A task that gives the rows of ``job(batches)`` in records of some megabytes."""
+
+    def run(batches):
+        held, size = [], 0
+        for row in job(batches):
+            held.append(row)
+            size += len(row[3])
+            if size >= 4 << 20 or len(held) >= 512:
+                yield _record(held)
+                held, size = [], 0
+        if held:
+            yield _record(held)
+
+    return run
+
+
 def _tokens(part: np.ndarray, own: np.ndarray):
     """Row, context and word of every token (END included) of some texts."""
     starts, ends, rows = W.scan(part, own)
@@ -93,7 +120,7 @@ def _tokens(part: np.ndarray, own: np.ndarray):
 
 
 def _blocks(parts: int, row: np.ndarray | None, before: np.ndarray, word: np.ndarray):
-    """(part, payload) of the distinct bigrams (and rows) with how often each comes."""
+    """(part, arrays) of the distinct bigrams (and rows) with how often each comes."""
     names, ids = np.unique(np.concatenate([word, before]), return_inverse=True)
     part = (names % np.uint64(parts)).astype(np.int64)
     order = np.argsort(part, kind="stable")
@@ -126,7 +153,32 @@ def _blocks(parts: int, row: np.ndarray | None, before: np.ndarray, word: np.nda
         arrays = [names[own], small(size), names[ctx], small(at), small(again[a:b])]
         if r is not None:
             arrays.append(small(r[a:b]))
-        yield p, pack(*arrays)
+        yield p, arrays
+
+
+class _Held:
+    """Blocks of some chunks of text, for each part of the model."""
+
+    def __init__(self):
+        self.parts: dict[int, list[list[np.ndarray]]] = {}
+        self.size = self.rows = 0
+
+    def add(self, blocks, size: int, rows: int) -> None:
+        for p, arrays in blocks:
+            if len(arrays) > 5:
+                arrays[5] = arrays[5].astype(np.uint32) + np.uint32(self.rows)
+            self.parts.setdefault(p, []).append(arrays)
+        self.size, self.rows = self.size + size, self.rows + rows
+
+    def out(self):
+        """(part, payload), with the chunks' arrays end to end."""
+        for p in sorted(self.parts):
+            own = self.parts.pop(p)
+            arrays = [np.concatenate(c) for c in zip(*own, strict=True)]
+            begin = np.cumsum([0] + [len(b[2]) for b in own[:-1]])
+            arrays[3] = np.concatenate([b[3].astype(np.int64) + k for b, k in zip(own, begin.tolist(), strict=True)])
+            yield p, pack(arrays[0], small(arrays[1]), arrays[2], *(small(a) for a in arrays[3:]))
+        self.size = self.rows = 0
 
 
 def _bigrams(arrays: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -146,16 +198,19 @@ MODEL, CONTEXTS, SCALARS, TOTALS, TOKENS, ALPHA, UNSEEN, ROWS, SUMS = range(9)
 
 
 def _count(parts: int):
-    def run(batches):
+    def job(batches):
+        held = _Held()
         for batch in W.trimmed(batches):
             data, offsets = W.flat(batch.column(0))
             data = W._LOWER[data]
             for a, b in W.chunks(offsets, CHUNK_BYTES):
                 _, before, word = _tokens(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-                for p, payload in _blocks(parts, None, before, word):
-                    yield _record([(p, MODEL, 0, payload)])
+                held.add(_blocks(parts, None, before, word), int(offsets[b] - offsets[a]), b - a)
+                if held.size >= HELD_BYTES:
+                    yield from ((p, MODEL, 0, payload) for p, payload in held.out())
+        yield from ((p, MODEL, 0, payload) for p, payload in held.out())
 
-    return run
+    return _records(job)
 
 
 def _merge(parts: int):
@@ -174,7 +229,7 @@ def _merge(parts: int):
         size = np.diff(np.append(first, len(w)))
         total = np.add.reduceat(n, first)
         ctx, at = np.unique(v, return_inverse=True)
-        yield _record([(part, MODEL, 0, pack(w[first], small(size), ctx, small(at), small(n)))])
+        yield part, MODEL, 0, pack(w[first], small(size), ctx, small(at), small(n))
         of_word = np.repeat(total, size)
         one = lambda pick, weights=None: np.bincount(at[pick], weights=None if weights is None else weights[pick], minlength=len(ctx)).astype(np.int64)
         every = np.ones(len(w), bool)
@@ -185,11 +240,11 @@ def _merge(parts: int):
         for q in range(parts):
             pick = by[edge[q] : edge[q + 1]]
             if len(pick):
-                yield _record([(q, CONTEXTS, part, pack(ctx[pick], *(small(s[pick]) for s in stats)))])
+                yield q, CONTEXTS, part, pack(ctx[pick], *(small(s[pick]) for s in stats))
         scalars = [total.sum(), len(total), *(int((total == r).sum()) for r in range(1, K + 2)), *(int((n == r).sum()) for r in range(1, K + 2))]
-        yield _record([(part, SCALARS, 0, pack(np.array(scalars, np.int64)))])
+        yield part, SCALARS, 0, pack(np.array(scalars, np.int64))
 
-    def run(batches):
+    def job(batches):
         now, got = None, []
         for part, _, _, payload in _runs(batches):
             if part != now and got:
@@ -200,7 +255,7 @@ def _merge(parts: int):
         if got:
             yield from emit(now, got)
 
-    return run
+    return _records(job)
 
 
 def good_turing(n: list[int]) -> np.ndarray:
@@ -248,14 +303,14 @@ def _weigh(u: Unigrams):
         names, at = np.unique(np.concatenate([g[1][0] for g in got]), return_inverse=True)
         stats = [np.bincount(at, weights=np.concatenate([g[1][i] for g in got]).astype(np.float64), minlength=len(names)) for i in range(1, 2 * K + 3)]
         denominator, alpha = context_weights(stats, u)
-        yield _record([(part, ALPHA, 0, pack(names, np.log10(alpha)))])
+        yield part, ALPHA, 0, pack(names, np.log10(alpha))
         begin = 0
         for source, arrays in got:
             own = at[begin : begin + len(arrays[0])]
             begin += len(arrays[0])
-            yield _record([(source, TOTALS, part, pack(arrays[0], small(denominator[own].astype(np.int64))))])
+            yield source, TOTALS, part, pack(arrays[0], small(denominator[own].astype(np.int64)))
 
-    def run(batches):
+    def job(batches):
         now, got = None, []
         for part, _, source, payload in _runs(batches):
             if part != now and got:
@@ -266,7 +321,7 @@ def _weigh(u: Unigrams):
         if got:
             yield from emit(now, got)
 
-    return run
+    return _records(job)
 
 
 class Model:
@@ -281,6 +336,13 @@ def _deal(blocks: DataFrame, parts: int, *order: str) -> DataFrame:
     return (dealt(blocks, "part", n) if order[0] == "part" else blocks.repartition(n, order[0])).sortWithinPartitions(*order)
 
 
+def _deal_lots(blocks: DataFrame, parts: int, waves: int) -> DataFrame:
+    """Blocks by part in tasks that get some parts each, one after the other; those of a wave are every ``waves``-th."""
+    own = -(-parts // waves)
+    n = min(own, max(TASKS_PER_CORE * blocks.sparkSession.sparkContext.defaultParallelism, -(-own // PARTS_PER_TASK)))
+    return dealt(blocks, F.floor(F.col("part") / F.lit(waves)), n).sortWithinPartitions("part", "kind", "chunk")
+
+
 def train(docs: DataFrame, scratch: Scratch) -> Model:
     """Count the whole texts of ``docs``; null text is the empty one. No rows give the model that knows nothing."""
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -303,33 +365,42 @@ def train(docs: DataFrame, scratch: Scratch) -> Model:
 def _ask(parts: int, waves: int, wave: int):
     """Blocks of the bigrams of the texts that are in a wave's parts and, in the first, the rows of each chunk."""
 
-    def run(batches):
+    def job(batches):
         import xxhash
         from pyspark import TaskContext
 
         place = TaskContext.get().partitionId() << 32
+        blocks, rows, name = _Held(), [], xxhash.xxh64(seed=place)
+
+        def out():
+            nonlocal place, rows, name
+            # the name holds the chunk's place and content: it differs if another pass gets other rows
+            key = name.intdigest()
+            chunk, place = key - (1 << 64) if key >> 63 else key, place + 1
+            yield from ((p, TOKENS, chunk, payload) for p, payload in blocks.out())
+            if not wave:
+                yield -1 - chunk % parts, ROWS, chunk, pack(*(np.concatenate(c) for c in zip(*rows, strict=True)))
+            rows, name = [], xxhash.xxh64(seed=place)
+
         for batch in W.trimmed(batches):
             data, offsets = W.flat(batch.column(1))
             data = W._LOWER[data]
             ids, held = batch.column(0), batch.column(2)
             for a, b in W.chunks(offsets, CHUNK_BYTES):
                 row, before, word = _tokens(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-                count = np.bincount(row, minlength=b - a).astype(np.int64)
-                # the name holds the chunk's place and content: it differs if another pass gets other rows
-                own_ids = ids.slice(a, b - a).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
-                key = xxhash.xxh64_intdigest(data[offsets[a] : offsets[b]].tobytes() + own_ids.tobytes(), seed=place)
-                chunk, place = key - (1 << 64) if key >> 63 else key, place + 1
-                mine = word % np.uint64(parts) % np.uint64(waves) == wave
-                if mine.any():
-                    for p, payload in _blocks(parts, row[mine], before[mine], word[mine]):
-                        yield _record([(p, TOKENS, chunk, payload)])
-                if wave:
-                    continue
                 own = ids.slice(a, b - a)
+                own_ids = own.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+                name.update(data[offsets[a] : offsets[b]].tobytes() + own_ids.tobytes())
                 null = np.array(own.is_null().to_numpy(zero_copy_only=False), np.uint8)
-                yield _record([(-1 - chunk % parts, ROWS, chunk, pack(own_ids, null, held.slice(a, b - a).to_numpy(zero_copy_only=False).astype(np.uint8), count))])
+                rows.append((own_ids, null, held.slice(a, b - a).to_numpy(zero_copy_only=False).astype(np.uint8), np.bincount(row, minlength=b - a).astype(np.int64)))
+                mine = word % np.uint64(parts) % np.uint64(waves) == wave
+                blocks.add(_blocks(parts, row[mine], before[mine], word[mine]) if mine.any() else (), int(offsets[b] - offsets[a]), b - a)
+                if blocks.size >= HELD_BYTES:
+                    yield from out()
+        if rows:
+            yield from out()
 
-    return run
+    return _records(job)
 
 
 def _keys(word: np.ndarray, ctx: np.ndarray) -> np.ndarray:
@@ -381,14 +452,59 @@ class _Part:
         return rows, sums, (row[rest], arrays[2][at_ctx[rest]], n[rest])
 
 
+class _Sums:
+    """Sums of rows of chunks, added up over the parts of a task."""
+
+    def __init__(self):
+        self.of: dict[int, np.ndarray] = {}
+        self.held = 0
+
+    def add(self, chunk: int, rows: np.ndarray, sums: list[np.ndarray]) -> None:
+        have, need = self.of.get(chunk), int(rows.max()) + 1 if len(rows) else 0
+        if have is None or have.shape[1] < need:
+            more = np.zeros((3, need))
+            if have is not None:
+                more[:, : have.shape[1]] = have
+                self.held -= have.shape[1]
+            self.of[chunk] = have = more
+            self.held += need
+        for k, x in enumerate(sums):
+            have[k, rows] += x
+
+    def out(self, part: int):
+        for chunk, sums in self.of.items():
+            rows = np.flatnonzero(sums.any(axis=0))
+            if len(rows):
+                log, base, known = sums[:, rows]
+                yield part, SUMS, chunk, pack(small(rows), log, base, small(np.rint(known).astype(np.int64)))
+        self.of, self.held = {}, 0
+
+
+def _unseen(held: list[tuple], parts: int):
+    """Blocks of (chunk, row, context, times), for the parts of the contexts."""
+    chunks = np.array([h[0] for h in held], np.int64)
+    row, ctx, n = (np.concatenate(c) for c in list(zip(*held, strict=True))[1:])
+    of = np.repeat(np.arange(len(held)), [len(h[1]) for h in held])
+    held.clear()
+    to = (ctx % np.uint64(parts)).astype(np.int64)
+    by = np.argsort(to, kind="stable")
+    edge = np.searchsorted(to[by], np.arange(parts + 1))
+    for q in np.flatnonzero(np.diff(edge)).tolist():
+        pick = by[edge[q] : edge[q + 1]]
+        names, at = np.unique(ctx[pick], return_inverse=True)
+        used, which = np.unique(of[pick], return_inverse=True)
+        yield q, UNSEEN, 0, pack(names, small(at), small(row[pick]), small(n[pick]), chunks[used], small(which))
+
+
 def _score(u: Unigrams, parts: int):
-    def run(batches):
+    def job(batches):
         now, model, totals, part_model = None, None, [], None
+        sums, unseen, n_unseen = _Sums(), [], 0
         for part, kind, chunk, payload in _runs(batches):
             if part != now:
                 now, model, totals, part_model = part, None, [], None
             if kind == ROWS:
-                yield _record([(part, ROWS, chunk, payload)])
+                yield part, ROWS, chunk, payload
                 continue
             arrays = unpack(payload)
             if kind == MODEL:
@@ -399,22 +515,41 @@ def _score(u: Unigrams, parts: int):
                 if part_model is None:
                     part_model = _Part(u, model, totals)
                     model, totals = None, []
-                rows, (log, base, known), (row, ctx, n) = part_model.score(arrays)
-                yield _record([(part, SUMS, chunk, pack(small(rows), log, base, small(known.astype(np.int64))))])
-                to = (ctx % np.uint64(parts)).astype(np.int64)
-                by = np.argsort(to, kind="stable")
-                edge = np.searchsorted(to[by], np.arange(parts + 1))
-                for q in np.flatnonzero(np.diff(edge)).tolist():
-                    pick = by[edge[q] : edge[q + 1]]
-                    names, at = np.unique(ctx[pick], return_inverse=True)
-                    yield _record([(q, UNSEEN, chunk, pack(names, small(at), small(row[pick]), small(n[pick])))])
-
-    return run
+                rows, own, (row, ctx, n) = part_model.score(arrays)
+                sums.add(chunk, rows, own)
+                if len(row):
+                    unseen.append((chunk, row.astype(np.uint32), ctx, n.astype(np.uint32)))
+                    n_unseen += len(row)
+                if sums.held >= HELD_SUMS:
+                    yield from sums.out(part)
+                if n_unseen >= HELD_UNSEEN:
+                    yield from _unseen(unseen, parts)
+                    n_unseen = 0
+        if now is not None:
+            yield from sums.out(now)
+        if unseen:
+            yield from _unseen(unseen, parts)
+
+    return _records(job)
+
+
+def _backed(part: int, held: list[tuple]):
+    """Sums of (chunk, row, weight of back-off)."""
+    chunk, row, x = (np.concatenate(c) for c in zip(*held, strict=True))
+    held.clear()
+    chunks, of = np.unique(chunk, return_inverse=True)
+    key, back = np.unique((of.astype(np.int64) << 32) | row.astype(np.int64), return_inverse=True)
+    total, row = np.bincount(back, weights=x, minlength=len(key)), key & 0xFFFFFFFF
+    edge = np.searchsorted(key >> 32, np.arange(len(chunks) + 1))
+    for k, name in enumerate(chunks.tolist()):
+        own = row[edge[k] : edge[k + 1]]
+        yield part, SUMS, name, pack(small(own), total[edge[k] : edge[k + 1]], np.zeros(len(own)), np.zeros(len(own), np.uint8))
 
 
 def _back_off(batches):
     now, names, log = None, np.zeros(0, np.uint64), np.zeros(0)
-    for part, kind, chunk, payload in _runs(batches):
+    held, n_held = [], 0
+    for part, kind, _, payload in _runs(batches):
         if part != now:
             now, names, log = part, np.zeros(0, np.uint64), np.zeros(0)
         arrays = unpack(payload)
@@ -423,9 +558,13 @@ def _back_off(batches):
             continue
         slot = _Part.find(names, arrays[0])
         alpha = np.where(slot >= 0, log[slot] if len(log) else 0.0, 0.0)
-        rows, back = np.unique(arrays[2].astype(np.int64), return_inverse=True)
-        total = np.bincount(back, weights=alpha[arrays[1].astype(np.int64)] * arrays[3], minlength=len(rows))
-        yield _record([(part, SUMS, chunk, pack(small(rows), total, np.zeros(len(rows)), np.zeros(len(rows), np.uint8)))])
+        held.append((arrays[4][arrays[5].astype(np.int64)], arrays[2].astype(np.uint32), alpha[arrays[1].astype(np.int64)] * arrays[3]))
+        n_held += len(arrays[2])
+        if n_held >= HELD_UNSEEN:
+            yield from _backed(part, held)
+            n_held = 0
+    if held:
+        yield from _backed(now, held)
 
 
 def _gather(batches):
@@ -467,13 +606,13 @@ def score(docs: DataFrame, model: Model, scratch: Scratch, waves: int = 2) -> Da
     scored = None
     for k in range(waves):
         to_words = rows.mapInArrow(_ask(parts, waves, k), _BLOCK).unionAll(model.counts.where((kind == MODEL) & (wave == k))).unionAll(model.weights.where((kind == TOTALS) & (wave == k)))
-        got = scratch.table(f"scored-{k}", _deal(to_words, parts, "part", "kind", "chunk").mapInArrow(_score(model.unigrams, parts), _BLOCK))
+        got = scratch.table(f"scored-{k}", _deal_lots(to_words, parts, waves).mapInArrow(_score(model.unigrams, parts), _BLOCK))
         scored = got if scored is None else scored.unionAll(got)
         del to_words
         scratch.release()
     # unseen bigrams have the greater kind: a part's alphas come before them
     to_contexts = scored.where(kind == UNSEEN).unionAll(model.weights.where(kind == ALPHA))
-    backed = scratch.table("backed", _deal(to_contexts, parts, "part", "kind", "chunk").mapInArrow(_back_off, _BLOCK))
+    backed = scratch.table("backed", _deal_lots(to_contexts, parts, 1).mapInArrow(_records(_back_off), _BLOCK))
     sums = scored.where(kind.isin(ROWS, SUMS)).unionAll(backed.withColumn("part", F.col("part") + F.lit(1 << 30)))
     return _deal(sums, parts, "chunk", "part").mapInArrow(_gather, T._parse_datatype_string("doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"))
 

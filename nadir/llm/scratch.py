@@ -108,7 +108,7 @@ def rest_hash(row: str, schema: T.StructType, without: tuple[str, ...] = ("doc_i
 _places: dict[int, list[int]] = {}
 
 
-def dealt(df: DataFrame, column: str, n: int, most: int = 8192) -> DataFrame:
+def dealt(df: DataFrame, column: str | Column, n: int, most: int = 8192) -> DataFrame:
     """Rows in ``n`` partitions by a column of numbers modulo ``n``, each number in a partition of its own.
 
     A hash of so few numbers would put several of them into some partitions and
@@ -125,7 +125,7 @@ def dealt(df: DataFrame, column: str, n: int, most: int = 8192) -> DataFrame:
     if len(_places[n]) < n:
         return df.repartition(n, column)
     names = F.array(*(F.lit(i).cast("int") for i in _places[n]))
-    return df.repartition(n, F.element_at(names, F.pmod(F.col(column), F.lit(n)).cast("int") + 1))
+    return df.repartition(n, F.element_at(names, F.pmod(F.col(column) if isinstance(column, str) else column, F.lit(n)).cast("int") + 1))
 
 
 def partitions_for(spark: SparkSession, rows: int, rows_per_partition: int) -> int:

@@ -6,7 +6,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from nadir.llm import linededup
+from nadir.llm import katz, linededup
 from nadir.llm import words as W
 
 
@@ -71,3 +71,58 @@ def test_no_candidate_is_lost_when_few_pairs_are_held(monkeypatch, held, at_once
     at, lists = linededup.listed(rest)
     found = {(a, b) for y, x, _ in linededup.meetings(rest, at, lists) for a, b in zip(rest[1][at[y]].tolist(), rest[1][at[x]].tolist(), strict=True)}
     assert similar and all(b in named[a] or (a in others and (a, b) in found) for a, b in similar)
+
+
+def test_chunks_of_a_task_share_its_blocks():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(5)
+    batches = [pa.RecordBatch.from_arrays([pa.array([" ".join(f"w{x}" for x in rng.integers(0, 90, 30)) for _ in range(20)])], names=["text"]) for _ in range(6)]
+    want = Counter()
+    for b in batches:
+        data, offsets = W.flat(b.column(0))
+        _, before, word = katz._tokens(data, offsets)
+        want.update(zip(word.tolist(), before.tolist(), strict=True))
+    rows = [r for b in katz._count(5)(iter(batches)) for r in b.to_pylist()]
+    assert len(rows) == 5  # one for each part; it was one for each batch and part
+    got = Counter()
+    for r in rows:
+        for w, v, n in zip(*(x.tolist() for x in katz._bigrams(katz.unpack(r["payload"]))), strict=True):
+            assert w % 5 == r["part"]
+            got[w, v] += n
+    assert got == want
+
+
+def test_bigrams_not_in_training_of_many_chunks_share_blocks(monkeypatch):
+    rng = np.random.default_rng(6)
+    names = np.unique(rng.integers(1, 1 << 63, 60, dtype=np.uint64))
+    parts, weight = 7, dict(zip(names.tolist(), rng.random(len(names)).tolist(), strict=True))
+    held, want = [], defaultdict(float)
+    for chunk in range(-20, 20):
+        row, ctx, n = rng.integers(0, 9, 50), rng.choice(names, 50), rng.integers(1, 4, 50)
+        held.append((chunk, row, ctx, n))
+        for r, c, k in zip(row.tolist(), ctx.tolist(), n.tolist(), strict=True):
+            want[chunk, r] += weight[c] * k
+    blocks = list(katz._unseen(held, parts))
+    assert len(blocks) == parts  # it was one for each chunk and part
+    own = [names[names % np.uint64(parts) == q] for q in range(parts)]
+    alphas = [(q, katz.ALPHA, 0, katz.pack(own[q], np.array([weight[c] for c in own[q].tolist()]))) for q in range(parts)]
+    for at_most in (1 << 20, 100):
+        monkeypatch.setattr(katz, "HELD_UNSEEN", at_most)
+        got = defaultdict(float)
+        for _, kind, chunk, payload in katz._back_off([katz._record(sorted(alphas + blocks, key=lambda x: x[:2]))]):
+            assert kind == katz.SUMS
+            rows, log, _, _ = katz.unpack(payload)
+            for r, x in zip(rows.tolist(), log.tolist(), strict=True):
+                got[chunk, r] += x
+        assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+
+def test_sums_of_a_task_come_back_once_for_each_chunk():
+    sums = katz._Sums()
+    sums.add(3, np.array([0, 2]), [np.array([-1.0, -2.0]), np.array([-3.0, -4.0]), np.array([1.0, 1.0])])
+    sums.add(3, np.array([2, 5]), [np.array([-1.0, -2.0]), np.array([-1.0, -1.0]), np.array([0.0, 2.0])])
+    assert sums.held == 6
+    ((part, kind, chunk, payload),) = sums.out(1)
+    rows, log, base, known = (x.tolist() for x in katz.unpack(payload))
+    assert (part, kind, chunk, rows, log, base, known) == (1, katz.SUMS, 3, [0, 2, 5], [-1, -3, -2], [-3, -5, -1], [1, 1, 2])
