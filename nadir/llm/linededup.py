@@ -19,7 +19,8 @@ A line needs one match only: each posting list first names a line's
 ``witnesses`` best candidates. What of a posting list such a choice was made
 from is stored with them, and a line for which none of them held gets all the
 others from there in a second round. So a group of n near copies costs some n
-pairs, and no candidate is lost.
+pairs to verify, and no candidate is lost. Signatures are compared for all pairs,
+but in pieces, so that memory follows a list and not its pairs.
 
 Sets are told apart by two 64-bit hashes: of their words, and of their parity
 signatures. The texts are shuffled once, to take lines out.
